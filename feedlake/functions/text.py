@@ -56,3 +56,10 @@ def contains_literal(c, needle: str, ascii_fold: bool = True) -> Column:
         return F.coalesce(F.instr(ascii_lower(c), needle.translate(str.maketrans(_UPPER, _LOWER))) > 0,
                           F.lit(False))
     return F.coalesce(F.instr(F.lower(_c(c)), needle.lower()) > 0, F.lit(False))
+
+
+def js_trim(c) -> Column:
+    """Strip leading/trailing whitespace of the full (Unicode) class, as
+    JavaScript's ``String.prototype.trim``; Spark's ``trim`` strips spaces only."""
+    cls = WHITESPACE_RUN[:-1]  # the class without the trailing '+'
+    return F.regexp_replace(_c(c), f"^{cls}+|{cls}+$", "")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlake.functions.text import js_trim
 from feedlake.functions.urls import base_url, classify_link
 
 # The section that holds the resources (an <h2> title, then the
@@ -67,8 +68,8 @@ def extract_links(pages: DataFrame, html: str = "html", keep=("page_id",),
     exploded = (pages.select(*keep, F.posexplode_outer(pairs).alias("pos", "p"))
                      .filter(F.col("p").isNotNull())
                      .select(*keep, (F.col("pos") + 1).alias("pos"),
-                             F.trim(F.col("p.title")).alias("title"),
-                             F.trim(F.col("p.url")).alias("url")))
+                             js_trim(F.col("p.title")).alias("title"),
+                             js_trim(F.col("p.url")).alias("url")))
     ok = (F.col("url") != "") & (F.col("title") != "")
     if absolute_only:
         ok = ok & F.col("url").startswith(ABSOLUTE_PREFIX)
@@ -86,7 +87,7 @@ def links_array(pages: DataFrame, html: str = "html", key: str = "page_id", **kw
     sec = section_text(F.col(html), title, css_class)
     pairs = F.arrays_zip(F.regexp_extract_all(sec, F.lit(ANCHOR), 1).alias("url"),
                          F.regexp_extract_all(sec, F.lit(ANCHOR), 2).alias("title"))
-    trimmed = F.transform(pairs, lambda p: F.struct(F.trim(p["title"]).alias("title"), F.trim(p["url"]).alias("url")))
+    trimmed = F.transform(pairs, lambda p: F.struct(js_trim(p["title"]).alias("title"), js_trim(p["url"]).alias("url")))
 
     def keep_link(p):
         ok = (p["url"] != "") & (p["title"] != "")

@@ -118,8 +118,8 @@ def analytics_report(df: DataFrame, severity="severity", score="score", terms="t
     cells = df.select(F.explode(F.concat(*parts)).alias("x")).select("x.*")
     # Rows that exist whatever the data: the overall row and every bucket.
     seed_rows = [(SEC_ALL, "")] + ([(SEC_BUCKET, lab) for lab in labels] if score is not None else [])
-    seeds = (spark.createDataFrame(seed_rows, "section string, key string")
-             .select(_cell(F.col("section"), F.col("key"), 0).alias("x")).select("x.*"))
+    seeds = (spark.range(1)
+             .select(F.inline(F.array(*[_cell(sec, F.lit(k), 0) for sec, k in seed_rows]))))
 
     agg = (cells.unionByName(seeds)
            .groupBy("section", "key")
@@ -127,13 +127,18 @@ def analytics_report(df: DataFrame, severity="severity", score="score", terms="t
                 F.min("d").alias("d_min"), F.max("d").alias("d_max"), F.count("d").alias("dn"),
                 F.sum("l").alias("l")))
 
+    # One window for all sections: ranked sections form one window partition
+    # each, every other (section, key) cell is alone in its partition (rank 1).
+    # A uniform ``rank <= n`` filter lets WindowGroupLimit keep n rows per
+    # section in each task before the exchange, and the aggregate is
+    # computed once (no second scan for the ranked branch).
     ranked_secs = [SEC_TERMS, SEC_LABELS]
-    w = Window.partitionBy("section").orderBy(F.col("n").desc(), F.col("key").asc())
-    top = (agg.filter(F.col("section").isin(*ranked_secs))
-              .withColumn("rank", F.row_number().over(w))
-              .filter(F.col("rank") <= top_n)
-              .select("section", "key", "n", F.lit(None).cast("double").alias("value"),
-                      F.lit(None).cast("string").alias("text"), "rank"))
+    is_ranked = F.col("section").isin(*ranked_secs)
+    part = F.when(is_ranked, F.col("section")).otherwise(F.concat_ws("\u0000", "section", "key"))
+    w = Window.partitionBy(part).orderBy(F.col("n").desc(), F.col("key").asc())
+    kept = (agg.withColumn("rank", F.row_number().over(w))
+               .filter(F.col("rank") <= top_n)
+               .withColumn("rank", F.when(is_ranked, F.col("rank")).otherwise(F.lit(0))))
 
     value, text = _mean_columns(F.col("s"), F.col("c"))
     null_d, null_s, null_n = F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(None).cast("bigint")
@@ -151,10 +156,9 @@ def analytics_report(df: DataFrame, severity="severity", score="score", terms="t
         row(L(SEC_DATES), L("latest"), F.col("dn"), null_d, F.col("d_max").cast("string")),
     ).cast(f"array<{row_t}>")
     plain = F.array(row(F.col("section"), F.col("key"), F.col("n"), null_d, null_s)).cast(f"array<{row_t}>")
-    rest = (agg.filter(~F.col("section").isin(*ranked_secs))
-               .select(F.explode(F.when(F.col("section") == SEC_ALL, overall).otherwise(plain)).alias("r"))
-               .select("r.*", F.lit(0).alias("rank")))
-    return rest.unionByName(top)
+    return (kept.select(F.explode(F.when(F.col("section") == SEC_ALL, overall).otherwise(plain)).alias("r"),
+                        "rank")
+                .select("r.*", "rank"))
 
 
 # ---- single-measure jobs ---------------------------------------------------

@@ -55,7 +55,7 @@ def run_event_quarantine(events: DataFrame, job: str = "job_id") -> DataFrame:
 def run_summary(runs: DataFrame, started: str = "started_at", completed: str = "completed_at",
                 total: str = "total") -> DataFrame:
     """Duration in seconds and mean seconds per item (0 when nothing processed)."""
-    dur = (F.unix_micros(F.col(completed)) - F.unix_micros(F.col(started))) / F.lit(1_000_000.0)
+    dur = (F.unix_micros(F.col(completed).cast("timestamp")) - F.unix_micros(F.col(started).cast("timestamp"))) / F.lit(1_000_000.0)
     per_item = F.when(F.coalesce(F.col(total), F.lit(0)) > 0, dur / F.col(total)).otherwise(F.lit(0.0))
     return runs.withColumn("duration_s", dur).withColumn("seconds_per_item", per_item)
 
@@ -131,7 +131,7 @@ def min_interval_gate(events: DataFrame, key: str, ts: str, interval_minutes: fl
     keep = [c for c in keep if c not in (key, ts)]
     out_cols = list(dict.fromkeys([*keep, key, ts]))
     ts_us = "_ts_us"
-    cols = [*out_cols, F.unix_micros(F.col(ts)).alias(ts_us)]
+    cols = [*out_cols, F.unix_micros(F.col(ts).cast("timestamp")).alias(ts_us)]
     if forced:
         cols.append(F.col(forced))
     narrow = events.select(*[F.col(c) if isinstance(c, str) else c for c in cols])

@@ -1,3 +1,103 @@
-"""Jobs."""
+"""Text and link jobs over documents and pages (whole texts, whole pages)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from feedlake.functions.text import FIRST_NUMBER, WHITESPACE_RUN, clean_text, extract_score
+from feedlake.functions.urls import URL_PARTS
+from feedlake.operators import links as LK
+from feedlake.plans.catalog import job
+from feedlake.plans.tables import table
+
+_CLEAN = f"trim(regexp_replace(coalesce(text, ''), '{WHITESPACE_RUN}', ' ', 'g'), ' ')"
+
+
+@job("clean_text_report", f"""
+SELECT source, lang, count(*) AS docs,
+       count(*) FILTER (WHERE {_CLEAN} <> coalesce(text, '')) AS changed,
+       cast(sum(length(coalesce(text, '')) - length({_CLEAN})) AS BIGINT) AS chars_saved
+FROM documents GROUP BY source, lang""")
+def clean_text_report(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    raw = F.coalesce(F.col("text"), F.lit(""))
+    cleaned = d.select("source", "lang", raw.alias("raw"), clean_text("text").alias("clean"))
+    return cleaned.groupBy("source", "lang").agg(
+        F.count(F.lit(1)).alias("docs"),
+        F.count_if(F.col("clean") != F.col("raw")).alias("changed"),
+        F.sum(F.length("raw") - F.length("clean")).cast("bigint").alias("chars_saved"))
+
+
+@job("score_extraction", f"""
+SELECT doc_id, CASE WHEN s BETWEEN 0 AND 10 THEN s END AS score FROM (
+  SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '{FIRST_NUMBER}', 0), '') AS DOUBLE) AS s FROM documents)""")
+def score_extraction(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", extract_score("text").alias("score"))
+
+
+# Link class rules as SQL (same order as functions.urls.DEFAULT_LINK_RULES).
+_HOST = f"lower(regexp_extract(url, '{URL_PARTS}', 2))"
+_TITLE = "lower(title)"
+_CLASS_SQL = f"""CASE
+  WHEN {_HOST} = 'nvd.nist.gov' THEN 'NVD'
+  WHEN {_HOST} = 'github.com' OR ends_with({_HOST}, '.github.com') THEN 'GitHub'
+  WHEN {_HOST} = 'vuldb.com' THEN 'VulDB'
+  WHEN {_HOST} = 'cve.mitre.org' THEN 'MITRE'
+  WHEN {_HOST} IN ('www.exploit-db.com', 'exploit-db.com') THEN 'Exploit-DB'
+  WHEN starts_with({_HOST}, 'security.') OR contains({_TITLE}, 'advisory') THEN 'Security Advisory'
+  WHEN contains({_TITLE}, 'patch') OR contains({_TITLE}, 'fix') THEN 'Patch/Fix'
+  WHEN contains({_TITLE}, 'poc') OR contains({_TITLE}, 'proof of concept') THEN 'Proof of Concept'
+  ELSE 'Other' END"""
+
+_WS_CLASS = WHITESPACE_RUN[:-1]
+
+
+def _jstrim(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS_CLASS}+|{_WS_CLASS}+$', '', 'g')"
+
+
+_LINKS_SQL = f"""
+WITH m AS (
+  SELECT page_id, regexp_extract_all(html, '{LK.ANCHOR}', 1) AS urls,
+         regexp_extract_all(html, '{LK.ANCHOR}', 2) AS titles FROM pages),
+ z AS (SELECT page_id, unnest(range(1, len(urls) + 1)) AS pos, unnest(urls) AS u, unnest(titles) AS t FROM m),
+ links AS (SELECT page_id, cast(pos AS BIGINT) AS pos, {_jstrim('t')} AS title, {_jstrim('u')} AS url FROM z),
+ kept AS (SELECT * FROM links WHERE url <> '' AND title <> '')"""
+
+
+@job("extract_links", _LINKS_SQL + f" SELECT page_id, pos, title, url, {_CLASS_SQL} AS type FROM kept")
+def extract_links(spark, sf_dir):
+    # the driver's pages have no titled section: whole pages, relative links kept
+    return LK.extract_links(table(spark, sf_dir, "pages"), title=None, absolute_only=False)
+
+
+@job("classify_links", _LINKS_SQL + f" SELECT type, count(*) AS n FROM (SELECT {_CLASS_SQL} AS type FROM kept) GROUP BY type")
+def classify_links(spark, sf_dir):
+    links = LK.extract_links(table(spark, sf_dir, "pages"), title=None, absolute_only=False)
+    return LK.link_class_counts(links)
+
+
+@job("with_links_count", _LINKS_SQL + """
+ SELECT count(*) AS total, count(*) FILTER (WHERE nl > 0) AS with_links FROM (
+   SELECT p.page_id, count(k.page_id) AS nl FROM pages p LEFT JOIN kept k ON p.page_id = k.page_id GROUP BY p.page_id)""")
+def with_links_count(spark, sf_dir):
+    arr = LK.links_array(table(spark, sf_dir, "pages"), title=None, absolute_only=False)
+    return arr.agg(F.count(F.lit(1)).alias("total"),
+                   F.count_if(F.size("externalLinks") > 0).alias("with_links"))
+
+
+_BASE_SQL = (f"CASE WHEN regexp_matches(url, '{URL_PARTS}') THEN lower(regexp_extract(url, '{URL_PARTS}', 1)) "
+             f"|| '://' || lower(regexp_extract(url, '{URL_PARTS}', 2)) END")
+
+
+@job("base_urls", f"SELECT DISTINCT {_BASE_SQL} AS base_url FROM pages WHERE url IS NOT NULL AND url <> '' "
+                  f"AND regexp_matches(url, '{URL_PARTS}') ORDER BY base_url")
+def base_urls(spark, sf_dir):
+    return LK.base_urls(table(spark, sf_dir, "pages"), url_cols=("url",))
+
+
+@job("base_url_census", f"SELECT base_url, count(*) AS n FROM (SELECT {_BASE_SQL} AS base_url FROM pages "
+                        f"WHERE url IS NOT NULL AND url <> '') WHERE base_url IS NOT NULL GROUP BY base_url")
+def base_url_census(spark, sf_dir):
+    return LK.base_url_census(table(spark, sf_dir, "pages"), url_cols=("url",))
