@@ -230,16 +230,14 @@ def facet_counts(df: DataFrame, facets: dict, top: int = FACET_TOP) -> DataFrame
     unpivots all facets (no Expand of the wide row), partial aggregation
     runs before the shuffle, and WindowGroupLimit prunes per task.
     """
-    parts = []
-    for name, col in facets.items():
-        c = _c(col)
-        parts.append(c)
     cells = []
     for name, col in facets.items():
         c = _c(col)
         dtype = df.select(c.alias("_x")).schema["_x"].dataType
         if isinstance(dtype, T.ArrayType):
-            cells.append(F.coalesce(F.transform(c, lambda v, nm=name: F.struct(F.lit(nm).alias("facet"), v.cast("string").alias("value"))),
+            def tag(nm):
+                return lambda v: F.struct(F.lit(nm).alias("facet"), v.cast("string").alias("value"))
+            cells.append(F.coalesce(F.transform(c, tag(name)),
                                     F.array().cast("array<struct<facet:string,value:string>>")))
         else:
             cells.append(F.when(c.isNotNull(), F.array(F.struct(F.lit(name).alias("facet"), c.cast("string").alias("value"))))
