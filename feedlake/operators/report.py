@@ -29,8 +29,10 @@ SEC_TOTAL, SEC_SEVERITY, SEC_BUCKET = "total", "severity", "score_bucket"
 SEC_AVERAGE, SEC_TERMS, SEC_LABELS = "average_score", "top_technologies", "top_components"
 SEC_LINKS, SEC_DATES, SEC_ALL = "with_links", "date_range", "all"
 
-# Scores are summed as decimals so the mean does not depend on row order.
-SCORE_DECIMAL = "decimal(20,6)"
+# Scores are summed as whole 1e-4 units in a bigint: exact and independent of
+# row order (unlike a double sum), and cheaper than a wide decimal buffer.
+# The sum stays exact up to ~9e14 score points (ANSI mode fails loudly past it).
+SCORE_UNITS = 10_000
 
 REPORT_SCHEMA = "section string, key string, n bigint, value double, text string, rank int"
 
@@ -58,25 +60,40 @@ def _nonempty(c: Column) -> Column:
     return c.isNotNull() & (c != F.lit(""))
 
 
-def _mean_columns(score_sum: Column, scored: Column, places: int = AVERAGE_PLACES):
-    """(value, text): mean rounded half-up to ``places``; 0 / '0' when nothing scored."""
-    mean = F.round(F.try_divide(score_sum, scored.cast("decimal(20,0)")), places)
-    value = F.when(scored > 0, mean.cast("double")).otherwise(F.lit(0.0))
-    text = F.when(scored > 0, mean.cast(f"decimal(38,{places})").cast("string")).otherwise(F.lit("0"))
+def score_units(sc: Column) -> Column:
+    """A numeric score as whole 1e-4 units (half-up at the 4th place)."""
+    return F.round(sc * F.lit(float(SCORE_UNITS))).cast("bigint")
+
+
+def _mean_columns(units_sum: Column, scored: Column, places: int = AVERAGE_PLACES):
+    """(value, text) of the mean of scores given their sum in 1e-4 units.
+
+    Rounded half-up (away from zero) to ``places`` with integer arithmetic,
+    so no intermediate rounding can move a value across a half: m = (2|S| +
+    D) div 2D with D = n * 10^(4 - places). 0 / '0' when nothing scored.
+    """
+    den = scored.cast("bigint") * F.lit(10 ** (4 - places))
+    mag = F.abs(units_sum) * 2 + den
+    m = F.when(scored > 0, F.signum(units_sum).cast("bigint") * F.floor(F.try_divide(mag, den * 2)).cast("bigint"))
+    scale = 10 ** places
+    value = F.when(scored > 0, m / F.lit(float(scale))).otherwise(F.lit(0.0))
+    whole = F.floor(F.try_divide(F.abs(m), F.lit(scale))).cast("bigint")
+    text_pos = F.concat(F.when(m < 0, F.lit("-")).otherwise(F.lit("")), whole.cast("string"),
+                        F.lit("."), F.lpad((F.abs(m) % F.lit(scale)).cast("string"), places, "0"))
+    text = F.when(scored > 0, text_pos).otherwise(F.lit("0"))
     return value, text
 
 
 # ---- the one-pass report -------------------------------------------------
 
-_CELL = ("struct<section:string,key:string,w:bigint,s:" + SCORE_DECIMAL +
-         ",c:bigint,d:date,l:bigint>")
+_CELL = "struct<section:string,key:string,w:bigint,s:bigint,c:bigint,d:date,l:bigint>"
 
 
 def _cell(section: Column | str, key: Column, w=1, s=None, c=0, d=None, l=0) -> Column:
     sec = F.lit(section) if isinstance(section, str) else section
     return F.struct(sec.alias("section"), key.cast("string").alias("key"),
                     F.lit(w).cast("bigint").alias("w"),
-                    (s if s is not None else F.lit(None)).cast(SCORE_DECIMAL).alias("s"),
+                    (s if s is not None else F.lit(None)).cast("bigint").alias("s"),
                     (c if isinstance(c, Column) else F.lit(c)).cast("bigint").alias("c"),
                     (d if d is not None else F.lit(None)).cast("date").alias("d"),
                     (l if isinstance(l, Column) else F.lit(l)).cast("bigint").alias("l"))
@@ -102,7 +119,7 @@ def analytics_report(df: DataFrame, severity="severity", score="score", terms="t
     has_links = (F.coalesce(F.size(_c(links)), F.lit(0)) > 0) if links is not None else F.lit(False)
     d = _c(date) if date is not None else F.lit(None)
 
-    parts = [F.array(_cell(SEC_ALL, F.lit(""), 1, F.when(scored, sc), F.when(scored, 1).otherwise(0),
+    parts = [F.array(_cell(SEC_ALL, F.lit(""), 1, F.when(scored, score_units(sc)), F.when(scored, 1).otherwise(0),
                            d, F.when(has_links, 1).otherwise(0)))]
     if severity is not None:
         sev = _c(severity)
@@ -187,10 +204,10 @@ def score_histogram(df: DataFrame, score="score", edges=SCORE_EDGES, labels=SCOR
 
 
 def average_score(df: DataFrame, score="score", places: int = AVERAGE_PLACES) -> DataFrame:
-    """(n_scored, avg_score, avg_text): exact decimal mean, rounded half-up."""
+    """(n_scored, avg_score, avg_text): exact mean, rounded half-up."""
     sc = _c(score).cast("double")
     ok = is_number(sc)
-    one = df.agg(F.sum(F.when(ok, sc.cast(SCORE_DECIMAL))).alias("s"), F.count_if(ok).alias("n_scored"))
+    one = df.agg(F.sum(F.when(ok, score_units(sc))).alias("s"), F.count_if(ok).alias("n_scored"))
     value, text = _mean_columns(F.col("s"), F.col("n_scored"), places)
     return one.select("n_scored", value.alias("avg_score"), text.alias("avg_text"))
 

@@ -98,18 +98,26 @@ def with_reasons(df: DataFrame, rules) -> DataFrame:
     return df.withColumn(REASONS, reasons_column(rules))
 
 
+def any_failure(rules) -> Column:
+    """True when at least one rule fails: a short-circuit OR, no array built."""
+    out = None
+    for _, fails in rules:
+        f = F.coalesce(fails, F.lit(False))
+        out = f if out is None else (out | f)
+    return out if out is not None else F.lit(False)
+
+
 def validation_split(df: DataFrame, rules, drop_raw_columns: bool = True):
     """-> (accepted, quarantine). Both come from the same projection.
 
-    When both sides are written, persist the reasoned frame first (or write
-    the quarantine from the accepted write's lineage) so the source is read
-    once; on a cluster prefer writing both with one ``foreachBatch`` or two
-    writes of a checkpointed frame.
+    The split predicate is a plain OR of the rule conditions (Catalyst may
+    push it into the scan stage); the reasons array is only built for the
+    quarantined side. When both sides are written, write them from one
+    checkpointed (or persisted) frame so the source is scanned once.
     """
-    reasoned = with_reasons(df, rules)
-    ok = F.size(F.col(REASONS)) == 0
-    accepted = reasoned.filter(ok).drop(REASONS)
-    quarantine = reasoned.filter(~ok)
+    bad = any_failure(rules)
+    accepted = df.filter(~bad)
+    quarantine = df.filter(bad).withColumn(REASONS, reasons_column(rules))
     if drop_raw_columns:
         accepted = drop_raw(accepted)
     return accepted, quarantine
@@ -117,8 +125,7 @@ def validation_split(df: DataFrame, rules, drop_raw_columns: bool = True):
 
 def validation_reasons(df: DataFrame, rules) -> DataFrame:
     """Reason code counts over the quarantined rows: (reason, n)."""
-    return (with_reasons(df, rules)
-            .select(F.explode(REASONS).alias("reason"))
+    return (df.filter(any_failure(rules)).select(F.explode(reasons_column(rules)).alias("reason"))
             .groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -132,7 +139,7 @@ def validation_summary(df: DataFrame, rules=None, key: str = "cve_id",
     if rules is None:
         valid = F.coalesce(F.col(key).rlike(key_pattern), F.lit(False))
     else:
-        valid = F.size(reasons_column(rules)) == 0
+        valid = ~any_failure(rules)
     agg = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(valid).alias("valid"))
     return agg.select(
         "total", "valid", (F.col("total") - F.col("valid")).alias("invalid"),

@@ -30,7 +30,7 @@ SELECT doc_id, lang, source, n_chars FROM (
 def dedupe_documents(spark, sf_dir):
     # Exact copies: the shuffle carries a 256-bit digest of the whole text,
     # never the text itself; copies are pruned per task before the exchange.
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread_on="doc_id")
     keyed = d.select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"),
                      F.col("text").isNull().alias("null_text"))
     return DD.dedupe_last(keyed, ["digest", "null_text"], ["doc_id"]).select("doc_id", "lang", "source", "n_chars")

@@ -21,7 +21,7 @@ def event_hits(spark, sf_dir):
     severity, purchase events no baseScore (so cnaScore is used), signup
     events an ISO date with a -05:00 offset (others epoch milliseconds),
     descriptions carry messy whitespace, purchases list four programs."""
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", spread_on="event_id")
     et = F.col("event_type")
     key = F.concat(F.lit("CVE-"), F.year("ts").cast("string"), F.lit("-"), F.col("event_id").cast("string"))
     k = props_k()
@@ -102,7 +102,7 @@ def json_column_encode(spark, sf_dir):
 # severity outside the domain; the score is value/10 on the 0..10 scale.
 
 def validation_view(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", spread_on="event_id")
     et = F.col("event_type")
     prefix = F.when(et == "error", F.lit("cve-")).otherwise(F.lit("CVE-"))
     sev = (F.when(et == "click", "LOW").when(et == "view", "MEDIUM").when(et == "purchase", "HIGH")

@@ -136,7 +136,7 @@ FROM (
   GROUP BY facet, value)
 QUALIFY rank <= 200""")
 def facet_counts(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", spread_on="event_id")
     return R.facet_counts(ev, {"event_type": F.col("event_type"), "k": props_k(),
                                "month": F.date_format("ts", "yyyy-MM"), "user": F.col("user_id")})
 

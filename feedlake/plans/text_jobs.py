@@ -19,7 +19,7 @@ SELECT source, lang, count(*) AS docs,
        cast(sum(length(coalesce(text, '')) - length({_CLEAN})) AS BIGINT) AS chars_saved
 FROM documents GROUP BY source, lang""")
 def clean_text_report(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread_on="doc_id")
     raw = F.coalesce(F.col("text"), F.lit(""))
     cleaned = d.select("source", "lang", raw.alias("raw"), clean_text("text").alias("clean"))
     return cleaned.groupBy("source", "lang").agg(
@@ -32,7 +32,7 @@ def clean_text_report(spark, sf_dir):
 SELECT doc_id, CASE WHEN s BETWEEN 0 AND 10 THEN s END AS score FROM (
   SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '{FIRST_NUMBER}', 0), '') AS DOUBLE) AS s FROM documents)""")
 def score_extraction(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread_on="doc_id")
     return d.select("doc_id", extract_score("text").alias("score"))
 
 
@@ -69,12 +69,12 @@ WITH m AS (
 @job("extract_links", _LINKS_SQL + f" SELECT page_id, pos, title, url, {_CLASS_SQL} AS type FROM kept")
 def extract_links(spark, sf_dir):
     # the driver's pages have no titled section: whole pages, relative links kept
-    return LK.extract_links(table(spark, sf_dir, "pages"), title=None, absolute_only=False)
+    return LK.extract_links(table(spark, sf_dir, "pages", spread_on="page_id"), title=None, absolute_only=False)
 
 
 @job("classify_links", _LINKS_SQL + f" SELECT type, count(*) AS n FROM (SELECT {_CLASS_SQL} AS type FROM kept) GROUP BY type")
 def classify_links(spark, sf_dir):
-    links = LK.extract_links(table(spark, sf_dir, "pages"), title=None, absolute_only=False)
+    links = LK.extract_links(table(spark, sf_dir, "pages", spread_on="page_id"), title=None, absolute_only=False)
     return LK.link_class_counts(links)
 
 
@@ -82,7 +82,7 @@ def classify_links(spark, sf_dir):
  SELECT count(*) AS total, count(*) FILTER (WHERE nl > 0) AS with_links FROM (
    SELECT p.page_id, count(k.page_id) AS nl FROM pages p LEFT JOIN kept k ON p.page_id = k.page_id GROUP BY p.page_id)""")
 def with_links_count(spark, sf_dir):
-    arr = LK.links_array(table(spark, sf_dir, "pages"), title=None, absolute_only=False)
+    arr = LK.links_array(table(spark, sf_dir, "pages", spread_on="page_id"), title=None, absolute_only=False)
     return arr.agg(F.count(F.lit(1)).alias("total"),
                    F.count_if(F.size("externalLinks") > 0).alias("with_links"))
 
@@ -94,10 +94,10 @@ _BASE_SQL = (f"CASE WHEN regexp_matches(url, '{URL_PARTS}') THEN lower(regexp_ex
 @job("base_urls", f"SELECT DISTINCT {_BASE_SQL} AS base_url FROM pages WHERE url IS NOT NULL AND url <> '' "
                   f"AND regexp_matches(url, '{URL_PARTS}') ORDER BY base_url")
 def base_urls(spark, sf_dir):
-    return LK.base_urls(table(spark, sf_dir, "pages"), url_cols=("url",))
+    return LK.base_urls(table(spark, sf_dir, "pages", spread_on="page_id"), url_cols=("url",))
 
 
 @job("base_url_census", f"SELECT base_url, count(*) AS n FROM (SELECT {_BASE_SQL} AS base_url FROM pages "
                         f"WHERE url IS NOT NULL AND url <> '') WHERE base_url IS NOT NULL GROUP BY base_url")
 def base_url_census(spark, sf_dir):
-    return LK.base_url_census(table(spark, sf_dir, "pages"), url_cols=("url",))
+    return LK.base_url_census(table(spark, sf_dir, "pages", spread_on="page_id"), url_cols=("url",))
