@@ -19,5 +19,5 @@ def job(name: str, oracle: str | None = None):
 def registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     # importing the binding modules fills JOBS
     from feedlake.plans import (  # noqa: F401
-        report_jobs, record_jobs, search_jobs, text_jobs, merge_jobs, run_jobs)
+        report_jobs, record_jobs, search_jobs, text_jobs, merge_jobs, run_jobs, stream_jobs)
     return dict(JOBS)

@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 from feedlake.schemas import CORRUPT, PAGE
 
 
-def read_pages(spark: SparkSession, path: str, slice_col: str | None = "slice") -> DataFrame:
-    """Raw pages with ``page_file`` and (when present in the path) the slice."""
+def read_pages(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Raw pages with ``page_file`` and (when present in the path) the slice.
+
+    ``multiline=True`` reads one page per file (as fetched); ``False`` reads
+    JSON lines, one page per line, which splits large landing files."""
     reader = (spark.read.schema(PAGE)
               .option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", CORRUPT)
-              .option("multiLine", "true"))
+              .option("multiLine", str(multiline).lower()))
     df = reader.json(path).withColumn("page_file", F.col("_metadata.file_path"))
     return df
 
@@ -45,5 +48,5 @@ def page_quarantine(pages: DataFrame) -> DataFrame:
                     .otherwise(F.lit("no_hits")).alias("reason")))
 
 
-def read_hit_pages(spark: SparkSession, path: str) -> DataFrame:
-    return hits_from_pages(read_pages(spark, path))
+def read_hit_pages(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    return hits_from_pages(read_pages(spark, path, multiline))

@@ -1,27 +1,35 @@
-"""A versioned Parquet store of records.
-
-Each upsert writes a complete new version directory and then publishes it by
-writing a small marker file; readers pick the newest published version. A
-plan never reads and overwrites the same path, and a failed or half-written
-version is never visible (no marker). With a table format (Delta/Iceberg)
-use ``operators.upsert.merge_into`` instead, which rewrites only touched
-files.
-
-The store is written sorted within files by key, so point lookups prune row
-groups through Parquet min/max statistics.
+"""The record store: a bucket-partitioned Parquet directory.
+
+Rows live in ``bucket=<pmod(xxhash64(key), N)>`` partitions. An upsert reads
+only the buckets its batch touches (partition pruning), merges them with the
+batch (``operators.upsert.upsert_by_key``: one full outer join on the key)
+and rewrites just those buckets with dynamic partition overwrite, so the cost
+of a load grows with the batch, not with the store. Writes use AQE's
+``rebalance`` so a large bucket is split over several tasks and files are
+sorted by key within each bucket (row-group statistics then prune lookups).
+
+``batch_id`` makes a load idempotent: a marker under ``_commits/`` is
+written after the data, and a replayed batch (a restarted stream) is
+skipped. With a table format (Delta/Iceberg) prefer
+``operators.upsert.merge_into``, which commits atomically.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from feedlake.operators.upsert import upsert_by_key
 
-MARKER = "_PUBLISHED"
-_VERSION = re.compile(r"^v=(\d{8})$")
+BUCKET = "bucket"
+COMMITS = "_commits"
+DEFAULT_BUCKETS = 64
+
+
+def bucket_of(key, n_buckets: int = DEFAULT_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(n_buckets)).cast("int")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -30,46 +38,61 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    fs, p, jvm = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        m = _VERSION.match(st.getPath().getName())
-        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), MARKER)):
-            out.append(int(m.group(1)))
-    return sorted(out)
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p, _ = _fs(spark, path)
+    return fs.exists(p)
 
 
-def current_path(spark: SparkSession, root: str) -> str | None:
-    vs = versions(spark, root)
-    return os.path.join(root, f"v={vs[-1]:08d}") if vs else None
+def committed(spark: SparkSession, root: str, batch_id) -> bool:
+    return _exists(spark, os.path.join(root, COMMITS, str(batch_id)))
 
 
-def read_store(spark: SparkSession, root: str, schema=None) -> DataFrame | None:
-    path = current_path(spark, root)
-    if path is None:
-        return None
-    return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
+def _mark(spark: SparkSession, root: str, batch_id) -> None:
+    fs, _, jvm = _fs(spark, root)
+    fs.create(jvm.org.apache.hadoop.fs.Path(os.path.join(root, COMMITS, str(batch_id))), True).close()
 
 
-def publish(spark: SparkSession, root: str, df: DataFrame, key: str = "cve_id") -> str:
-    """Write ``df`` as the next version and publish it; returns its path."""
-    vs = versions(spark, root)
-    nxt = (vs[-1] + 1) if vs else 1
-    path = os.path.join(root, f"v={nxt:08d}")
-    df.sortWithinPartitions(key).write.mode("overwrite").parquet(path)
-    fs, _, jvm = _fs(spark, path)
-    fs.create(jvm.org.apache.hadoop.fs.Path(path, MARKER), True).close()
-    return path
-
-
-def upsert_store(spark: SparkSession, root: str, batch: DataFrame, key: str, order_cols,
-                 load_time, empty_target: DataFrame) -> str:
-    """Merge ``batch`` into the current version and publish the result."""
-    target = read_store(spark, root)
-    if target is None:
+def read_store(spark: SparkSession, root: str, schema=None) -> DataFrame | None:
+    """Current rows (with the ``bucket`` column), or None before the first load."""
+    if not _exists(spark, root):
+        return None
+    fs, p, _ = _fs(spark, root)
+    if not [s for s in fs.listStatus(p) if s.getPath().getName().startswith(BUCKET + "=")]:
+        return None
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(root)
+
+
+def write_buckets(df: DataFrame, root: str, key: str) -> None:
+    """Overwrite exactly the buckets present in ``df``."""
+    (df.hint("rebalance", BUCKET)
+       .sortWithinPartitions(BUCKET, key)
+       .write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic")
+       .partitionBy(BUCKET)
+       .parquet(root))
+
+
+def upsert_store(spark: SparkSession, root: str, batch: DataFrame, key: str, order_cols, load_time,
+                 empty_target: DataFrame, n_buckets: int = DEFAULT_BUCKETS, batch_id=None) -> bool:
+    """Merge ``batch`` into the store; returns False when ``batch_id`` was
+    already committed (nothing is written)."""
+    if batch_id is not None and committed(spark, root, batch_id):
+        return False
+    b = batch.withColumn(BUCKET, bucket_of(key, n_buckets))
+    # the touched bucket ids: at most n_buckets small integers
+    touched = sorted(r[0] for r in b.select(BUCKET).distinct().collect())
+    if not touched:
+        if batch_id is not None:
+            _mark(spark, root, batch_id)
+        return True
+    current = read_store(spark, root)
+    if current is None:
         target = empty_target
-    merged = upsert_by_key(target, batch, key, order_cols, load_time)
-    return publish(spark, root, merged, key)
+    else:
+        target = current.filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    merged = upsert_by_key(target, b.drop(BUCKET), key, order_cols, load_time)
+    write_buckets(merged.withColumn(BUCKET, bucket_of(key, n_buckets)), root, key)
+    if batch_id is not None:
+        _mark(spark, root, batch_id)
+    return True

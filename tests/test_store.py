@@ -33,16 +33,17 @@ def test_upsert_rerun_is_noop(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
 
 
-def test_versioned_store(spark, tmp_path):
+def test_bucket_store(spark, tmp_path):
     root = str(tmp_path / "store")
     empty = spark.createDataFrame([], REC)
     b1 = spark.createDataFrame([("CVE-1", "LOW", "a", "d", 1), ("CVE-2", "HIGH", "b", "d", 1)], BATCH)
-    store.upsert_store(spark, root, b1, "cve_id", ["seq"], T0, empty)
+    assert store.upsert_store(spark, root, b1, "cve_id", ["seq"], T0, empty, n_buckets=4, batch_id=0)
     b2 = spark.createDataFrame([("CVE-1", "CRITICAL", "a", "d", 1)], BATCH)
-    store.upsert_store(spark, root, b2, "cve_id", ["seq"], T1, empty)
-    assert store.versions(spark, root) == [1, 2]
-    cur = {r.cve_id: r.severity for r in store.read_store(spark, root).collect()}
-    assert cur == {"CVE-1": "CRITICAL", "CVE-2": "HIGH"}
+    assert store.upsert_store(spark, root, b2, "cve_id", ["seq"], T1, empty, n_buckets=4, batch_id=1)
+    # a replayed batch is skipped
+    assert not store.upsert_store(spark, root, b1, "cve_id", ["seq"], T1, empty, n_buckets=4, batch_id=0)
+    cur = {r.cve_id: (r.severity, r.created_at, r.updated_at) for r in store.read_store(spark, root).collect()}
+    assert cur == {"CVE-1": ("CRITICAL", T0, T1), "CVE-2": ("HIGH", T0, T0)}
 
 
 def _records(spark):
