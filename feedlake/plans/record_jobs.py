@@ -186,3 +186,14 @@ def ordered_export(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     key = F.concat(F.lit("CVE-"), F.year("ts").cast("string"), F.lit("-"), F.col("event_id").cast("string"))
     return ev.select(key.alias("cve_id"), "event_type", "value").orderBy("cve_id")
+
+
+@job("key_validation_summary", _VVIEW + f"""
+ SELECT count(*) AS total,
+        count(*) FILTER (WHERE coalesce(regexp_full_match(cve_id, '{V.KEY_PATTERN_SQL}'), false)) AS valid,
+        count(*) FILTER (WHERE NOT coalesce(regexp_full_match(cve_id, '{V.KEY_PATTERN_SQL}'), false)) AS invalid,
+        CASE WHEN count(*) FILTER (WHERE NOT coalesce(regexp_full_match(cve_id, '{V.KEY_PATTERN_SQL}'), false)) = 0
+             THEN 'PASSED' ELSE 'FAILED' END AS status FROM v""")
+def key_validation_summary(spark, sf_dir):
+    """The ``validate`` command's report: the key format only."""
+    return V.validation_summary(validation_view(spark, sf_dir))

@@ -52,3 +52,17 @@ def test_incremental_resume(spark, tmp_path):
     assert rows["CVE-2024-1"].created_at == T and rows["CVE-2024-1"].updated_at == T + dt.timedelta(days=1)
     q = spark.read.parquet(os.path.join(store_root, "_quarantine"))
     assert [r.reasons for r in q.collect()] == ["pattern:cve_id"]
+
+
+def test_dedupe_within_watermark(spark, tmp_path):
+    from feedlake.streaming.incremental import dedupe_within_watermark
+    src = str(tmp_path / "ev")
+    rows = [("k1", T, 1), ("k1", T + dt.timedelta(minutes=1), 2), ("k2", T, 3)]
+    spark.createDataFrame(rows, "key string, ts timestamp, v int").write.parquet(src)
+    stream = spark.readStream.schema("key string, ts timestamp, v int").parquet(src)
+    q = (dedupe_within_watermark(stream, "key", "ts", "1 hour").writeStream.format("memory")
+         .queryName("dedup_out").outputMode("append").start())
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r.key, r.v) for r in spark.sql("SELECT * FROM dedup_out").collect())
+    assert [k for k, _ in got] == ["k1", "k2"]
