@@ -21,9 +21,16 @@ DETAIL_BASE = "https://records.example.org/cve/"
 LOAD_TIME = "2024-02-01 00:00:00"
 
 
+def ensure_utc(spark: SparkSession) -> None:
+    """Dates and epoch conversions assume a UTC session zone."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread_on: str | None = None) -> DataFrame:
     """Read one table; ``spread_on`` names an id column to spread a scan with
     too few partitions over the cores before CPU-heavy per-row work."""
+    ensure_utc(spark)
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return spread(df, spread_on) if spread_on else df
 
