@@ -118,27 +118,60 @@ def _gate_batches(key: str, ts: str, forced: str | None, interval_us: int, out_c
 
 
 def min_interval_gate(events: DataFrame, key: str, ts: str, interval_minutes: float,
-                      order_cols=(), forced: str | None = None, keep=()) -> DataFrame:
+                      order_cols=(), forced: str | None = None, keep=(),
+                      hot_key_rows: int | None = None, rows_per_bucket: int | None = None) -> DataFrame:
     """Admit an execution iff no earlier *admitted* one of the same key lies
     within the interval (elapsed >= interval admits); refused ones get the
     minutes left (ceil). ``forced`` executions are always admitted and move
     the clock. Output: keep columns, key, ts, admitted, minutes_left.
 
-    Parallel over keys; the rows of one key stream through one task in
-    order, in Arrow batches (bounded memory).
+    Keys with fewer than ``hot_key_rows`` rows stream through one task each,
+    in order, in Arrow batches (bounded memory). Keys at or above it take the
+    exact parallel path of ``gate_parallel`` (pointer doubling), which needs
+    one integer tiebreak column in ``order_cols`` (unique within a key). The
+    hot keys are found with one partial aggregate; at most
+    rows / ``hot_key_rows`` of them exist, so their list is small.
     """
+    from feedlake.operators import gate_parallel as GP
+
     interval_us = int(round(interval_minutes * 60_000_000))
     keep = [c for c in keep if c not in (key, ts)]
     out_cols = list(dict.fromkeys([*keep, key, ts]))
     ts_us = "_ts_us"
     cols = [*out_cols, F.unix_micros(F.col(ts).cast("timestamp")).alias(ts_us)]
-    if forced:
-        cols.append(F.col(forced))
-    narrow = events.select(*[F.col(c) if isinstance(c, str) else c for c in cols])
-    ordered = (narrow.repartition(F.col(key))
-               .sortWithinPartitions(F.col(key), F.col(ts_us), *[F.col(c) for c in order_cols]))
+    extra = [c for c in ([forced] if forced else []) + list(order_cols) if c not in out_cols]
+    narrow = events.select(*cols, *[F.col(c) for c in dict.fromkeys(extra)])
     schema_fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields
                      if f.name in out_cols]
     schema = ", ".join(schema_fields + [GATE_SCHEMA])
-    runner = _gate_batches(key, ts_us, forced, interval_us, out_cols)
-    return ordered.mapInPandas(runner, schema)
+
+    def sequential(df: DataFrame) -> DataFrame:
+        ordered = (df.repartition(F.col(key))
+                   .sortWithinPartitions(F.col(key), F.col(ts_us), *[F.col(c) for c in order_cols]))
+        return ordered.mapInPandas(_gate_batches(key, ts_us, forced, interval_us, out_cols), schema)
+
+    if hot_key_rows is None:
+        return sequential(narrow)
+    if len(order_cols) != 1:
+        raise ValueError("the parallel gate needs exactly one integer tiebreak column")
+    id_col = order_cols[0]
+    per_bucket = rows_per_bucket or GP.ROWS_PER_BUCKET
+    stats = (narrow.groupBy(key)
+             .agg(F.count(F.lit(1)).alias("n"), F.min(ts_us).alias("lo"), F.max(ts_us).alias("hi"))
+             .filter(F.col("n") >= hot_key_rows))
+    # bucket width so that a bucket of an evenly spread key holds ~per_bucket rows
+    width = F.greatest(F.lit(1).cast("long"),
+                       F.ceil((F.col("hi") - F.col("lo") + 1) * F.lit(per_bucket) / F.col("n")).cast("long"))
+    hot = stats.select(key, width.alias("_width")).collect()  # <= rows / hot_key_rows entries
+    if not hot:
+        return sequential(narrow)
+    spark = events.sparkSession
+    hot_df = F.broadcast(spark.createDataFrame(hot, narrow.select(key).schema.add("_width", "long")))
+    cold = narrow.join(hot_df, key, "left_anti")
+    hot_rows = narrow.join(hot_df, key)
+    gated = GP.gate_parallel(hot_rows.select(key, F.col(ts_us).alias("t"), F.col(id_col).cast("long").alias("i"),
+                                             *([forced] if forced else []), "_width"),
+                             key, interval_us, forced, "_width")
+    par = (hot_rows.withColumn("i", F.col(id_col).cast("long")).join(gated, [key, "i"])
+           .select(*out_cols, "admitted", "minutes_left"))
+    return sequential(cold).unionByName(par)

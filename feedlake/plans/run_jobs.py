@@ -126,7 +126,7 @@ def latest_checkpoint_per_batch(spark, sf_dir):
 _GATE_US = GATE_MINUTES * 60_000_000
 
 
-@job("min_interval_gate", f"""
+_GATE_SQL = f"""
 WITH RECURSIVE e AS (
   SELECT event_id, user_id, ts, epoch_us(ts) AS t, event_type = 'signup' AS forced,
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
@@ -141,9 +141,24 @@ WITH RECURSIVE e AS (
               ELSE ({_GATE_US} - (e.t - g.last_t) + 59999999) // 60000000 END AS minutes_left,
          CASE WHEN e.forced OR e.t - g.last_t >= {_GATE_US} THEN e.t ELSE g.last_t END AS last_t
   FROM g JOIN e ON e.user_id = g.user_id AND e.rn = g.rn + 1)
-SELECT event_id, user_id, admitted, cast(minutes_left AS BIGINT) AS minutes_left FROM g""")
+SELECT event_id, user_id, admitted, cast(minutes_left AS BIGINT) AS minutes_left FROM g"""
+
+
+@job("min_interval_gate", _GATE_SQL)
 def min_interval_gate(spark, sf_dir):
     ev = table(spark, sf_dir, "events").withColumn("forced", F.col("event_type") == "signup")
     gated = RU.min_interval_gate(ev, key="user_id", ts="ts", interval_minutes=GATE_MINUTES,
                                  order_cols=("event_id",), forced="forced", keep=("event_id",))
     return gated.select("event_id", "user_id", "admitted", "minutes_left")
+
+
+@job("min_interval_gate_parallel", _GATE_SQL)
+def min_interval_gate_parallel(spark, sf_dir):
+    """The same gate with every key sent down the hot-key path (pointer
+    doubling over as-of successors), as a key holding a third of all rows
+    would be; buckets of ~16 rows so each key spans many buckets."""
+    ev = table(spark, sf_dir, "events").withColumn("forced", F.col("event_type") == "signup")
+    gated = RU.min_interval_gate(ev, key="user_id", ts="ts", interval_minutes=GATE_MINUTES,
+                                 order_cols=("event_id",), forced="forced", keep=("event_id",),
+                                 hot_key_rows=1, rows_per_bucket=16)
+    return gated.select("event_id", "user_id", "admitted", "minutes_left")

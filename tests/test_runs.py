@@ -51,3 +51,34 @@ def test_gate_boundaries(spark):
     assert _gate(spark, [0, 120]) == [(True, 0), (True, 0)]
     # a forced run is admitted and moves the clock
     assert _gate(spark, [0, 30, 70], [False, True, False]) == [(True, 0), (True, 0), (False, 20)]
+
+
+def _gate_par(spark, minutes, forced=None):
+    rows = [("k", T + dt.timedelta(minutes=m), i, (forced or [False] * len(minutes))[i])
+            for i, m in enumerate(minutes)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, i long, forced boolean")
+    out = RU.min_interval_gate(df, "key", "ts", 60, order_cols=("i",), forced="forced", keep=("i",),
+                               hot_key_rows=1, rows_per_bucket=2)
+    return [(r.admitted, r.minutes_left) for r in out.orderBy("i").collect()]
+
+
+def test_gate_parallel_literals(spark):
+    assert _gate_par(spark, [0, 40, 60, 90, 125]) == [(True, 0), (False, 20), (True, 0), (False, 30), (True, 0)]
+    assert _gate_par(spark, [0, 30, 70], [False, True, False]) == [(True, 0), (True, 0), (False, 20)]
+
+
+def test_gate_parallel_matches_sequential(spark):
+    import random
+    rnd = random.Random(7)
+    rows = []
+    for k in range(3):
+        t = 0.0
+        for i in range(200):
+            t += rnd.choice([0, 0.5, 3, 10, 25, 61, 130])
+            rows.append((f"k{k}", T + dt.timedelta(minutes=t), k * 1000 + i, rnd.random() < 0.05))
+    df = spark.createDataFrame(rows, "key string, ts timestamp, i long, forced boolean")
+    args = dict(order_cols=("i",), forced="forced", keep=("i",))
+    seq = {(r.key, r.i): (r.admitted, r.minutes_left) for r in RU.min_interval_gate(df, "key", "ts", 60, **args).collect()}
+    par = {(r.key, r.i): (r.admitted, r.minutes_left)
+           for r in RU.min_interval_gate(df, "key", "ts", 60, hot_key_rows=150, rows_per_bucket=5, **args).collect()}
+    assert seq == par and len(seq) == 600
