@@ -80,6 +80,8 @@ def latest_checkpoint(progress: DataFrame, order_cols=("ts",), by: str | None =
 # ---- minimum-interval gate ---------------------------------------------------
 
 GATE_SCHEMA = "admitted boolean, minutes_left long"
+# Keys with at least this many executions take the parallel path.
+HOT_KEY_ROWS = 5_000_000
 
 
 def _gate_batches(key: str, ts: str, forced: str | None, interval_us: int, out_cols: list[str]):
@@ -119,7 +121,7 @@ def _gate_batches(key: str, ts: str, forced: str | None, interval_us: int, out_c
 
 def min_interval_gate(events: DataFrame, key: str, ts: str, interval_minutes: float,
                       order_cols=(), forced: str | None = None, keep=(),
-                      hot_key_rows: int | None = None, rows_per_bucket: int | None = None) -> DataFrame:
+                      hot_key_rows: int | None = HOT_KEY_ROWS, rows_per_bucket: int | None = None) -> DataFrame:
     """Admit an execution iff no earlier *admitted* one of the same key lies
     within the interval (elapsed >= interval admits); refused ones get the
     minutes left (ceil). ``forced`` executions are always admitted and move
@@ -150,10 +152,8 @@ def min_interval_gate(events: DataFrame, key: str, ts: str, interval_minutes: fl
                    .sortWithinPartitions(F.col(key), F.col(ts_us), *[F.col(c) for c in order_cols]))
         return ordered.mapInPandas(_gate_batches(key, ts_us, forced, interval_us, out_cols), schema)
 
-    if hot_key_rows is None:
-        return sequential(narrow)
-    if len(order_cols) != 1:
-        raise ValueError("the parallel gate needs exactly one integer tiebreak column")
+    if hot_key_rows is None or len(order_cols) != 1:
+        return sequential(narrow)  # parallel path disabled, or no integer tiebreak
     id_col = order_cols[0]
     per_bucket = rows_per_bucket or GP.ROWS_PER_BUCKET
     stats = (narrow.groupBy(key)
