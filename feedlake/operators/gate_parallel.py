@@ -101,12 +101,15 @@ def gate_parallel(events: DataFrame, key: str, interval_us: int, forced: str | N
     # pointer doubling from each key's first execution
     heads = base.groupBy(key).agg(F.min(_pos(F.col("t"), F.col("i"))).alias("h")).select(key, F.col("h.i").alias("i"))
     path = heads.checkpoint()
+    size = path.count()
     for _ in range(max_rounds):
         step = (path.join(jump, [key, "i"]).filter(F.col("nxt").isNotNull())
-                    .select(key, F.col("nxt").alias("i"))).checkpoint()
-        if step.isEmpty():
+                    .select(key, F.col("nxt").alias("i")))
+        grown = path.unionByName(step).checkpoint()
+        new_size = grown.count()
+        if new_size == size:  # no node added: every chain is complete
             break
-        path = path.unionByName(step).checkpoint()
+        path, size = grown, new_size
         jump = (jump.alias("x").join(jump.alias("y"), (F.col(f"x.{key}") == F.col(f"y.{key}"))
                                      & (F.col("x.nxt") == F.col("y.i")), "left")
                     .select(F.col(f"x.{key}").alias(key), F.col("x.i").alias("i"),

@@ -76,7 +76,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     leave the scan as it is. On a cluster reading many files this is a
     no-op; locally it lets CPU-heavy per-row work use every core. Hashing a
     column (not round-robin) keeps the split deterministic on task retry."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, key)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()  # plans the scan's file splits; runs nothing
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the scan as is
+        return df
+    return df.repartition(target, key) if parts < target else df
