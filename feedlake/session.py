@@ -27,6 +27,23 @@ DEFAULT_CONF = {
 }
 
 
+# Suggested settings for ~100 TB on ~1000 executors (not applied automatically;
+# a cluster session arrives configured). Shuffle partitions sized for ~200 MB
+# per partition after AQE coalescing, skew splitting on for joins and
+# rebalances, broadcast only under a fixed size bound.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "feedlake", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)

@@ -28,3 +28,23 @@ def test_pages_and_slices(spark, tmp_path):
     # score numbers land as text and parse back
     assert {r.baseScore for r in hits.collect()} == {"8.5"}
     assert cap_total(hits, 1, ["externalId"]).count() == 1
+
+
+def test_load_end_to_end(spark, tmp_path):
+    import datetime as dt
+    from feedlake.load import load
+    from feedlake.sources import store
+    root = str(tmp_path / "landing")
+    hit = lambda k, sev, s="5": {"externalId": k, "severity": sev, "baseScore": s}
+    _write(os.path.join(root, "slice=all"), "p1.json", {"hits": [hit("CVE-2025-1", "LOW"), hit("CVE-2025-2", "HIGH"),
+                                                                 hit("CVE-2025-9", "HIGH", "11")]})
+    _write(os.path.join(root, "slice=linux"), "p1.json", {"hits": [hit("CVE-2025-1", "CRITICAL")]})
+    _write(os.path.join(root, "slice=linux"), "bad.json", "{not json")
+    st = str(tmp_path / "store")
+    acc, q, rep = load(spark, root, "https://x/", store_root=st, load_time=dt.datetime(2024, 1, 1), batch_id="b1")
+    got = {r.cve_id: (r.severity, r.slice) for r in acc.collect()}
+    assert got == {"CVE-2025-1": ("CRITICAL", "linux"), "CVE-2025-2": ("HIGH", "all")}
+    assert [(r.cve_id, r.reasons) for r in q.collect()] == [("CVE-2025-9", ["range:score", "range:base_score"])]
+    report = {r.slice: (r.rows, r.accepted, r.rejected) for r in rep.collect()}
+    assert report == {"all": (3, 2, 1), "linux": (1, 1, 0)}
+    assert {r.cve_id for r in store.read_store(spark, st).collect()} == {"CVE-2025-1", "CVE-2025-2"}
