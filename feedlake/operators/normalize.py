@@ -29,7 +29,7 @@ def _truthy_text(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def record_key(hit: DataFrame | None = None) -> Column:
+def record_key() -> Column:
     """First non-empty of externalId, name, id."""
     return F.coalesce(_truthy_text(F.col("externalId")), _truthy_text(F.col("name")),
                       _truthy_text(F.col("id")))
