@@ -50,3 +50,15 @@ def test_gate_streams_sorted_partitions(spark):
 def test_dedupe_prunes_before_shuffle(spark):
     plan = _plan(spark, "dedupe_last")
     assert plan.count("WindowGroupLimit") >= 1
+
+
+def test_store_upsert_reads_only_touched_buckets(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from feedlake.sources import store
+    root = str(tmp_path / "s")
+    df = spark.range(40).select(F.col("id").cast("string").alias("cve_id"))
+    store.write_buckets(df.withColumn(store.BUCKET, store.bucket_of("cve_id", 4)), root, "cve_id")
+    plan = store.read_store(spark, root).filter(F.col(store.BUCKET).isin(1, 3))._jdf.queryExecution() \
+        .executedPlan().toString()
+    import re
+    assert re.search(r"PartitionFilters: \[bucket#\d+ IN \(1,3\)\]", plan)
