@@ -162,3 +162,40 @@ def min_interval_gate_parallel(spark, sf_dir):
                                  order_cols=("event_id",), forced="forced", keep=("event_id",),
                                  hot_key_rows=1, rows_per_bucket=16)
     return gated.select("event_id", "user_id", "admitted", "minutes_left")
+
+
+@job("min_interval_gate_stream", _GATE_SQL)
+def min_interval_gate_stream(spark, sf_dir):
+    """The gate as a Structured Streaming query (``applyInPandasWithState``).
+
+    events are landed as Parquet in four sequential weekly writes, each
+    hash-partitioned by user so that a user's rows of a week sit in one file;
+    the stream reads a few files per micro-batch (file order follows the
+    writes) and appends the gate's output to a Parquet sink.
+    """
+    import os
+
+    from feedlake.session import scratch_path
+    from feedlake.streaming.gate import gate_stream
+
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "signup").alias("forced"))
+    root = scratch_path(spark, "gate-stream")
+    src, out = os.path.join(root, "landing"), os.path.join(root, "out")
+    bounds = ["2024-01-08", "2024-01-15", "2024-01-22"]
+    lo = None
+    for k, hi in enumerate(bounds + [None]):
+        part = ev
+        if lo is not None:
+            part = part.filter(F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
+        if hi is not None:
+            part = part.filter(F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
+        part.repartition(4, "user_id").write.mode("overwrite").parquet(os.path.join(src, f"week={k}"))
+        lo = hi
+    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4)
+              .parquet(os.path.join(src, "week=*")))
+    q = (gate_stream(stream, "user_id", "ts", GATE_MINUTES, keep=("event_id",), forced="forced")
+         .writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", os.path.join(root, "checkpoint"))
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).select("event_id", "user_id", "admitted", "minutes_left")
