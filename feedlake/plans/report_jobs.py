@@ -149,3 +149,15 @@ def load_summary(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     acc = F.coalesce(F.col("value").between(0, 100), F.lit(False))
     return R.load_summary(ev, "event_id", acc)
+
+
+@job("facet_split_counts", """
+SELECT string_split(p_type || '||' || p_brand, '||')[2] AS value, count(*) AS n
+FROM part GROUP BY 1""")
+def facet_split_counts(spark, sf_dir):
+    """Composite facet values ``icon||name`` (here type||brand) split to the
+    name part and counted, as the index's facet lists are read."""
+    from feedlake.functions.text import split_facet
+    p = table(spark, sf_dir, "part")
+    composite = F.concat(F.col("p_type"), F.lit("||"), F.col("p_brand"))
+    return p.groupBy(split_facet(composite).alias("value")).agg(F.count(F.lit(1)).alias("n"))
