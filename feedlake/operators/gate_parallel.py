@@ -6,21 +6,25 @@ successor ``nxt(i)``: the first later execution that is forced or lies at
 least ``I`` after it. The admitted executions of a key are exactly the chain
 ``head, nxt(head), nxt(nxt(head)), ...`` from its first execution.
 
-1. ``nxt`` is two as-of lookups ("first execution at or after a point"),
-   done with reverse running minimums over windows partitioned by
-   ``(key, time bucket)`` — a hot key is cut into many buckets of about
-   ``rows_per_bucket`` rows — plus a fall-through to the next non-empty
-   bucket over the per-bucket summary (one row per bucket).
-2. The chain is found by pointer doubling: jump tables ``J_{r+1} = J_r o
-   J_r`` (a self-join on the node id) and the path set ``P_{r+1} = P_r u
-   J_r(P_r)``; after ``ceil(log2(chain length))`` rounds the path is
-   complete. Each round's frames are checkpointed to cut lineage.
-3. For refused executions the last admitted one before them (another as-of
+A hot key is cut into time buckets of about ``rows_per_bucket`` rows.
+
+1. ``nxt`` comes from two as-of lookups ("first execution at or after a
+   point"): reverse running minimums over windows partitioned by ``(key,
+   bucket)``, plus a fall-through to the next non-empty bucket over the
+   per-bucket summary (one row per bucket).
+2. Inside each bucket (a bounded group) one reverse pass gives every node
+   its *exit*: the first node of its chain that lies in a later bucket.
+3. Pointer doubling runs over bucket entry nodes only (heads and exit
+   targets): ``ceil(log2(buckets on the chain))`` rounds of a self-join,
+   each checkpointed to cut lineage, find the node where the chain enters
+   each bucket.
+4. Inside each bucket the chain is walked from its entry node.
+5. For refused executions the last admitted one before them (another as-of
    lookup) gives the minutes left.
 
-All shuffles are keyed by node ids or (key, bucket), never by the key
-alone. Executions are ordered by (time, id); ``id`` must be an integer,
-unique within a key.
+No hot key's rows are shuffled by the key alone: shuffles are keyed by
+(key, bucket) or node ids. Executions are ordered by (time, id); ``id`` must
+be an integer, unique within a key.
 """
 
 from __future__ import annotations
@@ -69,6 +73,73 @@ def first_at_or_after(events: DataFrame, probes: DataFrame, key: str, width: str
     return out.select(key, "pid", best["t"].alias("nt"), best["i"].alias("ni"))
 
 
+def _bucket_stream(loop, key: str):
+    """mapInPandas driver: rows arrive sorted by (key, bucket, t, i); hand
+    ``loop`` only whole buckets (the last bucket of an Arrow batch is carried
+    over to the next one), so memory is bounded by one bucket."""
+    import pandas as pd
+
+    def run(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            tail = (pdf[key] == pdf[key].iloc[-1]) & (pdf["c"] == pdf["c"].iloc[-1])
+            carry = pdf[tail]
+            if (~tail).any():
+                yield loop(pdf[~tail])
+        if carry is not None and len(carry):
+            yield loop(carry)
+    return run
+
+
+def _exits_loop(key: str):
+    """Reverse pass: exit(i) = nxt(i) when nxt leaves the bucket, none at the
+    chain's end, else exit(nxt(i)) (nxt(i) comes later in the same bucket)."""
+    import pandas as pd
+
+    def loop(pdf):
+        keys, cs, ids, has, nis, ncs = (pdf[x].tolist() for x in (key, "c", "i", "has_nxt", "ni", "nc"))
+        n = len(ids)
+        out_has, out_e = [False] * n, [0] * n
+        ex: dict = {}
+        cur = None
+        for r in range(n - 1, -1, -1):
+            if (keys[r], cs[r]) != cur:
+                cur, ex = (keys[r], cs[r]), {}
+            e = None if not has[r] else (nis[r] if ncs[r] != cs[r] else ex.get(nis[r]))
+            ex[ids[r]] = e
+            if e is not None:
+                out_has[r], out_e[r] = True, e
+        return pd.DataFrame({key: keys, "i": ids, "has_exit": out_has, "ei": out_e})
+    return loop
+
+
+def _walk_loop(key: str):
+    """Forward pass: the chain inside each bucket from the node where it enters."""
+    import pandas as pd
+
+    def loop(pdf):
+        keys, cs, ids, has, nis, ncs, entry = (pdf[x].tolist() for x in
+                                               (key, "c", "i", "has_nxt", "ni", "nc", "is_entry"))
+        out = [False] * len(ids)
+        cur, target = None, None
+        for r in range(len(ids)):
+            if (keys[r], cs[r]) != cur:
+                cur, target = (keys[r], cs[r]), None
+            if entry[r] or (target is not None and ids[r] == target):
+                out[r] = True
+                target = nis[r] if (has[r] and ncs[r] == cs[r]) else None
+        return pd.DataFrame({key: keys, "i": ids, "admitted": out})
+    return loop
+
+
+def _by_bucket(df: DataFrame, key: str) -> DataFrame:
+    return df.repartition(key, "c").sortWithinPartitions(key, "c", "t", "i")
+
+
 def _least(a_t, a_i, b_t, b_i):
     """The earlier of two optional positions."""
     a_first = b_t.isNull() | (a_t.isNotNull() & ((a_t < b_t) | ((a_t == b_t) & (a_i <= b_i))))
@@ -95,11 +166,27 @@ def gate_parallel(events: DataFrame, key: str, interval_us: int, forced: str | N
                            (F.col("i") + 1).alias("qi"), width)
     fz = first_at_or_after(forced_ev, probes_f, key, width)
     nt, ni = _least(F.col("a.nt"), F.col("a.ni"), F.col("z.nt"), F.col("z.ni"))
-    jump = (a.alias("a").join(fz.alias("z"), [key, "pid"])
-             .select(key, F.col("pid").alias("i"), ni.alias("nxt"))).checkpoint()
-
-    # pointer doubling from each key's first execution
+    bucket = F.floor(F.col("t") / F.col(width))
+    nodes = (base.join(a.alias("a").join(fz.alias("z"), [key, "pid"])
+                       .select(key, F.col("pid").alias("i"), nt.alias("nt"), ni.alias("ni")), [key, "i"])
+                 .withColumn("c", bucket)
+                 .withColumn("has_nxt", F.col("ni").isNotNull())
+                 .withColumn("nc", F.coalesce(F.floor(F.col("nt") / F.col(width)), F.lit(0)))
+                 .withColumn("ni", F.coalesce(F.col("ni"), F.lit(0)))
+                 .select(key, "c", "t", "i", "has_nxt", "ni", "nc")).checkpoint()
+    key_type = nodes.schema[key].dataType.simpleString()
+
+    # exits: first node of the chain from i that lies in a later bucket
+    exits = (_by_bucket(nodes, key)
+             .mapInPandas(_bucket_stream(_exits_loop(key), key),
+                          f"`{key}` {key_type}, i long, has_exit boolean, ei long")).checkpoint()
+
+    # doubling over entry nodes only: heads and exit targets
     heads = base.groupBy(key).agg(F.min(_pos(F.col("t"), F.col("i"))).alias("h")).select(key, F.col("h.i").alias("i"))
+    targets = exits.filter("has_exit").select(key, F.col("ei").alias("i"))
+    entry_nodes = heads.unionByName(targets).distinct()
+    jump = (exits.join(entry_nodes, [key, "i"], "left_semi")
+                 .select(key, "i", F.when(F.col("has_exit"), F.col("ei")).alias("nxt"))).checkpoint()
     path = heads.checkpoint()
     size = path.count()
     for _ in range(max_rounds):
@@ -115,10 +202,14 @@ def gate_parallel(events: DataFrame, key: str, interval_us: int, forced: str | N
                     .select(F.col(f"x.{key}").alias(key), F.col("x.i").alias("i"),
                             F.col("y.nxt").alias("nxt"))).checkpoint()
     else:
-        raise RuntimeError("gate chain longer than 2**max_rounds")
-
-    marked = (base.join(path.withColumn("admitted", F.lit(True)), [key, "i"], "left")
-                  .withColumn("admitted", F.coalesce("admitted", F.lit(False)))).checkpoint()
+        raise RuntimeError("gate chain longer than 2**max_rounds buckets")
+
+    # walk the chain inside each bucket from the node where it enters
+    flagged = (nodes.join(path.withColumn("is_entry", F.lit(True)), [key, "i"], "left")
+                    .withColumn("is_entry", F.coalesce("is_entry", F.lit(False))))
+    walked = (_by_bucket(flagged.select(key, "c", "t", "i", "has_nxt", "ni", "nc", "is_entry"), key)
+              .mapInPandas(_bucket_stream(_walk_loop(key), key), f"`{key}` {key_type}, i long, admitted boolean"))
+    marked = base.join(walked, [key, "i"]).checkpoint()
 
     # minutes left: last admitted execution strictly before each refused one,
     # as a first-at-or-after lookup on negated positions

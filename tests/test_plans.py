@@ -37,6 +37,7 @@ def test_projection_is_pruned(spark):
 def test_no_python_outside_gate(spark):
     for name in E.queries():
         if name in ("min_interval_gate", "min_interval_gate_parallel", "min_interval_gate_stream",
+                    "min_interval_gate_hot_keys",
                     "read_hit_pages", "incremental_upsert"):
             continue
         plan = _plan(spark, name)
