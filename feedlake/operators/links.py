@@ -15,7 +15,9 @@ from feedlake.functions.urls import base_url, classify_link
 
 # The section that holds the resources (an <h2> title, then the
 # first <div> whose class contains the container class, up to its first
-# </div>), and the anchor form (href first, tag-free text).
+# </div>), the default title and class, and the anchor form (href first,
+# tag-free text).
+SECTION_TEMPLATE = r'<h2[^>]*>{title}</h2>[\s\S]*?<div[^>]*class="[^"]*{css_class}[^"]*"[^>]*>([\s\S]*?)</div>'
 SECTION_TITLE = "Additional resources"
 SECTION_CLASS = "prose"
 ANCHOR = r'<a\s+href="([^"]+)"[^>]*>([^<]+)</a>'
@@ -31,8 +33,7 @@ def _quote(text: str) -> str:
 
 
 def section_pattern(title: str = SECTION_TITLE, css_class: str = SECTION_CLASS) -> str:
-    return (r"<h2[^>]*>" + _quote(title) + r"</h2>[\s\S]*?<div[^>]*class=\"[^\"]*"
-            + _quote(css_class) + r"[^\"]*\"[^>]*>([\s\S]*?)</div>")
+    return SECTION_TEMPLATE.replace("{title}", _quote(title)).replace("{css_class}", _quote(css_class))
 
 
 def section_text(html: Column, title: str | None = SECTION_TITLE,
