@@ -71,14 +71,15 @@ EVENT_RECORDS_SQL = """
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition on ``key`` when the scan yields fewer partitions than
-    the cluster's parallelism (a few large unsplittable files); otherwise
-    leave the scan as it is. On a cluster reading many files this is a
-    no-op; locally it lets CPU-heavy per-row work use every core. Hashing a
-    column (not round-robin) keeps the split deterministic on task retry."""
+    """Hash-partition on ``key`` when the scan is badly under-parallelised
+    (at most a quarter as many partitions as the cluster has cores: a few
+    large unsplittable files) before CPU-heavy per-row work; otherwise leave
+    the scan as it is. On a cluster reading many files this is a no-op.
+    Hashing a column (not round-robin) keeps the split deterministic on task
+    retry."""
     try:
         target = df.sparkSession.sparkContext.defaultParallelism
         parts = df.rdd.getNumPartitions()  # plans the scan's file splits; runs nothing
     except Exception:  # noqa: BLE001 - sessions without RDD access: leave the scan as is
         return df
-    return df.repartition(target, key) if parts < target else df
+    return df.repartition(target, key) if parts * 4 <= target else df

@@ -10,7 +10,12 @@ sorted by key within each bucket (row-group statistics then prune lookups).
 
 ``batch_id`` makes a load idempotent: a marker under ``_commits/`` is
 written after the data, and a replayed batch (a restarted stream) is
-skipped. With a table format (Delta/Iceberg) prefer
+skipped. Lost executors only retry tasks; if the driver dies during the
+partition commit, some buckets hold the merged rows and others the old ones,
+and no marker exists, so the batch runs again. That re-run is exact,
+because merging the same batch into already-merged rows changes nothing:
+payload from the batch, ``created_at`` kept, ``updated_at`` = the batch's
+load time. With a table format (Delta/Iceberg) prefer
 ``operators.upsert.merge_into``, which commits atomically.
 """
 

@@ -6,7 +6,9 @@ order; a row that arrives after a later admitted one is judged against the
 current clock (it never re-admits earlier history). With a watermark the
 state expires once the watermark passes ``last admitted + interval`` — any
 later on-time row would be admitted anyway — so state stays bounded by the
-keys active within one interval.
+keys active within one interval. A key's rows of one micro-batch are
+handled by one task, so the trigger size (``maxFilesPerTrigger``) bounds the
+work of a hot key per batch.
 """
 
 from __future__ import annotations
