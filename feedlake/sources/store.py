@@ -4,7 +4,9 @@ Rows live in ``bucket=<pmod(xxhash64(key), N)>`` partitions. An upsert reads
 only the buckets its batch touches (partition pruning), merges them with the
 batch (``operators.upsert.upsert_by_key``: one full outer join on the key)
 and rewrites just those buckets with dynamic partition overwrite, so the cost
-of a load grows with the batch, not with the store. Writes use AQE's
+of a load grows with the buckets it touches, not with the whole store (a
+batch of random keys larger than the bucket count touches all of them; size
+``n_buckets`` to about store size / 1 GB). Writes use AQE's
 ``rebalance`` so a large bucket is split over several tasks and files are
 sorted by key within each bucket (row-group statistics then prune lookups).
 
