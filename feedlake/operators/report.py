@@ -63,22 +63,24 @@ def score_units(sc: Column) -> Column:
     return F.round(sc * F.lit(float(SCORE_UNITS))).cast("bigint")
 
 
-def _mean_columns(units_sum: Column, scored: Column, places: int = AVERAGE_PLACES):
-    """(value, text) of the mean of scores given their sum in 1e-4 units.
-
-    Rounded half-up (away from zero) to ``places`` with integer arithmetic,
-    so no intermediate rounding can move a value across a half: m = (2|S| +
-    D) div 2D with D = n * 10^(4 - places). 0 / '0' when nothing scored.
+def _mean_columns(units_sum: str, scored: str, places: int = AVERAGE_PLACES):
+    """(value, text) of the mean of scores, from the names of the column with
+    their sum in 1e-4 units and of the column with their count.
+
+    Rounded half-up (away from zero) to ``places`` in exact long arithmetic
+    (SQL ``div``), so no intermediate rounding can move a value across a
+    half: m = sign(S) * ((2|S| + D) div 2D) with D = n * 10^(4 - places).
+    0 / '0' when nothing scored.
     """
-    den = scored.cast("bigint") * F.lit(10 ** (4 - places))
-    mag = F.abs(units_sum) * 2 + den
-    m = F.when(scored > 0, F.signum(units_sum).cast("bigint") * F.floor(F.try_divide(mag, den * 2)).cast("bigint"))
+    d = f"({scored} * {10 ** (4 - places)})"
+    m = (f"(CASE WHEN {units_sum} < 0 THEN -1 ELSE 1 END) * "
+         f"((2 * abs({units_sum}) + {d}) div (2 * {d}))")
     scale = 10 ** places
-    value = F.when(scored > 0, m / F.lit(float(scale))).otherwise(F.lit(0.0))
-    whole = F.floor(F.try_divide(F.abs(m), F.lit(scale))).cast("bigint")
-    text_pos = F.concat(F.when(m < 0, F.lit("-")).otherwise(F.lit("")), whole.cast("string"),
-                        F.lit("."), F.lpad((F.abs(m) % F.lit(scale)).cast("string"), places, "0"))
-    text = F.when(scored > 0, text_pos).otherwise(F.lit("0"))
+    value = F.expr(f"CASE WHEN {scored} > 0 THEN cast({m} AS DOUBLE) / cast({scale} AS DOUBLE) "
+                   f"ELSE cast(0 AS DOUBLE) END")
+    text = F.expr(f"CASE WHEN {scored} > 0 THEN concat(CASE WHEN {m} < 0 THEN '-' ELSE '' END, "
+                  f"cast(abs({m}) div {scale} AS STRING), '.', "
+                  f"lpad(cast(abs({m}) % {scale} AS STRING), {places}, '0')) ELSE '0' END")
     return value, text
 
 
@@ -155,7 +157,7 @@ def analytics_report(df: DataFrame, severity="severity", score="score", terms="t
                .filter(F.col("rank") <= top_n)
                .withColumn("rank", F.when(is_ranked, F.col("rank")).otherwise(F.lit(0))))
 
-    value, text = _mean_columns(F.col("s"), F.col("c"))
+    value, text = _mean_columns("s", "c")
     null_d, null_s, null_n = F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(None).cast("bigint")
     row_t = "struct<section:string,key:string,n:bigint,value:double,text:string>"
     def row(section, key, n, v, t):
@@ -206,7 +208,7 @@ def average_score(df: DataFrame, score="score", places: int = AVERAGE_PLACES) ->
     sc = _c(score).cast("double")
     ok = is_number(sc)
     one = df.agg(F.sum(F.when(ok, score_units(sc))).alias("s"), F.count_if(ok).alias("n_scored"))
-    value, text = _mean_columns(F.col("s"), F.col("n_scored"), places)
+    value, text = _mean_columns("s", "n_scored", places)
     return one.select("n_scored", value.alias("avg_score"), text.alias("avg_text"))
 
 
