@@ -52,6 +52,12 @@ def test_incremental_resume(spark, tmp_path):
     assert rows["CVE-2024-1"].created_at == T and rows["CVE-2024-1"].updated_at == T + dt.timedelta(days=1)
     q = spark.read.parquet(os.path.join(store_root, "_quarantine"))
     assert [r.reasons for r in q.collect()] == ["pattern:cve_id"]
+    # the streamed store equals one batch load of the same files
+    from feedlake.load import load
+    acc, _, _ = load(spark, src, "https://x/", multiline=False)
+    batch = sorted((r.cve_id, r.severity, r.score) for r in acc.collect())
+    streamed = sorted((r.cve_id, r.severity, r.score) for r in read_records(spark, store_root).collect())
+    assert batch == streamed
 
 
 def test_dedupe_within_watermark(spark, tmp_path):
