@@ -21,6 +21,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # delete reliable-checkpoint files once their frames are garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Parquet scans split at 128 MB; at 100 TB this gives ~800k scan tasks,
     # which AQE then coalesces after the first exchange.
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
@@ -73,6 +75,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
     if root:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(root)  # DataFrame.checkpoint() writes under it
         return root
     key = id(sc._jsc)
     if key not in _LOCAL_ROOT:
