@@ -197,3 +197,15 @@ def ordered_export(spark, sf_dir):
 def key_validation_summary(spark, sf_dir):
     """The ``validate`` command's report: the key format only."""
     return V.validation_summary(validation_view(spark, sf_dir))
+
+
+@job("capped_load", _VVIEW + """
+ SELECT cve_id, severity, score FROM r WHERE len(reasons) = 0
+ ORDER BY cve_id LIMIT 500""")
+def capped_load(spark, sf_dir):
+    """The per-load cap on accepted records (the cap is the feature): the
+    first 500 accepted by key, an explicit order since arrival order is not
+    reproducible on a cluster (TakeOrderedAndProject, no global sort)."""
+    from feedlake.operators.dedupe import cap_total
+    acc, _ = V.validation_split(validation_view(spark, sf_dir), validation_rules())
+    return cap_total(acc, 500, ["cve_id"]).select("cve_id", "severity", "score")
