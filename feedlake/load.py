@@ -30,13 +30,14 @@ SLICE_ALL = "all"
 
 def load(spark: SparkSession, path: str, detail_base: str, slice_order: list[str] | None = None,
          rules=None, multiline: bool = True, store_root: str | None = None, load_time=None,
-         n_buckets: int = store.DEFAULT_BUCKETS, batch_id=None):
+         n_buckets: int = store.DEFAULT_BUCKETS, batch_id=None, cut_lineage: bool = True):
     """-> (accepted, quarantine, slice_report).
 
     ``slice_order`` ranks slices for last-wins (later wins); by default the
     unfiltered slice ``all`` first and every facet slice after it. With
     ``store_root`` the accepted rows are also upserted into the bucket store
-    (idempotent per ``batch_id``).
+    (idempotent per ``batch_id``). ``cut_lineage=False`` skips the checkpoint
+    when the caller consumes only one of the outputs, once.
     """
     checkpoint_root(spark)
     rules = rules or record_rules()
@@ -47,7 +48,9 @@ def load(spark: SparkSession, path: str, detail_base: str, slice_order: list[str
     records = normalize_hits(hits, detail_base, keep_raw=True, extra=extra)
     if not has_slice:
         records = records.withColumn("slice", F.lit(SLICE_ALL))
-    checked = records.withColumn("_bad", any_failure(rules)).checkpoint()
+    checked = records.withColumn("_bad", any_failure(rules))
+    if cut_lineage:
+        checked = checked.checkpoint()
 
     report = slice_load_report(checked, "slice", "cve_id", ~F.col("_bad"))
     quarantine = checked.filter("_bad").withColumn(REASONS, reasons_column(rules)).drop("_bad")
