@@ -59,8 +59,10 @@ def _nonempty(c: Column) -> Column:
 
 
 def score_units(sc: Column) -> Column:
-    """A numeric score as whole 1e-4 units (half-up at the 4th place)."""
-    return F.round(sc * F.lit(float(SCORE_UNITS))).cast("bigint")
+    """A numeric score as whole 1e-4 units (half-up at the 4th place); NULL
+    for a value no bigint can hold (±inf, |x| > 9e14), which the mean skips
+    instead of failing the job."""
+    return F.round(sc * F.lit(float(SCORE_UNITS))).try_cast("bigint")
 
 
 def _mean_columns(units_sum: str, scored: str, places: int = AVERAGE_PLACES):
@@ -119,7 +121,8 @@ def analytics_report(df: DataFrame, severity="severity", score="score", terms="t
     has_links = (F.coalesce(F.size(_c(links)), F.lit(0)) > 0) if links is not None else F.lit(False)
     d = _c(date) if date is not None else F.lit(None)
 
-    parts = [F.array(_cell(SEC_ALL, F.lit(""), 1, F.when(scored, score_units(sc)), F.when(scored, 1).otherwise(0),
+    units = F.when(scored, score_units(sc))
+    parts = [F.array(_cell(SEC_ALL, F.lit(""), 1, units, F.when(units.isNotNull(), 1).otherwise(0),
                            d, F.when(has_links, 1).otherwise(0)))]
     if severity is not None:
         sev = _c(severity)
@@ -207,7 +210,8 @@ def average_score(df: DataFrame, score="score", places: int = AVERAGE_PLACES) ->
     """(n_scored, avg_score, avg_text): exact mean, rounded half-up."""
     sc = _c(score).cast("double")
     ok = is_number(sc)
-    one = df.agg(F.sum(F.when(ok, score_units(sc))).alias("s"), F.count_if(ok).alias("n_scored"))
+    units = F.when(ok, score_units(sc))
+    one = df.agg(F.sum(units).alias("s"), F.count_if(units.isNotNull()).alias("n_scored"))
     value, text = _mean_columns("s", "n_scored", places)
     return one.select("n_scored", value.alias("avg_score"), text.alias("avg_text"))
 

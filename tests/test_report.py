@@ -66,3 +66,11 @@ def test_histogram_and_facets(spark):
     assert h == {"0-3": 1, "3-7": 1, "7-9": 0, "9-10": 0}
     f = {(r.facet, r.value): r.n for r in R.facet_counts(df, {"tags": F.col("tags"), "s": F.col("score")}).collect()}
     assert f[("tags", "a")] == 2 and f[("s", "1.0")] == 1
+
+
+def test_unrepresentable_scores_do_not_fail(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (1e20,), (float("inf"),)], "score double")
+    r = R.average_score(df).collect()[0]
+    assert (r.n_scored, r.avg_score) == (2, 2.0)
+    h = {x.bucket: x.n for x in R.score_histogram(df).collect()}
+    assert h["9-10"] == 2 and h["0-3"] == 1
