@@ -64,3 +64,12 @@ def test_lists(spark):
 def test_description_cleaned(spark):
     out = _norm(spark, [_hit(externalId="CVE-2025-1", description="  Test\n\tvuln  ")])
     assert out[0].description == "Test vuln"
+
+
+def test_malformed_epochs_do_not_fail(spark):
+    out = _norm(spark, [
+        _hit(externalId="CVE-2025-1", publishedAt="99999999999999999"),
+        _hit(externalId="CVE-2025-2", publishedAt="8640000000000001"),
+        _hit(externalId="CVE-2025-3", publishedAt="-1"),
+    ])
+    assert [r.published_date for r in out] == [None, None, dt.date(1969, 12, 31)]
