@@ -74,3 +74,36 @@ URLS = st.builds(lambda s, u, h, p, rest: f"{s}://{u}{h}{p}{rest}",
 @given(st.lists(st.one_of(URLS, TEXT), min_size=1, max_size=40))
 def test_base_url_matches_brute_force(spark, values):
     assert _apply(spark, values, base_url) == [py_base(v) for v in values]
+
+
+GARBAGE = st.one_of(st.none(), st.text(max_size=12), st.sampled_from(
+    ["1e400", "-1e20", "NaN", "Infinity", "99999999999999999999", "0", "", " 7.5 ", "2025-13-45", "1735689600000"]))
+
+
+@st.composite
+def hits(draw):
+    from feedlake.schemas import HIT
+    row = {f.name: None for f in HIT.fields}
+    for name in ("externalId", "name", "id", "severity", "description", "sourceUrl", "batchId", "baseScore",
+                 "cnaScore", "cvssScore", "score", "publishedAt", "epssPercentile", "epssProbability"):
+        row[name] = draw(GARBAGE)
+    row["affectedSoftware"] = draw(st.one_of(st.none(), st.lists(st.one_of(st.none(), st.text(max_size=5)), max_size=5)))
+    row["affectedTechnologies"] = draw(st.one_of(st.none(), st.lists(
+        st.fixed_dictionaries({"name": st.one_of(st.none(), st.text(max_size=5)), "filter": st.none()}), max_size=3)))
+    return row
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(hits(), min_size=1, max_size=30))
+def test_garbage_never_fails_a_job(spark, rows):
+    from feedlake.operators import report as R
+    from feedlake.operators import validate as V
+    from feedlake.operators.links import base_urls
+    from feedlake.operators.normalize import normalize_hits
+    from feedlake.schemas import HIT
+    rec = normalize_hits(spark.createDataFrame(rows, HIT), "https://x/")
+    acc, q = V.validation_split(rec, V.record_rules())
+    assert acc.count() + q.count() == len(rows)
+    R.analytics_report(acc).collect()
+    R.analytics_report(rec).collect()
+    base_urls(rec, ("source_url",)).collect()
