@@ -77,15 +77,12 @@ def extract_links(pages: DataFrame, html: str = "html", keep=("page_id",),
     return exploded.filter(ok).withColumn("type", classify_link(F.col("url"), F.col("title"), rules))
 
 
-def links_array(pages: DataFrame, html: str = "html", key: str = "page_id", **kw) -> DataFrame:
-    """(key, externalLinks array) per page, built without a shuffle: the link
-    list of one page comes from its own row (a ``transform`` over the zipped
-    matches), so no regrouping is needed."""
-    title = kw.get("title", SECTION_TITLE)
-    css_class = kw.get("css_class", SECTION_CLASS)
-    absolute_only = kw.get("absolute_only", True)
-    rules = kw.get("rules")
-    sec = section_text(F.col(html), title, css_class)
+def links_column(html: Column, title: str | None = SECTION_TITLE, css_class: str = SECTION_CLASS,
+                 absolute_only: bool = True, rules=None) -> Column:
+    """``array<struct<title,url,type>>`` of a page's links, from its own row
+    (a ``transform`` over the zipped matches): usable in any projection, no
+    regrouping or shuffle."""
+    sec = section_text(html, title, css_class)
     pairs = F.arrays_zip(F.regexp_extract_all(sec, F.lit(ANCHOR), 1).alias("url"),
                          F.regexp_extract_all(sec, F.lit(ANCHOR), 2).alias("title"))
     trimmed = F.transform(pairs, lambda p: F.struct(js_trim(p["title"]).alias("title"), js_trim(p["url"]).alias("url")))
@@ -97,8 +94,12 @@ def links_array(pages: DataFrame, html: str = "html", key: str = "page_id", **kw
     kept = F.filter(trimmed, keep_link)
     typed = F.transform(kept, lambda p: F.struct(p["title"].alias("title"), p["url"].alias("url"),
                                                  classify_link(p["url"], p["title"], rules).alias("type")))
-    return pages.select(key, F.coalesce(typed, F.array().cast(
-        "array<struct<title:string,url:string,type:string>>")).alias("externalLinks"))
+    return F.coalesce(typed, F.array().cast("array<struct<title:string,url:string,type:string>>"))
+
+
+def links_array(pages: DataFrame, html: str = "html", key: str = "page_id", **kw) -> DataFrame:
+    """(key, externalLinks) per page; see ``links_column``."""
+    return pages.select(key, links_column(F.col(html), **kw).alias("externalLinks"))
 
 
 def link_class_counts(links: DataFrame) -> DataFrame:

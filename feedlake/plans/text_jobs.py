@@ -101,3 +101,36 @@ def base_urls(spark, sf_dir):
                         f"WHERE url IS NOT NULL AND url <> '') WHERE base_url IS NOT NULL GROUP BY base_url")
 def base_url_census(spark, sf_dir):
     return LK.base_url_census(table(spark, sf_dir, "pages"), url_cols=("url",))
+
+
+_LANG = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([a-z]{2})/"
+_HOST_SQL = f"lower(regexp_extract(url, '{URL_PARTS}', 2))"
+
+
+@job("pages_report", _LINKS_SQL + f""",
+ r AS (SELECT p.page_id, regexp_extract(p.url, '{_LANG}', 1) AS severity, {_HOST_SQL.replace("url", "p.url")} AS component,
+              count(k.page_id) AS nl
+       FROM pages p LEFT JOIN kept k ON p.page_id = k.page_id GROUP BY p.page_id, p.url)
+SELECT 'total' AS section, '' AS key, count(*) AS n, NULL::DOUBLE AS value, NULL::VARCHAR AS text, 0::INTEGER AS rank FROM r
+UNION ALL SELECT 'severity', severity, count(*), NULL, NULL, 0 FROM r WHERE severity IS NOT NULL AND severity <> '' GROUP BY severity
+UNION ALL SELECT 'average_score', '', 0, 0.0, '0', 0
+UNION ALL SELECT 'with_links', '', count(*) FILTER (WHERE nl > 0), NULL, NULL, 0 FROM r
+UNION ALL SELECT 'date_range', 'earliest', 0, NULL, NULL, 0
+UNION ALL SELECT 'date_range', 'latest', 0, NULL, NULL, 0
+UNION ALL SELECT * FROM (
+  SELECT 'top_components', component, count(*) AS n, NULL, NULL,
+         cast(row_number() OVER (ORDER BY count(*) DESC, component ASC) AS INTEGER) AS rk
+  FROM r WHERE component IS NOT NULL AND component <> '' GROUP BY component QUALIFY rk <= 10)""")
+def pages_report(spark, sf_dir):
+    """The one-pass report over pages as records: severity = the language
+    path segment of the URL, component = the host, links = the page's links
+    (whole page, relative links kept); no score, terms or dates. Exercises
+    the with-links and top-component sections on whole pages."""
+    from feedlake.functions.urls import url_host
+    from feedlake.operators.report import analytics_report
+    p = table(spark, sf_dir, "pages")
+    recs = p.select(F.regexp_extract("url", _LANG, 1).alias("severity"),
+                    url_host(F.col("url")).alias("component"),
+                    LK.links_column(F.col("html"), title=None, absolute_only=False).alias("links"))
+    return analytics_report(recs, severity="severity", score=None, terms=None, label="component",
+                            date=None, links="links")
