@@ -107,3 +107,37 @@ def test_garbage_never_fails_a_job(spark, rows):
     R.analytics_report(acc).collect()
     R.analytics_report(rec).collect()
     base_urls(rec, ("source_url",)).collect()
+
+
+def brute_gate(rows, interval_us):
+    """Reference rule, one key at a time: admitted iff forced or at least the
+    interval after the last admitted execution; minutes left = ceil."""
+    out = {}
+    last = {}
+    for key, t, i, forced in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        lt = last.get(key)
+        if forced or lt is None or t - lt >= interval_us:
+            out[(key, i)] = (True, 0)
+            last[key] = t
+        else:
+            out[(key, i)] = (False, -(-(interval_us - (t - lt)) // 60_000_000))
+    return out
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 600), st.booleans()),
+                min_size=1, max_size=60))
+def test_gate_matches_brute_force(spark, events):
+    import datetime as dt
+
+    from feedlake.operators.runs import min_interval_gate
+    base = dt.datetime(2024, 1, 1)
+    rows = [(k, base + dt.timedelta(minutes=m), n, f) for n, (k, m, f) in enumerate(events)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, i long, forced boolean")
+    us = [(k, int(m * 60_000_000), n, f) for n, (k, m, f) in enumerate(events)]
+    want = brute_gate(us, 60 * 60_000_000)
+    args = dict(order_cols=("i",), forced="forced", keep=("i",))
+    for hot in (None, 1):
+        got = {(r.key, r.i): (r.admitted, r.minutes_left)
+               for r in min_interval_gate(df, "key", "ts", 60, hot_key_rows=hot, rows_per_bucket=4, **args).collect()}
+        assert got == want, hot
