@@ -64,3 +64,12 @@ def test_store_upsert_reads_only_touched_buckets(spark, tmp_path):
         .executedPlan().toString()
     import re
     assert re.search(r"PartitionFilters: \[bucket#\d+ IN \(1,3\)\]", plan)
+
+
+def test_upsert_shuffles_each_side_once(spark):
+    plan = _plan(spark, "upsert_by_key")
+    # the batch is de-duplicated on the key and that partitioning is reused by
+    # the join: one hash exchange for the batch, one for the store side
+    assert plan.count("Exchange hashpartitioning(event_id") == 2
+    assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+    assert plan.count("WindowGroupLimit") >= 1
