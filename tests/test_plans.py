@@ -73,3 +73,17 @@ def test_upsert_shuffles_each_side_once(spark):
     assert plan.count("Exchange hashpartitioning(event_id") == 2
     assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
     assert plan.count("WindowGroupLimit") >= 1
+
+
+def test_facets_partial_aggregate_then_group_limit(spark):
+    plan = _plan(spark, "facet_counts")
+    assert "WindowGroupLimit" in plan
+    assert "partial_count" in plan
+
+
+def test_document_dedupe_shuffles_digest_not_text(spark):
+    plan = _plan(spark, "dedupe_documents")
+    assert "Exchange hashpartitioning(digest" in plan
+    import re
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert not any(re.search(r"(?<![_\w])text#", line) for line in exchanges)
