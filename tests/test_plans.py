@@ -87,3 +87,9 @@ def test_document_dedupe_shuffles_digest_not_text(spark):
     import re
     exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
     assert not any(re.search(r"(?<![_\w])text#", line) for line in exchanges)
+
+
+def test_keyset_page_pushes_seek_and_takes_ordered(spark):
+    plan = _plan(spark, "search_page_keyset")
+    assert "PushedFilters: [IsNotNull(o_orderpriority), EqualTo(o_orderpriority,1-URGENT), Or(LessThan(o_orderdate" in plan
+    assert plan.startswith("TakeOrderedAndProject(limit=20")
