@@ -12,8 +12,10 @@ A hot key is cut into time buckets of about ``rows_per_bucket`` rows.
    point"): reverse running minimums over windows partitioned by ``(key,
    bucket)``, plus a fall-through to the next non-empty bucket over the
    per-bucket summary (one row per bucket).
-2. Inside each bucket (a bounded group) one reverse pass gives every node
-   its *exit*: the first node of its chain that lies in a later bucket.
+2. Inside each bucket one reverse pass gives every node its *exit*: the
+   first node of its chain that lies in a later bucket. The pass is a
+   ``mapInPandas`` stream over rows sorted by (key, bucket, time) that holds
+   one bucket at a time.
 3. Pointer doubling runs over bucket entry nodes only (heads and exit
    targets): ``ceil(log2(buckets on the chain))`` rounds of a self-join,
    each checkpointed to cut lineage, find the node where the chain enters
@@ -23,7 +25,8 @@ A hot key is cut into time buckets of about ``rows_per_bucket`` rows.
    lookup) gives the minutes left.
 
 No hot key's rows are shuffled by the key alone: shuffles are keyed by
-(key, bucket) or node ids. Executions are ordered by (time, id); ``id`` must
+(key, bucket) or node ids; only the per-bucket summaries (one row per
+bucket) are ranked per key. Executions are ordered by (time, id); ``id`` must
 be an integer, unique within a key.
 """
 
