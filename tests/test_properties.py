@@ -141,3 +141,47 @@ def test_gate_matches_brute_force(spark, events):
         got = {(r.key, r.i): (r.admitted, r.minutes_left)
                for r in min_interval_gate(df, "key", "ts", 60, hot_key_rows=hot, rows_per_bucket=4, **args).collect()}
         assert got == want, hot
+
+
+def py_class(url, title):
+    from urllib.parse import urlsplit
+    try:
+        host = (urlsplit(url).hostname or "").lower()
+    except ValueError:
+        host = ""
+    t = (title or "").lower()
+    if host == "nvd.nist.gov":
+        return "NVD"
+    if host == "github.com" or host.endswith(".github.com"):
+        return "GitHub"
+    if host == "vuldb.com":
+        return "VulDB"
+    if host == "cve.mitre.org":
+        return "MITRE"
+    if host in ("www.exploit-db.com", "exploit-db.com"):
+        return "Exploit-DB"
+    if host.startswith("security.") or "advisory" in t:
+        return "Security Advisory"
+    if "patch" in t or "fix" in t:
+        return "Patch/Fix"
+    if "poc" in t or "proof of concept" in t:
+        return "Proof of Concept"
+    return "Other"
+
+
+LINK_URLS = st.builds(lambda s, h, p: f"{s}://{h}{p}", st.sampled_from(["http", "https", "HTTPS"]),
+                      st.sampled_from(["nvd.nist.gov", "NVD.nist.gov", "github.com", "raw.github.com", "notgithub.com",
+                                       "vuldb.com", "cve.mitre.org", "www.exploit-db.com", "exploit-db.com",
+                                       "security.example.com", "example.com", "evil.com"]),
+                      st.sampled_from(["", "/", "/nvd.nist.gov/x", "/github.com/a?b#c", "/p"]))
+TITLES = st.lists(st.sampled_from(["Advisory", "patch", "FIX", "PoC", "proof of concept", "note", "x"]),
+                  max_size=3).map(" ".join)
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(LINK_URLS, TITLES), min_size=1, max_size=40))
+def test_classify_matches_brute_force(spark, pairs):
+    from feedlake.functions.urls import classify_link
+    df = spark.createDataFrame([(i, u, t) for i, (u, t) in enumerate(pairs)], "i int, u string, t string")
+    got = [r[0] for r in df.orderBy("i").select(classify_link(F.col("u"), F.col("t"))).collect()]
+    assert got == [py_class(u, t) for u, t in pairs]
