@@ -185,3 +185,26 @@ def test_classify_matches_brute_force(spark, pairs):
     df = spark.createDataFrame([(i, u, t) for i, (u, t) in enumerate(pairs)], "i int, u string, t string")
     got = [r[0] for r in df.orderBy("i").select(classify_link(F.col("u"), F.col("t"))).collect()]
     assert got == [py_class(u, t) for u, t in pairs]
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.one_of(
+    st.integers(-60_000_000_000_000, 250_000_000_000_000).map(str),
+    st.builds(lambda d, h, m: f"{d.isoformat()}T{h:02d}:30:00{m}",
+              st.dates(min_value=__import__("datetime").date(1971, 1, 1),
+                       max_value=__import__("datetime").date(2099, 12, 31)),
+              st.integers(0, 23), st.sampled_from(["Z", "+05:30", "-05:00", "+00:00"]))),
+    min_size=1, max_size=30))
+def test_published_date_matches_brute_force(spark, values):
+    import datetime as dt
+
+    from feedlake.functions.dates import parse_published_date
+
+    def py_date(v):
+        if v in ("", "0"):
+            return None
+        if v.lstrip("-").isdigit():
+            return (dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(milliseconds=int(v))).date()
+        return dt.datetime.fromisoformat(v.replace("Z", "+00:00")).astimezone(dt.timezone.utc).date()
+
+    assert _apply(spark, values, parse_published_date) == [py_date(v) for v in values]
