@@ -83,3 +83,12 @@ def test_align_schema(spark):
     assert out.columns == ["cve_id", "source_feeds", "n"]
     assert out.collect()[0].n == 0
     assert align_schema(out, target).schema == out.schema
+
+
+def test_dedupe_narrow_and_union_slices(spark):
+    from feedlake.operators.dedupe import dedupe_last_narrow, union_slices
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z")], "k string, seq int, v string")
+    got = sorted(map(tuple, dedupe_last_narrow(df, "k", ["v"], "seq").select("k", "v", "seq").collect()))
+    assert got == [("a", "y", 3), ("b", "z", 2)]
+    u = union_slices({"all": df.select("k"), "linux": df.select("k").limit(1)})
+    assert sorted(r.slice for r in u.collect()) == ["all", "all", "all", "linux"]
