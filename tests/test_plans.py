@@ -22,6 +22,7 @@ def test_report_one_scan_two_exchanges(spark):
     # spread (only when the scan has too few partitions) + aggregate + ranks
     assert _exchanges(plan) <= 3
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    assert "ExistingRDD" not in plan  # seed rows are built JVM-side (spark.range), not from Python
 
 
 def test_lookup_pushes_filter(spark):
