@@ -16,15 +16,17 @@ WORD_RUN = r"[^\x20\x09-\x0D]+"
 #: batch holds few of them: memory is bounded by this many texts, and by the
 #: longest text alone beyond that.
 TEXT_BATCH_ROWS = 128
+NARROW_BATCH_ROWS = 10_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Small Arrow batches, for operators that ship whole texts to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+def arrow_rows(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
+    """Rows per Arrow batch of the plans that run from here on: few for whole
+    texts (the default), ``NARROW_BATCH_ROWS`` for rows of numbers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def cut(df: DataFrame) -> DataFrame:
