@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.llm.common import NARROW_BATCH_ROWS, arrow_rows, cut, null_key
+from feedlake.llm.tokens import STEP, Powers, Words, mix
 
 WINDOW = 10
 K = 6
@@ -39,73 +40,17 @@ GUARD = WINDOW - K + 1
 SIDE = WINDOW - K
 FILTER_BITS = 1 << 24
 
-_BASE = 0x9E3779B97F4A7C15
-_STEP = np.uint64(0xD6E8FEB86659FD93)
-# lower case of A-Z for bytes of words, 0 for all others: words are runs of
-# ASCII digits, letters and any character beyond ASCII
-_LOWER = np.zeros(256, np.uint8)
-for _b in range(256):
-    _c = _b + 32 if 0x41 <= _b <= 0x5A else _b
-    _LOWER[_b] = _c if 0x30 <= _c <= 0x39 or 0x61 <= _c <= 0x7A or _c >= 0x80 else 0
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """base**i and base**-i modulo 2**64 for i below a growing length."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(0, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            def row(base: int) -> np.ndarray:
-                steps = np.full(2 * n, base % (1 << 64), np.uint64)
-                steps[0] = 1
-                return np.cumprod(steps, dtype=np.uint64)
-            self.up, self.down = row(_BASE), row(pow(_BASE, -1, 1 << 64))
-        return self.up, self.down
-
-
-class Words:
-    """The words of a batch of texts: byte bounds, text numbers and hashes."""
-
-    def __init__(self, texts: pa.Array, powers: _Powers) -> None:
-        texts = texts.fill_null("").cast(pa.large_string())
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-        raw = texts.buffers()[2]
-        data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
-        offsets = offsets - offsets[0]
-        self.low = _LOWER[data]
-        inside = self.low != 0
-        n = len(data)
-        first, last = inside.copy(), inside.copy()
-        first[1:] &= ~inside[:-1]
-        last[:-1] &= ~inside[1:]
-        heads = offsets[:-1][offsets[:-1] < offsets[1:]]  # texts that are not empty: words end with them
-        first[heads] = inside[heads]
-        tails = offsets[1:][offsets[:-1] < offsets[1:]] - 1
-        last[tails] = inside[tails]
-        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.text = np.searchsorted(offsets, self.start, side="right") - 1
-        self.counts = np.bincount(self.text, minlength=len(texts))
-        self.base = np.concatenate([[0], np.cumsum(self.counts)])  # of each text, its first word
-        up, down = powers.upto(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        self.hash = _mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+
+class _Windows(Words):
+    """Word windows of a batch of texts."""
 
     def grams(self, k: int) -> np.ndarray:
         """Hashes of the k-grams from each word on; 0 where a text ends first."""
         n = max(len(self.hash) - k + 1, 0)
         total = np.zeros(n, np.uint64)
         for j in range(k):
-            total = total * _STEP + self.hash[j:j + n]
-        total = _mix(total + np.uint64(k)) | np.uint64(1)
+            total = total * STEP + self.hash[j:j + n]
+        total = mix(total + np.uint64(k)) | np.uint64(1)
         total[self.text[:n] != self.text[k - 1:k - 1 + n]] = 0
         return total
 
@@ -125,7 +70,7 @@ class Words:
     def whole(self, k: int) -> np.ndarray:
         """Hashes of the k-grams as whole items: apart from those of fingerprints."""
         h = self.grams(k)
-        return np.where(h == 0, h, _mix(h ^ _STEP) | np.uint64(1))
+        return np.where(h == 0, h, mix(h ^ STEP) | np.uint64(1))
 
     def word(self, i: int) -> str:
         return self.low[self.start[i]:self.end[i]].tobytes().decode("utf-8", "replace")
@@ -150,9 +95,9 @@ def _scan(pick):
     """A mapInArrow function: (id, kt, text) to (id, kt, n_words, cands); ``pick``
     gives the (word position, length, hash, words to each side) of the candidates of a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _Powers()
+        powers = Powers()
         for batch in batches:
-            words = Words(batch.column(2), powers)
+            words = _Windows(batch.column(2), powers)
             cands: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for at, k, h, side in pick(words):
                 cands[words.text[at]].append(words.context(at, k, h, side))
@@ -162,7 +107,7 @@ def _scan(pick):
     return run
 
 
-def _item_pick(words: Words):
+def _item_pick(words: _Windows):
     short = np.flatnonzero((words.counts > 0) & (words.counts < WINDOW))
     for k in np.unique(words.counts[short]).tolist():
         h = words.whole(k)
@@ -178,7 +123,7 @@ def _document_pick(bitmap: bytes, bits: int, lengths: list[int]):
         cell = (h & np.uint64(bits - 1)).astype(np.int64)
         return (table[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
 
-    def pick(words: Words):
+    def pick(words: _Windows):
         at, h = words.fingerprints()
         hit = known(h)
         yield from ((a, K, x, SIDE) for a, x in zip(at[hit], h[hit]))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import decontaminate, quality, sharding, simhash
-from feedlake.llm.common import read_table
+from feedlake.llm import chat, decontaminate, mixing, pii, quality, secret_scan, sharding, simhash, toxicity, warc
+from feedlake.llm.common import cut, read_table
 
 SHARDS = 40
 
@@ -22,11 +22,59 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_counts(read_table(spark, sf_dir, "documents"), mixing.cycling_weights)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    archives = cut(warc.bundles(pages))
+    kind = pages.schema["page_id"].dataType
+    return warc.records(archives, payloads=False).select(
+        F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"), "bundle")
+
+
+PROBE_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE_TEXT), (-7, 1, "assistant", PROBE_TEXT)], turns.schema)
+    out = chat.read_back(chat.format_turns(turns.unionByName(probe)))
+    return out.select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
+                      "formatted_chars", "valid")
+
+
+def _count(spans: str, kind: int, name: str):
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(name)
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.personal_data(read_table(spark, sf_dir, "documents"))
+    counts = [_count("base", i, f"n_{k}") for i, k in enumerate(pii.KINDS[:4])]
+    return out.select("doc_id", *counts, F.sha2(pii.span_text("base"), 256).alias("base_sha256"),
+                      pii.span_text("spans").alias("spans"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.secrets(read_table(spark, sf_dir, "documents"))
+    out = out.withColumn("base", F.filter("spans", lambda x: x["kind"] < 3))
+    counts = [_count("base", i, f"n_{k}") for i, k in enumerate(secret_scan.KINDS[:3])]
+    return out.select("doc_id", *counts, F.sha2(pii.span_text("base", secret_scan.KINDS), 256).alias("base_sha256"),
+                      pii.span_text("spans", secret_scan.KINDS).alias("spans"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -41,7 +89,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_mixing": op2_mixing,
+    "op3_warc": op3_warc,
+    "op4_chat": op4_chat,
+    "op5_pii": op5_pii,
+    "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
