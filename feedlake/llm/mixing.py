@@ -254,18 +254,18 @@ def mixed_documents(docs: DataFrame, weights, key: str = "doc_id", text: str = "
     laid, taken = mix(docs, weights, key, text, source, seed)
     spans = (taken.join(laid.filter("size > 0").select("src", "start", "k0", "kt", "s0"), ["src", "start"])
              .groupBy("src", "start", "k0", "kt", "s0", "epoch").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-             .groupBy("k0", "kt", "s0").agg(F.collect_list("spans").alias("passes")))
+             .select("k0", "kt", "s0", "spans"))
     columns = docs.columns
     packed = docs.select(null_key(F.col(key)).alias("k0"), F.xxhash64(text).alias("kt"), null_key(F.col(source)).alias("s0"),
                          F.col(text).alias("t"), F.struct(*without(docs, text)).alias("rec"))
     packed = packed.dropDuplicates(["k0", "kt", "s0"]).join(spans, ["k0", "kt", "s0"])
     arrow_rows(docs.sparkSession)
 
-    @F.pandas_udf("array<string>")
-    def texts(t: pd.Series, passes: pd.Series) -> pd.Series:
-        return pd.Series([[_cut_words(a, p) for p in ps] for a, ps in zip(t, passes)])
+    @F.pandas_udf("string")
+    def words_taken(t: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([_cut_words(a, s) for a, s in zip(t, spans)], dtype=object)
 
-    out = packed.select("rec", F.explode(texts("t", "passes")).alias("t"))
+    out = packed.select("rec", words_taken("t", "spans").alias("t"))
     final = {c: F.col("t") if c.lower() == text.lower() else F.col("rec")[c] for c in columns}
     if "n_chars" in final:
         final["n_chars"] = F.length("t").cast(docs.schema["n_chars"].dataType)

@@ -145,7 +145,9 @@ def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host:
     out = out.withColumn("n_removed_words", F.coalesce("gone_words", F.lit(0).cast("long")))
     rest = F.col("n_words") - F.col("n_removed_words")
     depleted = (rest < limits.min_words) | (rest < F.col("n_words") * F.lit(limits.min_left))
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("k0", "kt", "host_key", "gone_words")
+    # one CASE, not a conjunction: a filter on it is not pushed below the join, into copies of the measures
+    kept = F.when(F.col("base_failed"), False).otherwise(~depleted)
+    return out.withColumn("kept", kept).drop("k0", "kt", "host_key", "gone_words")
 
 
 def clean_documents(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
