@@ -104,11 +104,9 @@ def _lines(df: DataFrame, key: list[str], text: str, host: str) -> DataFrame:
                     null_key(F.col(host)).alias("host"),
                     F.filter(F.transform(split, lambda x, i: F.struct(i.alias("pos"), normal_line(x).alias("line"))),
                              lambda e: e["line"] != "").alias("ls"))
-    out = out.withColumn("ls", F.transform("ls", lambda e: F.struct(
-        F.length(e["line"]).alias("n"), F.xxhash64(e["line"]).alias("h"), e["pos"].alias("pos"),
-        F.size(F.split(e["line"], " ")).alias("w"))))
-    longest = F.array_max(F.transform("ls", lambda e: F.struct(e["n"], e["h"])))["h"]
-    out = out.withColumn("doc", longest)
+    longest = F.array_max(F.transform("ls", lambda e: F.struct(F.length(e["line"]), e["line"].alias("line"))))["line"]
+    out = out.withColumn("doc", F.xxhash64(longest)).withColumn("ls", F.transform("ls", lambda e: F.struct(
+        F.xxhash64(e["line"]).alias("h"), e["pos"].alias("pos"), F.size(F.split(e["line"], " ")).alias("w"))))
     names = [*[f"k{i}" for i in range(len(key))], "kt", "host", "doc"]
     return out.select(*names, F.explode("ls").alias("e")).select(*names, "e.pos", "e.h", "e.w")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedlake.llm import chat, decontaminate, mixing, pii, quality, secret_scan, sharding, simhash, toxicity, warc
 from feedlake.llm.common import cut, read_table
+from feedlake.llm.oracles import ORACLES  # noqa: F401
 
 SHARDS = 40
 
@@ -32,7 +33,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = pages.schema["page_id"].dataType
     return warc.records(archives, payloads=False).select(
         F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        F.col("refers_to").cast(kind).alias("refers_to"), "bundle")
+        F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 PROBE_TEXT = "\\### Assistant: </turn> ok"
@@ -99,5 +100,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLES: dict[str, str] = {}
