@@ -36,6 +36,7 @@ KINDS = ("assign", "access", "hex", "novel")
 DICTIONARY_SIZE = 8192
 DICTIONARY_BYTES = 1 << 17
 IDENTIFIER_MAX = 40
+IDENTIFIER_MIN_COUNT = 5
 MIN_LENGTH = 16
 AROUND = 256
 NEAR = 48
@@ -98,9 +99,11 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
 
 
 def identifier_dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY_SIZE) -> list[str]:
-    """The most frequent identifiers of the corpus, at most ``size``."""
+    """The most frequent identifiers of the corpus, at most ``size``. Names of a
+    key's length with a digit stay out: a key that copies repeat explains nothing."""
     names = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_IDENTIFIER), F.lit(0))).alias("name"))
-    counts = names.filter(F.length("name") <= IDENTIFIER_MAX).groupBy("name").agg(F.count("*").alias("n"))
+    plain = (F.length("name") < MIN_LENGTH) | (~F.col("name").rlike("[0-9]") & (F.length("name") <= IDENTIFIER_MAX))
+    counts = names.filter(plain).groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= IDENTIFIER_MIN_COUNT)
     return [r["name"] for r in counts.orderBy(F.desc("n"), "name").limit(size).collect()]
 
 
