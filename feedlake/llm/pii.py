@@ -8,7 +8,8 @@ when knowing the term leaves at most ``MAX_BITS`` of the entity's information:
 
     IC(e) - PMI(e; t) = -log2 p(e | t) <= MAX_BITS
 
-and the pair was seen in at least ``MIN_TEXTS`` different texts. Terms above
+and the pair was seen in at least ``MIN_SETTINGS`` different settings (the
+words around the entity), so copies of a passage count once. Terms above
 the threshold get spans of kind ``term`` wherever they occur outside base
 spans; ``sanitise`` generalises base spans to their kind and removes terms.
 
@@ -19,7 +20,7 @@ the join removes. Term counts are pre-aggregated per task. A hot entity or
 term is a sum, never a group.
 
 Defined cases: NULL text is empty and has no spans; repeated rows get equal
-results; exact copies count once for ``MIN_TEXTS``.
+results; a row counts once for a pair.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from feedlake.llm.common import NARROW_BATCH_ROWS, arrow_rows, cut, null_key
 
 CONTEXT = 8
 MAX_BITS = 0.5
-MIN_TEXTS = 5
+MIN_SETTINGS = 5
 FILTER_BITS = 1 << 24
 KINDS = ("email", "ip", "card", "phone", "term")
 # patterns and bounds fixed by the contract; the look-behinds only skip starts
@@ -110,40 +111,43 @@ def _free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-def _contexts(text: str) -> list[tuple[int, int]]:
-    """Distinct (entity, term) hashes of the terms near each entity."""
+def _contexts(text: str) -> list[tuple[int, int, int]]:
+    """Distinct (entity, term) hashes of the terms near each entity, with the
+    hash of all words around the first mention that has the pair."""
     spans = base_spans(text)
     if not spans:
         return []
     terms = _free_terms(text, spans)
     starts = [a for a, _, _ in terms]
-    pairs = set()
+    pairs: dict[tuple[int, int], int] = {}
     for kind, a, b in spans:
         entity, at = term_hash(f"{KINDS[kind]} {text[a:b]}"), int(np.searchsorted(starts, a))
-        pairs.update((entity, term_hash(t)) for _, _, t in terms[max(at - CONTEXT, 0):at + CONTEXT])
-    return sorted(pairs)
+        around = [t for _, _, t in terms[max(at - CONTEXT, 0):at + CONTEXT]]
+        setting = term_hash(" ".join(around))
+        for t in around:
+            pairs.setdefault((entity, term_hash(t)), setting)
+    return sorted((*k, v) for k, v in pairs.items())
 
 
-_PAIR = pa.struct([("entity", pa.int64()), ("term", pa.int64())])
+_PAIR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("setting", pa.int64())])
 
 
 def _entity_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [_contexts(t or "") for t in batch.column(1).to_pylist()]
+        found = [_contexts(t or "") for t in batch.column(0).to_pylist()]
         hit = [i for i, p in enumerate(found) if p]
-        pairs = [[{"entity": e, "term": t} for e, t in found[i]] for i in hit]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit, pa.int64())), pa.array(pairs, pa.list_(_PAIR))],
-                                         names=["kt", "pairs"])
+        pairs = [[{"entity": e, "term": t, "setting": x} for e, t, x in found[i]] for i in hit]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.list_(_PAIR))], names=["pairs"])
 
 
-def disclosing_terms(docs: DataFrame, text: str = "text", max_bits: float = MAX_BITS, min_texts: int = MIN_TEXTS) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text: str = "text", max_bits: float = MAX_BITS, min_settings: int = MIN_SETTINGS) -> DataFrame:
     """(term): hashes of the terms that disclose some entity."""
     arrow_rows(docs.sparkSession)
-    rows = docs.select(F.xxhash64(text).alias("kt"), F.col(text).cast("string").alias("text"))
-    near = rows.mapInArrow(_entity_pairs, "kt bigint, pairs array<struct<entity:bigint,term:bigint>>")
-    per_text = near.select("kt", F.inline("pairs")).groupBy("entity", "term", "kt").agg(F.count("*").alias("n"))
-    pairs = per_text.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts")).filter(
-        F.col("texts") >= min_texts)
+    rows = docs.select(F.col(text).cast("string").alias("text"))
+    near = rows.mapInArrow(_entity_pairs, "pairs array<struct<entity:bigint,term:bigint,setting:bigint>>")
+    settings = near.select(F.inline("pairs")).groupBy("entity", "term", "setting").agg(F.count("*").alias("n"))
+    pairs = settings.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("settings")).filter(
+        F.col("settings") >= min_settings)
     words = F.array_distinct(F.split(F.lower(F.col("text")), _TERM_SEP))
     counts = (rows.select(F.explode(words).alias("w")).select(F.xxhash64("w").alias("term"))
               .groupBy("term").agg(F.count("*").alias("n")))
@@ -183,10 +187,10 @@ def _span_scan(bitmap: bytes, bits: int):
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: float = MAX_BITS,
-                  min_texts: int = MIN_TEXTS, filter_bits: int = FILTER_BITS) -> DataFrame:
+                  min_settings: int = MIN_SETTINGS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Per row: ``key``, k0 and kt (its identity), ``base`` (kind, s, e) and
     ``spans``: base spans and disclosing terms (kind 4), by kind, then start."""
-    terms = cut(disclosing_terms(docs, text, max_bits, min_texts))
+    terms = cut(disclosing_terms(docs, text, max_bits, min_settings))
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("kt"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
