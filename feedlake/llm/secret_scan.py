@@ -30,13 +30,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import arrow_rows
+from feedlake.llm.common import arrow_rows, cut
 
 KINDS = ("assign", "access", "hex", "novel")
 DICTIONARY_SIZE = 8192
 DICTIONARY_BYTES = 1 << 17
 IDENTIFIER_MAX = 40
 IDENTIFIER_MIN_COUNT = 5
+#: A dictionary name is at least this share of all counted names: there are at
+#: most 2**16 of those in a corpus of any size, so few rows are ever ranked.
+IDENTIFIER_SHARE = 2.0 ** -16
 MIN_LENGTH = 16
 AROUND = 256
 NEAR = 48
@@ -103,7 +106,9 @@ def identifier_dictionary(docs: DataFrame, text: str = "text", size: int = DICTI
     key's length with a digit stay out: a key that copies repeat explains nothing."""
     names = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_IDENTIFIER), F.lit(0))).alias("name"))
     plain = (F.length("name") < MIN_LENGTH) | (~F.col("name").rlike("[0-9]") & (F.length("name") <= IDENTIFIER_MAX))
-    counts = names.filter(plain).groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= IDENTIFIER_MIN_COUNT)
+    counts = cut(names.filter(plain).groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= IDENTIFIER_MIN_COUNT))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts = counts.filter(F.col("n") >= total * IDENTIFIER_SHARE)
     return [r["name"] for r in counts.orderBy(F.desc("n"), "name").limit(size).collect()]
 
 
