@@ -23,6 +23,7 @@ def parse_published_date(c) -> Column:
     present = raw.isNotNull() & ~raw.isin(*MISSING_DATE_TEXT)
     is_epoch = raw.rlike(r"^-?\d+$")
     ms = raw.try_cast("bigint")
-    from_epoch = F.when(F.abs(ms) <= F.lit(MAX_EPOCH_MS), F.to_date(F.timestamp_millis(ms)))
-    from_text = F.to_date(F.try_to_timestamp(raw))
+    from_epoch = F.when(ms.between(-MAX_EPOCH_MS, MAX_EPOCH_MS), F.to_date(F.timestamp_millis(ms)))
+    # a time alone would be read as today's: a date starts with its year
+    from_text = F.when(raw.rlike(r"^\d{4}-"), F.to_date(F.try_to_timestamp(raw)))
     return F.when(present, F.when(is_epoch, from_epoch).otherwise(from_text))

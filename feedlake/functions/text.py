@@ -13,6 +13,8 @@ WHITESPACE_RUN = (r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
                   r"\x{202F}\x{205F}\x{3000}\x{FEFF}]+")
 # First unsigned number in a text (sign is ignored), and the score range.
 FIRST_NUMBER = r"\d+\.?\d*"
+# A decimal number as text: no type suffixes, hexadecimal or names of numbers.
+DECIMAL_TEXT = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 SCORE_MIN, SCORE_MAX = 0.0, 10.0
 # Separator of a composite facet value "icon||name".
 FACET_SEPARATOR = r"\|\|"
@@ -63,3 +65,8 @@ def js_trim(c) -> Column:
     JavaScript's ``String.prototype.trim``; Spark's ``trim`` strips spaces only."""
     cls = WHITESPACE_RUN[:-1]  # the class without the trailing '+'
     return F.regexp_replace(_c(c), f"^{cls}+|{cls}+$", "")
+
+
+def decimal_number(c) -> Column:
+    """Text of a decimal number -> double; NULL for any other text."""
+    return F.when(_c(c).rlike(DECIMAL_TEXT), F.trim(_c(c)).try_cast("double"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# scheme, optional user-info, host (port, path, query and fragment excluded).
-# Anchored, so "not-a-url" and bare paths give no match.
-URL_PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:@\s]+)"
+# scheme, optional user-info (up to the last "@"), host (port, path, query and
+# fragment excluded; an IPv6 host keeps its brackets). "\" ends the authority as
+# "/" does. Anchored, so "not-a-url" and bare paths give no match.
+URL_PARTS = r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#\\\s]*@)?(\[[^\]/?#\\\s]*\]|[^/?#\\:@\s]+)"
 
 # Link classes, tried in this order; the first rule that matches
 # wins, host rules before title rules. A rule is (class, test, values) with

@@ -7,8 +7,9 @@ projection, one validation pass. The validated frame is checkpointed to the
 shared checkpoint folder (a reliable lineage cut) so that writing both the
 accepted and the quarantined side — and the report — reads the pages once,
 and a lost executor recomputes from the checkpoint, not from the landing
-zone. Duplicates across slices resolve last-wins by slice order, then page
-file and position.
+zone. Duplicates resolve last-wins by slice order, then page number, file,
+line and position. Nothing is lost: every hit is accepted, a duplicate, or in
+the quarantine, where bad hits and bad pages keep their text (``bad_text``).
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from feedlake.operators.dedupe import dedupe_last
 from feedlake.operators.normalize import drop_raw, normalize_hits
 from feedlake.operators.report import slice_load_report
 from feedlake.operators.validate import REASONS, any_failure, reasons_column, record_rules
-from feedlake.schemas import RECORD
+from feedlake.schemas import HIT, RECORD
 from feedlake.session import checkpoint_root
 from feedlake.sources import store
-from feedlake.sources.pages import hits_from_pages, read_pages
+from feedlake.sources.pages import HIT_ORDER, parsed_hits, read_pages
 
 SLICE_ALL = "all"
 
@@ -41,25 +42,21 @@ def load(spark: SparkSession, path: str, detail_base: str, slice_order: list[str
     """
     checkpoint_root(spark)
     rules = rules or record_rules()
-    pages = read_pages(spark, path, multiline)
-    hits = hits_from_pages(pages)
-    has_slice = "slice" in hits.columns
-    extra = (["slice"] if has_slice else []) + ["page_file", "hit_pos"]
-    records = normalize_hits(hits, detail_base, keep_raw=True, extra=extra)
-    if not has_slice:
-        records = records.withColumn("slice", F.lit(SLICE_ALL))
-    checked = records.withColumn("_bad", any_failure(rules))
+    records = normalised_pages(read_pages(spark, path, multiline), detail_base)
+    checked = records.withColumn("_bad", F.col("bad").isNotNull() | any_failure(rules))
     if cut_lineage:
         checked = checked.checkpoint()
 
-    report = slice_load_report(checked, "slice", "cve_id", ~F.col("_bad"))
-    quarantine = checked.filter("_bad").withColumn(REASONS, reasons_column(rules)).drop("_bad")
+    bad_page = F.col("bad").isin("malformed_page", "no_hits")
+    report = slice_load_report(checked, "slice", "cve_id", ~F.col("_bad"), bad_page=F.coalesce(bad_page, F.lit(False)))
+    reasons = F.when(F.col("bad").isNotNull(), F.array("bad")).otherwise(reasons_column(rules))
+    quarantine = checked.filter("_bad").withColumn(REASONS, reasons).drop("_bad", "bad")
     if slice_order:
         rank = F.array_position(F.array(*[F.lit(s) for s in slice_order]), F.col("slice"))
     else:
         rank = F.when(F.col("slice") == SLICE_ALL, F.lit(0)).otherwise(F.lit(1))
-    ok = drop_raw(checked.filter(~F.col("_bad")).drop("_bad")).withColumn("_slice_rank", rank)
-    accepted = dedupe_last(ok, "cve_id", ["_slice_rank", "page_file", "hit_pos"]).drop("_slice_rank")
+    ok = drop_raw(checked.filter(~F.col("_bad")).drop("_bad", "bad", "bad_text")).withColumn("_slice_rank", rank)
+    accepted = dedupe_last(ok, "cve_id", ["_slice_rank", *HIT_ORDER]).drop("_slice_rank")
 
     if store_root is not None:
         payload = [c for c in RECORD.fieldNames() if c not in ("created_at", "updated_at")]
@@ -69,6 +66,17 @@ def load(spark: SparkSession, path: str, detail_base: str, slice_order: list[str
     return accepted, quarantine, report
 
 
+def normalised_pages(pages: DataFrame, detail_base: str) -> DataFrame:
+    """Records of all hits (raw columns kept) with slice, place, ``bad`` and ``bad_text``; a bad page is a row too."""
+    found = parsed_hits(pages)
+    if "slice" not in found.columns:
+        found = found.withColumn("slice", F.lit(SLICE_ALL))
+    extra = ["slice", *HIT_ORDER, "bad", "bad_text"]
+    # of an unreadable hit only the text is kept
+    fields = [F.when(F.col("bad").isNull(), F.col(f"h.{f.name}")).alias(f.name) for f in HIT.fields]
+    return normalize_hits(found.select(*extra, *fields), detail_base, keep_raw=True, extra=extra)
+
+
 def accepted_records(accepted: DataFrame) -> DataFrame:
     """The record columns only (drops slice and page bookkeeping)."""
     return accepted.select(*[c for c in RECORD.fieldNames() if c in accepted.columns])

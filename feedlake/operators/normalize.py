@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions.dates import parse_published_date
-from feedlake.functions.text import clean_text
+from feedlake.functions.text import clean_text, decimal_number
 
 # Severity used when a hit has none, and the preview length of
 # the component label with its continuation marker.
@@ -60,7 +60,7 @@ def normalize_hits(hits: DataFrame, detail_base: str, keep_raw: bool = True,
     cols = [
         key.alias("cve_id"),
         F.coalesce(_truthy_text(F.col("severity")), F.lit(DEFAULT_SEVERITY)).alias("severity"),
-        score_raw.try_cast("double").alias("score"),
+        decimal_number(score_raw).alias("score"),
         F.coalesce(F.transform(techs, lambda t: t["name"]), F.array().cast("array<string>")).alias("technologies"),
         preview_list(software).alias("component"),
         parse_published_date("publishedAt").alias("published_date"),
@@ -77,10 +77,10 @@ def normalize_hits(hits: DataFrame, detail_base: str, keep_raw: bool = True,
             F.coalesce(techs, F.array().cast("array<struct<name:string,filter:string>>")).alias("affectedTechnologies"),
             empty_links.alias("externalLinks"),
         ).alias("additional_resources"),
-        F.col("epssPercentile").try_cast("double").alias("epss_percentile"),
-        F.col("epssProbability").try_cast("double").alias("epss_probability"),
-        F.col("baseScore").try_cast("double").alias("base_score"),
-        F.col("cnaScore").try_cast("double").alias("cna_score"),
+        decimal_number("epssPercentile").alias("epss_percentile"),
+        decimal_number("epssProbability").alias("epss_probability"),
+        decimal_number("baseScore").alias("base_score"),
+        decimal_number("cnaScore").alias("cna_score"),
         F.col("cvss2").alias("cvss2"),
         F.col("cvss3").alias("cvss3"),
         F.col("aiDescription").alias("ai_description"),

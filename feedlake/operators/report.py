@@ -278,14 +278,17 @@ def load_summary(df: DataFrame, key: str = "cve_id", accepted: Column | None = N
 
 
 def slice_load_report(df: DataFrame, slice_col: str = "slice", key: str = "cve_id",
-                      accepted: Column | None = None, warn_rate: float = 0.5) -> DataFrame:
-    """Per slice: rows, accepted, rejected, distinct keys; a slice with no
+                      accepted: Column | None = None, warn_rate: float = 0.5,
+                      bad_page: Column | None = None) -> DataFrame:
+    """Per slice (with ``bad_page`` its rows count as ``bad_pages``, not as hits): rows, accepted, rejected, distinct keys; a slice with no
     accepted row counts as failed. Adds the overall failure rate and flags
     (warn above ``warn_rate``, error when nothing was accepted at all)."""
     acc = accepted if accepted is not None else F.lit(True)
+    hit = F.lit(True) if bad_page is None else ~bad_page
+    pages = [] if bad_page is None else [F.count_if(bad_page).alias("bad_pages")]
     per = df.groupBy(slice_col).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(acc).alias("accepted"),
-        F.count_if(~acc).alias("rejected"),
+        F.count_if(hit).alias("rows"), F.count_if(acc & hit).alias("accepted"),
+        F.count_if(~acc & hit).alias("rejected"), *pages,
         F.count_distinct(F.when(acc, F.col(key))).alias("distinct_keys"))
     w = Window.partitionBy()
     failed = (F.col("accepted") == 0).cast("int")

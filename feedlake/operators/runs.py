@@ -118,6 +118,12 @@ def _gate_batches(key: str, ts: str, forced: str | None, interval_us: int, out_c
     return run
 
 
+def gate_quarantine(events: DataFrame, key: str, ts: str) -> DataFrame:
+    """The rows that the gate (batch or stream) cannot judge, with a reason."""
+    reason = F.when(F.col(key).isNull(), F.lit(f"missing:{key}")).otherwise(F.lit(f"missing:{ts}"))
+    return events.filter(F.col(key).isNull() | F.col(ts).isNull()).withColumn("reason", reason)
+
+
 def min_interval_gate(events: DataFrame, key: str, ts: str, interval_minutes: float,
                       order_cols=(), forced: str | None = None, keep=(),
                       hot_key_rows: int | None = HOT_KEY_ROWS, rows_per_bucket: int | None = None) -> DataFrame:
@@ -128,12 +134,12 @@ def min_interval_gate(events: DataFrame, key: str, ts: str, interval_minutes: fl
 
     Keys with fewer than ``hot_key_rows`` rows stream through one task each,
     in order, in Arrow batches (bounded memory). Keys at or above it take the
-    exact parallel path of ``gate_parallel`` (pointer doubling), which needs
-    one integer tiebreak column in ``order_cols`` (unique within a key). The
-    hot keys are found with one partial aggregate; at most
-    rows / ``hot_key_rows`` of them exist, so their list is small.
+    exact parallel path of ``gate_parallel`` (pointer doubling). The hot keys
+    are found with one partial aggregate and stay a table. Rows without a key
+    or a time cannot be judged: ``gate_quarantine`` has them.
     """
     from feedlake.operators import gate_parallel as GP
+    from feedlake.session import checkpoint_root
 
     interval_us = int(round(interval_minutes * 60_000_000))
     keep = [c for c in keep if c not in (key, ts)]
@@ -141,7 +147,8 @@ def min_interval_gate(events: DataFrame, key: str, ts: str, interval_minutes: fl
     ts_us = "_ts_us"
     cols = [*out_cols, F.unix_micros(F.col(ts).cast("timestamp")).alias(ts_us)]
     extra = [c for c in ([forced] if forced else []) + list(order_cols) if c not in out_cols]
-    narrow = events.select(*cols, *[F.col(c) for c in dict.fromkeys(extra)])
+    known = events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    narrow = known.select(*cols, *[F.col(c) for c in dict.fromkeys(extra)])
     schema_fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields
                      if f.name in out_cols]
     schema = ", ".join(schema_fields + [GATE_SCHEMA])
@@ -151,9 +158,8 @@ def min_interval_gate(events: DataFrame, key: str, ts: str, interval_minutes: fl
                    .sortWithinPartitions(F.col(key), F.col(ts_us), *[F.col(c) for c in order_cols]))
         return ordered.mapInPandas(_gate_batches(key, ts_us, forced, interval_us, out_cols), schema)
 
-    if hot_key_rows is None or len(order_cols) != 1:
-        return sequential(narrow)  # parallel path disabled, or no integer tiebreak
-    id_col = order_cols[0]
+    if hot_key_rows is None:
+        return sequential(narrow)  # parallel path disabled
     per_bucket = rows_per_bucket or GP.ROWS_PER_BUCKET
     stats = (narrow.groupBy(key)
              .agg(F.count(F.lit(1)).alias("n"), F.min(ts_us).alias("lo"), F.max(ts_us).alias("hi"))
@@ -161,16 +167,19 @@ def min_interval_gate(events: DataFrame, key: str, ts: str, interval_minutes: fl
     # bucket width so that a bucket of an evenly spread key holds ~per_bucket rows
     width = F.greatest(F.lit(1).cast("long"),
                        F.ceil((F.col("hi") - F.col("lo") + 1) * F.lit(per_bucket) / F.col("n")).cast("long"))
-    hot = stats.select(key, width.alias("_width")).collect()  # <= rows / hot_key_rows entries
-    if not hot:
+    checkpoint_root(events.sparkSession)
+    hot_df = stats.select(key, width.alias("_width")).checkpoint()
+    if hot_df.isEmpty():
         return sequential(narrow)
-    spark = events.sparkSession
-    hot_df = F.broadcast(spark.createDataFrame(hot, narrow.select(key).schema.add("_width", "long")))
     cold = narrow.join(hot_df, key, "left_anti")
-    hot_rows = narrow.join(hot_df, key)
-    gated = GP.gate_parallel(hot_rows.select(key, F.col(ts_us).alias("t"), F.col(id_col).cast("long").alias("i"),
+    # number the rows in (key, time, order) order by ranges of rows, whatever the caller's columns hold;
+    # the checkpoint fixes the numbers
+    by = [F.col(key), F.col(ts_us), *[F.col(c) for c in order_cols]]
+    hot_rows = (narrow.join(hot_df, key).repartitionByRange(*by).sortWithinPartitions(*by)
+                .withColumn("_i", F.monotonically_increasing_id()).checkpoint())
+    gated = GP.gate_parallel(hot_rows.select(key, F.col(ts_us).alias("t"), F.col("_i").alias("i"),
                                              *([forced] if forced else []), "_width"),
                              key, interval_us, forced, "_width")
-    par = (hot_rows.withColumn("i", F.col(id_col).cast("long")).join(gated, [key, "i"])
+    par = (hot_rows.join(gated.withColumnRenamed("i", "_i"), [key, "_i"])
            .select(*out_cols, "admitted", "minutes_left"))
     return sequential(cold).unionByName(par)

@@ -35,20 +35,21 @@ def clamp_offset(offset) -> int:
     return max(0, n)
 
 
-def _like_escape(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def text_match(cols, query: str, wildcards: bool = False) -> Column:
     """OR over columns of a case-insensitive substring test.
 
     Literal by default (``%`` and ``_`` match themselves); ``wildcards=True``
-    treats them as LIKE wildcards.
+    treats them as LIKE wildcards, a backslash as itself; case is folded for
+    ASCII letters only.
     """
     tests = []
     for c in cols:
         if wildcards:
-            tests.append(F.coalesce(F.lower(F.col(c)).like(f"%{query.lower()}%"), F.lit(False)))
+            pattern = query.translate(str.maketrans(_UPPER, _LOWER)).replace("\\", "\\\\")
+            tests.append(F.coalesce(F.translate(F.col(c), _UPPER, _LOWER).like(f"%{pattern}%"), F.lit(False)))
         else:
             tests.append(contains_literal(c, query))
     out = tests[0]
@@ -93,8 +94,12 @@ def search_page_keyset(df: DataFrame, after=None, severity: str | None = None,
     out = filter_records(df, severity, search, severity_col, search_cols)
     if after is not None:
         t, k = after
-        tv = F.lit(t).cast(df.schema[newest_col].dataType)
-        out = out.filter((F.col(newest_col) < tv) | ((F.col(newest_col) == tv) & (F.col(key) > F.lit(k))))
+        newest = F.col(newest_col)
+        if t is None:  # rows without a time come last, by key
+            out = out.filter(newest.isNull() & (F.col(key) > F.lit(k)))
+        else:
+            tv = F.lit(t).cast(df.schema[newest_col].dataType)
+            out = out.filter((newest < tv) | ((newest == tv) & (F.col(key) > F.lit(k))) | newest.isNull())
     return out.orderBy(F.col(newest_col).desc_nulls_last(), F.col(key).asc()).limit(n)
 
 

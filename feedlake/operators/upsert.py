@@ -28,8 +28,11 @@ def upsert_by_key(target: DataFrame, batch: DataFrame, key: str, order_cols, loa
 
     ``order_cols`` decide the winner among duplicates inside the batch (last
     wins); ``load_time`` is a timestamp Column or literal for this load.
-    ``target`` carries ``created``/``updated``; ``batch`` must not.
+    ``target`` carries ``created``/``updated``; ``batch`` must not. A NULL key
+    in the batch has no row to go to and fails the job: quarantine it before.
     """
+    batch = batch.withColumn(key, F.coalesce(F.col(key), F.raise_error(F.lit(f"upsert: NULL {key}")).cast(
+        batch.schema[key].dataType)))
     now = load_time if isinstance(load_time, Column) else F.lit(load_time).cast("timestamp")
     payload = [c for c in target.columns if c not in (key, created, updated)]
     last = dedupe_last(batch, key, order_cols).select(key, *payload)

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlake.functions.text import decimal_number
+
 from feedlake.operators.normalize import RAW_SUFFIX, drop_raw
 
 # The key pattern and the severity domain ('' is allowed).
@@ -63,7 +65,7 @@ def rule_numeric_text(raw, code: str | None = None):
     """Raw text present but not a number."""
     name = raw if isinstance(raw, str) else "value"
     v = _c(raw)
-    return (code or f"bad_type:{name}", v.isNotNull() & v.try_cast("double").isNull())
+    return (code or f"bad_type:{name}", v.isNotNull() & decimal_number(v).isNull())
 
 
 def record_rules(key_pattern: str = KEY_PATTERN) -> list[tuple[str, Column]]:

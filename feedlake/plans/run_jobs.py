@@ -193,7 +193,7 @@ def min_interval_gate_stream(spark, sf_dir):
         lo = hi
     stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4)
               .parquet(os.path.join(src, "week=*")))
-    q = (gate_stream(stream, "user_id", "ts", GATE_MINUTES, keep=("event_id",), forced="forced")
+    q = (gate_stream(stream, "user_id", "ts", GATE_MINUTES, keep=("event_id",), forced="forced", order_cols=("event_id",))
          .writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", os.path.join(root, "checkpoint"))
          .outputMode("append").trigger(availableNow=True).start())

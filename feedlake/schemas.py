@@ -33,14 +33,19 @@ HIT = T.StructType([
     _f("aiDescription", OPEN_OBJECT),
 ])
 
-# Page envelopes: cursor style and search style. Both carry the corrupt-record
-# column so a malformed page is kept (and quarantined) instead of ending a load.
+# Page envelopes: cursor style and search style. Hits stay JSON text here and are
+# parsed one by one, so a bad hit costs itself and not its page. Both levels carry
+# a corrupt-text column: what cannot be read is kept and quarantined.
+# ``page_seq`` (optional) is the fetcher's page number: later pages win.
 CORRUPT = "_corrupt_record"
+CORRUPT_HIT = "_corrupt_hit"
+HIT_TEXT = T.StructType([*HIT.fields, _f(CORRUPT_HIT, S)])
 PAGE = T.StructType([
-    _f("hits", T.ArrayType(HIT)),
+    _f("hits", T.ArrayType(S)),
     _f("cursor", S),
     _f("nbHits", L),
-    _f("results", T.ArrayType(T.StructType([_f("hits", T.ArrayType(HIT)), _f("nbHits", L)]))),
+    _f("results", T.ArrayType(T.StructType([_f("hits", T.ArrayType(S)), _f("nbHits", L)]))),
+    _f("page_seq", L),
     _f(CORRUPT, S),
 ])
 

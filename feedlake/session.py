@@ -1,8 +1,8 @@
 """Session construction and the shared scratch location.
 
 On a cluster the session arrives configured; ``checkpoint_root`` only
-*reads* ``spark.checkpoint.dir`` and falls back to a private temporary
-folder when that setting is absent (tests, local runs).
+*reads* ``spark.checkpoint.dir``. Only a local master may do without it (tests,
+local runs): it gets a private temporary folder.
 """
 
 from __future__ import annotations
@@ -78,6 +78,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(root)  # DataFrame.checkpoint() writes under it
         return root
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     key = id(sc._jsc)
     if key not in _LOCAL_ROOT:
         _LOCAL_ROOT[key] = tempfile.mkdtemp(prefix="feedlake-ckpt-")

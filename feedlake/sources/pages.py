@@ -1,8 +1,8 @@
 """Landed hit pages (JSON) -> one row per hit.
 
 Pages of both envelope styles are read in one scan with an explicit schema
-(no inference). A malformed page is kept as a corrupt record and goes to the
-page quarantine instead of ending the load; one file per page parallelises
+(no inference), and hits are parsed one by one. A malformed page or hit is kept
+as text and goes to the quarantine; the other hits of its page load. One file per page parallelises
 the read. Slices are sub-folders ``slice=<name>``: Spark's partition
 discovery turns the folder name into a column, so 100 slices are one scan,
 not 100 unioned plans.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.schemas import CORRUPT, PAGE
+from feedlake.schemas import CORRUPT, CORRUPT_HIT, HIT, HIT_TEXT, PAGE
 
 
 def read_pages(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
@@ -25,27 +25,55 @@ def read_pages(spark: SparkSession, path: str, multiline: bool = True) -> DataFr
               .option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", CORRUPT)
               .option("multiLine", str(multiline).lower()))
-    df = reader.json(path).withColumn("page_file", F.col("_metadata.file_path"))
-    return df
+    return with_page_place(reader.json(path))
 
 
-def hits_from_pages(pages: DataFrame, keep=("slice", "page_file")) -> DataFrame:
-    """Explode both envelopes into hits; adds ``hit_pos`` (position in page)."""
+def with_page_place(pages: DataFrame) -> DataFrame:
+    return pages.withColumns({"page_file": F.col("_metadata.file_path"), "page_block": F.col("_metadata.file_block_start")})
+
+
+#: Columns that order hits as they were fetched: page number (``page_seq`` of the
+#: page, else the last number in its file name), file, place of the page in the
+#: file, place of the hit in the page.
+HIT_ORDER = ["page_no", "page_file", "page_block", "page_line", "hit_pos"]
+
+
+def parsed_hits(pages: DataFrame, keep=("slice",)) -> DataFrame:
+    """One row per hit (struct ``h``) and one per bad page.
+
+    ``bad`` is NULL for a readable hit, else ``malformed_page``, ``no_hits`` or
+    ``malformed_hit``, with the text in ``bad_text``. Pages with an empty hits
+    list are fine and give no row.
+    """
+    keep = [c for c in keep if c in pages.columns]
+    named = F.regexp_extract(F.regexp_extract("page_file", r"([^/]*)$", 1), r"(\d+)\D*$", 1).try_cast("bigint")
+    search = F.flatten(F.filter(F.transform("results", lambda r: r["hits"]), lambda h: h.isNotNull()))
+    hits = F.concat(F.coalesce("hits", F.array().cast("array<string>")), F.coalesce(search, F.array().cast("array<string>")))
+    bad_page = (F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed_page"))
+                .when(F.col("hits").isNull() & F.col("results").isNull(), F.lit("no_hits")))
+    rows = pages.select(*keep, "page_file", "page_block", F.coalesce("page_seq", named, F.lit(0)).alias("page_no"),
+                        F.monotonically_increasing_id().alias("page_line"), bad_page.alias("bad_page"),
+                        F.col(CORRUPT).alias("page_text"), hits.alias("hits"))
+    # a bad page is one row without a hit
+    entries = F.when(F.col("bad_page").isNotNull(), F.array(F.lit(None).cast("string"))).otherwise(F.col("hits"))
+    rows = rows.select(*keep, "page_no", "page_file", "page_block", "page_line", "bad_page", "page_text",
+                       F.posexplode(entries).alias("hit_pos", "hit_text"))
+    rows = rows.withColumn("h", F.from_json("hit_text", HIT_TEXT, {"columnNameOfCorruptRecord": CORRUPT_HIT}))
+    bad = F.coalesce("bad_page", F.when(F.col("h").isNull() | F.col(f"h.{CORRUPT_HIT}").isNotNull(), F.lit("malformed_hit")))
+    return rows.select(*keep, *HIT_ORDER, "h", bad.alias("bad"),
+                       F.when(bad.isNotNull(), F.coalesce("page_text", "hit_text")).alias("bad_text"))
+
+
+def hits_from_pages(pages: DataFrame, keep=("slice",)) -> DataFrame:
+    """The readable hits of both envelopes, in columns, with their place (``HIT_ORDER``)."""
+    found = parsed_hits(pages, keep)
     keep = [c for c in keep if c in pages.columns]
-    cursor_hits = F.coalesce(F.col("hits"), F.array())
-    search_hits = F.coalesce(F.flatten(F.transform(F.col("results"), lambda r: r["hits"])), F.array())
-    all_hits = F.concat(cursor_hits, search_hits)
-    return (pages.filter(F.col(CORRUPT).isNull())
-            .select(*keep, F.posexplode(all_hits).alias("hit_pos", "h"))
-            .select(*keep, "hit_pos", "h.*"))
+    return found.filter("bad IS NULL").select(*keep, *HIT_ORDER, *[f"h.{f.name}" for f in HIT.fields])
 
 
 def page_quarantine(pages: DataFrame) -> DataFrame:
-    """Pages that could not be parsed or carried no hits list at all."""
-    no_hits = F.col("hits").isNull() & F.col("results").isNull()
-    return (pages.filter(F.col(CORRUPT).isNotNull() | no_hits)
-            .select("page_file", F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed_page"))
-                    .otherwise(F.lit("no_hits")).alias("reason")))
+    """Pages that could not be parsed or carried no hits list at all, and hits that could not be parsed."""
+    return parsed_hits(pages).filter("bad IS NOT NULL").select("page_file", "hit_pos", F.col("bad").alias("reason"), "bad_text")
 
 
 def read_hit_pages(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:

@@ -1,29 +1,28 @@
-"""The record store: a bucket-partitioned Parquet directory.
-
-Rows live in ``bucket=<pmod(xxhash64(key), N)>`` partitions. An upsert reads
-only the buckets its batch touches (partition pruning), merges them with the
-batch (``operators.upsert.upsert_by_key``: one full outer join on the key)
-and rewrites just those buckets with dynamic partition overwrite, so the cost
-of a load grows with the buckets it touches, not with the whole store (a
-batch of random keys larger than the bucket count touches all of them; size
-``n_buckets`` to about store size / 1 GB). Writes use AQE's
-``rebalance`` so a large bucket is split over several tasks and files are
-sorted by key within each bucket (row-group statistics then prune lookups).
-
-``batch_id`` makes a load idempotent: a marker under ``_commits/`` is
-written after the data, and a replayed batch (a restarted stream) is
-skipped. Lost executors only retry tasks; if the driver dies during the
-partition commit, some buckets hold the merged rows and others the old ones,
-and no marker exists, so the batch runs again. That re-run is exact,
-because merging the same batch into already-merged rows changes nothing:
-payload from the batch, ``created_at`` kept, ``updated_at`` = the batch's
-load time. With a table format (Delta/Iceberg) prefer
-``operators.upsert.merge_into``, which commits atomically.
+"""The record store: immutable bucket folders and one manifest.
+
+Rows live in ``data/version=<v>/bucket=<pmod(xxhash64(key), N)>`` Parquet
+folders. The manifest (``_manifest/<number>.json``) names the current version
+of every bucket, the bucket count and the loads that are in. An upsert reads
+only the buckets its batch touches, merges them (``operators.upsert``: one
+full outer join on the key), writes them as a new version and then creates
+the next manifest, which is the commit: until then readers see the old
+buckets, and nothing is overwritten in place. A crash before it leaves unread
+files only. A manifest number can be created once, so of two concurrent
+writers one fails. The folders that the manifest before last alone refers to
+are deleted after a commit.
+
+``batch_id`` (per ``source``) makes a load idempotent: the manifest that
+commits the rows also records the load. The bucket count is part of the
+store; another count is refused. The cost of a load grows with the buckets it
+touches; size ``n_buckets`` to about store size / 1 GB. With a table format
+prefer ``operators.upsert.merge_into``.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from feedlake.operators.upsert import upsert_by_key
 
 BUCKET = "bucket"
-COMMITS = "_commits"
+DATA, MANIFESTS = "data", "_manifest"
 DEFAULT_BUCKETS = 64
 
 
@@ -45,61 +44,105 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p, _ = _fs(spark, path)
-    return fs.exists(p)
+def _manifest_numbers(spark: SparkSession, root: str) -> list[int]:
+    fs, p, _ = _fs(spark, os.path.join(root, MANIFESTS))
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
 
 
-def committed(spark: SparkSession, root: str, batch_id) -> bool:
-    return _exists(spark, os.path.join(root, COMMITS, str(batch_id)))
+def _read_manifest(spark: SparkSession, root: str, number: int) -> dict:
+    fs, p, jvm = _fs(spark, os.path.join(root, MANIFESTS, f"{number:012d}.json"))
+    stream = fs.open(p)
+    try:
+        return json.loads(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+    finally:
+        stream.close()
 
 
-def _mark(spark: SparkSession, root: str, batch_id) -> None:
-    fs, _, jvm = _fs(spark, root)
-    fs.create(jvm.org.apache.hadoop.fs.Path(os.path.join(root, COMMITS, str(batch_id))), True).close()
+def current(spark: SparkSession, root: str) -> tuple[int, dict]:
+    """(number, manifest) of the store; number 0 before the first load."""
+    numbers = _manifest_numbers(spark, root)
+    if not numbers:
+        return 0, {"n_buckets": None, "buckets": {}, "loads": {}}
+    return numbers[-1], _read_manifest(spark, root, numbers[-1])
 
 
-def read_store(spark: SparkSession, root: str, schema=None) -> DataFrame | None:
-    """Current rows (with the ``bucket`` column), or None before the first load."""
-    if not _exists(spark, root):
+def _commit(spark: SparkSession, root: str, number: int, manifest: dict) -> None:
+    fs, target, jvm = _fs(spark, os.path.join(root, MANIFESTS, f"{number:012d}.json"))
+    draft = jvm.org.apache.hadoop.fs.Path(os.path.join(root, MANIFESTS, f"_draft-{uuid.uuid4().hex}"))
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    if fs.exists(target) or not fs.rename(draft, target):
+        raise RuntimeError(f"another load committed manifest {number} of {root}")
+
+
+def committed(spark: SparkSession, root: str, batch_id, source: str = "load") -> bool:
+    return str(batch_id) in current(spark, root)[1]["loads"].get(source, [])
+
+
+def _folder(root: str, bucket: str, version: str) -> str:
+    return os.path.join(root, DATA, f"version={version}", f"{BUCKET}={bucket}")
+
+
+def read_store(spark: SparkSession, root: str, schema=None, buckets=None) -> DataFrame | None:
+    """Current rows (with the ``bucket`` column), of all buckets or those given;
+    None before the first load."""
+    manifest = current(spark, root)[1]
+    wanted = None if buckets is None else {str(b) for b in buckets}
+    folders = [_folder(root, b, v) for b, v in sorted(manifest["buckets"].items()) if wanted is None or b in wanted]
+    if not folders:
         return None
-    fs, p, _ = _fs(spark, root)
-    if not [s for s in fs.listStatus(p) if s.getPath().getName().startswith(BUCKET + "=")]:
+    reader = spark.read.option("basePath", os.path.join(root, DATA))
+    return (reader if schema is None else reader.schema(schema)).parquet(*folders).drop("version")
+
+
+def lookup(spark: SparkSession, root: str, key: str, value) -> DataFrame | None:
+    """The rows of one key: only its bucket is opened."""
+    n = current(spark, root)[1]["n_buckets"]
+    if n is None:
         return None
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(root)
+    bucket = spark.range(1).select(bucket_of(F.lit(value), n)).first()[0]
+    rows = read_store(spark, root, buckets=[bucket])
+    return None if rows is None else rows.filter(F.col(key) == F.lit(value))
 
 
-def write_buckets(df: DataFrame, root: str, key: str) -> None:
-    """Overwrite exactly the buckets present in ``df``."""
-    (df.hint("rebalance", BUCKET)
-       .sortWithinPartitions(BUCKET, key)
-       .write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic")
-       .partitionBy(BUCKET)
-       .parquet(root))
+def _sweep(spark: SparkSession, root: str, number: int) -> None:
+    """Delete the bucket folders that manifest number - 2 refers to and the two newer ones do not."""
+    if number < 3:
+        return
+    old, *new = (set(_read_manifest(spark, root, number - k)["buckets"].items()) for k in (2, 1, 0))
+    for bucket, version in old - new[0] - new[1]:
+        fs, p, _ = _fs(spark, _folder(root, bucket, version))
+        fs.delete(p, True)
 
 
 def upsert_store(spark: SparkSession, root: str, batch: DataFrame, key: str, order_cols, load_time,
-                 empty_target: DataFrame, n_buckets: int = DEFAULT_BUCKETS, batch_id=None) -> bool:
-    """Merge ``batch`` into the store; returns False when ``batch_id`` was
-    already committed (nothing is written)."""
-    if batch_id is not None and committed(spark, root, batch_id):
+                 empty_target: DataFrame, n_buckets: int = DEFAULT_BUCKETS, batch_id=None, source: str = "load") -> bool:
+    """Merge ``batch`` into the store; returns False when ``batch_id`` of
+    ``source`` was already committed (nothing is written)."""
+    number, manifest = current(spark, root)
+    loads = manifest["loads"].get(source, [])
+    if batch_id is not None and str(batch_id) in loads:
         return False
+    if manifest["n_buckets"] not in (None, n_buckets):
+        raise ValueError(f"the store has {manifest['n_buckets']} buckets, not {n_buckets}")
     b = batch.withColumn(BUCKET, bucket_of(key, n_buckets))
     # the touched bucket ids: at most n_buckets small integers
     touched = sorted(r[0] for r in b.select(BUCKET).distinct().collect())
-    if not touched:
-        if batch_id is not None:
-            _mark(spark, root, batch_id)
-        return True
-    current = read_store(spark, root)
-    if current is None:
-        target = empty_target
-    else:
-        target = current.filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
-    merged = upsert_by_key(target, b.drop(BUCKET), key, order_cols, load_time)
-    write_buckets(merged.withColumn(BUCKET, bucket_of(key, n_buckets)), root, key)
+    after = {"n_buckets": n_buckets, "buckets": dict(manifest["buckets"]), "loads": dict(manifest["loads"])}
     if batch_id is not None:
-        _mark(spark, root, batch_id)
+        after["loads"][source] = [*loads, str(batch_id)]
+    if touched:
+        held = read_store(spark, root, buckets=touched)
+        target = empty_target if held is None else held.drop(BUCKET)
+        merged = upsert_by_key(target, b.drop(BUCKET), key, order_cols, load_time)
+        version = uuid.uuid4().hex
+        (merged.withColumn(BUCKET, bucket_of(key, n_buckets)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, key)
+         .write.partitionBy(BUCKET).parquet(os.path.join(root, DATA, f"version={version}")))
+        after["buckets"].update({str(t): version for t in touched})
+    _commit(spark, root, number + 1, after)
+    _sweep(spark, root, number + 1)
     return True

@@ -22,14 +22,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 STATE_SCHEMA = "last_us long"
 
 
-def _gate_fn(key: str, ts: str, interval_us: int, forced: str | None, use_timeout: bool):
+def _gate_fn(interval_us: int, forced: str | None, order: list[str], drop: list[str], use_timeout: bool):
     def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["_ts_us"], kind="stable")
+        chunks = [pdf for pdf in pdfs if len(pdf)]
+        if chunks:  # the whole micro-batch in order, however Arrow cut it
+            pdf = pd.concat(chunks, ignore_index=True).sort_values(["_ts_us", *order], kind="stable")
             admitted, left = [], []
             for t, f in zip(pdf["_ts_us"].tolist(),
                             (pdf[forced].fillna(False).tolist() if forced else [False] * len(pdf))):
@@ -40,7 +41,7 @@ def _gate_fn(key: str, ts: str, interval_us: int, forced: str | None, use_timeou
                 else:
                     admitted.append(False)
                     left.append(-((-(interval_us - (t - last))) // 60_000_000))
-            out = pdf.drop(columns=["_ts_us"] + ([forced] if forced else []))
+            out = pdf.drop(columns=drop)
             out["admitted"] = admitted
             out["minutes_left"] = left
             yield out
@@ -56,18 +57,20 @@ def _gate_fn(key: str, ts: str, interval_us: int, forced: str | None, use_timeou
 
 
 def gate_stream(events: DataFrame, key: str, ts: str, interval_minutes: float, keep=(),
-                forced: str | None = None, watermark: str | None = None) -> DataFrame:
-    """Streaming form of ``operators.runs.min_interval_gate`` (append mode)."""
+                forced: str | None = None, watermark: str | None = None, order_cols=()) -> DataFrame:
+    """Streaming form of ``operators.runs.min_interval_gate`` (append mode);
+    rows without a key or time are left out, as there (``gate_quarantine``)."""
     from pyspark.sql import functions as F
 
     interval_us = int(round(interval_minutes * 60_000_000))
     if watermark:
         events = events.withWatermark(ts, watermark)
     cols = list(dict.fromkeys([*keep, key, ts]))
-    extra = [forced] if forced else []
+    extra = [c for c in dict.fromkeys([*([forced] if forced else []), *order_cols]) if c not in cols]
+    events = events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
     narrow = events.select(*cols, *extra, F.unix_micros(F.col(ts).cast("timestamp")).alias("_ts_us"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields if f.name in cols]
     out_schema = ", ".join(fields + ["admitted boolean", "minutes_left long"])
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
     return narrow.groupBy(key).applyInPandasWithState(
-        _gate_fn(key, ts, interval_us, forced, bool(watermark)), out_schema, STATE_SCHEMA, "append", timeout)
+        _gate_fn(interval_us, forced, list(order_cols), ["_ts_us", *extra], bool(watermark)), out_schema, STATE_SCHEMA, "append", timeout)

@@ -12,16 +12,18 @@ Driven with ``trigger(availableNow=True)`` it is an incremental batch job.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.operators.normalize import drop_raw, normalize_hits
-from feedlake.operators.validate import REASONS, record_rules, validation_split
+from feedlake.load import normalised_pages
+from feedlake.operators.normalize import drop_raw
+from feedlake.operators.validate import any_failure, reasons_column, record_rules
 from feedlake.schemas import CORRUPT, PAGE, RECORD
 from feedlake.sources import store
-from feedlake.sources.pages import hits_from_pages
+from feedlake.sources.pages import HIT_ORDER, with_page_place
 
 QUARANTINE = "_quarantine"
 
@@ -33,7 +35,7 @@ def page_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int
               .option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", CORRUPT)
               .option("multiLine", str(multiline).lower()))
-    return reader.json(source_dir).withColumn("page_file", F.col("_metadata.file_path"))
+    return with_page_place(reader.json(source_dir))
 
 
 def empty_records(spark: SparkSession) -> DataFrame:
@@ -41,25 +43,26 @@ def empty_records(spark: SparkSession) -> DataFrame:
 
 
 def upsert_micro_batch(spark: SparkSession, store_root: str, detail_base: str, load_time,
-                       n_buckets: int = store.DEFAULT_BUCKETS, rules=None):
+                       n_buckets: int = store.DEFAULT_BUCKETS, rules=None, stream_id: str = "stream"):
     """The ``foreachBatch`` function: normalise, validate, upsert, quarantine.
 
-    Within a micro-batch the last copy of a key wins by (batchId, page file,
-    position in page); across micro-batches the later batch wins.
+    Within a micro-batch the last copy of a key wins by (batchId, place as in
+    ``load``); across micro-batches the later batch wins. Bad pages, bad hits
+    and rejected records go to the quarantine of this stream and batch.
     """
     def run(batch_df: DataFrame, batch_id: int) -> None:
-        hits = hits_from_pages(batch_df, keep=("page_file",))
-        records = normalize_hits(hits, detail_base, keep_raw=True, extra=["page_file", "hit_pos"])
+        use = rules or record_rules()
+        records = normalised_pages(batch_df, detail_base).withColumn("_bad", F.col("bad").isNotNull() | any_failure(use))
         records = records.persist()  # read the micro-batch's files once for both sides
         try:
-            acc, quarantine = validation_split(records, rules or record_rules(), drop_raw_columns=True)
-            acc = acc.withColumn("_batch", F.coalesce(F.col("batch_id"), F.lit("")))
+            acc = drop_raw(records.filter(~F.col("_bad"))).withColumn("_batch", F.coalesce(F.col("batch_id"), F.lit("")))
             payload = [c for c in RECORD.fieldNames() if c not in ("created_at", "updated_at")]
-            batch = acc.select(*payload, "_batch", "page_file", "hit_pos")
-            store.upsert_store(spark, store_root, batch, "cve_id", ["_batch", "page_file", "hit_pos"], load_time,
-                               empty_records(spark), n_buckets, batch_id=batch_id)
-            (quarantine.select("cve_id", "page_file", "hit_pos", F.array_join(REASONS, ",").alias("reasons"))
-             .write.mode("overwrite").parquet(os.path.join(store_root, QUARANTINE, f"batch={batch_id}")))
+            batch = acc.select(*payload, "_batch", *HIT_ORDER)
+            store.upsert_store(spark, store_root, batch, "cve_id", ["_batch", *HIT_ORDER], load_time,
+                               empty_records(spark), n_buckets, batch_id=batch_id, source=stream_id)
+            reasons = F.coalesce("bad", F.array_join(reasons_column(use), ","))
+            (records.filter("_bad").select("cve_id", "page_file", "hit_pos", reasons.alias("reasons"), "bad_text")
+             .write.mode("overwrite").parquet(os.path.join(store_root, QUARANTINE, f"stream={stream_id}", f"batch={batch_id}")))
         finally:
             records.unpersist()
     return run
@@ -69,10 +72,12 @@ def incremental_upsert(spark: SparkSession, source_dir: str, store_root: str, ch
                        detail_base: str, load_time, max_files_per_trigger: int = 1,
                        n_buckets: int = store.DEFAULT_BUCKETS, multiline: bool = False, rules=None,
                        wait: bool = True):
-    """Start (and by default wait for) an ``availableNow`` incremental load."""
+    """Start (and by default wait for) an ``availableNow`` incremental load. A
+    stream is known to the store by its checkpoint folder."""
+    stream_id = hashlib.md5(checkpoint_dir.rstrip("/").encode()).hexdigest()[:12]
     q = (page_stream(spark, source_dir, max_files_per_trigger, multiline)
          .writeStream
-         .foreachBatch(upsert_micro_batch(spark, store_root, detail_base, load_time, n_buckets, rules))
+         .foreachBatch(upsert_micro_batch(spark, store_root, detail_base, load_time, n_buckets, rules, stream_id))
          .option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True)
          .start())

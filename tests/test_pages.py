@@ -44,7 +44,34 @@ def test_load_end_to_end(spark, tmp_path):
     acc, q, rep = load(spark, root, "https://x/", store_root=st, load_time=dt.datetime(2024, 1, 1), batch_id="b1")
     got = {r.cve_id: (r.severity, r.slice) for r in acc.collect()}
     assert got == {"CVE-2025-1": ("CRITICAL", "linux"), "CVE-2025-2": ("HIGH", "all")}
-    assert [(r.cve_id, r.reasons) for r in q.collect()] == [("CVE-2025-9", ["range:score", "range:base_score"])]
-    report = {r.slice: (r.rows, r.accepted, r.rejected) for r in rep.collect()}
-    assert report == {"all": (3, 2, 1), "linux": (1, 1, 0)}
+    assert sorted(((r.cve_id or "", r.reasons) for r in q.collect())) == [
+        ("", ["malformed_page"]), ("CVE-2025-9", ["range:score", "range:base_score"])]
+    report = {r.slice: (r.rows, r.accepted, r.rejected, r.bad_pages) for r in rep.collect()}
+    assert report == {"all": (3, 2, 1, 0), "linux": (1, 1, 0, 1)}
     assert {r.cve_id for r in store.read_store(spark, st).collect()} == {"CVE-2025-1", "CVE-2025-2"}
+
+
+def test_a_bad_hit_costs_itself_only(spark, tmp_path):
+    from feedlake.load import load
+    root = str(tmp_path / "landing")
+    hit = lambda k, **more: {"externalId": k, "severity": "HIGH", "baseScore": 5, **more}
+    _write(root, "p1.json", {"hits": [hit("CVE-2025-1"), hit("CVE-2025-2", hasFix="yes"), hit("CVE-2025-3")]})
+    _write(root, "p2.json", '{"hits": [{"externalId": "CVE-2025-4"')
+    _write(root, "p3.json", {"hits": [hit("CVE-2025-5"), None, hit("CVE-2025-5")]})
+    acc, q, rep = load(spark, root, "https://x/")
+    assert sorted(r.cve_id for r in acc.collect()) == ["CVE-2025-1", "CVE-2025-3", "CVE-2025-5"]
+    bad = sorted((r.reasons[0], (r.bad_text or "")[:40]) for r in q.collect())
+    assert [b[0] for b in bad] == ["malformed_hit", "malformed_hit", "malformed_page"] and "CVE-2025-2" in bad[1][1]
+    assert [(r.rows, r.accepted, r.rejected, r.bad_pages) for r in rep.collect()] == [(6, 4, 2, 1)]
+
+
+def test_last_page_wins_by_number_and_line(spark, tmp_path):
+    from feedlake.load import load
+    root = str(tmp_path / "landing")
+    for i in range(1, 11):
+        _write(root, f"page-{i}.json", {"hits": [{"externalId": "CVE-2025-1", "severity": "LOW", "description": f"page {i}"}]})
+    assert [r.description for r in load(spark, root, "https://x/")[0].collect()] == ["page 10"]
+    lines = str(tmp_path / "lines")
+    _write(lines, "part-0.json", "\n".join(json.dumps({"hits": [{"externalId": "CVE-2025-1", "severity": "LOW", "description": d}]})
+                                           for d in ("z", "a", "m")))
+    assert [r.description for r in load(spark, lines, "https://x/", multiline=False)[0].collect()] == ["m"]

@@ -82,3 +82,32 @@ def test_gate_parallel_matches_sequential(spark):
     par = {(r.key, r.i): (r.admitted, r.minutes_left)
            for r in RU.min_interval_gate(df, "key", "ts", 60, hot_key_rows=150, rows_per_bucket=5, **args).collect()}
     assert seq == par and len(seq) == 600
+
+
+def test_gate_repeats_text_ids_nulls_and_chunks(spark, tmp_path):
+    import random
+
+    from feedlake.operators.runs import gate_quarantine, min_interval_gate
+    from feedlake.streaming.gate import gate_stream
+    base = dt.datetime(2024, 1, 1)
+    rows = [("k", base + dt.timedelta(minutes=m), f"id{m % 7}") for m in range(100)] + [("k", base, "id0"), ("j", base, "x")]
+    rows += [(None, base, "a"), (None, base, "b"), ("k", None, "c")]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "key string, ts timestamp, id string")
+    gate = lambda hot: sorted(map(tuple, min_interval_gate(
+        df, "key", "ts", 15, order_cols=("id",), keep=("id",), hot_key_rows=hot, rows_per_bucket=8).collect()))
+    want = gate(None)
+    assert gate(1) == want and len(want) == 102 and gate_quarantine(df, "key", "ts").count() == 3
+    assert [r[2].minute + 60 * r[2].hour for r in sorted(want, key=lambda r: r[2]) if r[3] and r[1] == "k"] == [0, 15, 30, 45, 60, 75, 90]
+    src = str(tmp_path / "events")
+    df.coalesce(1).write.parquet(src)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        q = (gate_stream(spark.readStream.schema(df.schema).parquet(src), "key", "ts", 15, keep=("id",), order_cols=("id",))
+             .writeStream.format("memory").queryName("gate_chunks").outputMode("append").start())
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, spark.table("gate_chunks").collect())) == want

@@ -92,3 +92,43 @@ def test_dedupe_narrow_and_union_slices(spark):
     assert got == [("a", "y", 3), ("b", "z", 2)]
     u = union_slices({"all": df.select("k"), "linux": df.select("k").limit(1)})
     assert sorted(r.slice for r in u.collect()) == ["all", "all", "all", "linux"]
+
+
+def test_store_keeps_sources_and_bucket_count_apart(spark, tmp_path):
+    import pytest
+    root, empty = str(tmp_path / "store"), spark.createDataFrame([], REC)
+    batch = lambda k: spark.createDataFrame([(k, "LOW", "a", "d", 1)], BATCH)
+    assert store.upsert_store(spark, root, batch("CVE-1"), "cve_id", ["seq"], T0, empty, 4, batch_id=0, source="one")
+    assert store.upsert_store(spark, root, batch("CVE-2"), "cve_id", ["seq"], T0, empty, 4, batch_id=0, source="two")
+    assert not store.upsert_store(spark, root, batch("CVE-3"), "cve_id", ["seq"], T0, empty, 4, batch_id=0, source="two")
+    with pytest.raises(ValueError):
+        store.upsert_store(spark, root, batch("CVE-4"), "cve_id", ["seq"], T0, empty, 8)
+    assert sorted(r.cve_id for r in store.read_store(spark, root).collect()) == ["CVE-1", "CVE-2"]
+    assert store.lookup(spark, root, "cve_id", "CVE-2").count() == 1 and len(store.lookup(spark, root, "cve_id", "CVE-2").inputFiles()) == 1
+    # a crash between the write and the commit: the old rows stay, and the load can run again
+    real = store._commit
+    try:
+        store._commit = lambda *a: (_ for _ in ()).throw(OSError("lost driver"))
+        with pytest.raises(OSError):
+            store.upsert_store(spark, root, batch("CVE-1"), "cve_id", ["seq"], T1, empty, 4, batch_id=1, source="one")
+    finally:
+        store._commit = real
+    assert {r.updated_at for r in store.read_store(spark, root).collect()} == {T0}
+    for i in range(1, 5):
+        assert store.upsert_store(spark, root, batch("CVE-1"), "cve_id", ["seq"], T1, empty, 4, batch_id=i, source="one")
+    assert {r.cve_id: r.updated_at for r in store.read_store(spark, root).collect()} == {"CVE-1": T1, "CVE-2": T0}
+
+
+def test_upsert_refuses_null_keys(spark):
+    import pytest
+    target = spark.createDataFrame([], REC)
+    with pytest.raises(Exception, match="NULL cve_id"):
+        upsert_by_key(target, spark.createDataFrame([(None, "LOW", "a", "d", 1)], BATCH), "cve_id", ["seq"], T1).collect()
+
+
+def test_search_folds_ascii_and_keeps_backslashes(spark):
+    df = spark.createDataFrame([("a", "x", "A\\b", None), ("b", "É", "d", None)], "cve_id string, component string, description string, created_at timestamp")
+    find = lambda q: [r.cve_id for r in S.search_page(df, search=q, wildcards=True).collect()]
+    assert find("\\b") == ["a"] and find("a\\") == ["a"] and find("é") == [] and find("A%B") == ["a"]
+    assert [r.cve_id for r in S.search_page_keyset(df, after=(None, "a")).collect()] == ["b"]
+    assert [r.cve_id for r in S.search_page_keyset(df, after=(T0, "z")).collect()] == ["a", "b"]

@@ -32,3 +32,20 @@ def test_split_facet(spark):
 
 def test_js_trim(spark):
     assert _one(spark, ["\n  Patch  ", "x"], js_trim) == ["Patch", "x"]
+
+
+def test_values_found_wrong_in_review(spark):
+    from pyspark.sql import functions as F
+
+    from feedlake.functions.dates import parse_published_date
+    from feedlake.functions.jsoncols import decode_json
+    from feedlake.functions.text import decimal_number
+    from feedlake.functions.urls import url_host
+    one = lambda rows, col: [r[0] for r in spark.createDataFrame([(x,) for x in rows], "x string").select(col).collect()]
+    assert one(["-9223372036854775808", "12:30:00", "T10:00", "2024-01-02"], parse_published_date("x").cast("string")) == [
+        None, None, None, "2024-01-02"]
+    assert one(["https://evil.com\\@github.com/x", "https://a@b@github.com/", "http://[::1]:80/", "  https://h.org/"], url_host("x")) == [
+        "evil.com", "github.com", "[::1]", "h.org"]
+    assert one(["not json", '{"k": 1', None, '{"k": 2}'], decode_json("x", "k bigint", F.struct(F.lit(-1).cast("bigint").alias("k")))["k"]) == [
+        -1, -1, -1, 2]
+    assert one(["7.5f", "7d", "0x1p3", "NaN", "7.5", " 1e2 ", ".5"], decimal_number("x")) == [None, None, None, None, 7.5, 100.0, 0.5]
