@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.operators.dedupe import dedupe_last
+from feedlake.operators.links import attach_links
 from feedlake.operators.normalize import drop_raw, normalize_hits
 from feedlake.operators.report import slice_load_report
-from feedlake.operators.validate import REASONS, any_failure, reasons_column, record_rules
+from feedlake.operators.validate import REASONS, any_failure, hit_type_reasons, reasons_column, record_rules
 from feedlake.schemas import HIT, RECORD
 from feedlake.session import checkpoint_root
 from feedlake.sources import store
@@ -31,14 +32,16 @@ SLICE_ALL = "all"
 
 def load(spark: SparkSession, path: str, detail_base: str, slice_order: list[str] | None = None,
          rules=None, multiline: bool = True, store_root: str | None = None, load_time=None,
-         n_buckets: int = store.DEFAULT_BUCKETS, batch_id=None, cut_lineage: bool = True):
+         n_buckets: int = store.DEFAULT_BUCKETS, batch_id=None, cut_lineage: bool = True,
+         detail_pages: DataFrame | None = None):
     """-> (accepted, quarantine, slice_report).
 
     ``slice_order`` ranks slices for last-wins (later wins); by default the
     unfiltered slice ``all`` first and every facet slice after it. With
     ``store_root`` the accepted rows are also upserted into the bucket store
     (idempotent per ``batch_id``). ``cut_lineage=False`` skips the checkpoint
-    when the caller consumes only one of the outputs, once.
+    when the caller consumes only one of the outputs, once. ``detail_pages``
+    (url, html) fills ``externalLinks`` of the accepted records.
     """
     checkpoint_root(spark)
     rules = rules or record_rules()
@@ -49,7 +52,7 @@ def load(spark: SparkSession, path: str, detail_base: str, slice_order: list[str
 
     bad_page = F.col("bad").isin("malformed_page", "no_hits")
     report = slice_load_report(checked, "slice", "cve_id", ~F.col("_bad"), bad_page=F.coalesce(bad_page, F.lit(False)))
-    reasons = F.when(F.col("bad").isNotNull(), F.array("bad")).otherwise(reasons_column(rules))
+    reasons = F.when(F.col("bad").isNotNull(), bad_reasons()).otherwise(reasons_column(rules))
     quarantine = checked.filter("_bad").withColumn(REASONS, reasons).drop("_bad", "bad")
     if slice_order:
         rank = F.array_position(F.array(*[F.lit(s) for s in slice_order]), F.col("slice"))
@@ -58,6 +61,9 @@ def load(spark: SparkSession, path: str, detail_base: str, slice_order: list[str
     ok = drop_raw(checked.filter(~F.col("_bad")).drop("_bad", "bad", "bad_text")).withColumn("_slice_rank", rank)
     accepted = dedupe_last(ok, "cve_id", ["_slice_rank", *HIT_ORDER]).drop("_slice_rank")
 
+    if detail_pages is not None:
+        accepted = attach_links(accepted, detail_pages)
+
     if store_root is not None:
         payload = [c for c in RECORD.fieldNames() if c not in ("created_at", "updated_at")]
         batch = accepted.select(*payload, F.lit(0).alias("_seq"))
@@ -66,6 +72,12 @@ def load(spark: SparkSession, path: str, detail_base: str, slice_order: list[str
     return accepted, quarantine, report
 
 
+def bad_reasons():
+    """Reasons of a row of ``normalised_pages`` with ``bad`` set: the code, then the fields of a wrong type."""
+    fields = F.when(F.col("bad") == "malformed_hit", hit_type_reasons("bad_text"))
+    return F.concat(F.array("bad"), F.coalesce(fields, F.array().cast("array<string>")))
+
+
 def normalised_pages(pages: DataFrame, detail_base: str) -> DataFrame:
     """Records of all hits (raw columns kept) with slice, place, ``bad`` and ``bad_text``; a bad page is a row too."""
     found = parsed_hits(pages)

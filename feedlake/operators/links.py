@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.text import js_trim
 from feedlake.functions.urls import base_url, classify_link
+from feedlake.operators.dedupe import dedupe_last
 
 # The section that holds the resources (an <h2> title, then the
 # first <div> whose class contains the container class, up to its first
@@ -102,6 +103,22 @@ def links_array(pages: DataFrame, html: str = "html", key: str = "page_id", **kw
     return pages.select(key, links_column(F.col(html), **kw).alias("externalLinks"))
 
 
+def attach_links(records: DataFrame, pages: DataFrame, url: str = "url", html: str = "html", order=(),
+                 detail_url: str = "detail_url", resources: str = "additional_resources", **kw) -> DataFrame:
+    """``records`` with ``externalLinks`` of their resources filled from landed
+    detail pages (``pages``: one page per URL; of several the last by ``order``,
+    then by text). A record without a page, or whose page has no section, gets
+    an empty list. Only (URL, links) is shuffled, never a page body."""
+    found = pages.filter(F.col(url).isNotNull()).select(
+        F.col(url).alias("_page_url"), links_column(F.col(html), **kw).alias("_links"),
+        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.xxhash64(html).alias("_text"))
+    last = dedupe_last(found, "_page_url", [*[f"_o{i}" for i in range(len(order))], "_text"]).select("_page_url", "_links")
+    links = F.coalesce("_links", F.array().cast("array<struct<title:string,url:string,type:string>>"))
+    return (records.join(last, F.nullif(F.col(detail_url), F.lit("")) == F.col("_page_url"), "left")
+            .withColumn(resources, F.col(resources).withField("externalLinks", links))
+            .drop("_page_url", "_links"))
+
+
 def link_class_counts(links: DataFrame) -> DataFrame:
     """(type, n) over extracted links."""
     return links.groupBy("type").agg(F.count(F.lit(1)).alias("n"))

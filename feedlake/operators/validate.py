@@ -12,16 +12,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedlake.functions.text import decimal_number
-
 from feedlake.operators.normalize import RAW_SUFFIX, drop_raw
+from feedlake.schemas import HIT
 
 # The key pattern and the severity domain ('' is allowed).
 KEY_PATTERN = r"^CVE-\d{4}-\d+\z"
 KEY_PATTERN_SQL = r"CVE-\d{4}-\d+"  # same rule for a full-match engine
 SEVERITIES = ["LOW", "MEDIUM", "HIGH", "CRITICAL", "N/A", ""]
 REASONS = "reasons"
+URI_PATTERN = r'^[A-Za-z][A-Za-z0-9+.-]*:[^\s<>"{}|\\^`]+\z'
 
 
 def _c(c) -> Column:
@@ -68,18 +70,57 @@ def rule_numeric_text(raw, code: str | None = None):
     return (code or f"bad_type:{name}", v.isNotNull() & decimal_number(v).isNull())
 
 
+def rule_items(c, code: str | None = None):
+    """A list with a missing or empty element; a NULL list passes."""
+    name = c if isinstance(c, str) else "value"
+    return (code or f"bad_item:{name}", F.coalesce(F.exists(_c(c), lambda x: x.isNull() | (x == "")), F.lit(False)))
+
+
+def rule_links(c, code: str | None = None):
+    """A list of (title, url) with an entry that has no title or whose URL is
+    not an absolute URI; a NULL list passes."""
+    name = c if isinstance(c, str) else "value"
+    bad = F.exists(_c(c), lambda x: x.isNull() | F.coalesce(x["title"] == "", F.lit(True))
+                   | ~F.coalesce(x["url"].rlike(URI_PATTERN), F.lit(False)))
+    return (code or f"bad_item:{name}", F.coalesce(bad, F.lit(False)))
+
+
+def hit_type_reasons(text) -> Column:
+    """``bad_type:<field>`` for each field of a hit's JSON text that has not the
+    type the hit schema asks for (flags, objects, lists and their elements);
+    empty when the text is not JSON. Text fields take any scalar."""
+    hit = F.try_parse_json(_c(text))
+
+    def wrong(name, dtype):
+        kind = F.schema_of_variant(F.try_variant_get(hit, f"$.{name}", "variant"))
+        if isinstance(dtype, T.BooleanType):
+            ok = kind == "BOOLEAN"
+        elif isinstance(dtype, T.MapType):
+            ok = kind.startswith("OBJECT")
+        else:
+            item = "OBJECT" if isinstance(dtype.elementType, T.StructType) else "STRING"
+            ok = kind.startswith(f"ARRAY<{item}") | (kind == "ARRAY<VOID>")
+        return F.when(kind.isNotNull() & (kind != "VOID") & ~ok, F.lit(f"bad_type:{name}"))
+
+    typed = [f for f in HIT.fields if not isinstance(f.dataType, T.StringType)]
+    return F.filter(F.array(*[wrong(f.name, f.dataType) for f in typed]), lambda x: x.isNotNull())
+
+
 def record_rules(key_pattern: str = KEY_PATTERN) -> list[tuple[str, Column]]:
     """The rule set of a normalised record (``normalize_hits(keep_raw=True)``).
 
     score: a number must lie in 0..10, while any non-numeric text is allowed
     (it was already turned into NULL); EPSS percentile 0..100 and probability
-    0..1, base and CNA scores 0..10, each number or missing.
+    0..1, base and CNA scores 0..10, each number or missing; technologies have
+    no missing or empty name. The types of flags, objects and lists are settled
+    when a hit is parsed (``hit_type_reasons`` names the field that failed).
     """
     rules = [
         rule_required("cve_id", "missing:cve_id"),
         rule_pattern("cve_id", key_pattern, "pattern:cve_id", required=False),
         rule_in_set("severity", SEVERITIES, "domain:severity", allow_null=True),
         rule_range("score", 0, 10, "range:score"),
+        rule_items("technologies"),
     ]
     for name, lo, hi in (("epss_percentile", 0, 100), ("epss_probability", 0, 1),
                          ("base_score", 0, 10), ("cna_score", 0, 10)):

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedlake.functions.text import FIRST_NUMBER, WHITESPACE_RUN, clean_text, extract_score
-from feedlake.functions.urls import URL_PARTS
+from feedlake.functions.text import clean_text, extract_score
 from feedlake.operators import links as LK
+from feedlake.operators.normalize import normalize_hits
 from feedlake.plans.catalog import job
-from feedlake.plans.tables import table
+from feedlake.plans.tables import DETAIL_BASE, table
+from feedlake.schemas import HIT
+
+# The oracles' own patterns, written apart from the operators'.
+WHITESPACE_RUN = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+FIRST_NUMBER = r"[0-9]+(?:[.][0-9]*)?"
+URL_PARTS = r"^([a-zA-Z][-+.a-zA-Z0-9]*)://(?:[^\\/?#]*@)?([^\\/?#:@]+)"
+ANCHOR = r'<a[\s]+href="([^"]+)"[^>]*>([^<]+)</a>'
 
 _CLEAN = f"trim(regexp_replace(coalesce(text, ''), '{WHITESPACE_RUN}', ' ', 'g'), ' ')"
 
@@ -59,8 +66,8 @@ def _jstrim(x: str) -> str:
 
 _LINKS_SQL = f"""
 WITH m AS (
-  SELECT page_id, regexp_extract_all(html, '{LK.ANCHOR}', 1) AS urls,
-         regexp_extract_all(html, '{LK.ANCHOR}', 2) AS titles FROM pages),
+  SELECT page_id, regexp_extract_all(html, '{ANCHOR}', 1) AS urls,
+         regexp_extract_all(html, '{ANCHOR}', 2) AS titles FROM pages),
  z AS (SELECT page_id, unnest(range(1, len(urls) + 1)) AS pos, unnest(urls) AS u, unnest(titles) AS t FROM m),
  links AS (SELECT page_id, cast(pos AS BIGINT) AS pos, {_jstrim('t')} AS title, {_jstrim('u')} AS url FROM z),
  kept AS (SELECT * FROM links WHERE url <> '' AND title <> '')"""
@@ -134,3 +141,64 @@ def pages_report(spark, sf_dir):
                     LK.links_column(F.col("html"), title=None, absolute_only=False).alias("links"))
     return analytics_report(recs, severity="severity", score=None, terms=None, label="component",
                             date=None, links="links")
+
+
+# Links of a "resources" section: (host and path, title, class); the last two are spoofs.
+SECTION_LINKS = [
+    ("nvd.nist.gov/vuln", "Entry", "NVD"), ("github.com/org/tool", "Issue", "GitHub"),
+    ("raw.github.com/org/tool", "File", "GitHub"), ("vuldb.com/", "Entry", "VulDB"),
+    ("cve.mitre.org/id", "Entry", "MITRE"), ("www.exploit-db.com/e", "Code", "Exploit-DB"),
+    ("exploit-db.com/e", "Code", "Exploit-DB"), ("security.vendor.example/n", "Notes", "Security Advisory"),
+    ("vendor.example/n", "Vendor ADVISORY", "Security Advisory"), ("vendor.example/r", "Hotfix notes", "Patch/Fix"),
+    ("lab.example/c", "PoC", "Proof of Concept"), ("blog.example/w", "Write-up", "Other"),
+    ("evil.example\\@github.com/x", "Mirror", "Other"), ("evil.example/nvd.nist.gov/x", "Copy", "Other"),
+]
+
+
+def section_pages(spark, sf_dir):
+    """pages as detail pages: the html after a titled section (none where page_id
+    is divisible by 4) with a third of ``SECTION_LINKS`` and one relative link."""
+    p = table(spark, sf_dir, "pages")
+    anchors = F.array(*[F.when((F.col("page_id") + k) % 3 == 0, F.concat(
+        F.lit(f'<a href="https://{place}/'), F.col("page_id").cast("string"), F.lit(f'" rel="x"> {title}\n</a>, ')))
+        for k, (place, title, _) in enumerate(SECTION_LINKS)])
+    section = F.concat(F.lit('<h2>Summary</h2><div class="prose"><a href="https://early.example/">early</a></div>'
+                             '<h2 class="t">Additional resources</h2><p>see</p><div class="a prose b">'),
+                       F.array_join(anchors, ""), F.lit('<a href="/rel">Relative patch</a></div>'
+                                                        '<div class="prose"><a href="https://late.example/">late</a></div>'))
+    html = F.concat(F.when(F.col("page_id") % 4 == 0, F.lit("")).otherwise(section), F.coalesce("html", F.lit("")))
+    key = F.concat(F.lit("CVE-2024-"), F.col("page_id").cast("string"))
+    return p.select("page_id", key.alias("key"), F.concat(F.lit(DETAIL_BASE), F.lower(key)).alias("url"), html.alias("html"))
+
+
+_SECTION_SQL = "WITH v(k, place, title, type) AS (VALUES " + ", ".join(
+    f"({k}, '{place}', '{title}', '{cls}')" for k, (place, title, cls) in enumerate(SECTION_LINKS)) + """),
+ l AS (SELECT page_id, k, title, 'https://' || place || '/' || cast(page_id AS VARCHAR) AS url, type
+       FROM pages JOIN v ON (page_id + k) % 3 = 0 WHERE page_id % 4 <> 0)"""
+
+
+@job("section_links", _SECTION_SQL + """
+ SELECT page_id, cast(row_number() OVER (PARTITION BY page_id ORDER BY k) AS BIGINT) AS pos, title, url, type FROM l""")
+def section_links(spark, sf_dir):
+    """The titled section only, absolute links only, all link classes."""
+    links = LK.extract_links(section_pages(spark, sf_dir))
+    return links.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@job("section_link_classes", _SECTION_SQL + " SELECT type, count(*) AS n FROM l GROUP BY type")
+def section_link_classes(spark, sf_dir):
+    return LK.link_class_counts(LK.extract_links(section_pages(spark, sf_dir)))
+
+
+@job("records_with_links", _SECTION_SQL + """
+ SELECT 'CVE-2024-' || cast(p.page_id AS VARCHAR) AS cve_id, count(l.k) AS n_links,
+        coalesce(string_agg(l.type || ' ' || l.url, ' ' ORDER BY l.k), '') AS links
+ FROM pages p LEFT JOIN l ON p.page_id = l.page_id GROUP BY p.page_id""")
+def records_with_links(spark, sf_dir):
+    """Records whose external links come from their detail page, joined by URL."""
+    pages = section_pages(spark, sf_dir)
+    hits = pages.select(*[(F.col("key") if f.name == "externalId" else F.lit(None)).cast(f.dataType).alias(f.name) for f in HIT.fields])
+    recs = LK.attach_links(normalize_hits(hits, DETAIL_BASE, keep_raw=False), pages)
+    links = F.col("additional_resources.externalLinks")
+    return recs.select("cve_id", F.size(links).cast("bigint").alias("n_links"), F.array_join(
+        F.transform(links, lambda x: F.concat_ws(" ", x["type"], x["url"])), " ").alias("links"))

@@ -18,7 +18,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.load import normalised_pages
+from feedlake.load import bad_reasons, normalised_pages
 from feedlake.operators.normalize import drop_raw
 from feedlake.operators.validate import any_failure, reasons_column, record_rules
 from feedlake.schemas import CORRUPT, PAGE, RECORD
@@ -60,7 +60,7 @@ def upsert_micro_batch(spark: SparkSession, store_root: str, detail_base: str, l
             batch = acc.select(*payload, "_batch", *HIT_ORDER)
             store.upsert_store(spark, store_root, batch, "cve_id", ["_batch", *HIT_ORDER], load_time,
                                empty_records(spark), n_buckets, batch_id=batch_id, source=stream_id)
-            reasons = F.coalesce("bad", F.array_join(reasons_column(use), ","))
+            reasons = F.array_join(F.when(F.col("bad").isNotNull(), bad_reasons()).otherwise(reasons_column(use)), ",")
             (records.filter("_bad").select("cve_id", "page_file", "hit_pos", reasons.alias("reasons"), "bad_text")
              .write.mode("overwrite").parquet(os.path.join(store_root, QUARANTINE, f"stream={stream_id}", f"batch={batch_id}")))
         finally:

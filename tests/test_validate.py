@@ -1,3 +1,5 @@
+import json
+
 from feedlake.operators import validate as V
 from feedlake.operators.normalize import normalize_hits
 from feedlake.schemas import HIT
@@ -51,3 +53,31 @@ def test_summary(spark):
     assert (r.total, r.valid, r.invalid, r.status) == (3, 1, 2, "FAILED")
     empty = V.validation_summary(df.limit(0)).collect()[0]
     assert (empty.total, empty.status) == (0, "PASSED")
+
+
+def test_technology_names(spark):
+    ok, reasons = _accepted(spark, [_hit(affectedTechnologies=[("a", "f")]), _hit(affectedTechnologies=[("a", "f"), (None, "f")]),
+                                    _hit(affectedTechnologies=[("", None)])])
+    assert ok == [True, False, False] and reasons[1] == reasons[2] == ["bad_item:technologies"]
+
+
+def test_link_entries(spark):
+    cases = [([("t", "https://a.b/c")], False), (None, False), ([], False), ([("", "https://a.b")], True), ([(None, "https://a.b")], True),
+             ([("t", "no uri")], True), ([("t", "/rel")], True), ([("t", None)], True), ([None], True), ([("t", "mailto:x")], False)]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, links array<struct<title:string,url:string>>")
+    code, fails = V.rule_links("links")
+    assert code == "bad_item:links"
+    assert [r[0] for r in df.orderBy("i").select(fails).collect()] == [bad for _, bad in cases]
+
+
+def test_wrong_types_are_named(spark):
+    wrong = {"hasFix": "yes", "hasCisaKevExploit": 1, "isHighProfileThreat": [], "exploitable": {}, "cvss2": "x", "cvss3": [1],
+             "aiDescription": True, "sourceFeeds": "feed", "affectedTechnologies": {"name": "n"}, "affectedSoftware": [{"a": 1}]}
+    right = {"hasFix": True, "hasCisaKevExploit": None, "cvss2": {"v": 1}, "cvss3": {}, "sourceFeeds": [{"name": "n"}], "aiDescription": None,
+             "affectedTechnologies": [], "affectedSoftware": ["s"], "severity": 5}
+    texts = [json.dumps(right), "{cut", None, *[json.dumps({f: v}) for f, v in wrong.items()], json.dumps(wrong)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(V.hit_type_reasons("t")).collect()]
+    assert got[:3] == [[], [], []]
+    assert got[3:-1] == [[f"bad_type:{f}"] for f in wrong]
+    assert sorted(got[-1]) == sorted(f"bad_type:{f}" for f in wrong)
