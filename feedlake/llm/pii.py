@@ -40,6 +40,9 @@ CONTEXT = 8
 MAX_BITS = 0.5
 MIN_SETTINGS = 5
 FILTER_BITS = 1 << 24
+#: Words whose look-up a task remembers: how many, and the longest.
+REMEMBERED = 1 << 16
+USUAL_LENGTH = 64
 KINDS = ("email", "ip", "card", "phone", "term")
 # patterns and bounds fixed by the contract; the look-behinds only skip starts
 # inside a run, from which no other match can begin
@@ -169,18 +172,38 @@ _SPAN = pa.struct([("kind", pa.int32()), ("s", pa.int64()), ("e", pa.int64())])
 _HIT = pa.struct([("term", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
 
+def _term_lookup(bitmap: bytes, bits: int):
+    """word -> its hash if the bitmap may hold it, else None; answers for usual
+    words are remembered, at most ``REMEMBERED`` at a time."""
+    known: dict[str, int | None] = {}
+
+    def lookup(word: str) -> int | None:
+        if word in known:
+            return known[word]
+        h = term_hash(word)
+        found = h if bitmap[(h & bits - 1) >> 3] >> (h & 7) & 1 else None
+        if len(word) <= USUAL_LENGTH:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[word] = found
+        return found
+    return lookup
+
+
 def _span_scan(bitmap: bytes, bits: int):
     empty = not any(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = _term_lookup(bitmap, bits)
         for batch in batches:
             spans, hits = [], []
             for t in batch.column(2).to_pylist():
                 base = base_spans(t or "")
                 spans.append([{"kind": k, "s": a, "e": b} for k, a, b in base])
-                cells = [] if empty else ((term_hash(w), a, b) for a, b, w in _free_terms(t or "", base))
-                hits.append([{"term": h, "s": a, "e": b} for h, a, b in cells
-                             if bitmap[(h & bits - 1) >> 3] >> (h & 7) & 1])
+                # each distinct word is looked up once; places are sought only where one may be in the set
+                found = {} if empty else {w: h for w in set(_TERM.findall(t or "")) if (h := lookup(w)) is not None}
+                hits.append([{"term": found[w], "s": a, "e": b} for a, b, w in _free_terms(t, base) if w in found]
+                            if found else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(_SPAN)),
                                               pa.array(hits, pa.list_(_HIT))], names=["id", "kt", "base", "hits"])
     return run
