@@ -494,3 +494,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert abs(sum(count(t) for _, t in before) - sum(count(t) for _, t in after)) <= 20
     assert Counter(texts["sharding"][0]) == Counter(texts["sharding"][1])
     assert docs.select("shard").distinct().count() == 40
+
+
+def test_pii_lookup_forgets_without_changing(monkeypatch):
+    from feedlake.llm import pii
+    bits = 1 << 10
+    words = [f"w{i % 50}" for i in range(300)] + ["x" * 500, "Straße", "ΟΔΟΣ"]
+    bitmap = bytearray(bits // 8)
+    for w in words[:20]:
+        h = pii.term_hash(w)
+        bitmap[(h & bits - 1) >> 3] |= 1 << (h & 7)
+    want = [h if bitmap[(h & bits - 1) >> 3] >> (h & 7) & 1 else None for h in map(pii.term_hash, words)]
+    monkeypatch.setattr(pii, "REMEMBERED", 3)
+    lookup = pii._term_lookup(bytes(bitmap), bits)
+    assert [lookup(w) for w in words] == want
