@@ -77,12 +77,17 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
+def _is_octet(digits: str) -> bool:
+    value = digits.lstrip("0")  # zeros first: a run of digits may be longer than int() takes
+    return len(value) < 4 and int(value or 0) <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind, then start; code points, end exclusive."""
     out = [(0, a, b) for a, b in _emails(text)]
     if not _DIGIT.search(text):
         return out
-    out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, *m.span()) for m in _IP.finditer(text) if all(map(_is_octet, m[0].split(".")))]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):
