@@ -1,5 +1,9 @@
 """Corpus pipeline: quality rules, near-dedup, decontamination, mixing to
-target weights, sharding. Each stage works on what its predecessor kept."""
+target weights, sharding. Each stage works on what its predecessor kept.
+
+``run`` writes each stage but the last as Parquet under the cluster's shared
+folder and reads it again: no stage is computed twice, the next one reads only
+the columns it needs, and a lost executor costs tasks of one stage."""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from feedlake.llm import decontaminate, mixing, quality, sharding, simhash
 from feedlake.llm.common import read_table
 from feedlake.llm.queries import SHARDS
+from feedlake.session import scratch_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +49,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -209,6 +209,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents in which no benchmark window occurs; columns as in ``docs``."""
-    hit = contamination(docs, benchmark, key, text).filter("n_hit > 0").select(F.col("k0").alias("hit_k0"), F.col("kt").alias("hit_kt"))
-    same = (null_key(F.col(key)) == F.col("hit_k0")) & (F.xxhash64(F.col(text)) == F.col("hit_kt"))
+    hit = contamination(docs, benchmark, key, text).filter("n_hit > 0").select(F.col("k0").alias("__k0"), F.col("kt").alias("__kt"))
+    same = (null_key(F.col(key)) == F.col("__k0")) & (F.xxhash64(F.col(text)) == F.col("__kt"))
     return docs.join(hit.distinct(), same, "left_anti").select(*docs.columns)

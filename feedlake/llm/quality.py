@@ -135,30 +135,35 @@ def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host:
     (key, text hash, host), so repeated rows get equal results."""
     names = ("n_removed_words", "removed_lines", "kept")
     left = text_measures(df.select(*without(df, *names)), text)
-    left = left.withColumns({"k0": null_key(F.col(key)), "kt": F.xxhash64(text), "host_key": null_key(F.col(host))})
+    columns = left.columns
+    left = left.withColumns({"__k0": null_key(F.col(key)), "__kt": F.xxhash64(text), "__host": null_key(F.col(host))})
     gone = removed_lines(df, [key], text, host, limits).select(
-        "k0", "kt", F.col("host").alias("host_key"), F.transform("removed", lambda e: e["pos"]).alias("removed_lines"),
-        F.aggregate("removed", F.lit(0), lambda a, e: a + e["w"]).cast("long").alias("gone_words"))
-    out = left.join(gone, ["k0", "kt", "host_key"], "left")
-    out = out.withColumn("n_removed_words", F.coalesce("gone_words", F.lit(0).cast("long")))
+        F.col("k0").alias("__k0"), F.col("kt").alias("__kt"), F.col("host").alias("__host"),
+        F.transform("removed", lambda e: e["pos"]).alias("removed_lines"),
+        F.aggregate("removed", F.lit(0), lambda a, e: a + e["w"]).cast("long").alias("n_removed_words"))
+    out = left.join(gone, ["__k0", "__kt", "__host"], "left")
+    out = out.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     rest = F.col("n_words") - F.col("n_removed_words")
     depleted = (rest < limits.min_words) | (rest < F.col("n_words") * F.lit(limits.min_left))
     # one CASE, not a conjunction: a filter on it is not pushed below the join, into copies of the measures
     kept = F.when(F.col("base_failed"), False).otherwise(~depleted)
-    return out.withColumn("kept", kept).drop("k0", "kt", "host_key", "gone_words")
+    return out.select(*columns, "n_removed_words", "removed_lines", kept.alias("kept"))
 
 
 def clean_documents(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
                     limits: LineLimits = LineLimits()) -> DataFrame:
     """The kept documents, boilerplate lines removed, with the columns of the
-    input; ``n_chars`` (if there is one) is counted anew where lines went."""
-    judged = quality_rules(df, key, text, host, limits).filter("kept")
-    lines = F.split(F.col(text), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed_lines"))
+    input, whatever their names; ``n_chars`` (if there is one) is counted anew
+    where lines went."""
+    rest = F.struct(*[F.col(c) for c in df.columns if c != text]).alias("rest")
+    slim = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(host).alias("host"), rest)
+    judged = quality_rules(slim, "id", "text", "host", limits).filter("kept")
+    lines = F.split(F.col("text"), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed_lines"))
     rebuilt = judged.withColumn("rebuilt", F.when(F.col("removed_lines").isNotNull(),
-                                                  F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")))
-    final = {text: F.coalesce("rebuilt", F.col(text))}
+                                                  F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")))
+    final = {c: F.col("rest")[c] for c in df.columns if c != text} | {text: F.coalesce("rebuilt", "text")}
     if "n_chars" in df.columns and text != "n_chars":
         final["n_chars"] = F.when(F.col("rebuilt").isNotNull(), F.length("rebuilt").cast(
-            df.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rebuilt.withColumns(final).select(*df.columns)
+            df.schema["n_chars"].dataType)).otherwise(final["n_chars"])
+    return rebuilt.select(*[final[c].alias(c) for c in df.columns])

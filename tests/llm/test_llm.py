@@ -508,3 +508,25 @@ def test_pii_lookup_forgets_without_changing(monkeypatch):
     monkeypatch.setattr(pii, "REMEMBERED", 3)
     lookup = pii._term_lookup(bytes(bitmap), bits)
     assert [lookup(w) for w in words] == want
+
+
+def test_long_runs_of_digits_are_octets_or_not():
+    zeros, nines = "0" * 6000, "9" * 6000
+    assert pii.base_spans(f"{zeros}7.1.2.255") == [(1, 0, 6009)]
+    assert pii.base_spans(f"{zeros}.0.0.0")[0] == (1, 0, 6006)
+    assert pii.base_spans(f"{nines}.1.2.3") == [] and pii.base_spans("1.2.3.256") == []
+
+
+CLASHES = ["rec", "t", "w", "k0", "kt", "s0", "k", "x", "fp", "root", "id", "least", "key", "size", "range", "content", "upto",
+           "nth", "row", "first", "host_key", "host", "gone_words", "removed", "rebuilt", "removed_lines", "kept", "n_words",
+           "hit_k0", "hit_kt", "n_hit", "spans", "src", "start", "epoch", "best_k0", "component_id", "lo", "hi"]
+
+
+def test_pipeline_stages_with_clashing_columns_and_edge_rows(spark, edge):
+    clash = edge.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    for _, stage in corpus_pipeline.STAGES:
+        for frame in (clash, clash.limit(0)):
+            out = stage(spark, frame, SF)
+            assert out.columns[:len(clash.columns)] == clash.columns
+            rows = out.collect()
+            assert all(r[c] == f"own {c}" for r in rows for c in CLASHES) and (frame is clash or not rows)
