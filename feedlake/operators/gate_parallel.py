@@ -78,23 +78,31 @@ def first_at_or_after(events: DataFrame, probes: DataFrame, key: str, width: str
 
 def _bucket_stream(loop, key: str):
     """mapInPandas driver: rows arrive sorted by (key, bucket, t, i); hand
-    ``loop`` only whole buckets (the last bucket of an Arrow batch is carried
-    over to the next one), so memory is bounded by one bucket."""
+    ``loop`` only whole buckets. The pieces of the last bucket so far are held
+    and joined once, so memory is bounded by one bucket and the work is linear."""
     import pandas as pd
 
     def run(batches):
-        carry = None
+        held = []  # pieces of one bucket, which the next batch may continue
         for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
             if pdf.empty:
                 continue
             tail = (pdf[key] == pdf[key].iloc[-1]) & (pdf["c"] == pdf["c"].iloc[-1])
-            carry = pdf[tail]
-            if (~tail).any():
+            last = held[-1].iloc[-1] if held else None
+            goes_on = held and last[key] == pdf[key].iloc[0] and last["c"] == pdf["c"].iloc[0]
+            if held and not (goes_on and tail.all()):
+                if goes_on:  # the bucket ends inside this batch
+                    held.append(pdf[~tail])
+                    yield loop(pd.concat(held, ignore_index=True))
+                    held = [pdf[tail]]
+                    continue
+                yield loop(pd.concat(held, ignore_index=True))
+                held = []
+            if not tail.all():
                 yield loop(pdf[~tail])
-        if carry is not None and len(carry):
-            yield loop(carry)
+            held.append(pdf[tail])
+        if held:
+            yield loop(pd.concat(held, ignore_index=True))
     return run
 
 

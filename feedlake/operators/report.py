@@ -269,6 +269,19 @@ def facet_counts(df: DataFrame, facets: dict, top: int = FACET_TOP) -> DataFrame
     return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
+def inline_records(bodies: DataFrame, text: str, record: str) -> tuple[DataFrame, DataFrame]:
+    """Records given inline, as JSON texts instead of a store: (records,
+    rejected texts with a reason). Each text must be an array of records of
+    the schema ``record``; an empty array has none, NULL is no array."""
+    t = F.ltrim(F.col(text))
+    parsed = bodies.select(text, F.from_json(t, f"array<{record}>").alias("_records"),
+                           F.coalesce(t.startswith("["), F.lit(False)).alias("_array"))
+    reason = F.when(~F.col("_array"), "not_an_array").when(F.col("_records").isNull(), "bad_json")
+    parsed = parsed.select(text, "_records", reason.alias("reason"))
+    return (parsed.filter("reason IS NULL").select(F.inline("_records")),
+            parsed.filter("reason IS NOT NULL").select(text, "reason"))
+
+
 def load_summary(df: DataFrame, key: str = "cve_id", accepted: Column | None = None) -> DataFrame:
     """(total, accepted, rejected, distinct_keys) of one load."""
     acc = accepted if accepted is not None else F.lit(True)

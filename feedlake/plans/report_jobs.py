@@ -151,6 +151,24 @@ def load_summary(spark, sf_dir):
     return R.load_summary(ev, "event_id", acc)
 
 
+@job("inline_report", """
+SELECT 'severity' AS section, upper(event_type) AS key, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 2
+UNION ALL SELECT 'total', '', count(*) FROM events WHERE event_type <> 'error'
+UNION ALL SELECT 'rejected', 'not_an_array', count(*) FROM events WHERE event_type = 'error'""")
+def inline_report(spark, sf_dir):
+    """The report over inline JSON: events come as texts, arrays of the
+    records of a 20-wide id range; error events as lone objects, which are no arrays."""
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type", F.struct(F.upper("event_type").alias("severity")).alias("h"))
+    arrays = (ev.filter("event_type <> 'error'").groupBy(F.floor(F.col("event_id") / 20).alias("page"))
+              .agg(F.to_json(F.collect_list("h")).alias("body")).select("body"))
+    alone = ev.filter("event_type = 'error'").select(F.to_json("h").alias("body"))
+    records, rejected = R.inline_records(arrays.unionByName(alone), "body", "struct<severity:string>")
+    return (R.severity_distribution(records).select(F.lit("severity").alias("section"), F.col("severity").alias("key"), "n")
+            .unionByName(R.total_count(records).select(F.lit("total").alias("section"), F.lit("").alias("key"), F.col("total").alias("n")))
+            .unionByName(rejected.groupBy(F.col("reason").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+                         .select(F.lit("rejected").alias("section"), "key", "n")))
+
+
 @job("facet_split_counts", """
 SELECT string_split(p_type || '||' || p_brand, '||')[2] AS value, count(*) AS n
 FROM part GROUP BY 1""")

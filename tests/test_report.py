@@ -74,3 +74,11 @@ def test_unrepresentable_scores_do_not_fail(spark):
     assert (r.n_scored, r.avg_score) == (2, 2.0)
     h = {x.bucket: x.n for x in R.score_histogram(df).collect()}
     assert h["9-10"] == 2 and h["0-3"] == 1
+
+
+def test_inline_records_must_be_arrays(spark):
+    bodies = ['[{"severity": "HIGH"}, {"severity": null}]', ' [] ', '{"severity": "LOW"}', "[not json", "text", "", None]
+    frame = spark.createDataFrame([(b,) for b in bodies], "body string")
+    records, rejected = R.inline_records(frame, "body", "struct<severity:string>")
+    assert sorted(r["severity"] or "" for r in records.collect()) == ["", "HIGH"]
+    assert sorted(r["reason"] for r in rejected.collect()) == ["bad_json"] + ["not_an_array"] * 4

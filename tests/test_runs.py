@@ -111,3 +111,15 @@ def test_gate_repeats_text_ids_nulls_and_chunks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted(map(tuple, spark.table("gate_chunks").collect())) == want
+
+
+def test_bucket_stream_hands_over_whole_buckets():
+    import pandas as pd
+    from feedlake.operators.gate_parallel import _bucket_stream
+    rows = pd.DataFrame({"k": ["a"] * 9 + ["b"] * 4, "c": [0, 0, 0, 1, 1, 1, 1, 1, 2, 2, 2, 3, 3], "i": range(13)})
+    whole = rows.groupby(["k", "c"], sort=False)["i"].apply(list).tolist()
+    for size in range(1, 15):
+        handed = list(_bucket_stream(lambda pdf: pdf, "k")(rows.iloc[a:a + size] for a in range(0, 13, size)))
+        assert pd.concat(handed)["i"].tolist() == list(range(13))
+        ends = {g[-1] for g in whole}
+        assert all(h["i"].iloc[-1] in ends for h in handed)
