@@ -6,14 +6,16 @@ limits are boilerplate and are removed; a document of which too little is left
 is depleted and rejected. Two documents count as distinct when their longest
 lines differ, so copies of one document (exact, or with edits elsewhere) count
 once and a large group of copies does not turn its own text into boilerplate.
+A longest line that is itself shared by more than ``min_docs`` texts tells no
+documents apart: there the longest of the document's own lines (those on at
+most ``min_docs`` texts of the host) counts instead, if these lines alone would
+not be a depleted document. Else it is a copy with edits and counts as before.
 
-Limits are shares of the host's documents, so they mean the same at every size.
-
-Shuffles carry hashes, never texts: (host, line, document) is made distinct by
-its full key before any count per line, so a line that a third of all rows
+Shuffles carry hashes, never texts: (host, line, text) is made distinct by its
+full key, once, before any count per line, so a line that a third of all rows
 share is spread over all tasks, and the second count is pre-aggregated. The
 join that marks lines meets unique keys on its small side, so AQE can split a
-hot line on the other.
+hot line on the other; (host, text) has as many rows as the text has lines.
 
 Defined cases: a NULL text is an empty one (no words, fails the base rule);
 NULL host is a host of its own; repeated rows get equal results; an empty
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import SPACE_RUN, null_key, without
+from feedlake.llm.common import SPACE_RUN, cut, null_key, without
 
 WINDOW = 8
 #: Characters counted as symbols (fixed value).
@@ -111,11 +113,32 @@ def _lines(df: DataFrame, key: list[str], text: str, host: str) -> DataFrame:
     return out.select(*names, F.explode("ls").alias("e")).select(*names, "e.pos", "e.h", "e.w")
 
 
+def _depleted(left: Column, words: Column, limits: LineLimits) -> Column:
+    return (left < limits.min_words) | (left < words * F.lit(limits.min_left))
+
+
+def _identified(texts: DataFrame, limits: LineLimits) -> DataFrame:
+    """(host, h, doc) of ``texts`` (host, h, kt, doc, w): where the longest line
+    is shared, ``doc`` is the longest own line (see the module docstring)."""
+    shared = texts.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > limits.min_docs).select("host", "h")
+    unclear = texts.join(shared.select("host", F.col("h").alias("doc")), ["host", "doc"], "left_semi")
+    marked = unclear.join(shared.withColumn("shared", F.lit(True)), ["host", "h"], "left")
+    own = F.col("shared").isNull()
+    by_own = marked.groupBy("host", "kt").agg(
+        F.sum("w").alias("words"), F.sum(F.when(own, F.col("w")).otherwise(0)).alias("left"),
+        F.max(F.when(own, F.struct("w", "h")))["h"].alias("own_doc"))
+    by_own = by_own.filter(~_depleted(F.col("left"), F.col("words"), limits)).select("host", "kt", "own_doc")
+    return texts.join(by_own, ["host", "kt"], "left").select("host", "h", F.coalesce("own_doc", "doc").alias("doc"))
+
+
 def frequent_lines(lines: DataFrame, limits: LineLimits) -> DataFrame:
     """(host, h) of the lines above the limits."""
-    per_line = (lines.select("host", "h", "doc").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
+    texts = cut(lines.groupBy("host", "h", "kt").agg(
+        F.first("doc").alias("doc"), F.max("w").alias("w")))
+    docs = _identified(texts, limits)
+    per_line = (docs.distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
                 .filter(F.col("n") > limits.min_docs))
-    hosts = lines.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    hosts = docs.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     return (per_line.join(hosts, "host").filter(F.col("n") > F.col("docs") * F.lit(limits.share))
             .select("host", "h"))
 
@@ -144,7 +167,7 @@ def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host:
     out = left.join(gone, ["__k0", "__kt", "__host"], "left")
     out = out.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     rest = F.col("n_words") - F.col("n_removed_words")
-    depleted = (rest < limits.min_words) | (rest < F.col("n_words") * F.lit(limits.min_left))
+    depleted = _depleted(rest, F.col("n_words"), limits)
     # one CASE, not a conjunction: a filter on it is not pushed below the join, into copies of the measures
     kept = F.when(F.col("base_failed"), False).otherwise(~depleted)
     return out.select(*columns, "n_removed_words", "removed_lines", kept.alias("kept"))

@@ -469,6 +469,21 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert set(clean) == set(out) - {100, 101, 102}
 
 
+def test_a_shared_longest_line_goes(spark):
+    def own(i, n):
+        return " ".join(f"own{i}x{j}" for j in range(n))
+    first, second = own("p", 45), own("q", 40)
+    rows = [(i, f"{first}\n{second}\n{own(i, 25)}\n{own(f'{i}y', 22)}", "en", "h", 0) for i in range(30)]
+    rows += [(100 + i, f"{second}\n{first}\n{own(f'{i}z', 12)}", "en", "h", 0) for i in range(3)]  # depleted
+    rows += [(200 + i, f"{own('c', 60)}\n{own('d', 50)}\n{own(f'{i}e', 15)}", "en", "h", 0) for i in range(40)]  # edited copies
+    rows += [(300 + i, own("f", 60), "en", "h", 0) for i in range(40)]  # exact copies of one line
+    frame = spark.createDataFrame(rows, DOCS)
+    out = {r["doc_id"]: r for r in quality.quality_rules(frame).collect()}
+    assert all(out[i]["n_removed_words"] == 85 and out[i]["kept"] for i in range(30))
+    assert {i for i, r in out.items() if not r["kept"]} == {100, 101, 102}
+    assert all(out[i]["n_removed_words"] == 0 for i in out if i >= 200)
+
+
 # --- pipeline
 
 def test_pipeline_stages(spark, tmp_path):
