@@ -41,11 +41,13 @@ NON_SPACE = r"[^\x20\x09-\x0D]"
 @dataclass(frozen=True)
 class LineLimits:
     """A line is boilerplate on more than ``min_docs`` distinct documents and
-    more than ``share`` of its host's; a document is depleted when fewer than
-    ``min_words`` words, or less than ``min_left`` of its words, are left."""
+    more than ``share`` of its host's or ``enough_docs`` of them, whichever is
+    less; a document is depleted when fewer than ``min_words`` words, or less
+    than ``min_left`` of its words, are left."""
 
     min_docs: int = 10
     share: float = 0.02
+    enough_docs: int = 100
     min_words: int = 20
     min_left: float = 0.3
 
@@ -139,8 +141,8 @@ def frequent_lines(lines: DataFrame, limits: LineLimits) -> DataFrame:
     per_line = (docs.distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
                 .filter(F.col("n") > limits.min_docs))
     hosts = docs.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    return (per_line.join(hosts, "host").filter(F.col("n") > F.col("docs") * F.lit(limits.share))
-            .select("host", "h"))
+    bar = F.least(F.col("docs") * F.lit(limits.share), F.lit(float(limits.enough_docs)))
+    return per_line.join(hosts, "host").filter(F.col("n") > bar).select("host", "h")
 
 
 def removed_lines(df: DataFrame, key: list[str], text: str, host: str, limits: LineLimits) -> DataFrame:

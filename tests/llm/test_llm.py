@@ -484,6 +484,17 @@ def test_a_shared_longest_line_goes(spark):
     assert all(out[i]["n_removed_words"] == 0 for i in out if i >= 200)
 
 
+def test_a_passage_of_a_large_host_goes(spark):
+    passage = F.lit(" ".join(f"shared{j}" for j in range(30)))
+    own = F.concat_ws(" ", *[F.concat(F.lit(f"own{j}x"), "id") for j in range(40)])
+    ids = spark.range(45000)
+    text = F.when(F.col("id") < 300, F.concat(passage, F.lit("\n"), own)).otherwise(own)
+    host = F.when(F.col("id") < 15000, "hot").otherwise(F.concat(F.lit("h"), F.col("id") % 60))
+    frame = ids.select(F.col("id").alias("doc_id"), text.alias("text"), host.alias("source"))
+    out = quality.quality_rules(frame).groupBy("n_removed_words", "kept").count().collect()
+    assert {(r[0], r[1]): r[2] for r in out} == {(30, True): 300, (0, True): 44700}
+
+
 # --- pipeline
 
 def test_pipeline_stages(spark, tmp_path):
