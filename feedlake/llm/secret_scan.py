@@ -52,6 +52,9 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _SENSITIVE = re.compile(r"passw|pwd|secret|token|api.?key|private.?key|access.?key|credential|bearer|authorization|"
                         r"client.?id|session|signature", re.I | re.A)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
+# of a run NAME=VALUE the parts count; "=" is padding at the end only
+_PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=+\Z)?")
+_DIGIT = re.compile(r"[0-9]")
 _IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{2,}"
 
 
@@ -79,24 +82,38 @@ class Novelty:
         return more / len(candidate)
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Incompressible strings in sensitive context that touch no base span."""
-    marks = [m.span() for m in _SENSITIVE.finditer(text)]
-    out, i, j = [], 0, 0
-    if not marks:
-        return out
-    taken = sorted((a, b) for a, _, b in base)
+def _candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of ``MIN_LENGTH`` characters or more. Of NAME=VALUE each long part is
+    one, but not a name without digits; a run without a long part is one as it is."""
     for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
+        run, at = m[0], m.start()
+        parts = [(at + p.start(), at + p.end()) for p in _PART.finditer(run) if p.end() - p.start() >= MIN_LENGTH
+                 and (p.end() == len(run) or _DIGIT.search(p[0]))] if "=" in run else []
+        yield from parts or [m.span()]
+
+
+def _in_context(text: str) -> Iterator[tuple[int, int]]:
+    """Candidates near a sensitive word that comes before them."""
+    marks, i = [m.span() for m in _SENSITIVE.finditer(text)], 0
+    if not marks:
+        return
+    for a, b in _candidates(text):
         while i < len(marks) and marks[i][1] < a - NEAR:
             i += 1
-        if i == len(marks) or marks[i][0] >= a:  # the sensitive word comes before the candidate
-            continue
+        if i < len(marks) and marks[i][0] < a:
+            yield a, b
+
+
+def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
+    """Incompressible strings in sensitive context that touch no base span."""
+    out, j = [], 0
+    taken = sorted((a, b) for a, _, b in base)
+    for a, b in _in_context(text):
         while j < len(taken) and taken[j][1] <= a:
             j += 1
         if any(s < b and e > a for s, e in taken[j:j + len(KINDS)]):
             continue
-        if novelty(text[max(a - AROUND, 0):a], m[0], text[b:b + AROUND]) >= MIN_NOVELTY:
+        if novelty(text[max(a - AROUND, 0):a], text[a:b], text[b:b + AROUND]) >= MIN_NOVELTY:
             out.append((a, 3, b))
     return out
 

@@ -278,6 +278,22 @@ def test_novel_strings_are_reported(spark, edge):
     assert secret_scan.secrets(edge.limit(0)).count() == 0
 
 
+def novel(text, identifiers=()):
+    return [text[a:b] for a, _, b in secret_scan.novel_spans(text, secret_scan.base_spans(text), secret_scan.Novelty(list(identifiers)))]
+
+
+KEY40 = "wJalrXUtnFEMI/K7MDENG+bPxRfiCYzQ3hT9vLkA"
+
+
+def test_a_value_joined_to_its_name_is_reported():
+    names = ["aws_secret_access_key", "client_id", "access_key", "pwd", "https://host/path?session", "export AWS_SECRET_ACCESS_KEY"]
+    for name in names:
+        for value in (KEY40, KEY40[:22] + "=="):
+            assert novel(f"{name}={value}\nend") == [value], name
+    assert novel(f"plain_identifier={KEY40} end") == []
+    assert novel(f"session secret {KEY40[:5]}=Ab3dE6gH9jQ") == [f"{KEY40[:5]}=Ab3dE6gH9jQ"]  # no part is long: the run
+
+
 # --- SimHash
 
 def brute_fingerprint(text):
