@@ -9,12 +9,14 @@ marginal compressed size,
 
 under a compressor primed with the corpus' identifiers: words and names that
 the dictionary or the surrounding code explain cost a fraction of a byte per
-character, random keys most of one.
+character, random keys most of one. The candidate's own repeats are blanked in
+the context: a key that stands there twice does not explain itself.
 
 The identifier dictionary is counted over all documents (pre-aggregated, top
 ``DICTIONARY_SIZE`` by count, then name) and is the only thing broadcast; its
-bytes are bounded by ``DICTIONARY_BYTES``. Everything else is a map over whole
-texts.
+bytes are bounded by ``DICTIONARY_BYTES``. A text's candidates in sensitive
+context are not counted wherever they stand in it, so copies of a text, however
+many, do not explain its keys. Everything else is a map over whole texts.
 
 Defined cases: NULL text is empty; ties in the dictionary are broken by name;
 repeated rows get equal results; an empty table has an empty dictionary.
@@ -54,6 +56,7 @@ _SENSITIVE = re.compile(r"passw|pwd|secret|token|api.?key|private.?key|access.?k
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
 # of a run NAME=VALUE the parts count; "=" is padding at the end only
 _PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=+\Z)?")
+_UNPADDED = re.compile(r"[A-Za-z0-9+/_-]+")
 _DIGIT = re.compile(r"[0-9]")
 _IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{2,}"
 
@@ -104,6 +107,33 @@ def _in_context(text: str) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
+def _surroundings(text: str, a: int, b: int) -> tuple[str, str, str]:
+    """(before, candidate, after) with repeats of the candidate blanked, also those that the context cuts."""
+    candidate = text[a:b]
+    own = candidate.rstrip("=") or candidate
+    more, blank = AROUND + len(own), "\n" * len(own)
+    before, after = (x.replace(own, blank) for x in (text[max(a - more, 0):a], text[b:b + more]))
+    return before[-AROUND:], candidate, after[:AROUND]
+
+
+def _without_candidates(text: str) -> str:
+    """``text`` without its candidates in sensitive context, there and wherever they are repeated."""
+    found, out, at = set(), [], 0
+    for a, b in _in_context(text):
+        found.add(text[a:b].rstrip("="))
+        out += [text[at:a], " "]
+        at = b
+    if not found:
+        return text
+    return _UNPADDED.sub(lambda m: " " if m[0] in found else m[0], "".join([*out, text[at:]]))
+
+
+def _plain_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [_without_candidates(t or "") for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Incompressible strings in sensitive context that touch no base span."""
     out, j = [], 0
@@ -113,15 +143,18 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
             j += 1
         if any(s < b and e > a for s, e in taken[j:j + len(KINDS)]):
             continue
-        if novelty(text[max(a - AROUND, 0):a], text[a:b], text[b:b + AROUND]) >= MIN_NOVELTY:
+        if novelty(*_surroundings(text, a, b)) >= MIN_NOVELTY:
             out.append((a, 3, b))
     return out
 
 
 def identifier_dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY_SIZE) -> list[str]:
     """The most frequent identifiers of the corpus, at most ``size``. Names of a
-    key's length with a digit stay out: a key that copies repeat explains nothing."""
-    names = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_IDENTIFIER), F.lit(0))).alias("name"))
+    key's length with a digit stay out: a key that copies repeat explains nothing.
+    For the same reason a text's candidates near sensitive words are not counted."""
+    arrow_rows(docs.sparkSession)
+    texts = docs.select(F.col(text).cast("string").alias("text"))
+    names = texts.mapInArrow(_plain_texts, "text string").select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(_IDENTIFIER), F.lit(0))).alias("name"))
     plain = (F.length("name") < MIN_LENGTH) | (~F.col("name").rlike("[0-9]") & (F.length("name") <= IDENTIFIER_MAX))
     counts = cut(names.filter(plain).groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= IDENTIFIER_MIN_COUNT))
     total = counts.agg(F.sum("n")).first()[0] or 0

@@ -294,6 +294,20 @@ def test_a_value_joined_to_its_name_is_reported():
     assert novel(f"session secret {KEY40[:5]}=Ab3dE6gH9jQ") == [f"{KEY40[:5]}=Ab3dE6gH9jQ"]  # no part is long: the run
 
 
+def test_a_repeated_secret_does_not_explain_itself(spark):
+    for apart in (3, 60, 115, 190):  # 115: the context cuts the other one
+        text = f"session {KEY40}{' x' * apart} bearer {KEY40} end"
+        assert novel(text) == [KEY40] * 2, apart
+    assert novel(f"bearer {KEY40[:30]}== and credential {KEY40[:30]} end") == [KEY40[:30] + "==", KEY40[:30]]
+    key = "qwzxvbnmkjhgfdptyrwq"  # letters only, in a thousand copies and once more in each
+    rows = [(i, f"bearer {key} end of common_name{' x' * 200} {key}", "py", "s", 0) for i in range(1000)]
+    rows += [(1000 + i, "client_id=Zq-wVxj-Kpm+Trn/BgfLdw other_name", "py", "s", 0) for i in range(50)]
+    frame = spark.createDataFrame(rows, DOCS)
+    assert secret_scan.identifier_dictionary(frame) == ["bearer", "common_name", "end", "client_id", "other_name"]
+    spans = secret_scan.secrets(frame).select(pii.span_text("spans", secret_scan.KINDS).alias("x")).distinct().collect()
+    assert {r["x"] for r in spans} == {"novel:7:27", "novel:10:32"}
+
+
 # --- SimHash
 
 def brute_fingerprint(text):
