@@ -1,9 +1,12 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 Base matches are found by pattern (fixed values of the query's contract). The
-method adds ``novel`` spans: strings of at least ``MIN_LENGTH`` characters near
-a sensitive word that stay incompressible. A candidate's novelty is its
-marginal compressed size,
+method adds ``novel`` spans: strings of at least ``MIN_LENGTH`` characters in
+sensitive context that stay incompressible. The context is a sensitive word
+that ends at most ``NEAR`` characters before, the PEM block of a private key,
+or a reported string with only a line break between (a key of many
+lines). The short last line of a PEM block is reported with its block. A
+candidate's novelty is its marginal compressed size,
 
     (bytes(context + candidate) - bytes(context)) / length,
 
@@ -58,6 +61,10 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
 _PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=+\Z)?")
 _UNPADDED = re.compile(r"[A-Za-z0-9+/_-]+")
 _DIGIT = re.compile(r"[0-9]")
+# the body of a private key block that has an end; the short last line of one
+_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----((?:(?!-----)[\s\S])*)(?=-----END )", re.A)
+_TAIL = re.compile(r"(?:\r?\n|\\r|\\n)+[ \t]*([A-Za-z0-9+/=]{1,%d})(?=[ \t]*(?:\r?\n|\\r|\\n)+[ \t]*-----END )" % (MIN_LENGTH - 1))
+_BREAK = re.compile(r"[ \t]*(?:\r?\n|\\r|\\(?=n))[ \t]*")
 _IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{2,}"
 
 
@@ -95,16 +102,22 @@ def _candidates(text: str) -> Iterator[tuple[int, int]]:
         yield from parts or [m.span()]
 
 
-def _in_context(text: str) -> Iterator[tuple[int, int]]:
-    """Candidates near a sensitive word that comes before them."""
+def _in_context(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, follows) of the candidates near a sensitive word that comes
+    before them, in a private key block, or, ``follows``, on the line after another."""
     marks, i = [m.span() for m in _SENSITIVE.finditer(text)], 0
     if not marks:
         return
+    blocks, k, last = [m.span(1) for m in _BLOCK.finditer(text)], 0, -1
     for a, b in _candidates(text):
         while i < len(marks) and marks[i][1] < a - NEAR:
             i += 1
-        if i < len(marks) and marks[i][0] < a:
-            yield a, b
+        while k < len(blocks) and blocks[k][1] <= a:
+            k += 1
+        near = i < len(marks) and marks[i][0] < a or k < len(blocks) and blocks[k][0] <= a
+        if near or last >= 0 and _BREAK.fullmatch(text, last, a):
+            yield a, b, not near
+            last = b
 
 
 def _surroundings(text: str, a: int, b: int) -> tuple[str, str, str]:
@@ -119,7 +132,7 @@ def _surroundings(text: str, a: int, b: int) -> tuple[str, str, str]:
 def _without_candidates(text: str) -> str:
     """``text`` without its candidates in sensitive context, there and wherever they are repeated."""
     found, out, at = set(), [], 0
-    for a, b in _in_context(text):
+    for a, b, _ in _in_context(text):
         found.add(text[a:b].rstrip("="))
         out += [text[at:a], " "]
         at = b
@@ -136,15 +149,21 @@ def _plain_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Incompressible strings in sensitive context that touch no base span."""
-    out, j = [], 0
+    out, j, last = [], 0, -1
     taken = sorted((a, b) for a, _, b in base)
-    for a, b in _in_context(text):
+    for a, b, follows in _in_context(text):
+        if follows and not (last >= 0 and _BREAK.fullmatch(text, last, a)):
+            continue
         while j < len(taken) and taken[j][1] <= a:
             j += 1
         if any(s < b and e > a for s, e in taken[j:j + len(KINDS)]):
             continue
         if novelty(*_surroundings(text, a, b)) >= MIN_NOVELTY:
             out.append((a, 3, b))
+            last = b
+            tail = _TAIL.match(text, b)
+            if tail:
+                out.append((tail.start(1), 3, tail.end(1)))
     return out
 
 

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and their defined cases."""
 
+import base64
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -308,6 +309,20 @@ def test_a_repeated_secret_does_not_explain_itself(spark):
     assert {r["x"] for r in spans} == {"novel:7:27", "novel:10:32"}
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n"])
+def test_all_lines_of_a_key_are_reported(end):
+    lines = [base64.b64encode(hashlib.sha512(bytes([i])).digest()[:48]).decode() for i in range(25)]
+    for head in ("", f"Proc-Type: 4,ENCRYPTED{end}DEK-Info: AES-128-CBC,2AF25325A9B286F0{end}{end}"):
+        for tail in ("q9ZbT1w=", lines[0][:-4]):
+            text = f"-----BEGIN RSA PRIVATE KEY-----{end}{head}{end.join([*lines, tail])}{end}-----END RSA PRIVATE KEY-----{end}"
+            found = "|".join(novel(text + f"{' word' * 20}{end}{KEY40}{end}x"))
+            assert all(x in found for x in [*lines, tail]) and KEY40 not in found
+    lines = [x[:40] for x in lines]
+    if end == "\n":  # no block: as far as lines follow each other
+        assert novel("session\n" + "\n".join(lines[:9]) + "\n\nthen\n" + lines[10]) == lines[:9]
+        assert novel("session\n" + lines[0] + "\n" + "name_" * 8 + "\n" + lines[1] + "\n" + lines[2]) == lines[:1]
+
+
 # --- SimHash
 
 def brute_fingerprint(text):
