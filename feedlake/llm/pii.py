@@ -8,9 +8,10 @@ when knowing the term leaves at most ``MAX_BITS`` of the entity's information:
 
     IC(e) - PMI(e; t) = -log2 p(e | t) <= MAX_BITS
 
-and the pair was seen in at least ``MIN_SETTINGS`` different settings (the
-words around the entity), so copies of a passage count once. Terms above
-the threshold get spans of kind ``term`` wherever they occur outside base
+and the pair was seen in at least ``MIN_TEXTS`` different texts. For a term
+that no text holds without the entity, ``DECISIVE_TEXTS`` are enough if the
+words around the entity differ (a passage copied whole counts once here).
+Exact copies always count once. Terms above the threshold get spans of kind ``term`` wherever they occur outside base
 spans; ``sanitise`` generalises base spans to their kind and removes terms.
 
 Texts go through Python once for the contexts (only documents with an entity
@@ -38,7 +39,8 @@ from feedlake.llm.common import NARROW_BATCH_ROWS, arrow_rows, cut, null_key
 
 CONTEXT = 8
 MAX_BITS = 0.5
-MIN_SETTINGS = 5
+MIN_TEXTS = 5
+DECISIVE_TEXTS = 2
 FILTER_BITS = 1 << 24
 #: Words whose look-up a task remembers: how many, and the longest.
 REMEMBERED = 1 << 16
@@ -142,25 +144,30 @@ _PAIR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("setting", pa.
 
 def _entity_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [_contexts(t or "") for t in batch.column(0).to_pylist()]
+        found = [_contexts(t or "") for t in batch.column(1).to_pylist()]
         hit = [i for i, p in enumerate(found) if p]
         pairs = [[{"entity": e, "term": t, "setting": x} for e, t, x in found[i]] for i in hit]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.list_(_PAIR))], names=["pairs"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit, pa.int64())), pa.array(pairs, pa.list_(_PAIR))],
+                                         names=["kt", "pairs"])
 
 
-def disclosing_terms(docs: DataFrame, text: str = "text", max_bits: float = MAX_BITS, min_settings: int = MIN_SETTINGS) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text: str = "text", max_bits: float = MAX_BITS, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(term): hashes of the terms that disclose some entity."""
     arrow_rows(docs.sparkSession)
-    rows = docs.select(F.col(text).cast("string").alias("text"))
-    near = rows.mapInArrow(_entity_pairs, "pairs array<struct<entity:bigint,term:bigint,setting:bigint>>")
-    settings = near.select(F.inline("pairs")).groupBy("entity", "term", "setting").agg(F.count("*").alias("n"))
-    pairs = settings.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("settings")).filter(
-        F.col("settings") >= min_settings)
+    rows = docs.select(F.xxhash64(text).alias("kt"), F.col(text).cast("string").alias("text"))
+    near = rows.mapInArrow(_entity_pairs, "kt bigint, pairs array<struct<entity:bigint,term:bigint,setting:bigint>>")
+    per_text = near.select("kt", F.inline("pairs")).groupBy("entity", "term", "kt").agg(
+        F.count("*").alias("n"), F.min("setting").alias("setting"))
+    pairs = per_text.groupBy("entity", "term").agg(
+        F.sum("n").alias("both"), (F.count("*") >= min_texts).alias("usual"),
+        ((F.count("*") >= DECISIVE_TEXTS) & (F.min("setting") != F.max("setting"))).alias("varied")).filter("usual OR varied")
     words = F.array_distinct(F.split(F.lower(F.col("text")), _TERM_SEP))
     counts = (rows.select(F.explode(words).alias("w")).select(F.xxhash64("w").alias("term"))
               .groupBy("term").agg(F.count("*").alias("n")))
     met = pairs.join(counts, "term")
-    return met.filter(-F.log2(F.least(F.col("both") / F.col("n"), F.lit(1.0))) <= max_bits).select("term").distinct()
+    bits = -F.log2(F.least(F.col("both") / F.col("n"), F.lit(1.0)))
+    enough = F.col("usual") | (F.col("varied") & (F.col("both") >= F.col("n")))
+    return met.filter((bits <= max_bits) & enough).select("term").distinct()
 
 
 def _bitmap(terms: DataFrame, bits: int) -> bytes:
@@ -215,10 +222,10 @@ def _span_scan(bitmap: bytes, bits: int):
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: float = MAX_BITS,
-                  min_settings: int = MIN_SETTINGS, filter_bits: int = FILTER_BITS) -> DataFrame:
+                  min_texts: int = MIN_TEXTS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Per row: ``key``, k0 and kt (its identity), ``base`` (kind, s, e) and
     ``spans``: base spans and disclosing terms (kind 4), by kind, then start."""
-    terms = cut(disclosing_terms(docs, text, max_bits, min_settings))
+    terms = cut(disclosing_terms(docs, text, max_bits, min_texts))
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("kt"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -250,6 +250,23 @@ def test_disclosing_terms(spark):
     assert pii.personal_data(frame.limit(0)).count() == 0
 
 
+def test_terms_of_a_signature_and_of_a_rare_entity(spark):
+    def own(i, n=20):
+        return " ".join(f"own{i}x{j}" for j in range(n))
+    block = "with kind regards from Zorblax Quimby your desk at joe@example.com or call the office before noon on any day"
+    rows = [(i, f"{own(i)} {block} {own(f'{i}y')}", "en", "s", 0) for i in range(30)]  # one block, many texts
+    rows += [(100 + i, f"{own(f'{i}z')} Wexford can be met at rare@example.com {own(f'{i}w')}", "en", "s", 0) for i in range(2)]
+    rows += [(200 + i, f"{own('c')} Yarrow sits at copied@example.com {own('d')}", "en", "s", 0) for i in range(20)]  # one text
+    rows += [(300, f"{own(300)} Single once@example.com {own(301)}", "en", "s", 0)]
+    rows += [(400 + i, "with kind regards from your desk at or call the office before noon on any day can be met sits", "en", "s", i)
+             for i in range(60)]
+    frame = spark.createDataFrame(rows, DOCS)
+    terms = {r["term"] for r in pii.disclosing_terms(frame).collect()}
+    assert terms == {pii.term_hash(w) for w in ("zorblax", "quimby", "wexford")}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(frame).collect()}
+    assert "Zorblax" not in clean[7] and "Wexford" not in clean[101] and "Yarrow" in clean[200]
+
+
 # --- secrets
 
 def brute_secrets(text):
