@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import arrow_rows
+from feedlake.llm.common import slices
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,6 @@ def format_turns(conversations: DataFrame, template: Template = TEMPLATE, conv:
     """One row per turn, in order within its conversation: conv, seq (from 0),
     segments and valid_so_far. The partitioning by conv and the order are kept
     for readers."""
-    arrow_rows(conversations.sparkSession)
     rows = conversations.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"),
                                 F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
                                 F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -87,7 +86,7 @@ def format_turns(conversations: DataFrame, template: Template = TEMPLATE, conv:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state, valid, seq = None, "", True, 0
-        for batch in batches:
+        for batch in slices(batches):
             ids, roles, texts = (batch.column(i).to_pylist() for i in (0, 2, 3))
             seqs, parts, oks = [], [], []
             for i, new in _changes(ids, last):
@@ -136,7 +135,7 @@ def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), schema)], names=names)
 
-        for batch in batches:
+        for batch in slices(batches):
             schema = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
             done, ids, parts, oks = [], batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for i, new in _changes(ids, None if now is None else (now.conv,)):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,21 +15,22 @@ from feedlake.session import checkpoint_root
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD_RUN = r"[^\x20\x09-\x0D]+"
 
-#: Rows an Arrow batch carries to a Python worker. Texts may be long, so a
-#: batch holds few of them: memory is bounded by this many texts, and by the
-#: longest text alone beyond that.
-TEXT_BATCH_ROWS = 128
-NARROW_BATCH_ROWS = 10_000
+#: Texts that a Python function works on at a time. Spark itself closes an
+#: Arrow batch at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch), or after
+#: the one text that is longer.
+TEXT_ROWS = 128
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def arrow_rows(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Rows per Arrow batch of the plans that run from here on: few for whole
-    texts (the default), ``NARROW_BATCH_ROWS`` for rows of numbers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterable[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows, without a copy, so that what a
+    function derives from whole texts is bounded whatever the session's batch size."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import NARROW_BATCH_ROWS, arrow_rows, cut, null_key
+from feedlake.llm.common import cut, null_key, slices
 from feedlake.llm.tokens import STEP, Powers, Words, mix
 
 WINDOW = 10
@@ -96,7 +96,7 @@ def _scan(pick):
     gives the (word position, length, hash, words to each side) of the candidates of a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
+        for batch in slices(batches):
             words = _Windows(batch.column(2), powers)
             cands: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for at, k, h, side in pick(words):
@@ -167,7 +167,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     (words inside an occurrence of a benchmark window), spans (of words, end
     exclusive, NULL for none), items (sorted ids with an occurring window)."""
     spark = docs.sparkSession
-    arrow_rows(spark)
     windows = cut(_benchmark_windows(benchmark, item, item_text))
     lengths = [r["n"] for r in windows.filter("whole").select("n").distinct().orderBy("n").collect()]  # below WINDOW
     pick = _document_pick(_bitmap(windows, filter_bits), filter_bits, lengths)
@@ -175,7 +174,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("kt"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     scanned = cut(rows.mapInArrow(_scan(pick), f"id {kind}, kt bigint, n_words bigint, cands {_CAND_SQL}"))
-    arrow_rows(spark, NARROW_BATCH_ROWS)
     scanned = scanned.withColumn("k0", null_key(F.col("id")))
 
     # contexts that several items share meet the documents once

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import NARROW_BATCH_ROWS, WORD_RUN, arrow_rows, cut, null_key, without
+from feedlake.llm.common import WORD_RUN, cut, null_key, without
 
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
@@ -180,7 +180,6 @@ def mix(docs: DataFrame, weights, key: str = "doc_id", text: str = "text", sourc
     per taken piece of a document src, start, shard, slot, epoch and the words
     [lo, hi) of the document."""
     spark = docs.sparkSession
-    arrow_rows(spark, NARROW_BATCH_ROWS)
     rows = cut(docs.select(F.col(key).alias("id"), null_key(F.col(key)).alias("k0"), F.xxhash64(text).alias("kt"),
                            F.col(source).cast("string").alias("source"), null_key(F.col(source)).alias("s0"),
                            word_count(F.col(text)).alias("size")))
@@ -259,7 +258,6 @@ def mixed_documents(docs: DataFrame, weights, key: str = "doc_id", text: str = "
     packed = docs.select(null_key(F.col(key)).alias("k0"), F.xxhash64(text).alias("kt"), null_key(F.col(source)).alias("s0"),
                          F.col(text).alias("t"), F.struct(*without(docs, text)).alias("rec"))
     packed = packed.dropDuplicates(["k0", "kt", "s0"]).join(spans, ["k0", "kt", "s0"])
-    arrow_rows(docs.sparkSession)
 
     @F.pandas_udf("string")
     def words_taken(t: pd.Series, spans: pd.Series) -> pd.Series:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import NARROW_BATCH_ROWS, arrow_rows, cut, null_key
+from feedlake.llm.common import cut, null_key, slices
 
 CONTEXT = 8
 MAX_BITS = 0.5
@@ -143,7 +143,7 @@ _PAIR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("setting", pa.
 
 
 def _entity_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [_contexts(t or "") for t in batch.column(1).to_pylist()]
         hit = [i for i, p in enumerate(found) if p]
         pairs = [[{"entity": e, "term": t, "setting": x} for e, t, x in found[i]] for i in hit]
@@ -153,7 +153,6 @@ def _entity_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def disclosing_terms(docs: DataFrame, text: str = "text", max_bits: float = MAX_BITS, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(term): hashes of the terms that disclose some entity."""
-    arrow_rows(docs.sparkSession)
     rows = docs.select(F.xxhash64(text).alias("kt"), F.col(text).cast("string").alias("text"))
     near = rows.mapInArrow(_entity_pairs, "kt bigint, pairs array<struct<entity:bigint,term:bigint,setting:bigint>>")
     per_text = near.select("kt", F.inline("pairs")).groupBy("entity", "term", "kt").agg(
@@ -207,7 +206,7 @@ def _span_scan(bitmap: bytes, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _term_lookup(bitmap, bits)
-        for batch in batches:
+        for batch in slices(batches):
             spans, hits = [], []
             for t in batch.column(2).to_pylist():
                 base = base_spans(t or "")
@@ -226,13 +225,11 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", max_
     """Per row: ``key``, k0 and kt (its identity), ``base`` (kind, s, e) and
     ``spans``: base spans and disclosing terms (kind 4), by kind, then start."""
     terms = cut(disclosing_terms(docs, text, max_bits, min_texts))
-    arrow_rows(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("kt"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     scanned = cut(rows.mapInArrow(_span_scan(_bitmap(terms, filter_bits), filter_bits),
                                   f"id {kind}, kt bigint, base array<struct<kind:int,s:bigint,e:bigint>>, "
                                   "hits array<struct<term:bigint,s:bigint,e:bigint>>"))
-    arrow_rows(docs.sparkSession, NARROW_BATCH_ROWS)
     scanned = scanned.withColumn("k0", null_key(F.col("id")))
     more = (scanned.filter(F.size("hits") > 0).select("k0", "kt", F.inline("hits")).join(terms, "term")
             .groupBy("k0", "kt").agg(F.sort_array(F.collect_set(F.struct(F.lit(4).alias("kind"), "s", "e"))).alias("more")))
@@ -255,7 +252,6 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     rows = docs.select(F.struct(*docs.columns).alias("rec"), F.col(text).alias("t"), null_key(F.col(key)).alias("k0"),
                        F.xxhash64(text).alias("kt"))
     rows = rows.join(found, (F.col("k0") == F.col("found_k0")) & (F.col("kt") == F.col("found_kt")), "left")
-    arrow_rows(docs.sparkSession)
 
     @F.pandas_udf("string")
     def cleaned(t, spans):

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import chat, decontaminate, mixing, pii, quality, secret_scan, sharding, simhash, toxicity, warc
-from feedlake.llm.common import cut, read_table
+from feedlake.llm import chat, decontaminate, mixing, pii, quality, repair, secret_scan, sharding, simhash, toxicity, warc
+from feedlake.llm.common import cut, null_key, read_table
 from feedlake.llm.oracles import ORACLES  # noqa: F401
 
 SHARDS = 40
@@ -88,6 +88,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept", "n_removed_words")
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    found = repair.repair(repair.damaged(turns))
+    ids = turns.select("conv_id").distinct().withColumn("k", null_key(F.col("conv_id")))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in
+              ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.join(found, "k", "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -99,4 +110,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op13_repair": op13_repair,
 }

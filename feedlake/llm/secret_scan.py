@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import arrow_rows, cut
+from feedlake.llm.common import cut, slices
 
 KINDS = ("assign", "access", "hex", "novel")
 DICTIONARY_SIZE = 8192
@@ -142,7 +142,7 @@ def _without_candidates(text: str) -> str:
 
 
 def _plain_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = [_without_candidates(t or "") for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
 
@@ -171,7 +171,6 @@ def identifier_dictionary(docs: DataFrame, text: str = "text", size: int = DICTI
     """The most frequent identifiers of the corpus, at most ``size``. Names of a
     key's length with a digit stay out: a key that copies repeat explains nothing.
     For the same reason a text's candidates near sensitive words are not counted."""
-    arrow_rows(docs.sparkSession)
     texts = docs.select(F.col(text).cast("string").alias("text"))
     names = texts.mapInArrow(_plain_texts, "text string").select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(_IDENTIFIER), F.lit(0))).alias("name"))
     plain = (F.length("name") < MIN_LENGTH) | (~F.col("name").rlike("[0-9]") & (F.length("name") <= IDENTIFIER_MAX))
@@ -187,12 +186,11 @@ _SPAN = pa.struct([("kind", pa.int32()), ("s", pa.int64()), ("e", pa.int64())])
 def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", dictionary_size: int = DICTIONARY_SIZE) -> DataFrame:
     """Per row: ``key`` and ``spans`` (kind, s, e), by start, then kind."""
     identifiers = identifier_dictionary(docs, text, dictionary_size)
-    arrow_rows(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(identifiers)
-        for batch in batches:
+        for batch in slices(batches):
             spans = []
             for t in batch.column(1).to_pylist():
                 base = base_spans(t or "")

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import NARROW_BATCH_ROWS, arrow_rows, cut, null_key
+from feedlake.llm.common import cut, null_key, slices
 
 SHINGLE = 3
 RADIUS = 2
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([text_fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))],
                                              names=["id", "kt", "fp"])
@@ -223,9 +223,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
                     radius: int = RADIUS) -> DataFrame:
     """Per row: ``key``, kt (text hash), fp, root (a fingerprint that names the
     component) and ``component_id``, the smallest key in the component."""
-    arrow_rows(docs.sparkSession)
     rows = cut(fingerprints(docs, key, text, shingle))
-    arrow_rows(docs.sparkSession, NARROW_BATCH_ROWS)
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     rooted = stars(links(nodes.select("fp"), radius))
     labels = nodes.join(rooted, nodes["fp"] == rooted["node"], "left").select(

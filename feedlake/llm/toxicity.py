@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import arrow_rows
+from feedlake.llm.common import slices
 from feedlake.llm.tokens import Powers, Words
 
 FOLDS = 5
@@ -153,7 +153,7 @@ def fit(rows: list[tuple[np.ndarray, int, float]], groups=IDENTITY_GROUPS) -> Cl
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
-    for batch in batches:
+    for batch in slices(batches):
         text, hashes = _presence(batch.column(2), powers)
         ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))],
@@ -167,7 +167,6 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         F.col(key).alias("label_key"), F.col(label).cast("int").alias("label"))
     share = min(1.0, max_train / max(usable.count(), 1))
     drawn = usable.filter(F.pmod(F.xxhash64(F.lit(7), "label_key"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    arrow_rows(docs.sparkSession)
     # about max_train narrow rows: bounded, whatever the input
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("text")).join(
         F.broadcast(drawn), F.col(key) == F.col("label_key"))
@@ -183,12 +182,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``key``, held_out, score and predicted."""
-    arrow_rows(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1), powers))],
                                              names=["id", "score"])
 

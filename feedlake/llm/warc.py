@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import arrow_rows
+from feedlake.llm.common import slices
 
 MIN_REVISIT = 100
 FRAME_BYTES = 1 << 18
@@ -162,7 +162,7 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{made:06d}"]), pa.array([len(writer.index)]),
                                            pa.array([writer.finish()], pa.binary())], names=["bundle", "records", "archive"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for i in range(batch.num_rows):
             key, url, payload, digest, refers_to = (c[i].as_py() for c in batch.columns)
             writer.add(record_id(key), warc_record(key, url, payload, digest, refers_to))
@@ -175,7 +175,6 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bundles(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """One row per bundle of the records of ``pages``, revisits resolved."""
-    arrow_rows(pages.sparkSession)
     body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
@@ -210,7 +209,7 @@ def records(archives: DataFrame, keys: list[str | None] | None = None, payloads:
     wanted = None if keys is None else {record_id(k) for k in keys}
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             for name, archive in zip(batch.column(0), batch.column(2)):
                 reader, out = BundleReader(archive.as_py()), []
                 for i, entry in enumerate(reader.index):
@@ -230,5 +229,4 @@ def records(archives: DataFrame, keys: list[str | None] | None = None, payloads:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
                                                  names=[x.split()[0] for x in RECORD_SCHEMA.split(", ")])
 
-    arrow_rows(archives.sparkSession, 1)  # one bundle at a time
     return archives.select("bundle", "records", "archive").mapInArrow(unpack, RECORD_SCHEMA)
