@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import chat, decontaminate, mixing, pii, quality, repair, secret_scan, sharding, simhash, toxicity, variants, warc
+from feedlake.llm import chat, decontaminate, mixing, neighbours, pii, quality, repair, secret_scan, sharding, simhash, toxicity, variants, warc
 from feedlake.llm.common import cut, null_key, read_table
 from feedlake.llm.oracles import ORACLES  # noqa: F401
 
@@ -88,6 +88,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept", "n_removed_words")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, F.col("id") % 100 == 0).select(
+        "query_id", "rank", F.col("neighbour").alias("vec_id"), "score")
+
+
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = variants.words(read_table(spark, sf_dir, "documents"), drop_every=97)
     return variants.group(variants.vocabulary(found)).select("word", "form", "root", "n", "n_near", "form_n")
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_neighbours": op11_neighbours,
     "op12_variants": op12_variants,
     "op13_repair": op13_repair,
 }
