@@ -1,148 +1,146 @@
-"""The record store: immutable bucket folders and one manifest.
-
-Rows live in ``data/version=<v>/bucket=<pmod(xxhash64(key), N)>`` Parquet
-folders. The manifest (``_manifest/<number>.json``) names the current version
-of every bucket, the bucket count and the loads that are in. An upsert reads
-only the buckets its batch touches, merges them (``operators.upsert``: one
-full outer join on the key), writes them as a new version and then creates
-the next manifest, which is the commit: until then readers see the old
-buckets, and nothing is overwritten in place. A crash before it leaves unread
-files only. A manifest number can be created once, so of two concurrent
-writers one fails. The folders that the manifest before last alone refers to
-are deleted after a commit.
-
-``batch_id`` (per ``source``) makes a load idempotent: the manifest that
-commits the rows also records the load. The bucket count is part of the
+"""The record store: versioned bucket folders and a table of loads that points to them.
+
+Rows live in ``data/folder=<load>/bucket=<pmod(xxhash64(key), N)>`` Parquet
+folders. ``loads`` is a small Parquet table with one row a load: its version,
+folder, the buckets it wrote, the store's schema from then on, and the load's
+source and batch. The newest load that wrote a bucket points to its rows.
+
+An upsert reads only the buckets its batch touches, merges them
+(``operators.upsert``: one full outer join on the key), writes them to a folder of
+its own and then appends its row to ``loads``, which is the commit: a crash
+before it leaves an unread folder, nothing is overwritten in place. Of two writers
+of one version the first counts and the other one fails. A column that a batch
+adds joins the store's schema; rows of older loads read as NULL there.
+
+``batch_id`` (per ``source``) makes a load idempotent. The bucket count is part of the
 store; another count is refused. The cost of a load grows with the buckets it
-touches; size ``n_buckets`` to about store size / 1 GB. With a table format
-prefer ``operators.upsert.merge_into``.
-"""
+touches; size ``n_buckets`` to about store size / 1 GB. Folders that no bucket points
+to may be deleted by whoever runs the store. With a table format prefer
+``operators.upsert.merge_into``.
+
+Files are sorted by key with a bloom filter on it, so a lookup of one key opens one
+bucket and, if the key is absent, reads no row group."""
 
 from __future__ import annotations
 
 import json
 import os
 import uuid
+from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedlake.operators.upsert import upsert_by_key
 
-BUCKET = "bucket"
-DATA, MANIFESTS = "data", "_manifest"
+BUCKET, FOLDER = "bucket", "folder"
+DATA, LOADS = "data", "loads"
 DEFAULT_BUCKETS = 64
+LOAD_ROW = "version bigint, folder string, source string, batch_id string, n_buckets int, touched array<int>, store_schema string"
 
 
-def bucket_of(key, n_buckets: int = DEFAULT_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(n_buckets)).cast("int")
-
+class State(NamedTuple):
+    """What the loads say: 0, None, {} and None before the first one."""
+    version: int
+    n_buckets: int | None
+    folders: dict[int, str]
+    schema: T.StructType | None
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
-
-def _manifest_numbers(spark: SparkSession, root: str) -> list[int]:
-    fs, p, _ = _fs(spark, os.path.join(root, MANIFESTS))
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
+def bucket_of(key, n_buckets: int = DEFAULT_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(n_buckets)).cast("int")
 
 
-def _read_manifest(spark: SparkSession, root: str, number: int) -> dict:
-    fs, p, jvm = _fs(spark, os.path.join(root, MANIFESTS, f"{number:012d}.json"))
-    stream = fs.open(p)
+def loads(spark: SparkSession, root: str) -> DataFrame | None:
+    """The committed loads, one row a version: of two the one that was written first."""
     try:
-        return json.loads(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-    finally:
-        stream.close()
+        rows = spark.read.schema(LOAD_ROW).parquet(os.path.join(root, LOADS))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    written = F.struct(F.col("_metadata.file_modification_time"), F.col(FOLDER))
+    return rows.select(F.struct(*rows.columns).alias("x"), written.alias("at")).groupBy("x.version").agg(
+        F.min_by("x", "at").alias("x")).select("x.*")
 
 
-def current(spark: SparkSession, root: str) -> tuple[int, dict]:
-    """(number, manifest) of the store; number 0 before the first load."""
-    numbers = _manifest_numbers(spark, root)
-    if not numbers:
-        return 0, {"n_buckets": None, "buckets": {}, "loads": {}}
-    return numbers[-1], _read_manifest(spark, root, numbers[-1])
+def current(spark: SparkSession, root: str) -> State:
+    rows = loads(spark, root)
+    last = None if rows is None else rows.orderBy(F.desc("version")).first()
+    if last is None:
+        return State(0, None, {}, None)
+    # one row a bucket
+    newest = (rows.select(F.explode("touched").alias(BUCKET), "version", FOLDER)
+              .groupBy(BUCKET).agg(F.max_by(FOLDER, "version").alias(FOLDER)).collect())
+    return State(last["version"], last["n_buckets"], {r[BUCKET]: r[FOLDER] for r in newest},
+                 T.StructType.fromJson(json.loads(last["store_schema"])))
 
 
-def _commit(spark: SparkSession, root: str, number: int, manifest: dict) -> None:
-    fs, target, jvm = _fs(spark, os.path.join(root, MANIFESTS, f"{number:012d}.json"))
-    draft = jvm.org.apache.hadoop.fs.Path(os.path.join(root, MANIFESTS, f"_draft-{uuid.uuid4().hex}"))
-    out = fs.create(draft, True)
-    out.write(bytearray(json.dumps(manifest).encode()))
-    out.close()
-    if fs.exists(target) or not fs.rename(draft, target):
-        raise RuntimeError(f"another load committed manifest {number} of {root}")
+def _is_committed(rows: DataFrame | None, batch_id, source: str) -> bool:
+    return rows is not None and not rows.filter((F.col("source") == source) & (F.col("batch_id") == str(batch_id))).isEmpty()
 
 
 def committed(spark: SparkSession, root: str, batch_id, source: str = "load") -> bool:
-    return str(batch_id) in current(spark, root)[1]["loads"].get(source, [])
+    return _is_committed(loads(spark, root), batch_id, source)
+
+
+def _commit(spark: SparkSession, root: str, state: State, folder: str, touched: list[int], source: str, batch_id) -> None:
+    batch = None if batch_id is None else str(batch_id)
+    row = (state.version, folder, source, batch, state.n_buckets, touched, state.schema.json())
+    spark.createDataFrame([row], LOAD_ROW).coalesce(1).write.mode("append").parquet(os.path.join(root, LOADS))
+    if loads(spark, root).filter(F.col(FOLDER) == folder).isEmpty():
+        raise RuntimeError(f"another load committed version {state.version} of {root}")
 
 
-def _folder(root: str, bucket: str, version: str) -> str:
-    return os.path.join(root, DATA, f"version={version}", f"{BUCKET}={bucket}")
+def _read(spark: SparkSession, root: str, state: State, buckets=None) -> DataFrame | None:
+    wanted = state.folders if buckets is None else {b: state.folders[b] for b in buckets if b in state.folders}
+    paths = [os.path.join(root, DATA, f"{FOLDER}={f}", f"{BUCKET}={b}") for b, f in sorted(wanted.items())]
+    if not paths:
+        return None
+    schema = T.StructType([*state.schema.fields, T.StructField(BUCKET, T.IntegerType())])
+    return spark.read.schema(schema).option("basePath", os.path.join(root, DATA)).parquet(*paths).drop(FOLDER)
 
 
-def read_store(spark: SparkSession, root: str, schema=None, buckets=None) -> DataFrame | None:
+def read_store(spark: SparkSession, root: str, buckets=None) -> DataFrame | None:
     """Current rows (with the ``bucket`` column), of all buckets or those given;
     None before the first load."""
-    manifest = current(spark, root)[1]
-    wanted = None if buckets is None else {str(b) for b in buckets}
-    folders = [_folder(root, b, v) for b, v in sorted(manifest["buckets"].items()) if wanted is None or b in wanted]
-    if not folders:
-        return None
-    reader = spark.read.option("basePath", os.path.join(root, DATA))
-    return (reader if schema is None else reader.schema(schema)).parquet(*folders).drop("version")
+    return _read(spark, root, current(spark, root), buckets)
 
 
 def lookup(spark: SparkSession, root: str, key: str, value) -> DataFrame | None:
     """The rows of one key: only its bucket is opened."""
-    n = current(spark, root)[1]["n_buckets"]
-    if n is None:
+    state = current(spark, root)
+    if state.n_buckets is None:
         return None
-    bucket = spark.range(1).select(bucket_of(F.lit(value), n)).first()[0]
-    rows = read_store(spark, root, buckets=[bucket])
+    bucket = spark.range(1).select(bucket_of(F.lit(value).cast(state.schema[key].dataType), state.n_buckets)).first()[0]
+    rows = _read(spark, root, state, [bucket])
     return None if rows is None else rows.filter(F.col(key) == F.lit(value))
 
 
-def _sweep(spark: SparkSession, root: str, number: int) -> None:
-    """Delete the bucket folders that manifest number - 2 refers to and the two newer ones do not."""
-    if number < 3:
-        return
-    old, *new = (set(_read_manifest(spark, root, number - k)["buckets"].items()) for k in (2, 1, 0))
-    for bucket, version in old - new[0] - new[1]:
-        fs, p, _ = _fs(spark, _folder(root, bucket, version))
-        fs.delete(p, True)
-
-
 def upsert_store(spark: SparkSession, root: str, batch: DataFrame, key: str, order_cols, load_time,
                  empty_target: DataFrame, n_buckets: int = DEFAULT_BUCKETS, batch_id=None, source: str = "load") -> bool:
     """Merge ``batch`` into the store; returns False when ``batch_id`` of
-    ``source`` was already committed (nothing is written)."""
-    number, manifest = current(spark, root)
-    loads = manifest["loads"].get(source, [])
-    if batch_id is not None and str(batch_id) in loads:
+    ``source`` was already committed (nothing is written). Columns of ``batch`` that the
+    store lacks join it, but for those that only order (``order_cols``)."""
+    if batch_id is not None and committed(spark, root, batch_id, source):
         return False
-    if manifest["n_buckets"] not in (None, n_buckets):
-        raise ValueError(f"the store has {manifest['n_buckets']} buckets, not {n_buckets}")
-    b = batch.withColumn(BUCKET, bucket_of(key, n_buckets))
+    state = current(spark, root)
+    if state.n_buckets not in (None, n_buckets):
+        raise ValueError(f"the store has {state.n_buckets} buckets, not {n_buckets}")
+    schema = state.schema or empty_target.schema
+    b = batch.withColumn(BUCKET, bucket_of(F.col(key).cast(schema[key].dataType), n_buckets))
     # the touched bucket ids: at most n_buckets small integers
     touched = sorted(r[0] for r in b.select(BUCKET).distinct().collect())
-    after = {"n_buckets": n_buckets, "buckets": dict(manifest["buckets"]), "loads": dict(manifest["loads"])}
-    if batch_id is not None:
-        after["loads"][source] = [*loads, str(batch_id)]
+    folder = f"load-{state.version + 1}-{uuid.uuid4().hex[:12]}"
+    held = _read(spark, root, state, touched)
+    target = spark.createDataFrame([], schema) if held is None else held.drop(BUCKET)
+    merged = upsert_by_key(target, b.drop(BUCKET), key, order_cols, load_time)
     if touched:
-        held = read_store(spark, root, buckets=touched)
-        target = empty_target if held is None else held.drop(BUCKET)
-        merged = upsert_by_key(target, b.drop(BUCKET), key, order_cols, load_time)
-        version = uuid.uuid4().hex
         (merged.withColumn(BUCKET, bucket_of(key, n_buckets)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, key)
-         .write.partitionBy(BUCKET).parquet(os.path.join(root, DATA, f"version={version}")))
-        after["buckets"].update({str(t): version for t in touched})
-    _commit(spark, root, number + 1, after)
-    _sweep(spark, root, number + 1)
+         .write.option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+         .partitionBy(BUCKET).parquet(os.path.join(root, DATA, f"{FOLDER}={folder}")))
+    after = State(state.version + 1, n_buckets, {}, T.StructType([T.StructField(f.name, f.dataType) for f in merged.schema.fields]))
+    _commit(spark, root, after, folder, touched, source, batch_id)
     return True

@@ -132,3 +132,73 @@ def test_search_folds_ascii_and_keeps_backslashes(spark):
     assert find("\\b") == ["a"] and find("a\\") == ["a"] and find("é") == [] and find("A%B") == ["a"]
     assert [r.cve_id for r in S.search_page_keyset(df, after=(None, "a")).collect()] == ["b"]
     assert [r.cve_id for r in S.search_page_keyset(df, after=(T0, "z")).collect()] == ["a", "b"]
+
+
+def test_a_new_column_survives(spark, tmp_path):
+    """A second load that adds a column: its keys carry it, all others read NULL."""
+    root, empty = str(tmp_path / "store"), spark.createDataFrame([], "k string, a string, created_at timestamp, updated_at timestamp")
+    first = spark.createDataFrame([(f"k{i}", "old", 0) for i in range(40)], "k string, a string, seq int")
+    assert store.upsert_store(spark, root, first, "k", ["seq"], T0, empty, 4)
+    second = spark.createDataFrame([("k1", "now", "new", 1), ("k99", "now", "new", 1)], "k string, a string, b string, seq int")
+    assert store.upsert_store(spark, root, second, "k", ["seq"], T1, empty, 4)
+    rows = store.read_store(spark, root)
+    assert set(rows.columns) == {"k", "a", "b", "created_at", "updated_at", "bucket"}
+    got = {r.k: (r.a, r.b, r.created_at) for r in rows.collect()}
+    assert got["k1"] == ("now", "new", T0) and got["k99"] == ("now", "new", T1)
+    assert len(got) == 41 and all(v == ("old", None, T0) for k, v in got.items() if k not in ("k1", "k99"))
+    # a load without the column keeps what is stored
+    third = spark.createDataFrame([("k1", "then", 2)], "k string, a string, seq int")
+    assert store.upsert_store(spark, root, third, "k", ["seq"], T1, empty, 4)
+    assert store.lookup(spark, root, "k", "k1").select("a", "b").collect() == [("then", "new")]
+
+
+def test_schema_evolution_of_nested_and_wider_columns(spark, tmp_path):
+    import pytest
+    root = str(tmp_path / "store")
+    empty = spark.createDataFrame([], "k string, n int, s struct<x:int>, l array<struct<u:string>>, created_at timestamp, updated_at timestamp")
+    one = spark.createDataFrame([("a", 1, (1,), [("p",)], 0)], "k string, n int, s struct<x:int>, l array<struct<u:string>>, seq int")
+    two = spark.createDataFrame([("b", 1 << 40, ("t", 2), [("q", "z")], 0)],
+                                "K string, n bigint, S struct<y:string,x:int>, l array<struct<u:string,v:string>>, seq int").withColumnRenamed("K", "k")
+    assert store.upsert_store(spark, root, one, "k", ["seq"], T0, empty, 2)
+    assert store.upsert_store(spark, root, two, "k", ["seq"], T1, empty, 2)
+    got = {r.k: (r.n, r.s, r.l) for r in store.read_store(spark, root).collect()}
+    assert got == {"a": (1, (1, None), [("p", None)]), "b": (1 << 40, (2, "t"), [("q", "z")])}
+    with pytest.raises(ValueError, match="n: string does not fit"):
+        store.upsert_store(spark, root, spark.createDataFrame([("c", "x", 0)], "k string, n string, seq int"), "k", ["seq"], T1, empty, 2)
+
+
+def test_the_first_of_two_writers_counts(spark, tmp_path):
+    import pytest
+    root, empty = str(tmp_path / "store"), spark.createDataFrame([], REC)
+    row = lambda sev: spark.createDataFrame([("CVE-1", sev, "a", "d", 1)], BATCH)
+    real = store._commit
+
+    def overtaken(*args):
+        store._commit = real
+        store.upsert_store(spark, root, row("LOW"), "cve_id", ["seq"], T0, empty, 2)
+        real(*args)
+    try:
+        store._commit = overtaken
+        with pytest.raises(RuntimeError, match="another load"):
+            store.upsert_store(spark, root, row("HIGH"), "cve_id", ["seq"], T0, empty, 2)
+    finally:
+        store._commit = real
+    assert [r.severity for r in store.read_store(spark, root).collect()] == ["LOW"]
+
+
+def _scanned(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_an_absent_key_reads_no_row_group(spark, tmp_path):
+    root = str(tmp_path / "store")
+    empty = spark.createDataFrame([], "k string, v string, created_at timestamp, updated_at timestamp")
+    batch = spark.range(0, 4000, 2).select(F.format_string("key-%06d", "id").alias("k"), F.lit("x").alias("v"), F.lit(0).alias("seq"))
+    store.upsert_store(spark, root, batch, "k", ["seq"], T0, empty, 2)
+    assert _scanned(store.lookup(spark, root, "k", "key-000100")) >= 1
+    absent = [_scanned(store.lookup(spark, root, "k", f"key-{i:06d}")) for i in (101, 1001, 2001, 3001)]
+    assert absent.count(0) >= 3  # within the range of keys: the bloom filter decides
