@@ -81,8 +81,7 @@ def bad_reasons():
 def normalised_pages(pages: DataFrame, detail_base: str) -> DataFrame:
     """Records of all hits (raw columns kept) with slice, place, ``bad`` and ``bad_text``; a bad page is a row too."""
     found = parsed_hits(pages)
-    if "slice" not in found.columns:
-        found = found.withColumn("slice", F.lit(SLICE_ALL))
+    found = found.withColumn("slice", F.coalesce("slice", F.lit(SLICE_ALL)))
     extra = ["slice", *HIT_ORDER, "bad", "bad_text"]
     # of an unreadable hit only the text is kept
     fields = [F.when(F.col("bad").isNull(), F.col(f"h.{f.name}")).alias(f.name) for f in HIT.fields]

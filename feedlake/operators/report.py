@@ -26,13 +26,15 @@ AVERAGE_PLACES = 2
 FACET_TOP = 200
 
 SEC_TOTAL, SEC_SEVERITY, SEC_BUCKET = "total", "severity", "score_bucket"
+UNSUMMED = "unsummed"
 SEC_AVERAGE, SEC_TERMS, SEC_LABELS = "average_score", "top_technologies", "top_components"
 SEC_LINKS, SEC_DATES, SEC_ALL = "with_links", "date_range", "all"
 
-# Scores are summed as whole 1e-4 units in a bigint: exact and independent of
-# row order (unlike a double sum), and cheaper than a wide decimal buffer.
-# The sum stays exact up to ~9e14 score points (ANSI mode fails loudly past it).
+# Scores are summed as whole 1e-4 units: exact and independent of row order
+# (unlike a double sum). A unit count is a bigint and their sum a decimal(38,0),
+# which 10^19 rows of the largest score cannot overflow.
 SCORE_UNITS = 10_000
+UNITS_TYPE = "decimal(28,0)"
 
 
 def _c(c) -> Column:
@@ -60,8 +62,8 @@ def _nonempty(c: Column) -> Column:
 
 def score_units(sc: Column) -> Column:
     """A numeric score as whole 1e-4 units (half-up at the 4th place); NULL
-    for a value no bigint can hold (±inf, |x| > 9e14), which the mean skips
-    instead of failing the job."""
+    for a value no bigint can hold (±inf, |x| > 9.2e14), which the mean skips
+    and counts as unsummed."""
     return F.round(sc * F.lit(float(SCORE_UNITS))).try_cast("bigint")
 
 
@@ -88,15 +90,16 @@ def _mean_columns(units_sum: str, scored: str, places: int = AVERAGE_PLACES):
 
 # ---- the one-pass report -------------------------------------------------
 
-_CELL = "struct<section:string,key:string,w:bigint,s:bigint,c:bigint,d:date,l:bigint>"
+_CELL = "struct<section:string,key:string,w:bigint,s:bigint,c:bigint,u:bigint,d:date,l:bigint>"
 
 
-def _cell(section: Column | str, key: Column, w=1, s=None, c=0, d=None, l=0) -> Column:
+def _cell(section: Column | str, key: Column, w=1, s=None, c=0, u=0, d=None, l=0) -> Column:
     sec = F.lit(section) if isinstance(section, str) else section
     return F.struct(sec.alias("section"), key.cast("string").alias("key"),
                     F.lit(w).cast("bigint").alias("w"),
                     (s if s is not None else F.lit(None)).cast("bigint").alias("s"),
                     (c if isinstance(c, Column) else F.lit(c)).cast("bigint").alias("c"),
+                    (u if isinstance(u, Column) else F.lit(u)).cast("bigint").alias("u"),
                     (d if d is not None else F.lit(None)).cast("date").alias("d"),
                     (l if isinstance(l, Column) else F.lit(l)).cast("bigint").alias("l"))
 
@@ -110,7 +113,7 @@ def analytics_report(df: DataFrame, severity="severity", score="score", terms="t
 
     Sections: total, severity (non-empty values), score_bucket (all labels,
     zeros included), average_score (value and 2-place text; 0 when no
-    score), top_technologies and top_components (top ``n`` by count, then
+    score; n of key ``unsummed`` counts the scores beyond it), top_technologies and top_components (top ``n`` by count, then
     key), with_links, date_range (earliest / latest). Any column argument
     may be ``None`` to leave its sections out (or a Column expression).
     """
@@ -123,7 +126,7 @@ def analytics_report(df: DataFrame, severity="severity", score="score", terms="t
 
     units = F.when(scored, score_units(sc))
     parts = [F.array(_cell(SEC_ALL, F.lit(""), 1, units, F.when(units.isNotNull(), 1).otherwise(0),
-                           d, F.when(has_links, 1).otherwise(0)))]
+                           F.when(scored & units.isNull(), 1).otherwise(0), d, F.when(has_links, 1).otherwise(0)))]
     if severity is not None:
         sev = _c(severity)
         parts.append(F.when(_nonempty(sev), F.array(_cell(SEC_SEVERITY, sev))).otherwise(empty))
@@ -143,7 +146,8 @@ def analytics_report(df: DataFrame, severity="severity", score="score", terms="t
 
     agg = (cells.unionByName(seeds)
            .groupBy("section", "key")
-           .agg(F.sum("w").alias("n"), F.sum("s").alias("s"), F.sum("c").alias("c"),
+           .agg(F.sum("w").alias("n"), F.sum(F.col("s").cast(UNITS_TYPE)).alias("s"),
+                F.sum("c").alias("c"), F.sum("u").alias("u"),
                 F.min("d").alias("d_min"), F.max("d").alias("d_max"), F.count("d").alias("dn"),
                 F.sum("l").alias("l")))
 
@@ -171,6 +175,7 @@ def analytics_report(df: DataFrame, severity="severity", score="score", terms="t
     overall = F.array(
         row(L(SEC_TOTAL), L(""), F.col("n"), null_d, null_s),
         row(L(SEC_AVERAGE), L(""), F.col("c"), value, text),
+        row(L(SEC_AVERAGE), L(UNSUMMED), F.col("u"), null_d, null_s),
         row(L(SEC_LINKS), L(""), F.col("l"), null_d, null_s),
         row(L(SEC_DATES), L("earliest"), F.col("dn"), null_d, F.col("d_min").cast("string")),
         row(L(SEC_DATES), L("latest"), F.col("dn"), null_d, F.col("d_max").cast("string")),
@@ -207,13 +212,16 @@ def score_histogram(df: DataFrame, score="score", edges=SCORE_EDGES, labels=SCOR
 
 
 def average_score(df: DataFrame, score="score", places: int = AVERAGE_PLACES) -> DataFrame:
-    """(n_scored, avg_score, avg_text): exact mean, rounded half-up."""
+    """(n_scored, avg_score, avg_text, n_unsummed): exact mean, rounded half-up, of the
+    scores that a bigint of 1e-4 units holds; ``n_unsummed`` counts the others (infinities,
+    |x| > 9.2e14). NULL and NaN are no scores."""
     sc = _c(score).cast("double")
     ok = is_number(sc)
     units = F.when(ok, score_units(sc))
-    one = df.agg(F.sum(units).alias("s"), F.count_if(units.isNotNull()).alias("n_scored"))
+    one = df.agg(F.sum(units.cast(UNITS_TYPE)).alias("s"), F.count_if(units.isNotNull()).alias("n_scored"),
+                 F.count_if(ok & units.isNull()).alias("n_unsummed"))
     value, text = _mean_columns("s", "n_scored", places)
-    return one.select("n_scored", value.alias("avg_score"), text.alias("avg_text"))
+    return one.select("n_scored", value.alias("avg_score"), text.alias("avg_text"), "n_unsummed")
 
 
 def top_terms(df: DataFrame, terms="technologies", n: int = TOP_N) -> DataFrame:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedlake.functions.jsoncols import encode_json
-from feedlake.functions.text import WHITESPACE_RUN
 from feedlake.operators import validate as V
 from feedlake.operators.normalize import normalize_hits, technologies_text
 from feedlake.operators.upsert import align_schema
 from feedlake.plans.catalog import job
-from feedlake.plans.tables import DETAIL_BASE, props_k, table
+from feedlake.plans.tables import DETAIL_BASE, clean_sql, props_k, table
 
 TS_FMT, TS_SQL = "yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"
 
@@ -55,8 +54,7 @@ _KEY_SQL = "'CVE-' || cast(year(ts) AS VARCHAR) || '-' || cast(event_id AS VARCH
 _K_SQL = "cast(json_extract(props, '$.k') AS BIGINT)"
 
 
-def _clean_sql(x: str) -> str:
-    return f"trim(regexp_replace(coalesce({x}, ''), '{WHITESPACE_RUN}', ' ', 'g'), ' ')"
+_clean_sql = clean_sql
 
 
 NORMALIZE_SQL = f"""

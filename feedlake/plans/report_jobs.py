@@ -40,6 +40,8 @@ SELECT 'score_bucket', b.label, count(scored.label), NULL, NULL, 0 FROM buckets
 UNION ALL
 SELECT 'average_score', '', count(sc), {_AVG_V.replace('score', 'sc')}, {_AVG_T.replace('score', 'sc')}, 0 FROM s
 UNION ALL
+SELECT 'average_score', 'unsummed', count(*) FILTER (WHERE abs(sc) > 922337203685477), NULL, NULL, 0 FROM s
+UNION ALL
 SELECT 'with_links', '', 0, NULL, NULL, 0
 UNION ALL
 SELECT 'date_range', 'earliest', count(published_date), NULL, cast(min(published_date) AS VARCHAR), 0 FROM r
@@ -93,12 +95,52 @@ def score_histogram(spark, sf_dir):
 _AVG_V2, _AVG_T2 = _mean_sql("value")
 
 
-@job("average_score", f"SELECT count(value) AS n_scored, {_AVG_V2} AS avg_score, {_AVG_T2} AS avg_text "
+@job("average_score", f"SELECT count(value) AS n_scored, {_AVG_V2} AS avg_score, {_AVG_T2} AS avg_text, 0 AS n_unsummed "
                       "FROM events WHERE value IS NOT NULL AND NOT isnan(value)")
 def average_score(spark, sf_dir):
     return R.average_score(table(spark, sf_dir, "events"), "value")
 
 
+_EXTREME_SQL = """
+WITH v AS (SELECT CASE event_id % 5 WHEN 0 THEN 8e14 WHEN 1 THEN 1e300 WHEN 2 THEN 'inf'::DOUBLE WHEN 3 THEN 'nan'::DOUBLE
+                  ELSE value END AS v FROM events),
+ u AS (SELECT v, CASE WHEN isnan(v) THEN NULL WHEN abs(v) <= 922337203685477 THEN cast(round(v * 10000) AS HUGEINT) END AS units FROM v),
+ m AS (SELECT count(units) AS n_scored, count(*) FILTER (WHERE NOT isnan(v) AND units IS NULL) AS n_unsummed,
+              (2 * sum(units) + count(units) * 100) // (2 * count(units) * 100) AS cents FROM u)"""
+
+
+@job("average_of_extremes", _EXTREME_SQL + """
+SELECT n_scored, cast(cents AS DOUBLE) / 100.0 AS avg_score,
+       printf('%d.%02d', cast(cents // 100 AS BIGINT), cast(cents % 100 AS BIGINT)) AS avg_text, n_unsummed FROM m""")
+def average_of_extremes(spark, sf_dir):
+    """The mean over scores of 8e14, 1e300, infinity and NaN among the others: nothing
+    fails, nothing overflows, what no sum can hold is counted."""
+    return R.average_score(_extremes(spark, sf_dir), "v")
+
+
+@job("report_of_extremes", _EXTREME_SQL + """,
+ s AS (SELECT v FROM v WHERE NOT isnan(v) AND v IS NOT NULL),
+ b(label) AS (VALUES ('0-3'), ('3-7'), ('7-9'), ('9-10')),
+ k AS (SELECT CASE WHEN v < 3 THEN '0-3' WHEN v < 7 THEN '3-7' WHEN v < 9 THEN '7-9' ELSE '9-10' END AS label FROM s)
+SELECT 'total' AS section, '' AS key, (SELECT count(*) FROM v) AS n, NULL::DOUBLE AS value, NULL::VARCHAR AS text
+UNION ALL SELECT 'score_bucket', b.label, count(k.label), NULL, NULL FROM b LEFT JOIN k ON b.label = k.label GROUP BY b.label
+UNION ALL SELECT 'average_score', '', n_scored, cast(cents AS DOUBLE) / 100.0,
+                 printf('%d.%02d', cast(cents // 100 AS BIGINT), cast(cents % 100 AS BIGINT)) FROM m
+UNION ALL SELECT 'average_score', 'unsummed', n_unsummed, NULL, NULL FROM m
+UNION ALL SELECT 'with_links', '', 0, NULL, NULL
+UNION ALL SELECT 'date_range', 'earliest', 0, NULL, NULL UNION ALL SELECT 'date_range', 'latest', 0, NULL, NULL""")
+def report_of_extremes(spark, sf_dir):
+    """The report's score sections over the same scores."""
+    out = R.analytics_report(_extremes(spark, sf_dir), severity=None, score="v", terms=None, label=None, date=None, links=None)
+    return out.drop("rank")
+
+
+def _extremes(spark, sf_dir):
+    k = F.col("event_id") % 5
+    v = (F.when(k == 0, 8e14).when(k == 1, 1e300).when(k == 2, float("inf")).when(k == 3, float("nan")).otherwise(F.col("value")))
+    return table(spark, sf_dir, "events").select(v.alias("v"))
+
+
 @job("date_range", "SELECT cast(min(o_orderdate) AS DATE)::VARCHAR AS earliest, "
                    "cast(max(o_orderdate) AS DATE)::VARCHAR AS latest FROM orders")
 def date_range(spark, sf_dir):

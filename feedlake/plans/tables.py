@@ -21,6 +21,16 @@ DETAIL_BASE = "https://records.example.org/cve/"
 LOAD_TIME = "2024-02-01 00:00:00"
 
 
+# White space by code point (fixed values), for the oracles: every one becomes a blank,
+# runs of blanks become one.
+SPACE_CODES = [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+SPACES_SQL = "(" + " || ".join(f"chr({c})" for c in SPACE_CODES) + ")"
+
+
+def clean_sql(x: str) -> str:
+    return f"trim(regexp_replace(translate(coalesce({x}, ''), {SPACES_SQL}, repeat(' ', {len(SPACE_CODES)})), ' +', ' ', 'g'), ' ')"
+
+
 def ensure_utc(spark: SparkSession) -> None:
     """Dates and epoch conversions assume a UTC session zone."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":

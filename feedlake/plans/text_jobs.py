@@ -8,16 +8,16 @@ from feedlake.functions.text import clean_text, extract_score
 from feedlake.operators import links as LK
 from feedlake.operators.normalize import normalize_hits
 from feedlake.plans.catalog import job
-from feedlake.plans.tables import DETAIL_BASE, table
+from feedlake.plans.tables import DETAIL_BASE, SPACES_SQL, clean_sql, table
 from feedlake.schemas import HIT
 
-# The oracles' own patterns, written apart from the operators'.
-WHITESPACE_RUN = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
-FIRST_NUMBER = r"[0-9]+(?:[.][0-9]*)?"
+# The first number of a text and the anchor form (href first, text without tags).
+FIRST_NUMBER = r"\d+\.?\d*"
+ANCHOR = r'<a\s+href="([^"]+)"[^>]*>([^<]+)</a>'
+# The oracles' own form of the parts of a URL.
 URL_PARTS = r"^([a-zA-Z][-+.a-zA-Z0-9]*)://(?:[^\\/?#]*@)?([^\\/?#:@]+)"
-ANCHOR = r'<a[\s]+href="([^"]+)"[^>]*>([^<]+)</a>'
 
-_CLEAN = f"trim(regexp_replace(coalesce(text, ''), '{WHITESPACE_RUN}', ' ', 'g'), ' ')"
+_CLEAN = clean_sql("text")
 
 
 @job("clean_text_report", f"""
@@ -57,11 +57,9 @@ _CLASS_SQL = f"""CASE
   WHEN contains({_TITLE}, 'poc') OR contains({_TITLE}, 'proof of concept') THEN 'Proof of Concept'
   ELSE 'Other' END"""
 
-_WS_CLASS = WHITESPACE_RUN[:-1]
-
 
 def _jstrim(x: str) -> str:
-    return f"regexp_replace({x}, '^{_WS_CLASS}+|{_WS_CLASS}+$', '', 'g')"
+    return f"trim({x}, {SPACES_SQL})"
 
 
 _LINKS_SQL = f"""
@@ -121,6 +119,7 @@ _HOST_SQL = f"lower(regexp_extract(url, '{URL_PARTS}', 2))"
 SELECT 'total' AS section, '' AS key, count(*) AS n, NULL::DOUBLE AS value, NULL::VARCHAR AS text, 0::INTEGER AS rank FROM r
 UNION ALL SELECT 'severity', severity, count(*), NULL, NULL, 0 FROM r WHERE severity IS NOT NULL AND severity <> '' GROUP BY severity
 UNION ALL SELECT 'average_score', '', 0, 0.0, '0', 0
+UNION ALL SELECT 'average_score', 'unsummed', 0, NULL, NULL, 0
 UNION ALL SELECT 'with_links', '', count(*) FILTER (WHERE nl > 0), NULL, NULL, 0 FROM r
 UNION ALL SELECT 'date_range', 'earliest', 0, NULL, NULL, 0
 UNION ALL SELECT 'date_range', 'latest', 0, NULL, NULL, 0

@@ -48,6 +48,8 @@ PAGE = T.StructType([
     _f("page_seq", L),
     _f(CORRUPT, S),
 ])
+# A page and the name of its slice folder (NULL without one).
+SLICED_PAGE = T.StructType([*PAGE.fields, _f("slice", S)])
 
 RESOURCES = T.StructType([
     _f("sourceUrl", S),

@@ -5,7 +5,8 @@ Pages of both envelope styles are read in one scan with an explicit schema
 as text and goes to the quarantine; the other hits of its page load. One file per page parallelises
 the read. Slices are sub-folders ``slice=<name>``: Spark's partition
 discovery turns the folder name into a column, so 100 slices are one scan,
-not 100 unioned plans.
+not 100 unioned plans. The schema gives that column as a string, so ``2023``,
+``01`` or ``2023-01-05`` stay the names they are.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.schemas import CORRUPT, CORRUPT_HIT, HIT, HIT_TEXT, PAGE
+from feedlake.schemas import CORRUPT, CORRUPT_HIT, HIT, HIT_TEXT, SLICED_PAGE
 
 
 def read_pages(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
@@ -21,7 +22,7 @@ def read_pages(spark: SparkSession, path: str, multiline: bool = True) -> DataFr
 
     ``multiline=True`` reads one page per file (as fetched); ``False`` reads
     JSON lines, one page per line, which splits large landing files."""
-    reader = (spark.read.schema(PAGE)
+    reader = (spark.read.schema(SLICED_PAGE)
               .option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", CORRUPT)
               .option("multiLine", str(multiline).lower()))
@@ -32,21 +33,26 @@ def with_page_place(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"page_file": F.col("_metadata.file_path"), "page_block": F.col("_metadata.file_block_start")})
 
 
-#: Columns that order hits as they were fetched: page number (``page_seq`` of the
-#: page, else the last number in its file name), file, place of the page in the
-#: file, place of the hit in the page.
+#: The page number in a file name, unless the page has its own ``page_seq``: the digits
+#: after ``page`` or of a name that is one letter and a number. Other names have none.
+PAGE_NUMBER = r"(?i)(?:page[-_.]?|^p)(\d+)"
+
+#: Columns that order hits as they were fetched: page number (``page_seq``, else
+#: ``PAGE_NUMBER``, else 0), file, place of the page in the file, place of the hit in
+#: the page.
 HIT_ORDER = ["page_no", "page_file", "page_block", "page_line", "hit_pos"]
 
 
-def parsed_hits(pages: DataFrame, keep=("slice",)) -> DataFrame:
-    """One row per hit (struct ``h``) and one per bad page.
+def parsed_hits(pages: DataFrame, keep=("slice",), page_number: str = PAGE_NUMBER) -> DataFrame:
+    """One row per hit (struct ``h``) and one per bad page. ``page_number`` is the pattern
+    whose group 1 is the page number in a file name.
 
     ``bad`` is NULL for a readable hit, else ``malformed_page``, ``no_hits`` or
     ``malformed_hit``, with the text in ``bad_text``. Pages with an empty hits
     list are fine and give no row.
     """
     keep = [c for c in keep if c in pages.columns]
-    named = F.regexp_extract(F.regexp_extract("page_file", r"([^/]*)$", 1), r"(\d+)\D*$", 1).try_cast("bigint")
+    named = F.regexp_extract(F.regexp_extract("page_file", r"([^/]*)$", 1), page_number, 1).try_cast("bigint")
     search = F.flatten(F.filter(F.transform("results", lambda r: r["hits"]), lambda h: h.isNotNull()))
     hits = F.concat(F.coalesce("hits", F.array().cast("array<string>")), F.coalesce(search, F.array().cast("array<string>")))
     bad_page = (F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed_page"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from feedlake.load import bad_reasons, normalised_pages
 from feedlake.operators.normalize import drop_raw
 from feedlake.operators.validate import any_failure, reasons_column, record_rules
-from feedlake.schemas import CORRUPT, PAGE, RECORD
+from feedlake.schemas import CORRUPT, RECORD, SLICED_PAGE
 from feedlake.sources import store
 from feedlake.sources.pages import HIT_ORDER, with_page_place
 
@@ -30,7 +30,7 @@ QUARANTINE = "_quarantine"
 
 def page_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 1,
                 multiline: bool = False) -> DataFrame:
-    reader = (spark.readStream.schema(PAGE)
+    reader = (spark.readStream.schema(SLICED_PAGE)
               .option("maxFilesPerTrigger", max_files_per_trigger)
               .option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", CORRUPT)

@@ -75,3 +75,32 @@ def test_last_page_wins_by_number_and_line(spark, tmp_path):
     _write(lines, "part-0.json", "\n".join(json.dumps({"hits": [{"externalId": "CVE-2025-1", "severity": "LOW", "description": d}]})
                                            for d in ("z", "a", "m")))
     assert [r.description for r in load(spark, lines, "https://x/", multiline=False)[0].collect()] == ["m"]
+
+
+def test_slices_of_any_name_and_pages_by_number(spark, tmp_path):
+    from feedlake.load import load
+    root = str(tmp_path / "landing")
+    hit = lambda k, sev: {"externalId": k, "severity": sev, "baseScore": 5}
+    for i, name in enumerate(["2023", "2024", "01", "2023-01-05", "1e5", "a b"]):
+        _write(os.path.join(root, f"slice={name}"), "p1.json", {"hits": [hit(f"CVE-2025-{i}", "LOW")]})
+    _write(os.path.join(root, "slice=2023"), "2024_page2_v1.json", {"hits": [hit("CVE-2025-77", "LOW")]})
+    _write(os.path.join(root, "slice=2023"), "2024_page10_v1.json", {"hits": [hit("CVE-2025-77", "HIGH")]})
+    acc, _, report = load(spark, root, "https://x/")
+    got = {r.cve_id: (r.slice, r.severity) for r in acc.collect()}
+    assert got.pop("CVE-2025-77") == ("2023", "HIGH")  # page 10 after page 2
+    assert {v[0] for v in got.values()} == {"2023", "2024", "01", "2023-01-05", "1e5", "a b"}
+    assert report.count() == 6
+    only = str(tmp_path / "numbers")
+    for name in ("01", "2"):
+        _write(os.path.join(only, f"slice={name}"), "x.json", {"hits": [hit(f"CVE-2025-{name}", "LOW")]})
+    assert {r.slice for r in load(spark, only, "https://x/", slice_order=["2", "01"])[0].collect()} == {"01", "2"}
+
+
+def test_a_page_may_carry_its_number_and_a_pattern_may_find_it(spark, tmp_path):
+    from feedlake.sources.pages import parsed_hits
+    root = str(tmp_path / "pages")
+    _write(root, "v1-of-7.json", {"hits": [{"externalId": "a"}], "page_seq": 40})
+    _write(root, "v2-of-7.json", {"hits": [{"externalId": "b"}]})
+    pages = read_pages(spark, root)
+    number = lambda **kw: {r["h"]["externalId"]: r["page_no"] for r in parsed_hits(pages, **kw).collect()}
+    assert number() == {"a": 40, "b": 0} and number(page_number=r"v(\d+)-") == {"a": 40, "b": 2}

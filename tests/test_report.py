@@ -82,3 +82,15 @@ def test_inline_records_must_be_arrays(spark):
     records, rejected = R.inline_records(frame, "body", "struct<severity:string>")
     assert sorted(r["severity"] or "" for r in records.collect()) == ["", "HIGH"]
     assert sorted(r["reason"] for r in rejected.collect()) == ["bad_json"] + ["not_an_array"] * 4
+
+
+def test_huge_scores_fail_nothing(spark):
+    data = [("LOW", v, [], "x", None, None) for v in (8e14, 8e14, 8e14, -8e14, 1e300, float("inf"), float("-inf"), float("nan"), None)]
+    rep = _report(spark, data)
+    assert rep[("average_score", "")].n == 4 and rep[("average_score", "")].text == "400000000000000.00"
+    assert rep[("average_score", "unsummed")].n == 3
+    assert sum(rep[("score_bucket", k)].n for k in R.SCORE_LABELS) == 7
+    df = spark.createDataFrame(data, SCHEMA)
+    assert tuple(R.average_score(df).first()) == (4, 4e14, "400000000000000.00", 3)
+    many = spark.range(40).select(F.lit(9e14).alias("score"))  # the sum is beyond a bigint of units
+    assert tuple(R.average_score(many).first()) == (40, 9e14, "900000000000000.00", 0)
