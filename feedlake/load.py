@@ -24,7 +24,7 @@ from feedlake.operators.report import slice_load_report
 from feedlake.operators.validate import REASONS, any_failure, hit_type_reasons, reasons_column, record_rules
 from feedlake.schemas import HIT, RECORD
 from feedlake.session import checkpoint_root
-from feedlake.sources import store
+from feedlake.sources import runlog, store
 from feedlake.sources.pages import HIT_ORDER, parsed_hits, read_pages
 
 SLICE_ALL = "all"
@@ -33,7 +33,7 @@ SLICE_ALL = "all"
 def load(spark: SparkSession, path: str, detail_base: str, slice_order: list[str] | None = None,
          rules=None, multiline: bool = True, store_root: str | None = None, load_time=None,
          n_buckets: int = store.DEFAULT_BUCKETS, batch_id=None, cut_lineage: bool = True,
-         detail_pages: DataFrame | None = None):
+         detail_pages: DataFrame | None = None, job_id: str | None = None):
     """-> (accepted, quarantine, slice_report).
 
     ``slice_order`` ranks slices for last-wins (later wins); by default the
@@ -41,8 +41,18 @@ def load(spark: SparkSession, path: str, detail_base: str, slice_order: list[str
     ``store_root`` the accepted rows are also upserted into the bucket store
     (idempotent per ``batch_id``). ``cut_lineage=False`` skips the checkpoint
     when the caller consumes only one of the outputs, once. ``detail_pages``
-    (url, html) fills ``externalLinks`` of the accepted records.
+    (url, html) fills ``externalLinks`` of the accepted records. With ``store_root`` and
+    ``job_id`` the run is logged beside the store: its start, its end with the rows
+    accepted or its error, and a progress snapshot (``sources.runlog``).
     """
+    if job_id is not None and store_root is not None:
+        with runlog.logged_run(spark, store_root, job_id) as run:
+            out = load(spark, path, detail_base, slice_order, rules, multiline, store_root, load_time, n_buckets,
+                       batch_id, True, detail_pages)
+            seen = out[2].agg(F.sum("accepted"), F.sum("rejected")).first()  # from the checkpointed rows
+            run.total = seen[0] or 0
+            runlog.save_progress(spark, store_root, job_id, 0, run.total, seen[1] or 0)
+        return out
     checkpoint_root(spark)
     rules = rules or record_rules()
     records = normalised_pages(read_pages(spark, path, multiline), detail_base)

@@ -12,7 +12,7 @@ empty. No row cap: the whole table is analysed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -298,6 +298,19 @@ def load_summary(df: DataFrame, key: str = "cve_id", accepted: Column | None = N
                   F.count_distinct(F.col(key)).alias("distinct_keys"))
 
 
+def observed_load(df: DataFrame, accepted: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with the load's counts collected as a side of whatever action reads it
+    first: no scan of their own. ``observed_summary`` shows them afterwards."""
+    counts = Observation()
+    return df.observe(counts, F.count(F.lit(1)).alias("total"), F.count_if(accepted).alias("accepted"),
+                      F.count_if(~accepted).alias("rejected")), counts
+
+
+def observed_summary(spark: SparkSession, counts: Observation) -> DataFrame:
+    """(total, accepted, rejected), once the observed frame was read."""
+    return spark.range(1).select(*[F.lit(counts.get[c]).cast("bigint").alias(c) for c in ("total", "accepted", "rejected")])
+
+
 def slice_load_report(df: DataFrame, slice_col: str = "slice", key: str = "cve_id",
                       accepted: Column | None = None, warn_rate: float = 0.5,
                       bad_page: Column | None = None) -> DataFrame:

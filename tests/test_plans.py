@@ -95,3 +95,18 @@ def test_keyset_page_pushes_seek_and_takes_ordered(spark):
     plan = _plan(spark, "search_page_keyset")
     assert "PushedFilters: [IsNotNull(o_orderpriority), EqualTo(o_orderpriority,1-URGENT), Or(Or(LessThan(o_orderdate" in plan
     assert plan.startswith("TakeOrderedAndProject(limit=20")
+
+
+def test_counts_of_a_load_need_no_scan_of_their_own(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from feedlake.operators import report as R
+    rows = spark.read.parquet(f"{SF}/events.parquet")
+    ok = F.col("event_type") != "error"
+    seen, counts = R.observed_load(rows, ok)
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "CollectMetrics" in plan
+    seen.write.parquet(str(tmp_path / "out"))
+    summary = R.observed_summary(spark, counts)
+    assert "FileScan" not in summary._jdf.queryExecution().executedPlan().toString()
+    want = R.load_summary(rows, "event_id", ok).select("total", "accepted", "rejected").first()
+    assert summary.first() == want

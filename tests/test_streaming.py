@@ -72,3 +72,50 @@ def test_dedupe_within_watermark(spark, tmp_path):
     q.stop()
     got = sorted((r.key, r.v) for r in spark.sql("SELECT * FROM dedup_out").collect())
     assert [k for k, _ in got] == ["k1", "k2"]
+
+
+def test_progress_is_saved_with_each_micro_batch(spark, tmp_path):
+    from feedlake.operators.runs import fold_runs, latest_checkpoint
+    from feedlake.sources import runlog
+    src, store_root, ckpt = str(tmp_path / "src"), str(tmp_path / "store"), str(tmp_path / "ckpt")
+    h = lambda k: {"externalId": k, "severity": "LOW", "baseScore": "5"}
+    _page(os.path.join(src, "p1.json"), [h("CVE-2024-1"), h("CVE-2024-2"), h("bad")])
+    _page(os.path.join(src, "p2.json"), [h("CVE-2024-2"), h("CVE-2024-3")])
+    incremental_upsert(spark, src, store_root, ckpt, "https://x/", T, n_buckets=2, job_id="first")
+    _page(os.path.join(src, "p3.json"), [h("worse"), h("CVE-2024-4")])
+    incremental_upsert(spark, src, store_root, ckpt, "https://x/", T, n_buckets=2, job_id="second")
+    rows = sorted(runlog.read_progress(spark, store_root).collect(), key=lambda r: r.batch_id)
+    assert [(r.processed_count, r.current_index, r.rejected) for r in rows] == [(2, 3, 1), (4, 5, 0), (5, 7, 1)]
+    last = latest_checkpoint(runlog.read_progress(spark, store_root), ("ts",)).first()
+    assert last.processed_count == 5
+    runs = {r.job_id: (r.status, r.total) for r in fold_runs(runlog.read_run_events(spark, store_root)).collect()}
+    assert runs == {"first": ("completed", 4), "second": ("completed", 1)}
+
+
+def test_a_failed_run_is_logged(spark, tmp_path):
+    import pytest
+    from feedlake.operators.runs import fold_runs
+    from feedlake.sources import runlog
+    root = str(tmp_path / "store")
+    assert runlog.read_run_events(spark, root).count() == 0
+    with pytest.raises(RuntimeError):
+        with runlog.logged_run(spark, root, "j") as run:
+            run.total = 3
+            raise RuntimeError("no disk")
+    got = fold_runs(runlog.read_run_events(spark, root)).first()
+    assert (got.status, got.total, got.error_message) == ("failed", None, "RuntimeError: no disk")
+    assert got.started_at <= got.completed_at
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    from feedlake.streaming.incremental import dedupe_within_watermark, late_rows
+    src = str(tmp_path / "ev")
+    for i, (key, day) in enumerate([("a", 20), ("b", 21), ("c", 1), ("b", 21)]):
+        spark.createDataFrame([(key, T + dt.timedelta(days=day))], "key string, ts timestamp").coalesce(1).write.parquet(f"{src}/{i}")
+    stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    q = (dedupe_within_watermark(stream, "key", "ts", "1 day").writeStream.format("memory")
+         .queryName("late_out").outputMode("append").start())
+    q.processAllAvailable()
+    late = late_rows(q)
+    q.stop()
+    assert late == 1 and sorted(r.key for r in spark.sql("SELECT key FROM late_out").collect()) == ["a", "b"]
