@@ -18,12 +18,15 @@ from contextlib import contextmanager
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedlake.operators.runs import STATUS_COMPLETED, STATUS_FAILED, STATUS_RUNNING
 from feedlake.schemas import RUN_EVENT
 
 RUNS, PROGRESS = "runs", "progress"
-SNAPSHOT = "stream string, batch bigint, ts timestamp, accepted bigint, rejected bigint"
+SNAPSHOT = T.StructType([
+    T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType()), T.StructField("ts", T.TimestampType()),
+    T.StructField("accepted", T.LongType()), T.StructField("rejected", T.LongType())])
 ERROR_LENGTH = 1000
 
 
@@ -47,8 +50,12 @@ class Run:
         self.job_id, self.total = job_id, 0
 
 
+def _one_row(spark: SparkSession, values: tuple, schema: T.StructType) -> DataFrame:
+    return spark.range(0, 1, 1, 1).select(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, schema.fields)])
+
+
 def _log(spark: SparkSession, root: str, event: tuple) -> None:
-    spark.createDataFrame([event], RUN_EVENT).coalesce(1).write.mode("append").parquet(os.path.join(root, RUNS))
+    _one_row(spark, event, RUN_EVENT).write.mode("append").parquet(os.path.join(root, RUNS))
 
 
 @contextmanager
@@ -69,7 +76,7 @@ def read_run_events(spark: SparkSession, root: str) -> DataFrame:
 
 def save_progress(spark: SparkSession, root: str, stream: str, batch: int, accepted: int, rejected: int) -> None:
     row = (stream, batch, _now(), accepted, rejected)
-    (spark.createDataFrame([row], SNAPSHOT).coalesce(1).write.mode("overwrite")
+    (_one_row(spark, row, SNAPSHOT).write.mode("overwrite")
      .parquet(os.path.join(root, PROGRESS, f"of={stream}", f"at={batch}")))
 
 

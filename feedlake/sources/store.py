@@ -1,9 +1,9 @@
 """The record store: versioned bucket folders and a table of loads that points to them.
 
 Rows live in ``data/folder=<load>/bucket=<pmod(xxhash64(key), N)>`` Parquet
-folders. ``loads`` is a small Parquet table with one row a load: its version,
-folder, the buckets it wrote, the store's schema from then on, and the load's
-source and batch. The newest load that wrote a bucket points to its rows.
+folders. ``loads`` is a small Parquet table with one row a load: its version and
+folder, the folder of every bucket and the store's schema from then on, and the load's
+source and batch. Its newest row is the pointer to the current rows.
 
 An upsert reads only the buckets its batch touches, merges them
 (``operators.upsert``: one full outer join on the key), writes them to a folder of
@@ -38,7 +38,10 @@ from feedlake.operators.upsert import upsert_by_key
 BUCKET, FOLDER = "bucket", "folder"
 DATA, LOADS = "data", "loads"
 DEFAULT_BUCKETS = 64
-LOAD_ROW = "version bigint, folder string, source string, batch_id string, n_buckets int, touched array<int>, store_schema string"
+LOAD_ROW = T.StructType([
+    T.StructField("version", T.LongType()), T.StructField(FOLDER, T.StringType()), T.StructField("source", T.StringType()),
+    T.StructField("batch_id", T.StringType()), T.StructField("n_buckets", T.IntegerType()),
+    T.StructField("folders", T.MapType(T.IntegerType(), T.StringType())), T.StructField("store_schema", T.StringType())])
 
 
 class State(NamedTuple):
@@ -54,43 +57,44 @@ def bucket_of(key, n_buckets: int = DEFAULT_BUCKETS) -> Column:
 
 
 def loads(spark: SparkSession, root: str) -> DataFrame | None:
-    """The committed loads, one row a version: of two the one that was written first."""
+    """The rows of the table of loads, with the time each was ``written``; None before the first load."""
     try:
         rows = spark.read.schema(LOAD_ROW).parquet(os.path.join(root, LOADS))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    written = F.struct(F.col("_metadata.file_modification_time"), F.col(FOLDER))
-    return rows.select(F.struct(*rows.columns).alias("x"), written.alias("at")).groupBy("x.version").agg(
-        F.min_by("x", "at").alias("x")).select("x.*")
+    return rows.select("*", F.col("_metadata.file_modification_time").alias("written"))
+
+
+def _first_of_newest(rows: DataFrame):
+    """The newest version; of two rows of one version the one written first counts."""
+    return rows.orderBy(F.desc("version"), "written", FOLDER).first()
 
 
 def current(spark: SparkSession, root: str) -> State:
     rows = loads(spark, root)
-    last = None if rows is None else rows.orderBy(F.desc("version")).first()
+    last = None if rows is None else _first_of_newest(rows)
     if last is None:
         return State(0, None, {}, None)
-    # one row a bucket
-    newest = (rows.select(F.explode("touched").alias(BUCKET), "version", FOLDER)
-              .groupBy(BUCKET).agg(F.max_by(FOLDER, "version").alias(FOLDER)).collect())
-    return State(last["version"], last["n_buckets"], {r[BUCKET]: r[FOLDER] for r in newest},
-                 T.StructType.fromJson(json.loads(last["store_schema"])))
-
-
-def _is_committed(rows: DataFrame | None, batch_id, source: str) -> bool:
-    return rows is not None and not rows.filter((F.col("source") == source) & (F.col("batch_id") == str(batch_id))).isEmpty()
+    return State(last["version"], last["n_buckets"], dict(last["folders"]), T.StructType.fromJson(json.loads(last["store_schema"])))
 
 
 def committed(spark: SparkSession, root: str, batch_id, source: str = "load") -> bool:
-    return _is_committed(loads(spark, root), batch_id, source)
+    rows = loads(spark, root)
+    if rows is None:
+        return False
+    same = rows.filter((F.col("source") == source) & (F.col("batch_id") == str(batch_id))).select("version", FOLDER).collect()
+    return any(_first_of_newest(rows.filter(F.col("version") == r["version"]))[FOLDER] == r[FOLDER] for r in same)
 
 
-def _commit(spark: SparkSession, root: str, state: State, folder: str, touched: list[int], source: str, batch_id) -> None:
+def _commit(spark: SparkSession, root: str, state: State, folder: str, source: str, batch_id) -> None:
+    folders = F.map_from_arrays(F.lit(list(state.folders)).cast("array<int>"), F.lit(list(state.folders.values())).cast("array<string>"))
     batch = None if batch_id is None else str(batch_id)
-    row = (state.version, folder, source, batch, state.n_buckets, touched, state.schema.json())
-    spark.createDataFrame([row], LOAD_ROW).coalesce(1).write.mode("append").parquet(os.path.join(root, LOADS))
-    if loads(spark, root).filter(F.col(FOLDER) == folder).isEmpty():
+    values = [F.lit(state.version), F.lit(folder), F.lit(source), F.lit(batch), F.lit(state.n_buckets), folders, F.lit(state.schema.json())]
+    row = spark.range(0, 1, 1, 1).select(*[v.cast(f.dataType).alias(f.name) for v, f in zip(values, LOAD_ROW.fields)])
+    row.write.mode("append").parquet(os.path.join(root, LOADS))
+    if _first_of_newest(loads(spark, root).filter(F.col("version") == state.version))[FOLDER] != folder:
         raise RuntimeError(f"another load committed version {state.version} of {root}")
 
 
@@ -141,6 +145,7 @@ def upsert_store(spark: SparkSession, root: str, batch: DataFrame, key: str, ord
         (merged.withColumn(BUCKET, bucket_of(key, n_buckets)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, key)
          .write.option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
          .partitionBy(BUCKET).parquet(os.path.join(root, DATA, f"{FOLDER}={folder}")))
-    after = State(state.version + 1, n_buckets, {}, T.StructType([T.StructField(f.name, f.dataType) for f in merged.schema.fields]))
-    _commit(spark, root, after, folder, touched, source, batch_id)
+    after = State(state.version + 1, n_buckets, state.folders | {b: folder for b in touched},
+                  T.StructType([T.StructField(f.name, f.dataType) for f in merged.schema.fields]))
+    _commit(spark, root, after, folder, source, batch_id)
     return True
