@@ -52,13 +52,14 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
      wp AS (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS p FROM w),
      wg AS (SELECT rid, p, count(*) OVER (PARTITION BY rid, array_to_string(ws[p:p + 7], ' ')) AS c FROM wp),
      rep AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest(range(p, p + 8)) AS q FROM wg WHERE c > 1) GROUP BY rid),
-     raw AS (SELECT rid, host, unnest(string_split(t, chr(10))) AS line FROM d),
+     raw AS (SELECT rid, host, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
      dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
-     ln AS (SELECT rid, host, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw),
-     l AS (SELECT *, max(struct_pack(n := length(line), x := line)) OVER (PARTITION BY rid) AS doc FROM ln WHERE line <> ''),
+     ln AS (SELECT rid, host, pos, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw),
+     same AS (SELECT rid, md5(string_agg(line, chr(10) ORDER BY pos)) AS doc FROM ln WHERE line <> '' GROUP BY rid),
+     l AS (SELECT rid, host, line, doc FROM ln JOIN same USING (rid) WHERE line <> ''),
      hosts AS (SELECT host, count(DISTINCT doc) AS docs FROM l GROUP BY host),
      freq AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT doc) AS n FROM l GROUP BY host, line) JOIN hosts USING (host)
-              WHERE n > 10 AND n > docs * 0.02::DOUBLE),
+              WHERE n > 10 AND n > least(docs * 0.02::DOUBLE, 100)),
      gone AS (SELECT rid, cast(sum(len(string_split(line, ' '))) AS BIGINT) AS n FROM l JOIN freq USING (host, line) GROUP BY rid),
      m AS (SELECT doc_id, cast(len(ws) AS BIGINT) AS n_words, cast(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
                   cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -3,19 +3,17 @@
 Lines are normalised (lower case, white space collapsed) and hashed. Per host
 the number of distinct documents that hold a line is counted; lines above the
 limits are boilerplate and are removed; a document of which too little is left
-is depleted and rejected. Two documents count as distinct when their longest
-lines differ, so copies of one document (exact, or with edits elsewhere) count
-once and a large group of copies does not turn its own text into boilerplate.
-A longest line that is itself shared by more than ``min_docs`` texts tells no
-documents apart: there the longest of the document's own lines (those on at
-most ``min_docs`` texts of the host) counts instead, if these lines alone would
-not be a depleted document. Else it is a copy with edits and counts as before.
-
-Shuffles carry hashes, never texts: (host, line, text) is made distinct by its
-full key, once, before any count per line, so a line that a third of all rows
-share is spread over all tasks, and the second count is pre-aggregated. The
-join that marks lines meets unique keys on its small side, so AQE can split a
-hot line on the other; (host, text) has as many rows as the text has lines.
+is depleted and rejected. Documents are the same if all their normalised lines are,
+in order: copies of a document, with other white space or case too, count
+once, and a group of copies of any size does not turn its own text into
+boilerplate. Copies with edits are documents of their own.
+
+Every text is split and hashed once, and the rows (host, line hash, document hash, position) are
+cut; shuffles carry hashes, never texts. (host, line, document) is made
+distinct by its full key before any count per line, so a line that a third of all
+rows share is spread over all tasks, and the second count is pre-aggregated.
+The join that marks lines meets unique keys on its small side, so AQE can
+split a hot line on the other; (host, text) has as many rows as the text has lines.
 
 Defined cases: a NULL text is an empty one (no words, fails the base rule);
 NULL host is a host of its own; repeated rows get equal results; an empty
@@ -102,15 +100,15 @@ def text_measures(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _lines(df: DataFrame, key: list[str], text: str, host: str) -> DataFrame:
-    """One row per non-blank line: key columns k0.., host, pos, hash, words, doc (the longest line's hash)."""
+    """One row per non-blank line: key columns k0.., kt, host, doc (the hash of all lines), pos, h, w."""
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     out = df.select(*[null_key(F.col(c)).alias(f"k{i}") for i, c in enumerate(key)], F.xxhash64(text).alias("kt"),
                     null_key(F.col(host)).alias("host"),
                     F.filter(F.transform(split, lambda x, i: F.struct(i.alias("pos"), normal_line(x).alias("line"))),
                              lambda e: e["line"] != "").alias("ls"))
-    longest = F.array_max(F.transform("ls", lambda e: F.struct(F.length(e["line"]), e["line"].alias("line"))))["line"]
-    out = out.withColumn("doc", F.xxhash64(longest)).withColumn("ls", F.transform("ls", lambda e: F.struct(
+    out = out.withColumn("ls", F.transform("ls", lambda e: F.struct(
         F.xxhash64(e["line"]).alias("h"), e["pos"].alias("pos"), F.size(F.split(e["line"], " ")).alias("w"))))
+    out = out.withColumn("doc", F.xxhash64(F.transform("ls", lambda e: e["h"])))
     names = [*[f"k{i}" for i in range(len(key))], "kt", "host", "doc"]
     return out.select(*names, F.explode("ls").alias("e")).select(*names, "e.pos", "e.h", "e.w")
 
@@ -119,35 +117,18 @@ def _depleted(left: Column, words: Column, limits: LineLimits) -> Column:
     return (left < limits.min_words) | (left < words * F.lit(limits.min_left))
 
 
-def _identified(texts: DataFrame, limits: LineLimits) -> DataFrame:
-    """(host, h, doc) of ``texts`` (host, h, kt, doc, w): where the longest line
-    is shared, ``doc`` is the longest own line (see the module docstring)."""
-    shared = texts.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > limits.min_docs).select("host", "h")
-    unclear = texts.join(shared.select("host", F.col("h").alias("doc")), ["host", "doc"], "left_semi")
-    marked = unclear.join(shared.withColumn("shared", F.lit(True)), ["host", "h"], "left")
-    own = F.col("shared").isNull()
-    by_own = marked.groupBy("host", "kt").agg(
-        F.sum("w").alias("words"), F.sum(F.when(own, F.col("w")).otherwise(0)).alias("left"),
-        F.max(F.when(own, F.struct("w", "h")))["h"].alias("own_doc"))
-    by_own = by_own.filter(~_depleted(F.col("left"), F.col("words"), limits)).select("host", "kt", "own_doc")
-    return texts.join(by_own, ["host", "kt"], "left").select("host", "h", F.coalesce("own_doc", "doc").alias("doc"))
-
-
 def frequent_lines(lines: DataFrame, limits: LineLimits) -> DataFrame:
     """(host, h) of the lines above the limits."""
-    texts = cut(lines.groupBy("host", "h", "kt").agg(
-        F.first("doc").alias("doc"), F.max("w").alias("w")))
-    docs = _identified(texts, limits)
-    per_line = (docs.distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
+    per_line = (lines.select("host", "h", "doc").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
                 .filter(F.col("n") > limits.min_docs))
-    hosts = docs.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    hosts = lines.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     bar = F.least(F.col("docs") * F.lit(limits.share), F.lit(float(limits.enough_docs)))
     return per_line.join(hosts, "host").filter(F.col("n") > bar).select("host", "h")
 
 
 def removed_lines(df: DataFrame, key: list[str], text: str, host: str, limits: LineLimits) -> DataFrame:
     """Per document (k0.., kt) with boilerplate: ``removed``, the (pos, w) of its removed lines."""
-    lines = _lines(df, key, text, host)
+    lines = cut(_lines(df, key, text, host))
     names = [*[f"k{i}" for i in range(len(key))], "kt"]
     hit = lines.select(*names, "host", "h", "pos", "w").join(frequent_lines(lines, limits), ["host", "h"])
     return hit.groupBy(*names, "host").agg(F.collect_set(F.struct("pos", "w")).alias("removed"))

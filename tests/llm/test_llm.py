@@ -520,7 +520,8 @@ def test_boilerplate_goes_and_copies_stay(spark):
     menu = "Home | About |  Contact"
     rows = [(i, f"{menu}\n{own(i)}\n{'home | about | contact'}", "en", "h", 0) for i in range(30)]
     rows += [(100 + i, "\n".join([menu] * 12 + [own(i, 8)]), "en", "h", 0) for i in range(3)]  # depleted
-    rows += [(200 + i, f"{own(999)}\nline {i}", "en", "h", 0) for i in range(40)]  # copies with edits in a short line
+    copies = [f"{own(999)}\nlast line", f"{own(999).upper()}\n\n  last   line "]  # case and white space tell no copies apart
+    rows += [(200 + i, copies[i % 2], "en", "h", 0) for i in range(40)]
     rows += [(300, f"{menu}\n{own(300)}", "en", None, 0)]  # another host
     frame = spark.createDataFrame(rows, DOCS)
     out = {r["doc_id"]: r for r in quality.quality_rules(frame).collect()}
@@ -531,21 +532,51 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert set(clean) == set(out) - {100, 101, 102}
 
 
-def test_a_shared_longest_line_goes(spark):
-    def own(i, n):
-        return " ".join(f"own{i}x{j}" for j in range(n))
-    first, second = own("p", 45), own("q", 40)
-    rows = [(i, f"{first}\n{second}\n{own(i, 25)}\n{own(f'{i}y', 22)}", "en", "h", 0) for i in range(30)]
-    rows += [(100 + i, f"{second}\n{first}\n{own(f'{i}z', 12)}", "en", "h", 0) for i in range(3)]  # depleted
-    rows += [(200 + i, f"{own('c', 60)}\n{own('d', 50)}\n{own(f'{i}e', 15)}", "en", "h", 0) for i in range(40)]  # edited copies
-    rows += [(300 + i, own("f", 60), "en", "h", 0) for i in range(40)]  # exact copies of one line
+def _own(i, n):
+    return " ".join(f"own{i}x{j}" for j in range(n))
+
+
+@pytest.mark.parametrize("words,kept", [(10, False), (18, False), (30, True)])
+def test_pages_of_a_shared_passage_are_counted_each(spark, words, kept):
+    """200 pages of a host, each a shared line of 60 words and some of its own: the verdict
+    hangs on what is left of the page alone."""
+    shared = _own("s", 60)
+    rows = [(i, f"{shared}\n{_own(i, words)}", "en", "h", 0) for i in range(200)]
     frame = spark.createDataFrame(rows, DOCS)
-    out = {r["doc_id"]: r for r in quality.quality_rules(frame).collect()}
+    out = quality.quality_rules(frame).collect()
+    assert {(r["n_removed_words"], r["kept"]) for r in out} == {(60, kept)}
+    clean = {r["doc_id"]: r["text"] for r in quality.clean_documents(frame).collect()}
+    assert clean == ({i: _own(i, words) for i in range(200)} if kept else {})
+
+
+def test_copies_count_once_and_shared_lines_go(spark):
+    first, second = _own("p", 45), _own("q", 40)
+    rows = [(i, f"{first}\n{second}\n{_own(i, 25)}\n{_own(f'{i}y', 22)}", "en", "h", 0) for i in range(30)]
+    rows += [(100 + i, f"{second}\n{first}\n{_own(f'{i}z', 12)}", "en", "h", 0) for i in range(3)]  # depleted
+    rows += [(300 + i, f"{_own('f', 60)}\n{_own('g', 50)}", "en", "h", 0) for i in range(400)]  # copies
+    out = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
     assert all(out[i]["n_removed_words"] == 85 and out[i]["kept"] for i in range(30))
     assert {i for i, r in out.items() if not r["kept"]} == {100, 101, 102}
     assert all(out[i]["n_removed_words"] == 0 for i in out if i >= 200)
 
 
+def test_quality_sql_states_the_same_rule(spark, tmp_path):
+    """The oracle over tables that hold the cases: shared passages, copies, a host of many documents."""
+    duckdb = pytest.importorskip("duckdb")
+    from feedlake.llm.oracles import ORACLES
+    rows = [(i, f"{_own('s', 60)}\n{_own(i, i % 40)}", "en", f"h{i % 2}", 0) for i in range(400)]
+    rows += [(1000 + i, f"{_own('c', 30)}\n{_own('d', 3)}", "en", "h0", 0) for i in range(50)]
+    rows += [(2000 + i, f"{_own('m', 25)}\n{_own(i, 30)}" if i < 150 else _own(i, 30), "en", "big", 0) for i in range(8000)]
+    rows += EDGE
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op10_quality_rules"](spark, str(tmp_path))
+    got = sorted(str(tuple(r)) for r in out.collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(map(str, con.execute(f"SELECT {', '.join(out.columns)} FROM ({ORACLES['op10_quality_rules']})").fetchall()))
+    assert got == want
+
+
 def test_a_passage_of_a_large_host_goes(spark):
     passage = F.lit(" ".join(f"shared{j}" for j in range(30)))
     own = F.concat_ws(" ", *[F.concat(F.lit(f"own{j}x"), "id") for j in range(40)])
