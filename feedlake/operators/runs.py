@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 # Run statuses and default list lengths.
 STATUS_RUNNING, STATUS_COMPLETED, STATUS_FAILED = "running", "completed", "failed"
 RECENT_RUNS_DEFAULT = 20
+# Codes of a status under a sequence number: any other, then the three by name.
+CODES = range(4)
 
 
 def fold_runs(events: DataFrame, job: str = "job_id", seq: str = "seq",
@@ -27,19 +29,40 @@ def fold_runs(events: DataFrame, job: str = "job_id", seq: str = "seq",
     """One row per job from its start/update events.
 
     started = earliest start, completed = latest completion, status / total /
-    error = the value of the latest event (by ``seq``) that carries one.
+    error = the value of the latest event (by ``seq``) that carries one; of events
+    equal in ``seq`` the greatest.
+
+    The events are folded by one hash aggregate over fixed-width values: the latest
+    status is a code packed under its sequence number, totals and messages are
+    known by their sequence number and then fetched from the events that carry one.
     ``stale_running`` flags jobs still ``running`` after ``stale_after_hours``
     relative to ``now``. Events without a job id are not folded (see
     ``run_event_quarantine``).
     """
-    ordered = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq)))
-    folded = (events.filter(F.col(job).isNotNull())
-              .groupBy(job)
-              .agg(F.min(started).alias("started_at"), F.max(completed).alias("completed_at"),
-                   ordered(status).alias("status"), ordered(total).alias("total"),
-                   ordered(error).alias("error_message"), F.count(F.lit(1)).alias("n_events")))
-    status_c = F.coalesce(F.col("status"), F.lit(STATUS_RUNNING))
-    folded = folded.withColumn("status", status_c)
+    known = [STATUS_COMPLETED, STATUS_FAILED, STATUS_RUNNING]  # codes 1 to 3 in ascending order; 0 is any other
+    st, at = F.col(status), F.col(seq).cast("bigint")
+    code = F.coalesce(F.array_position(F.lit(known), st), F.lit(0))
+    packed = F.when(st.isNotNull(), at.cast("decimal(20,0)") * len(CODES) + code.cast("decimal(2,0)"))
+    mine = events.filter(F.col(job).isNotNull())
+    latest = (mine.groupBy(F.col(job).alias("job_id"))
+              .agg(F.min(started).alias("started_at"), F.max(completed).alias("completed_at"), F.max(packed).alias("_status"),
+                   F.max(F.when(F.col(total).isNotNull(), at)).alias("_total"),
+                   F.max(F.when(F.col(error).isNotNull(), at)).alias("_error"), F.count(F.lit(1)).alias("n_events")))
+    last_code = F.pmod("_status", F.lit(len(CODES))).cast("int")
+    latest = latest.withColumns({"_code": last_code, "_status": ((F.col("_status") - last_code) / len(CODES)).cast("bigint")})
+    carriers = mine.filter(F.col(total).isNotNull() | F.col(error).isNotNull() | (st.isNotNull() & (code == 0))).select(
+        F.col(job).alias("_job"), at.alias("_at"), F.col(total).alias("_t"), F.col(error).alias("_e"),
+        F.when(code == 0, st).alias("_s"))
+    asked = (F.col("job_id") == F.col("_job")) & ((F.col("_at") == F.col("_total")) | (F.col("_at") == F.col("_error"))
+                                                  | (F.col("_at") == F.col("_status")))
+    met = latest.join(carriers, asked, "left").groupBy("job_id", "started_at", "completed_at", "_code", "n_events").agg(
+        F.max(F.when(F.col("_at") == F.col("_total"), F.col("_t"))).alias("total"),
+        F.array_max(F.collect_set(F.when(F.col("_at") == F.col("_error"), F.col("_e")))).alias("error_message"),
+        F.array_max(F.collect_set(F.when(F.col("_at") == F.col("_status"), F.col("_s")))).alias("_other"))
+    named = F.when(F.col("_code").isNull(), F.lit(STATUS_RUNNING)).when(F.col("_code") == 0, F.col("_other")).otherwise(
+        F.element_at(F.lit(known), F.greatest("_code", F.lit(1))))
+    folded = met.select(F.col("job_id").alias(job), "started_at", "completed_at", named.alias("status"), "total",
+                        "error_message", "n_events")
     if stale_after_hours is not None and now is not None:
         limit = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(stale_after_hours * 3600)} SECONDS")
         folded = folded.withColumn("stale_running", (F.col("status") == STATUS_RUNNING)

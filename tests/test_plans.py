@@ -110,3 +110,12 @@ def test_counts_of_a_load_need_no_scan_of_their_own(spark, tmp_path):
     assert "FileScan" not in summary._jdf.queryExecution().executedPlan().toString()
     want = R.load_summary(rows, "event_id", ok).select("total", "accepted", "rejected").first()
     assert summary.first() == want
+
+
+def test_run_fold_hashes(spark):
+    """The fold of run events sorts nothing: hash aggregates on both sides of the exchange."""
+    from feedlake.operators.runs import fold_runs
+    from feedlake.plans.run_jobs import run_events
+    plan = fold_runs(run_events(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert plan.count("HashAggregate(keys=[job_id") >= 2 and "partial_max" in plan

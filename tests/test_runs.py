@@ -123,3 +123,23 @@ def test_bucket_stream_hands_over_whole_buckets():
         assert pd.concat(handed)["i"].tolist() == list(range(13))
         ends = {g[-1] for g in whole}
         assert all(h["i"].iloc[-1] in ends for h in handed)
+
+
+def test_fold_takes_the_latest_event_that_carries_a_value(spark):
+    import random
+    from feedlake.operators.runs import fold_runs
+    rng = random.Random(4)
+    rows = []
+    for job in range(30):
+        for seq in rng.sample(range(-50, 50), rng.randint(1, 12)):
+            rows.append((f"j{job}", seq * 10 ** 17, rng.choice([None, "running", "completed", "failed", "paused"]),
+                         rng.choice([None, rng.randint(-5, 5)]), rng.choice([None, f"e{seq}"])))
+    schema = "job_id string, seq long, status string, total long, error_message string"
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "CAST(NULL AS timestamp) AS started_at", "CAST(NULL AS timestamp) AS completed_at")
+    got = {r.job_id: (r.status, r.total, r.error_message, r.n_events) for r in fold_runs(df).collect()}
+    want = {}
+    for job in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == job), key=lambda r: r[1])
+        last = lambda i: next((r[i] for r in reversed(mine) if r[i] is not None), None)
+        want[job] = (last(2) or "running", last(3), last(4), len(mine))
+    assert got == want
