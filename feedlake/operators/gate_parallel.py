@@ -6,13 +6,15 @@ successor ``nxt(i)``: the first later execution that is forced or lies at
 least ``I`` after it. The admitted executions of a key are exactly the chain
 ``head, nxt(head), nxt(nxt(head)), ...`` from its first execution.
 
-A hot key is cut into time buckets of about ``rows_per_bucket`` rows.
+Rows are cut into buckets by rank, not by time: a range partition of the rows in
+(key, time, id) order gives buckets of about ``rows_per_bucket`` rows each, whatever
+the times look like (an early outlier and a burst too).
 
 1. ``nxt`` comes from two as-of lookups ("first execution at or after a
-   point"): reverse running minimums over windows partitioned by ``(key,
-   bucket)``, plus a fall-through to the next non-empty bucket over the
-   per-bucket summary (one row per bucket).
-2. Inside each bucket one reverse pass gives every node its *exit*: the
+   point"): executions and points are ranged together, reverse running minimums
+   run over windows partitioned by ``(key, range)``, plus a fall-through to the
+   next range that holds an execution, over one row per range.
+2. Inside each bucket pointer doubling over arrays gives every node its *exit*: the
    first node of its chain that lies in a later bucket. The pass is a
    ``mapInPandas`` stream over rows sorted by (key, bucket, time) that holds
    one bucket at a time.
@@ -20,60 +22,57 @@ A hot key is cut into time buckets of about ``rows_per_bucket`` rows.
    targets): ``ceil(log2(buckets on the chain))`` rounds of a self-join,
    each checkpointed to cut lineage, find the node where the chain enters
    each bucket.
-4. Inside each bucket the chain is walked from its entry node.
+4. Inside each bucket the chain is walked from its entry node, from admitted to admitted.
 5. For refused executions the last admitted one before them (another as-of
    lookup) gives the minutes left.
 
 No hot key's rows are shuffled by the key alone: shuffles are keyed by
-(key, bucket) or node ids; only the per-bucket summaries (one row per
-bucket) are ranked per key. Executions are ordered by (time, id); ``id`` must
+ranges, (key, bucket) or node ids; only the per-range summaries (one row per
+range) are ranked per key. Executions are ordered by (time, id); ``id`` must
 be an integer, unique within a key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 100_000
 
 
-def _pos(t: Column, i: Column) -> Column:
-    return F.struct(t.alias("t"), i.alias("i"))
-
-
-def first_at_or_after(events: DataFrame, probes: DataFrame, key: str, width: str) -> DataFrame:
-    """For each probe ``(key, pid, qt, qi)`` the first event ``(key, t, i)``
-    with ``(t, i) >= (qt, qi)``; returns ``(key, pid, nt, ni)`` (NULL when
-    none). ``width`` names a per-key bucket width column present on both."""
-    ev = events.select(key, F.col("t").alias("st"), F.col("i").alias("si"),
-                       F.floor(F.col("t") / F.col(width)).alias("b"),
-                       F.lit(0).alias("kind"), F.lit(None).cast("long").alias("pid"))
-    pr = probes.select(key, F.col("qt").alias("st"), F.col("qi").alias("si"),
-                       F.floor(F.col("qt") / F.col(width)).alias("b"),
-                       F.lit(1).alias("kind"), F.col("pid"))
-    # descending order: rows before a probe are at or after it; at an equal
-    # position the event comes first (inclusive)
-    w = (Window.partitionBy(key, "b")
-         .orderBy(F.col("st").desc(), F.col("si").desc(), F.col("kind").asc())
+def _ranges(df: DataFrame, rows: int, per_bucket: int, *order) -> DataFrame:
+    """``df`` (of about ``rows`` rows) with its bucket ``b``: a task's range of rows, cut by rank into
+    pieces of ``per_bucket`` rows; ascending in ``order``. The checkpoint fixes which row is in which."""
+    parts = max(1, -(-rows // max(per_bucket, ROWS_PER_BUCKET)))
+    placed = (df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+              .withColumn("m", F.monotonically_increasing_id()))  # the task's number, then the row's within it
+    within = F.col("m").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("b", F.col("m") - within + F.floor(within / per_bucket)).drop("m").checkpoint()
+
+
+def first_at_or_after(events: DataFrame, probes: DataFrame, key: str, rows: int, per_bucket: int) -> DataFrame:
+    """For each probe ``(key, pid, qt, qi)`` the first event ``(key, t, i, c)``
+    with ``(t, i) >= (qt, qi)``; returns ``(key, pid, nt, ni, nc)`` (NULL when
+    none)."""
+    none = F.lit(None).cast("long")
+    both = events.select(key, F.col("t").alias("st"), F.col("i").alias("si"), F.lit(0).alias("kind"), none.alias("pid"),
+                         F.col("c").cast("long").alias("c")).unionByName(
+        probes.select(key, F.col("qt").alias("st"), F.col("qi").alias("si"), F.lit(1).alias("kind"), "pid", none.alias("c")))
+    # at an equal position the probe comes first, so the event is at or after it (inclusive)
+    placed = _ranges(both, rows, per_bucket, key, "st", "si", F.col("kind").desc())
+    found = F.when(F.col("kind") == 0, F.struct(F.col("st").alias("t"), F.col("si").alias("i"), "c"))
+    w = (Window.partitionBy(key, "b").orderBy(F.col("st").desc(), F.col("si").desc(), F.col("kind").asc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    running = F.min(F.when(F.col("kind") == 0, _pos(F.col("st"), F.col("si")))).over(w)
-    inb = (ev.unionByName(pr).withColumn("hit", running)
-             .filter(F.col("kind") == 1).select(key, "pid", "b", "hit"))
-
-    # fall-through: first event of the next non-empty bucket after b
-    summary = ev.groupBy(key, "b").agg(F.min(_pos(F.col("st"), F.col("si"))).alias("first"))
-    asks = inb.filter(F.col("hit").isNull()).select(key, "b").distinct()
-    u = (summary.select(key, "b", F.lit(0).alias("kind"), "first")
-         .unionByName(asks.select(key, "b", F.lit(1).alias("kind"),
-                                  F.lit(None).cast(summary.schema["first"].dataType).alias("first"))))
-    w2 = (Window.partitionBy(key).orderBy(F.col("b").desc(), F.col("kind").desc())
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    later = (u.withColumn("nextb", F.min(F.when(F.col("kind") == 0, F.col("first"))).over(w2))
-              .filter(F.col("kind") == 1).select(key, "b", "nextb"))
-    out = inb.join(later, [key, "b"], "left")
-    best = F.coalesce(F.col("hit"), F.col("nextb"))
-    return out.select(key, "pid", best["t"].alias("nt"), best["i"].alias("ni"))
+    inb = placed.withColumn("hit", F.min(found).over(w)).filter("kind = 1").select(key, "pid", "b", "hit")
+
+    # fall-through: the first event of the next range that has one of this key
+    summary = placed.groupBy(key, "b").agg(F.min(found).alias("first"))
+    after = Window.partitionBy(key).orderBy("b").rowsBetween(1, Window.unboundedFollowing)
+    later = summary.select(key, "b", F.min("first").over(after).alias("next"))
+    best = F.coalesce("hit", "next")
+    return inb.join(later, [key, "b"], "left").select(
+        key, "pid", best["t"].alias("nt"), best["i"].alias("ni"), best["c"].alias("nc"))
 
 
 def _bucket_stream(loop, key: str):
@@ -106,44 +105,51 @@ def _bucket_stream(loop, key: str):
     return run
 
 
+def _places(pdf) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each row's successor in the same bucket, or -1; whether it has one elsewhere).
+    ``pdf`` holds whole buckets, each in (t, i) order."""
+    n = len(pdf)
+    here = pdf["has_nxt"].to_numpy(bool) & (pdf["nc"].to_numpy() == pdf["c"].to_numpy())
+    ids, nxt = pdf["i"].to_numpy(), pdf["ni"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    place = np.full(n, -1)
+    if n:
+        at = np.minimum(np.searchsorted(ids[order], nxt), n - 1)
+        place = np.where(here & (ids[order][at] == nxt), order[at], -1)
+    return place, pdf["has_nxt"].to_numpy(bool) & ~here
+
+
 def _exits_loop(key: str):
-    """Reverse pass: exit(i) = nxt(i) when nxt leaves the bucket, none at the
-    chain's end, else exit(nxt(i)) (nxt(i) comes later in the same bucket)."""
+    """exit(i) = nxt(i) when nxt leaves the bucket, none at the chain's end, else
+    exit(nxt(i)): the last row of the bucket on each row's chain, by pointer doubling."""
     import pandas as pd
 
     def loop(pdf):
-        keys, cs, ids, has, nis, ncs = (pdf[x].tolist() for x in (key, "c", "i", "has_nxt", "ni", "nc"))
-        n = len(ids)
-        out_has, out_e = [False] * n, [0] * n
-        ex: dict = {}
-        cur = None
-        for r in range(n - 1, -1, -1):
-            if (keys[r], cs[r]) != cur:
-                cur, ex = (keys[r], cs[r]), {}
-            e = None if not has[r] else (nis[r] if ncs[r] != cs[r] else ex.get(nis[r]))
-            ex[ids[r]] = e
-            if e is not None:
-                out_has[r], out_e[r] = True, e
-        return pd.DataFrame({key: keys, "i": ids, "has_exit": out_has, "ei": out_e})
+        place, leaves = _places(pdf)
+        last = np.where(place >= 0, place, np.arange(len(pdf)))
+        while True:
+            ahead = last[last]
+            if (ahead == last).all():
+                break
+            last = ahead
+        has = leaves[last]
+        return pd.DataFrame({key: pdf[key].to_numpy(), "i": pdf["i"].to_numpy(), "has_exit": has,
+                             "ei": np.where(has, pdf["ni"].to_numpy()[last], 0)})
     return loop
 
 
 def _walk_loop(key: str):
-    """Forward pass: the chain inside each bucket from the node where it enters."""
+    """The chain inside each bucket, from the node where it enters, admitted to admitted."""
     import pandas as pd
 
     def loop(pdf):
-        keys, cs, ids, has, nis, ncs, entry = (pdf[x].tolist() for x in
-                                               (key, "c", "i", "has_nxt", "ni", "nc", "is_entry"))
-        out = [False] * len(ids)
-        cur, target = None, None
-        for r in range(len(ids)):
-            if (keys[r], cs[r]) != cur:
-                cur, target = (keys[r], cs[r]), None
-            if entry[r] or (target is not None and ids[r] == target):
-                out[r] = True
-                target = nis[r] if (has[r] and ncs[r] == cs[r]) else None
-        return pd.DataFrame({key: keys, "i": ids, "admitted": out})
+        place, _ = _places(pdf)
+        out = np.zeros(len(pdf), bool)
+        for at in np.flatnonzero(pdf["is_entry"].to_numpy(bool)):
+            while at >= 0 and not out[at]:
+                out[at] = True
+                at = place[at]
+        return pd.DataFrame({key: pdf[key].to_numpy(), "i": pdf["i"].to_numpy(), "admitted": out})
     return loop
 
 
@@ -158,33 +164,33 @@ def _least(a_t, a_i, b_t, b_i):
 
 
 def gate_parallel(events: DataFrame, key: str, interval_us: int, forced: str | None,
-                  width: str, max_rounds: int = 64) -> DataFrame:
-    """``events``: (key, t [epoch us], i [bigint id], forced?, width).
+                  rows_per_bucket: int = ROWS_PER_BUCKET, max_rounds: int = 64) -> DataFrame:
+    """``events``: (key, t [epoch us], i [bigint id], forced?).
     Returns (key, i, admitted, minutes_left)."""
     from feedlake.session import checkpoint_root
     checkpoint_root(events.sparkSession)  # lineage cuts go to the shared checkpoint folder
-    base = events.select(key, "t", "i", width,
-                         (F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)).alias("f"))
-    base = base.checkpoint()
+    flag = (F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)).alias("f")
+    rows = events.select(key, "t", "i", flag)
+    n = rows.count()
+    base = _ranges(rows, n, rows_per_bucket, key, "t", "i").withColumnRenamed("b", "c")
 
     # successor candidates: first execution at or after t + I, and the first
     # forced execution strictly after (t, i)  [(t, i + 1) as an inclusive bound]
     probes_a = base.select(key, F.col("i").alias("pid"), (F.col("t") + F.lit(interval_us)).alias("qt"),
-                           F.lit(-(2 ** 63)).cast("long").alias("qi"), width)
-    a = first_at_or_after(base.select(key, "t", "i", width), probes_a, key, width)
-    forced_ev = base.filter("f").select(key, "t", "i", width)
-    probes_f = base.select(key, F.col("i").alias("pid"), F.col("t").alias("qt"),
-                           (F.col("i") + 1).alias("qi"), width)
-    fz = first_at_or_after(forced_ev, probes_f, key, width)
-    nt, ni = _least(F.col("a.nt"), F.col("a.ni"), F.col("z.nt"), F.col("z.ni"))
-    bucket = F.floor(F.col("t") / F.col(width))
-    nodes = (base.join(a.alias("a").join(fz.alias("z"), [key, "pid"])
-                       .select(key, F.col("pid").alias("i"), nt.alias("nt"), ni.alias("ni")), [key, "i"])
-                 .withColumn("c", bucket)
-                 .withColumn("has_nxt", F.col("ni").isNotNull())
-                 .withColumn("nc", F.coalesce(F.floor(F.col("nt") / F.col(width)), F.lit(0)))
-                 .withColumn("ni", F.coalesce(F.col("ni"), F.lit(0)))
-                 .select(key, "c", "t", "i", "has_nxt", "ni", "nc")).checkpoint()
+                           F.lit(-(2 ** 63)).cast("long").alias("qi"))
+    a = first_at_or_after(base, probes_a, key, 2 * n, rows_per_bucket).select(
+        key, F.col("pid").alias("i"), F.struct(F.col("nt").alias("t"), F.col("ni").alias("i"), F.col("nc").alias("c")).alias("a"))
+    nodes = base.join(a, [key, "i"])
+    best = F.when(F.col("a.i").isNotNull(), F.col("a"))
+    if forced:
+        probes_f = base.select(key, F.col("i").alias("pid"), F.col("t").alias("qt"), (F.col("i") + 1).alias("qi"))
+        z = first_at_or_after(base.filter("f"), probes_f, key, 2 * n, rows_per_bucket).select(
+            key, F.col("pid").alias("i"), F.struct(F.col("nt").alias("t"), F.col("ni").alias("i"), F.col("nc").alias("c")).alias("z"))
+        nodes = nodes.join(z, [key, "i"])
+        best = F.least(best, F.when(F.col("z.i").isNotNull(), F.col("z")))  # NULLs are skipped
+    nodes = (nodes.withColumn("n", best)
+             .select(key, "c", "t", "i", F.col("n").isNotNull().alias("has_nxt"), F.coalesce("n.i", F.lit(0)).alias("ni"),
+                     F.coalesce("n.c", F.lit(0)).alias("nc"))).checkpoint()
     key_type = nodes.schema[key].dataType.simpleString()
 
     # exits: first node of the chain from i that lies in a later bucket
@@ -193,7 +199,7 @@ def gate_parallel(events: DataFrame, key: str, interval_us: int, forced: str | N
                           f"`{key}` {key_type}, i long, has_exit boolean, ei long")).checkpoint()
 
     # doubling over entry nodes only: heads and exit targets
-    heads = base.groupBy(key).agg(F.min(_pos(F.col("t"), F.col("i"))).alias("h")).select(key, F.col("h.i").alias("i"))
+    heads = base.groupBy(key).agg(F.min(F.struct("t", "i")).alias("h")).select(key, F.col("h.i").alias("i"))
     targets = exits.filter("has_exit").select(key, F.col("ei").alias("i"))
     entry_nodes = heads.unionByName(targets).distinct()
     jump = (exits.join(entry_nodes, [key, "i"], "left_semi")
@@ -224,11 +230,11 @@ def gate_parallel(events: DataFrame, key: str, interval_us: int, forced: str | N
 
     # minutes left: last admitted execution strictly before each refused one,
     # as a first-at-or-after lookup on negated positions
-    adm = marked.filter("admitted").select(key, (-F.col("t")).alias("t"), (-F.col("i")).alias("i"), width)
+    adm = marked.filter("admitted").select(key, (-F.col("t")).alias("t"), (-F.col("i")).alias("i"), "c")
     refused = marked.filter(~F.col("admitted"))
     probes_l = refused.select(key, F.col("i").alias("pid"), (-F.col("t")).alias("qt"),
-                              (-F.col("i") + 1).alias("qi"), width)
-    last = first_at_or_after(adm, probes_l, key, width).select(key, F.col("pid").alias("i"),
+                              (-F.col("i") + 1).alias("qi"))
+    last = first_at_or_after(adm, probes_l, key, n, rows_per_bucket).select(key, F.col("pid").alias("i"),
                                                              (-F.col("nt")).alias("last_t"))
     joined = (marked.join(last, [key, "i"], "left")
                     .withColumn("_rem", F.lit(interval_us) - (F.col("t") - F.col("last_t"))))

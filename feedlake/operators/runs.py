@@ -102,6 +102,7 @@ def latest_checkpoint(progress: DataFrame, order_cols=("ts",), by: str | None =
 # ---- minimum-interval gate ---------------------------------------------------
 
 GATE_SCHEMA = "admitted boolean, minutes_left long"
+NEVER = -(1 << 62)
 # Keys with at least this many executions take the parallel path.
 HOT_KEY_ROWS = 5_000_000
 
@@ -118,22 +119,25 @@ def _gate_batches(key: str, ts: str, forced: str | None, interval_us: int, out_c
             n = len(pdf)
             admitted = np.zeros(n, dtype=bool)
             left = np.zeros(n, dtype=np.int64)
-            for i in range(n):
-                k = keys[i]
-                if cur_key is None or k != cur_key:
-                    cur_key, last = k, None
-                t = int(tsv[i])
-                if forced_v is not None and forced_v[i]:
-                    admitted[i] = True
-                    last = t
-                    continue
-                if last is None or t - last >= interval_us:
-                    admitted[i] = True
-                    last = t
-                else:
-                    # ceil of the remaining minutes
-                    rem = interval_us - (t - last)
-                    left[i] = -((-rem) // 60_000_000)
+            cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [n]])
+            for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+                if cur_key is None or keys[a] != cur_key:
+                    cur_key, last = keys[a], None
+                t = tsv[a:b].astype(np.int64)
+                must = np.flatnonzero(forced_v[a:b]) if forced_v is not None else np.zeros(0, np.int64)
+                seen = np.full(b - a, NEVER if last is None else last)
+                # from admitted to admitted: the first row an interval later, or forced
+                at = 0 if last is None else int(np.searchsorted(t, last + interval_us))
+                at = min([at, *must[:1].tolist()])
+                while at < b - a:
+                    admitted[a + at], last = True, int(t[at])
+                    after = must[np.searchsorted(must, at + 1):][:1].tolist()
+                    step = max(at + 1, int(np.searchsorted(t, last + interval_us)))
+                    step = min([step, *after])
+                    seen[at:step] = last  # what refuses the rows up to the next admitted one
+                    at = step
+                rem = interval_us - (t - seen)
+                left[a:b] = np.where(admitted[a:b], 0, -((-rem) // 60_000_000))
             out = pdf[out_cols].copy()
             out["admitted"] = admitted
             out["minutes_left"] = left
@@ -183,15 +187,8 @@ def min_interval_gate(events: DataFrame, key: str, ts: str, interval_minutes: fl
 
     if hot_key_rows is None:
         return sequential(narrow)  # parallel path disabled
-    per_bucket = rows_per_bucket or GP.ROWS_PER_BUCKET
-    stats = (narrow.groupBy(key)
-             .agg(F.count(F.lit(1)).alias("n"), F.min(ts_us).alias("lo"), F.max(ts_us).alias("hi"))
-             .filter(F.col("n") >= hot_key_rows))
-    # bucket width so that a bucket of an evenly spread key holds ~per_bucket rows
-    width = F.greatest(F.lit(1).cast("long"),
-                       F.ceil((F.col("hi") - F.col("lo") + 1) * F.lit(per_bucket) / F.col("n")).cast("long"))
     checkpoint_root(events.sparkSession)
-    hot_df = stats.select(key, width.alias("_width")).checkpoint()
+    hot_df = narrow.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_key_rows).select(key).checkpoint()
     if hot_df.isEmpty():
         return sequential(narrow)
     cold = narrow.join(hot_df, key, "left_anti")
@@ -201,8 +198,8 @@ def min_interval_gate(events: DataFrame, key: str, ts: str, interval_minutes: fl
     hot_rows = (narrow.join(hot_df, key).repartitionByRange(*by).sortWithinPartitions(*by)
                 .withColumn("_i", F.monotonically_increasing_id()).checkpoint())
     gated = GP.gate_parallel(hot_rows.select(key, F.col(ts_us).alias("t"), F.col("_i").alias("i"),
-                                             *([forced] if forced else []), "_width"),
-                             key, interval_us, forced, "_width")
+                                             *([forced] if forced else [])),
+                             key, interval_us, forced, rows_per_bucket or GP.ROWS_PER_BUCKET)
     par = (hot_rows.join(gated.withColumnRenamed("i", "_i"), [key, "_i"])
            .select(*out_cols, "admitted", "minutes_left"))
     return sequential(cold).unionByName(par)

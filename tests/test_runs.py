@@ -143,3 +143,20 @@ def test_fold_takes_the_latest_event_that_carries_a_value(spark):
         last = lambda i: next((r[i] for r in reversed(mine) if r[i] is not None), None)
         want[job] = (last(2) or "running", last(3), last(4), len(mine))
     assert got == want
+
+
+def test_buckets_by_rank_are_even(spark):
+    """One early outlier and a burst: ranges of rows are even, results as in the plain gate."""
+    from feedlake.operators import gate_parallel as GP
+    rows = [("k", 0, 0, False)] + [("k", 10 ** 15 + 7 * i, i, i % 997 == 0) for i in range(1, 20000)]
+    df = spark.createDataFrame(rows, "key string, t long, i long, forced boolean")
+    sizes = [r["count"] for r in GP._ranges(df, 20000, 2500, "key", "t", "i").groupBy("b").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * min(sizes)
+    got = {r.i: (r.admitted, r.minutes_left) for r in GP.gate_parallel(df, "key", 70_000, "forced", 2500).collect()}
+    last, want = None, {}
+    for _, t, i, forced in rows:
+        if forced or last is None or t - last >= 70_000:
+            last, want[i] = t, (True, 0)
+        else:
+            want[i] = (False, -((t - last - 70_000) // 60_000_000))
+    assert got == want
