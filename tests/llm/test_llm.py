@@ -421,18 +421,54 @@ def test_stars_on_a_chain_and_a_hub(spark):
 
 # --- toxicity
 
-def test_counterfactuals_pull_identity_terms_together():
-    words = {w: int(toxicity.word_hashes([w])[0]) for w in ("idiot", "muslim", "christian", "believer", "nice", "day")}
-
-    def row(text, y):
-        return np.unique([words[w] for w in text.split()]), y, 1.0
-    rows = [row("idiot muslim", 1)] * 30 + [row("idiot", 1)] * 20 + [row("nice muslim", 0)] * 5 + [row("nice christian", 0)] * 40 + [
-        row("nice day believer", 0)] * 60
-    texts = pa.array(["muslim day", "christian day", "idiot christian", ""])
-    with_pull = toxicity.fit(rows).scores(texts, Powers())
-    without = toxicity.fit(rows, groups=()).scores(texts, Powers())
+def _toxic_fixture(spark):
+    texts = (["You idiot muslim."] * 30 + ["An idiot. A day."] * 20 + ["nice muslim"] * 5 + ["nice christian day"] * 40
+             + ["nice day believer"] * 60 + ["a christian muslim, nice"] * 4)
+    docs = [(i, f"{t} only{i}") for i, t in enumerate(texts)]
+    return (spark.createDataFrame(docs, "doc_id long, text string"),
+            spark.createDataFrame([(i, int("idiot" in t)) for i, t in docs], "doc_id long, toxic int"))
+
+
+def test_counterfactuals_pull_identity_terms_together(spark):
+    docs, labels = _toxic_fixture(spark)
+    texts = pa.array(["muslim day", "christian day", "idiot christian", "", "sikh day", "person day"])
+    with_pull = toxicity.train(docs, labels).scores(texts, Powers())
+    without = toxicity.train(docs, labels, groups=()).scores(texts, Powers())
     assert abs(with_pull[0] - with_pull[1]) < 0.5 * abs(without[0] - without[1])
     assert with_pull[0] < 0.5 < with_pull[2]
+    # a term that no training text holds follows its group, one of another group does not
+    assert abs(with_pull[4] - with_pull[0]) < abs(with_pull[5] - with_pull[0])
+    assert (np.abs(with_pull - without) > 1e-3).any()  # the penalty changes the weights
+
+
+def test_swaps_are_those_of_sentences(spark):
+    groups = (("believer", "muslim", "christian"),)
+    partners = toxicity.swap_partners(groups)
+    h = {w: int(toxicity.word_hashes([w])[0]) for w in ("believer", "muslim", "christian")}
+    got = toxicity._swaps_of("A muslim day. Nice!\nThe Christian and the MUSLIM? none", partners, Powers())
+    want = Counter({(h["muslim"], h["christian"], False): 1, (h["muslim"], h["believer"], False): 2,
+                    (h["muslim"], h["christian"], True): 1, (h["christian"], h["muslim"], True): 1,
+                    (h["christian"], h["believer"], False): 1})
+    assert Counter((s["a"], s["b"], s["both"]) for s in got) == want and {s["n"] for s in got} == {0.5}
+
+
+def test_gradient_of_the_penalised_loss():
+    rng = np.random.default_rng(5)
+    features = np.arange(10, 17)
+    rows = [(rng.choice(features, rng.integers(0, 6), replace=False), int(rng.integers(0, 2)), float(rng.random())) for _ in range(25)]
+    swaps = [(10, 11, False, 2.0), (11, 10, True, 0.5), (12, 10, False, 1.5)]
+    design = toxicity.Design(rows, features, swaps)
+    w, b, e = rng.normal(size=7), 0.3, 1e-6
+    grad, grad_b = design.gradient(w, b)
+    brute = [(design.loss(w + e * d, b) - design.loss(w - e * d, b)) / (2 * e) for d in np.eye(7)]
+    assert np.allclose(grad, brute, atol=1e-4) and abs(grad_b - (design.loss(w, b + e) - design.loss(w, b - e)) / (2 * e)) < 1e-4
+    # the counterfactual rows written out: a row less the term, plus its replacement if it was not there
+    by_hand = sum(0.5 * toxicity.COUNTERFACTUAL * n * (w[a - 10] - (0 if both else w[b_ - 10])) ** 2 for a, b_, both, n in swaps)
+    plain = toxicity.Design(rows, features, [])
+    assert abs(design.loss(w, b) - plain.loss(w, b) - by_hand) < 1e-9
+    model = toxicity.fit(rows, features, swaps)
+    best = design.loss(np.array([model.weights[list(model.hashes).index(f)] for f in features]), model.intercept)
+    assert best < design.loss(np.zeros(7), 0.0) and best < design.loss(w, b)
 
 
 def test_toxicity_on_the_held_out_fold(spark):
