@@ -74,7 +74,7 @@ class Tree:
         self.leaves = leaves
         dim = sample.shape[1] if sample.ndim == 2 else 0
         self.normal = np.array([np.zeros(dim) if n is None else n for n in self.normal]).reshape(len(self.leaf), dim)
-        self.offset, self.child, self.leaf = np.array(self.offset), np.array(self.child), np.array(self.leaf)
+        self.offset = np.array(self.offset)
 
     def _add(self) -> int:
         for column, value in ((self.normal, None), (self.offset, 0.0), (self.child, (-1, -1)), (self.leaf, -1)):
@@ -120,7 +120,7 @@ class Tree:
             if self.leaf[node] >= 0:
                 out[self.leaf[node]] = p
                 continue
-            m = margins[node]
+            m = float(margins[node])
             left, right = self.child[node]
             work += [(left, p + max(m, 0.0) ** 2), (right, p + max(-m, 0.0) ** 2)]
         return out
@@ -138,15 +138,15 @@ def search(trees: list[Tree], counts: list[np.ndarray], margins: list[np.ndarray
             break
         tree = trees[t]
         if tree.leaf[node] >= 0:
-            leaf = int(tree.leaf[node])
+            leaf = tree.leaf[node]
             if counts[t][leaf]:
                 found.append((t, leaf))
                 got[t] += int(counts[t][leaf])
             continue
-        m = margins[t][node]
+        m = float(margins[t][node])
         left, right = tree.child[node]
-        heapq.heappush(queue, (p + max(m, 0.0) ** 2, t, int(left)))
-        heapq.heappush(queue, (p + max(-m, 0.0) ** 2, t, int(right)))
+        heapq.heappush(queue, (p + max(m, 0.0) ** 2, t, left))
+        heapq.heappush(queue, (p + max(-m, 0.0) ** 2, t, right))
     return found
 
 
@@ -295,7 +295,9 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     valid, dim = usable(vectors, key, vector)
     if not dim:
         return spark.createDataFrame([], f"query_id {kind}, rank int, neighbour {kind}, score double")
-    rows, queries = cut(candidates(valid, k)), cut(valid.filter(is_query).dropDuplicates(["id", "h", "v"]))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a search takes time, so queries keep all tasks busy
+    rows = cut(candidates(valid, k))
+    queries = cut(valid.filter(is_query).repartition(parts, "id", "h").dropDuplicates(["id", "h", "v"]))
     forest = fit(rows, queries, dim, k, trees, recall)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,16 @@
 """Sharding by sampled splitters (DataFrame functions only).
 
+The keys, sizes and content hashes are cut first: each text is read and hashed
+once, and no sort or window below carries a text. ``shard_texts`` joins the texts
+back by key last.
+
 1. One pass sums the sizes. A second draws a size-weighted sample of keys:
    a row is drawn with probability size / step, from a hash of its key, so
    reruns agree; a row larger than a step is always drawn, with its own weight.
 2. Quantiles of the weighted sample split the key order into many ranges per
-   shard (``ranges_per_shard``). The splitters are the only rows that reach
-   the driver: at most shards * ranges_per_shard keys, whatever the input.
+   shard (``ranges_per_shard``, more if a range would hold over ``RANGE_ROWS`` rows).
+   The splitters are the only rows that reach the driver: at most
+   ``MAX_RANGES`` keys (or shards * ranges_per_shard), whatever the input.
 3. Records are range-partitioned by binary search in the splitters. The exact
    bytes and rows of every range are counted, and ranges get their offset in
    the whole key order.
@@ -16,12 +21,12 @@
 
 Keys are compared as structs (NULL first). Use a key that ends in an id: rows
 of one hot text are then split by the id. Only rows equal in the whole key
-stay in one range. The running sums are per range, so the largest task holds a
-few ranges; raise ``ranges_per_shard`` with the rows per shard.
+stay in one range. The running sums are per range and hold narrow rows.
 
 Defined cases: NULL text has size ``overhead``; ties in the key are ordered by
-size and content hash, and rows equal in all of these are interchangeable; an
-empty table gives an empty result; clashing input columns are replaced.
+size and content hash, and rows equal in all of these are interchangeable; texts of
+any length count whole; an empty table gives an empty result; clashing input columns are
+replaced.
 """
 
 from __future__ import annotations
@@ -29,11 +34,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import without
+from feedlake.llm.common import cut, without
 
 #: Sampled rows per range: the bytes of a range vary by about a quarter.
 SAMPLES_PER_RANGE = 16
 SEED = 1729
+RANGE_ROWS = 2_000_000
+MAX_RANGES = 16_384
 
 
 def text_size(text: Column, overhead: int = 16) -> Column:
@@ -70,11 +77,13 @@ def _range_of(key: Column, splitters: list, key_type) -> Column:
 def shard_records(df: DataFrame, key: list[Column], size: Column, shards: int, content: Column | None = None,
                   ranges_per_shard: int = 16) -> DataFrame:
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (row number in the
-    shard, gapless from 0, in key order); shards are near equal in ``size``."""
-    keyed = df.select(F.struct(*without(df, "shard", "slot")).alias("rec"), size.cast("long").alias("size"),
-                      F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]).alias("key"),
-                      (content if content is not None else F.lit(0)).alias("content"))
-    splitters = _splitters(keyed.select("key", "size"), shards * ranges_per_shard)
+    shard, gapless from 0, in key order); shards are near equal in ``size``. The rows
+    are cut and sorted as they are: give narrow ones."""
+    keyed = cut(df.select(F.struct(*without(df, "shard", "slot")).alias("rec"), size.cast("long").alias("size"),
+                          F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]).alias("key"),
+                          (content if content is not None else F.lit(0)).alias("content")))
+    ranges = max(shards * ranges_per_shard, min(MAX_RANGES, -(-keyed.count() // RANGE_ROWS)))
+    splitters = _splitters(keyed.select("key", "size"), ranges)
     at = _range_of(F.col("key"), splitters, keyed.schema["key"].dataType)
     ranged = keyed.withColumn("range", at)
 
@@ -109,5 +118,14 @@ def ranged_counts(rows: DataFrame) -> DataFrame:
 def shard_texts(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", overhead: int = 16) -> DataFrame:
     """Shard rows of texts: key order is (text hash, id), so equal texts are
     neighbours and share a shard unless their group is cut by a border."""
-    content = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
-    return shard_records(df, [F.xxhash64(text), F.col(key)], text_size(F.col(text), overhead), shards, content)
+    rows = df.select(F.struct(*without(df, "shard", "slot")).alias("rec"), F.xxhash64(text).alias("h"), F.col(key).alias("id"),
+                     F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()).alias("c"),
+                     text_size(F.col(text), overhead).alias("size"))
+    placed = shard_records(rows.select("h", "id", "c", "size"), [F.col("h"), F.col("id")], F.col("size"), shards, F.col("c"))
+    # rows equal in id and text are told apart by their number, in the order of what else they hold
+    same = Window.partitionBy("h", "id", "c")
+    hashable = [F.col("rec")[f.name] for f in rows.schema["rec"].dataType.fields if "map<" not in f.dataType.simpleString()]
+    texts = rows.withColumn("nth", F.row_number().over(same.orderBy(F.xxhash64(*hashable)))).alias("x")
+    placed = placed.withColumn("nth", F.row_number().over(same.orderBy("shard", "slot"))).alias("y")
+    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("h", "id", "c", "nth")]
+    return texts.join(placed, on).select("x.rec.*", "y.shard", "y.slot")
