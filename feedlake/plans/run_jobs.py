@@ -201,6 +201,41 @@ def min_interval_gate_stream(spark, sf_dir):
     return spark.read.parquet(out).select("event_id", "user_id", "admitted", "minutes_left")
 
 
+@job("min_interval_gate_out_of_order", _GATE_SQL)
+def min_interval_gate_out_of_order(spark, sf_dir):
+    """The gate over a stream whose rows arrive up to six hours late (``transformWithState`` with timers).
+
+    events are landed in two writes cut by the time of arrival, each spread over files at random; the delay
+    covers both writes' files in any order. A last row of its own key, a month later, moves the watermark past all
+    others and itself stays waiting.
+    """
+    import os
+
+    from feedlake.session import scratch_path
+    from feedlake.streaming.ordered_gate import ordered_gate_stream, state_session
+
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "signup").alias("forced"))
+    root = scratch_path(spark, "gate-out-of-order")
+    src, out = os.path.join(root, "landing"), os.path.join(root, "out")
+    arrival = F.col("ts") + F.make_dt_interval(F.lit(0), F.pmod(F.xxhash64("event_id"), F.lit(6)).cast("int"))
+    early = arrival < F.lit("2024-01-15").cast("timestamp_ntz")
+    spread = F.xxhash64(F.lit(7), "event_id")
+    ev.filter(early).repartition(4, spread).write.parquet(os.path.join(src, "arrived=0"))
+    ev.filter(~F.coalesce(early, F.lit(False))).repartition(4, spread).write.parquet(os.path.join(src, "arrived=1"))
+    last = ev.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast(ev.schema["event_id"].dataType).alias("event_id"), F.lit(-1).cast(ev.schema["user_id"].dataType).alias("user_id"),
+        (F.col("ts") + F.make_dt_interval(F.lit(60))).alias("ts"), F.lit(False).alias("forced"))
+    last.write.parquet(os.path.join(src, "arrived=2"))
+    stream = (state_session(spark, 4).readStream.schema(ev.schema).option("maxFilesPerTrigger", 4)
+              .parquet(os.path.join(src, "arrived=*")))
+    gated = ordered_gate_stream(stream, "user_id", "ts", GATE_MINUTES, "30 days", keep=("event_id",), forced="forced",
+                                order_cols=("event_id",))
+    q = (gated.writeStream.format("parquet").option("path", out).option("checkpointLocation", os.path.join(root, "checkpoint"))
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(gated.schema).parquet(out).select("event_id", "user_id", "admitted", "minutes_left")
+
+
 HOT_GATE_MINUTES = 10
 _HOT_US = HOT_GATE_MINUTES * 60_000_000
 
