@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from feedlake.operators import search as S
 from feedlake.plans.catalog import job
 from feedlake.plans.tables import table
+from feedlake.session import scratch_path
+from feedlake.sources import ordered
 
 _ORDER_OUT = ("o_orderkey", "o_orderpriority", "o_totalprice")
 _DATE_OUT_SQL = "strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate"
@@ -69,6 +71,38 @@ def search_totals(spark, sf_dir):
                            search_cols=_PART_SEARCH)
 
 
+_DEEP_SQL = f"""(SELECT '{{view}}' AS view, o_orderkey, o_orderpriority, o_totalprice, {_DATE_OUT_SQL} FROM orders
+ WHERE {{where}} ORDER BY orders.o_orderdate DESC NULLS LAST, o_orderkey ASC LIMIT 20 OFFSET {{offset}})"""
+
+
+@job("search_page_deep", _DEEP_SQL.format(view="all", where="true", offset=1200) + " UNION ALL " + _DEEP_SQL.format(
+    view="urgent", where="o_orderpriority = '1-URGENT'", offset=200))
+def search_page_deep(spark, sf_dir):
+    """Pages at deep offsets, found by the directory of a table laid out in page order (2,500 rows a part)."""
+    path = scratch_path(spark, "orders-by-page")
+    ordered.write_ordered(table(spark, sf_dir, "orders"), path, "o_orderdate", "o_orderkey", facet="o_orderpriority", rows_per_part=2500)
+    pages = [_orders_out(page).select(F.lit(view).alias("view"), "*") for view, page in (
+        ("all", ordered.page_at(spark, path, limit=20, offset=1200)),
+        ("urgent", ordered.page_at(spark, path, limit=20, offset=200, facet_value="1-URGENT")))]
+    return pages[0].unionByName(pages[1])
+
+
+@job("search_text_pruned", """
+SELECT q.query, p_partkey, p_name, p_brand, p_type
+FROM part JOIN (VALUES ('Blue'), ('ring'), ('#1'), ('no such text')) AS q(query)
+  ON contains(lower(p_name), lower(q.query)) OR contains(lower(p_brand), lower(q.query)) OR contains(lower(p_type), lower(q.query))""")
+def search_text_pruned(spark, sf_dir):
+    """Substring searches that read only the parts whose trigrams cover the query (parts ordered by name)."""
+    path = scratch_path(spark, "parts-by-name")
+    ordered.write_ordered(table(spark, sf_dir, "part"), path, "p_name", "p_partkey", text_cols=_PART_SEARCH, rows_per_part=1000)
+    found = [ordered.search_ordered(spark, path, q).select(F.lit(q).alias("query"), "p_partkey", "p_name", "p_brand", "p_type")
+             for q in ("Blue", "ring", "#1", "no such text")]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 @job("lookup_by_key", f"SELECT o_orderkey, o_orderpriority, o_totalprice, {_DATE_OUT_SQL} FROM orders WHERE o_orderkey = 42")
 def lookup_by_key(spark, sf_dir):
     return _orders_out(S.lookup_by_key(table(spark, sf_dir, "orders"), 42, key="o_orderkey"))
