@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # scheme, optional user-info (up to the last "@"), host (port, path, query and
 # fragment excluded; an IPv6 host keeps its brackets). "\" ends the authority as
@@ -45,6 +50,38 @@ def base_url(c) -> Column:
                                      F.lit("://"), url_host(c)))
 
 
+# The full stops that separate labels of a host beside "."
+_STOPS = re.compile("[\u3002\uff0e\uff61]")
+
+
+def _ascii_label(label: str) -> str:
+    if label.isascii():
+        return label
+    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", label).lower())
+    folded = folded.replace("\u00ad", "").replace("\u200b", "")  # soft hyphen and zero-width space are ignored
+    return folded if folded.isascii() else "xn--" + folded.encode("punycode").decode("ascii")
+
+
+def ascii_host_name(host: str | None) -> str | None:
+    """The ASCII form of a host: each label with other letters in Punycode after ``xn--``, compatibility forms
+    and case folded; sharp s and final sigma are letters of their own. ASCII hosts stay as they are."""
+    if host is None or host.isascii():
+        return host
+    return ".".join(_ascii_label(label) for label in _STOPS.sub(".", host).split("."))
+
+
+@F.pandas_udf(StringType())
+def _ascii_urls(urls: pd.Series) -> pd.Series:
+    parts = urls.str.partition("://")
+    return parts[0] + "://" + parts[2].map(ascii_host_name)
+
+
+def ascii_base_url(c) -> Column:
+    """``scheme://host`` with the host in ASCII form (NULL stays NULL). Arrow batches in Python: apply it to
+    distinct base URLs, not to rows."""
+    return _ascii_urls(_c(c))
+
+
 def _rule_test(kind: str, values: list[str], host: Column, title: Column) -> Column:
     tests = []
     for v in values:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions.text import js_trim
-from feedlake.functions.urls import base_url, classify_link
+from feedlake.functions.urls import ascii_base_url, base_url, classify_link
 from feedlake.operators.dedupe import dedupe_last
 
 # The section that holds the resources (an <h2> title, then the
@@ -124,22 +124,29 @@ def link_class_counts(links: DataFrame) -> DataFrame:
     return links.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def base_urls(df: DataFrame, url_cols=("source_url",), link_arrays=()) -> DataFrame:
+def base_urls(df: DataFrame, url_cols=("source_url",), link_arrays=(), ascii_hosts: bool = True) -> DataFrame:
     """Distinct ``scheme://host`` over URL columns and link arrays, sorted.
 
     Partial distinct runs in each task before the shuffle; invalid URLs are
     skipped. The final ``orderBy`` is a range shuffle of the (small) distinct
     set only.
     """
-    return base_url_census(df, url_cols, link_arrays).select("base_url").orderBy("base_url")
+    return base_url_census(df, url_cols, link_arrays, ascii_hosts).select("base_url").orderBy("base_url")
 
 
-def base_url_census(df: DataFrame, url_cols=("source_url",), link_arrays=()) -> DataFrame:
-    """(base_url, n): occurrences per base URL (each distinct URL of a row once)."""
+def base_url_census(df: DataFrame, url_cols=("source_url",), link_arrays=(), ascii_hosts: bool = True) -> DataFrame:
+    """(base_url, n): occurrences per base URL (each distinct URL of a row once).
+
+    With ``ascii_hosts`` the spellings of an international host are one (``xn--`` form); counts are summed
+    per spelling first, so that only distinct base URLs reach the encoder. Without it no row leaves the JVM.
+    """
     arrs = [F.array(F.col(c)) for c in url_cols] + [F.col(a).getField("url") for a in link_arrays]
     all_urls = F.array_distinct(F.filter(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrs]),
                                          lambda u: u.isNotNull() & (u != "")))
-    return (df.select(F.explode(all_urls).alias("u"))
+    counts = (df.select(F.explode(all_urls).alias("u"))
               .select(base_url(F.col("u")).alias("base_url"))
               .filter(F.col("base_url").isNotNull())
               .groupBy("base_url").agg(F.count(F.lit(1)).alias("n")))
+    if not ascii_hosts:
+        return counts
+    return counts.select(ascii_base_url("base_url").alias("base_url"), "n").groupBy("base_url").agg(F.sum("n").alias("n"))

@@ -108,6 +108,21 @@ def base_url_census(spark, sf_dir):
     return LK.base_url_census(table(spark, sf_dir, "pages"), url_cols=("url",))
 
 
+# Spellings of international hosts and the one ASCII form of each.
+_HOSTS = [("münchen.de", "xn--mnchen-3ya.de"), ("MÜNCHEN.de", "xn--mnchen-3ya.de"), ("xn--mnchen-3ya.de", "xn--mnchen-3ya.de"),
+          ("straße.example", "xn--strae-oqa.example"), ("例え。jp", "xn--r8jz45g.jp")]
+
+
+@job("base_url_census_international", "SELECT 'https://' || CASE page_id % 5 " + " ".join(
+    f"WHEN {i} THEN '{ascii_form}'" for i, (_, ascii_form) in enumerate(_HOSTS)) + " END AS base_url, count(*) AS n FROM pages GROUP BY 1")
+def base_url_census_international(spark, sf_dir):
+    """Pages moved to five spellings of three international hosts: one row per host."""
+    pages = table(spark, sf_dir, "pages")
+    host = F.element_at(F.array(*[F.lit(h) for h, _ in _HOSTS]), (F.col("page_id") % 5 + 1).cast("int"))
+    moved = pages.select(F.concat(F.lit("https://"), host, F.lit("/p/"), F.col("page_id").cast("string")).alias("url"))
+    return LK.base_url_census(moved, url_cols=("url",))
+
+
 _LANG = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([a-z]{2})/"
 _HOST_SQL = f"lower(regexp_extract(url, '{URL_PARTS}', 2))"
 

@@ -78,6 +78,17 @@ def test_base_urls(spark):
     assert LK.base_urls(df.limit(0), ("source_url",)).count() == 0
 
 
+def test_international_hosts_have_one_form(spark):
+    urls = ["https://münchen.de/a", "https://MÜNCHEN.DE/b", "https://xn--mnchen-3ya.de", "https://straße.example/",
+            "https://例え。テスト/x", "https://☃.net", "https://mu\u0308nchen.de", "https://ｅx.com", "https://[::1]/", None, "x"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    got = {r.base_url: r.n for r in LK.base_url_census(df, ("u",)).collect()}
+    assert got == {"https://xn--mnchen-3ya.de": 4, "https://xn--strae-oqa.example": 1, "https://xn--r8jz45g.xn--zckzah": 1,
+                   "https://xn--n3h.net": 1, "https://ex.com": 1, "https://[::1]": 1}
+    plain = {r.base_url for r in LK.base_url_census(df, ("u",), ascii_hosts=False).collect()}
+    assert "https://münchen.de" in plain and len(plain) == 8
+
+
 def test_base_url_function(spark):
     df = spark.createDataFrame([("not-a-url",), ("http://a.b/c?d",)], "u string")
     assert [r[0] for r in df.select(base_url(F.col("u"))).collect()] == [None, "http://a.b"]

@@ -40,12 +40,19 @@ def test_no_python_outside_gate(spark):
     for name in registry():
         if name in ("min_interval_gate", "min_interval_gate_parallel", "min_interval_gate_stream",
                     "min_interval_gate_hot_keys",
-                    "read_hit_pages", "incremental_upsert"):
+                    "read_hit_pages", "incremental_upsert",
+                    "base_urls", "base_url_census", "base_url_census_international"):  # hosts of distinct base URLs
             continue
         plan = _plan(spark, name)
         assert "PythonUDF" not in plan and "EvalPython" not in plan, name
 
 
+def test_hosts_are_encoded_after_the_count(spark):
+    plan = _plan(spark, "base_url_census").split("+- ")
+    at = [i for i, line in enumerate(plan) if "ArrowEvalPython" in line]
+    assert len(at) == 1 and sum("HashAggregate" in line for line in plan[at[0]:]) >= 2
+
+
 def test_gate_streams_sorted_partitions(spark):
     plan = _plan(spark, "min_interval_gate")
     assert "MapInPandas" in plan and "Exchange hashpartitioning(user_id" in plan
