@@ -6,9 +6,10 @@
    and cut into blocks of ``BLOCK_WORDS`` words (the last one is shorter). A
    document's place comes from sums over ``LAYOUT_BUCKETS`` hash buckets per
    source, so a source with a third of all rows is laid out by many tasks.
-3. Each output shard draws its multinomial counts of slots per source, from
-   what the sources' targets still lack, so the totals meet the targets
-   exactly. The last slot of a source takes part of its block for that.
+3. Each output shard of ``SHARD_SLOTS`` slots has multinomial counts of slots
+   per source, drawn by halving the range of shards from what the sources'
+   targets hold there, so the totals meet the targets exactly. Tasks draw for
+   their own shards. The last slot of a source takes part of its block.
 4. Slot j of a source is block perm(j) of pass j // blocks, where perm is a
    keyed permutation of the block numbers (a Feistel network with cycle
    walking), another one in every pass. Slots and blocks are joined by
@@ -17,19 +18,21 @@
 A source is visited in whole passes and one part of a pass, so no document is
 taken more than ``max_passes`` times. Everything follows from the seed.
 
-Only per-source totals and per-shard counts are on the driver: sources are a
-configured list, at most ``MAX_SOURCES`` (checked), and shards at most
-``MAX_SHARDS``.
+Only per-source totals are on the driver: sources are a configured list, at
+most ``MAX_SOURCES`` (checked). Any number of shards.
 
 Defined cases: NULL text has no words and nothing is taken of it; NULL source
 is a source of its own, last in the order; rows equal in id, text and source
-are interchangeable; without any words all targets are 0.
+are interchangeable, repeated rows count each; without any words, or of an empty
+table, all targets are 0 and there are no shards. A long text spans many
+blocks, its text is cut by one task. Columns of the input may have any name.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -41,7 +44,7 @@ from feedlake.llm.common import WORD_RUN, cut, null_key, without
 
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
-MAX_SHARDS = 4096
+TASK_SHARDS = 64
 MAX_SOURCES = 100_000
 MAX_PASSES = 3
 LAYOUT_BUCKETS = 1024
@@ -128,23 +131,65 @@ def source_slots(source: int, size: int, target: float, block: int = BLOCK_WORDS
     return passes * blocks + slots, rest - words(slots - 1)
 
 
-def shard_draws(slots: list[int], seed: int = SEED) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot, slots): multinomial counts per output shard,
-    with the probabilities of what is left of each source."""
-    left = np.array(slots, np.int64)
-    size = max(SHARD_SLOTS, -(-int(left.sum()) // MAX_SHARDS)) if len(left) else 1
-    rng, out, shard = np.random.Generator(np.random.PCG64(seed)), [], 0
-    taken = np.zeros_like(left)
-    while left.any():
-        need, counts = min(size, int(left.sum())), np.zeros_like(left)
-        while need:  # a draw above what a source has left is drawn again among the others
-            free = left - counts
-            drawn = np.minimum(rng.multinomial(need, free / free.sum()), free)
-            counts += drawn
-            need -= int(drawn.sum())
-        out += [(shard, int(i), int(taken[i]), int(counts[i])) for i in np.flatnonzero(counts)]
-        taken, left, shard = taken + counts, left - counts, shard + 1
-    return out
+def _draw(left: np.ndarray, need: int, rng: np.random.Generator) -> np.ndarray:
+    """Multinomial counts of ``need`` slots, with the probabilities of what is left of each source."""
+    counts = np.zeros_like(left)
+    while need:  # a draw above what a source has left is drawn again among the others
+        free = left - counts
+        drawn = np.minimum(rng.multinomial(need, free / free.sum()), free)
+        counts += drawn
+        need -= int(drawn.sum())
+    return counts
+
+
+def shard_count(slots: list[int]) -> int:
+    return -(-sum(slots) // SHARD_SLOTS)
+
+
+def shard_draws(slots: list[int], seed: int = SEED, first: int = 0, last: int | None = None) -> Iterator[tuple[int, int, int, int]]:
+    """(shard, source, first slot, slots) of the shards [first, last), in order.
+
+    A range of shards is halved until one is left; the left half draws its
+    multinomial counts from what the range holds of each source, the right half
+    gets the rest. A node's draw follows from the seed and its range alone, so
+    any task finds the counts of its shards without the others'.
+    """
+    whole, shards = np.array(slots, np.int64), shard_count(slots)
+    last = shards if last is None else last
+    held = np.flatnonzero(whole)
+    nodes = [(0, shards, held, whole[held], np.zeros(len(held), np.int64))]
+    while nodes:
+        lo, hi, source, left, before = nodes.pop()
+        if hi <= first or lo >= last:
+            continue
+        if hi - lo == 1:
+            yield from ((lo, int(i), int(b), int(n)) for i, b, n in zip(source, before, left))
+            continue
+        mid = (lo + hi) // 2
+        counts = _draw(left, (mid - lo) * SHARD_SLOTS, np.random.Generator(np.random.PCG64([seed, lo, hi])))
+        rest = left - counts
+        nodes.append((mid, hi, source[rest > 0], rest[rest > 0], (before + counts)[rest > 0]))
+        nodes.append((lo, mid, source[counts > 0], counts[counts > 0], before[counts > 0]))
+
+
+def _slots(spark, plan: list[int], seed: int) -> DataFrame:
+    """(shard, src, slot), drawn by tasks that hold about ``TASK_SHARDS`` shards each."""
+    shards = shard_count(plan)
+    held = spark.sparkContext.broadcast(plan)  # one number per source
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            if not ids:
+                continue
+            for shard, rows in groupby(shard_draws(held.value, seed, ids[0], ids[-1] + 1), key=lambda r: r[0]):
+                _, src, first, n = zip(*rows)
+                slot = np.concatenate([np.arange(f, f + c) for f, c in zip(first, n)])
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(slot), shard, np.int64)),
+                                                  "src": pa.array(np.repeat(np.array(src, np.int32), n)), "slot": pa.array(slot)})
+
+    # range() hands each task a run of consecutive shards, in order
+    return spark.range(0, shards, 1, max(1, -(-shards // TASK_SHARDS))).mapInArrow(draw, "shard long, src int, slot long")
 
 
 def word_count(text: Column) -> Column:
@@ -195,9 +240,7 @@ def mix(docs: DataFrame, weights, key: str = "doc_id", text: str = "text", sourc
                       F.col("source").eqNullSafe(F.col("src_name"))).drop("src_name", "source")
     laid = cut(_layout(named, seed))
 
-    draws = spark.createDataFrame(shard_draws([p[0] for p in plan], seed), "shard int, src int, first long, n long")
-    slots = draws.repartition("shard", "src").select(
-        "shard", "src", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
+    slots = _slots(spark, [p[0] for p in plan], seed)
 
     @F.pandas_udf("long")
     def block_of(src: pd.Series, slot: pd.Series, blocks: pd.Series) -> pd.Series:

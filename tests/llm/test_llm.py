@@ -100,13 +100,59 @@ def test_slots_meet_the_target_to_a_word(size, target):
 
 
 def test_draws_add_up_and_vary():
-    draws = mixing.shard_draws([30000, 20000, 1, 0])
+    draws = list(mixing.shard_draws([30000, 20000, 1, 0]))
     got = Counter()
     for _, source, first, n in draws:
         assert first == got[source]
         got[source] += n
     assert got == {0: 30000, 1: 20000, 2: 1} and len({d[0] for d in draws}) == 13
-    assert draws == mixing.shard_draws([30000, 20000, 1, 0])
+    assert draws == list(mixing.shard_draws([30000, 20000, 1, 0]))
+
+
+def test_a_task_draws_its_shards_alone():
+    slots = [70000, 0, 9, 41000, 300]
+    whole = list(mixing.shard_draws(slots))
+    shards = mixing.shard_count(slots)
+    for cut in ([0, shards], [0, 1, 2, shards], list(range(shards + 1))):
+        assert [d for a, b in zip(cut, cut[1:]) for d in mixing.shard_draws(slots, mixing.SEED, a, b)] == whole
+    per = Counter()
+    for shard, _, _, n in whole:
+        per[shard] += n
+    assert [per[i] for i in range(shards)] == [mixing.SHARD_SLOTS] * (shards - 1) + [sum(slots) - (shards - 1) * mixing.SHARD_SLOTS]
+    large = [n for shard, source, _, n in whole if source == 0 and shard < shards - 1]
+    share = 70000 / sum(slots)  # about multinomial: near the share in every shard, not the same in all
+    assert all(abs(n / mixing.SHARD_SLOTS - share) < 0.08 for n in large) and len(set(large)) > 5
+    assert list(mixing.shard_draws([])) == [] and list(mixing.shard_draws([0, 0])) == []
+
+
+def test_taken_words_of_each_document(spark, docs):
+    """Every document's taken words, from a plain walk over the slots of its source."""
+    laid, _ = mixing.mix(docs, mixing.cycling_weights)
+    rows = [r for r in laid.collect()]
+    want = Counter()
+    for src in {r["src"] for r in rows}:
+        own = [r for r in rows if r["src"] == src and r["size"]]
+        size = sum(r["size"] for r in own)
+        if not size:
+            continue
+        assert sorted(w for r in own for w in (r["start"], r["start"] + r["size"])) == sorted(
+            [0, size] + [r["start"] for r in own if r["start"]] * 2)  # end to end, without gap or overlap
+        count, last = mixing.source_slots(src, size, own[0]["target"])
+        blocks = -(-size // mixing.BLOCK_WORDS)
+        for j in range(count):
+            key = mixing._pass_key(np.array([src]), np.array([j // blocks]), mixing.SEED)
+            lo = int(mixing.permute(np.array([j % blocks]), np.array([blocks]), key)[0]) * mixing.BLOCK_WORDS
+            hi = lo + (last if j == count - 1 else mixing.BLOCK_WORDS)
+            for r in own:
+                want[r["id"], r["kt"]] += max(0, min(hi, r["start"] + r["size"]) - max(lo, r["start"]))
+    got = Counter()
+    out = mixing.mix_counts(docs, mixing.cycling_weights).collect()
+    ids = Counter(r["id"] for r in rows)
+    by_id = {r["id"]: r["kt"] for r in rows}
+    for r in out:
+        if ids[r["doc_id"]] == 1:
+            got[r["doc_id"], by_id[r["doc_id"]]] = r["taken"]
+    assert got == Counter({k: v for k, v in want.items() if ids[k[0]] == 1}) and +got
 
 
 def mixed(out):
