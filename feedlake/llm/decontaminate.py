@@ -4,9 +4,11 @@ Of every ``GUARD`` consecutive word k-grams the one with the smallest hash is
 kept as a fingerprint, in benchmark items and documents alike. A shared span
 of k + GUARD - 1 = 10 words holds at least one window of k-grams in full, so
 both sides keep the same k-gram of it: no shared span of 10 words is missed.
-Training and test fingerprints are joined on hash and words, and each meeting
-is extended word by word to both sides, up to the 10-word window; spans that
-reach 10 words are hits. Items of fewer than 10 words are one window and are
+Each fingerprint is extended by its neighbouring words, on both sides, to the
+10-word windows that hold it, and training and test fingerprints are joined on
+these windows: spans that meet are hits. A fingerprint that many items and many
+documents share, such as the opening of a template, so never meets in pairs that
+differ one word further on. Items of fewer than 10 words are one window and are
 looked up whole, by their length.
 
 Documents are read once, in Arrow batches: word bounds, hashes and sliding
@@ -14,12 +16,14 @@ minima are computed by numpy over a batch. A bitmap of the benchmark's hashes,
 of a fixed number of bits, drops most fingerprints before the shuffle; its
 false positives die in the exact join, so a crowded bitmap costs time and
 loses nothing. The candidates are written once (a checkpoint) and joined by
-Spark. Contexts shared by many items are joined once and meet their items
-after the match.
-
-Defined cases: NULL text has no words; items without words match nothing;
-repeated rows get equal results; a NULL item_id reads "null"; an empty
-benchmark contaminates nothing.
+Spark. Every distinct window is joined once; documents meet items after the match, once
+per class of windows that the same items hold.
+
+Defined cases: NULL and empty texts have no words; items without words match
+nothing; repeated rows get equal results, and so do items of equal text; ties of the
+smallest hash are all kept; a NULL item_id reads "null"; texts of any length are read
+whole, a batch of at most ``TEXT_ROWS`` at a time; an empty benchmark contaminates
+nothing and an empty table gives no row. Columns of the input may have any name.
 """
 
 from __future__ import annotations
@@ -153,12 +157,17 @@ def _bitmap(windows: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
-def _shared(a: str, b: str) -> Column:
-    """How many leading words two contexts share."""
-    n = F.lit(0)
-    for j in reversed(range(SIDE)):
-        n = F.when(F.get(F.col(a), F.lit(j)) == F.get(F.col(b), F.lit(j)), n + 1).otherwise(0)
-    return n
+def _occurrences(cands: DataFrame, *keep: str) -> DataFrame:
+    """One row per window of a candidate: ``keep``, win (its words) and s, e (its word positions)."""
+    whole = F.struct(F.col("gram").alias("win"), F.col("pos").alias("s"), (F.col("pos") + F.col("n")).alias("e"))
+    around = []
+    for before in range(SIDE + 1):
+        after = SIDE - before
+        words = F.concat_ws(" ", F.reverse(F.slice("left", 1, before)), "gram", F.slice("right", 1, after))
+        at = F.struct(words.alias("win"), (F.col("pos") - before).alias("s"), (F.col("pos") - before + WINDOW).alias("e"))
+        around.append(F.when((F.size("left") >= before) & (F.size("right") >= after), at))
+    wins = F.when(F.col("whole"), F.array(whole)).otherwise(F.array_compact(F.array(*around)))
+    return cands.select(*keep, F.inline(wins))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -176,23 +185,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     scanned = cut(rows.mapInArrow(_scan(pick), f"id {kind}, kt bigint, n_words bigint, cands {_CAND_SQL}"))
     scanned = scanned.withColumn("k0", null_key(F.col("id")))
 
-    # contexts that several items share meet the documents once
-    sides = ["n", "h", "gram", "left", "right"]
-    contexts = windows.select("item", "whole", *sides).withColumn("ctx", F.xxhash64("whole", *sides))
-    one = contexts.dropDuplicates(["whole", *sides]).select(
-        "ctx", F.col("whole").alias("w"), F.col("n").alias("wn"), F.col("h").alias("wh"), F.col("gram").alias("wgram"),
-        F.col("left").alias("wleft"), F.col("right").alias("wright"))
-    met = scanned.select("k0", "kt", F.inline("cands")).join(
-        one, (F.col("h") == F.col("wh")) & (F.col("n") == F.col("wn")) & (F.col("whole") == F.col("w"))
-        & (F.col("gram") == F.col("wgram")))
-    met = met.withColumns({"l": F.when(F.col("w"), 0).otherwise(_shared("left", "wleft")),
-                           "r": F.when(F.col("w"), 0).otherwise(_shared("right", "wright"))})
-    met = met.filter(F.col("w") | (F.col("l") + F.col("r") + K >= WINDOW))
-    found = met.select("k0", "kt", "ctx", (F.col("pos") - F.col("l")).alias("s"),
-                       (F.col("pos") + F.col("n") + F.col("r")).alias("e"))
+    # words hold no blanks: windows of equal text are equal word by word, and of one length
+    listed = _occurrences(windows, "item").select("win", "item").distinct()
+    # windows of the same items (all those of a shared passage) are one class, known by 128 bits of their hashes
+    marks = [F.bit_xor(F.xxhash64(F.lit(salt), "item")).alias(f"x{salt}") for salt in (1, 2)]
+    classes = listed.groupBy("win").agg(F.struct(*marks, F.count("*").alias("n")).alias("class"))
+    members = classes.groupBy("class").agg(F.min("win").alias("win")).join(listed, "win").select("class", "item")
+    found = _occurrences(scanned.select("k0", "kt", F.inline("cands")), "k0", "kt").join(classes, "win")
     spans = found.groupBy("k0", "kt").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"),
-                                          F.collect_set("ctx").alias("ctxs"))
-    items = (spans.select("k0", "kt", F.explode("ctxs").alias("ctx")).join(contexts.select("ctx", "item").distinct(), "ctx")
+                                          F.collect_set("class").alias("classes"))
+    items = (spans.select("k0", "kt", F.explode("classes").alias("class")).join(members, "class")
              .groupBy("k0", "kt").agg(F.sort_array(F.collect_set("item")).alias("items")))
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")),

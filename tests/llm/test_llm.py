@@ -584,6 +584,26 @@ def test_winnowing_finds_every_shared_window(spark):
     assert decontaminate.contamination(frame.limit(0), bench).count() == 0
 
 
+def test_template_items_and_documents_do_not_meet_in_pairs(spark):
+    template = "please answer the following question with one word only"
+    items = [(i, f"{template} i{i} j{i} k{i} l{i}") for i in range(300)]
+    docs = [(i, f"{template} d{i} e{i} f{i} g{i} h{i}") for i in range(300)] + [(-1, "so " + items[7][1] + " said")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumns(
+        {c: F.lit(c) for c in ("win", "class", "s", "e", "item", "cands", "kt", "spans")})
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(frame, bench).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"])) for r in got) == Counter(
+        brute_contamination(docs, items))
+    kept = decontaminate.decontaminate(frame, bench)
+    assert kept.columns == frame.columns and kept.count() == 300
+    # the join's rows: windows of documents that the benchmark holds, not documents times items
+    windows = decontaminate._benchmark_windows(bench, "item_id", "text")
+    own = frame.select(F.col("doc_id").cast("string").alias("item_id"), "text")
+    theirs = decontaminate._occurrences(decontaminate._benchmark_windows(own, "item_id", "text"), "item")
+    shared = theirs.join(decontaminate._occurrences(windows, "item").select("win").distinct(), "win")
+    assert 0 < shared.count() < 20 and theirs.count() < 5000
+
+
 # --- quality rules
 
 def test_quality_defined_cases(spark, edge):
