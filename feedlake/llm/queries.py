@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from feedlake.llm import chat, decontaminate, mixing, neighbours, pii, quality, repair, secret_scan, sharding, simhash, toxicity, variants, warc
 from feedlake.llm.common import cut, null_key, read_table
 from feedlake.llm.oracles import ORACLES  # noqa: F401
+from feedlake.session import scratch_path
 
 SHARDS = 40
 
@@ -29,9 +30,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
-    archives = cut(warc.bundles(pages))
+    folder = scratch_path(spark, "warc")
+    warc.write_archives(cut(warc.bundles(pages)), folder)
     kind = pages.schema["page_id"].dataType
-    return warc.records(archives, payloads=False).select(
+    return warc.records(warc.read_archives(spark, folder), payloads=False).select(
         F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast(kind).alias("refers_to"))
 

@@ -10,15 +10,19 @@ read by footer, index and a single frame.
 Equal payloads are found by digest: only the digests that occur twice are
 joined back, so no text is grouped; a hot digest meets one row and AQE can
 split its side. Bundles are rows (bundle, records, archive) of a table that
-Spark writes and commits, on any file system and safely under lost executors;
-``archive`` is a complete file. A task holds one bundle and one record at a
-time.
+Spark writes and commits, safely under lost executors; ``archive`` is a complete
+file. ``write_archives`` puts each into a file ``<bundle>.warc.zst`` of its own
+and a table of record offsets beside them; ``read_archives`` reads all files back,
+``read_keys`` only those that hold the records asked for. A task holds one bundle
+and one record at a time.
 
 Defined cases: a NULL payload is an empty one; payloads under ``MIN_REVISIT``
 bytes are always responses; of equal payloads the row with the smallest id is
 the response and rows with that same id all are; NULL ids are never the
 smallest and a group of NULL ids alone has responses only; line breaks in URLs
-and ids are percent-encoded.
+and ids are percent-encoded. A payload of any length is one record in a frame of its
+own; an empty table gives no bundle, no file and no row. Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -189,12 +194,61 @@ def bundles(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
         pack, BUNDLE_SCHEMA)
 
 
-def write_bundles(pages: DataFrame, path: str, **columns: str) -> None:
-    bundles(pages, **columns).write.parquet(path)
+OFFSET_SCHEMA = "bundle string, key string, frame long, offset long, length long"
+SUFFIX = ".warc.zst"
 
 
-def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BUNDLE_SCHEMA).parquet(path)
+def _files(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+
+
+def write_archives(archives: DataFrame, folder: str) -> None:
+    """A file per bundle in ``folder``/archives, written by the tasks, and the table
+    ``folder``/offsets: where each record is. ``folder`` is shared by all executors.
+
+    Give a written or checkpointed table of bundles: a task that runs again writes the
+    same bytes. A file appears under its name when it is complete."""
+    place = f"{folder}/archives"
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _files(place)
+        files.create_dir(root, recursive=True)
+        attempt = TaskContext.get().taskAttemptId() if TaskContext.get() else 0
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        for batch in slices(batches, 1):
+            for name, archive in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                unfinished = f"{root}/_{name}-{attempt}"
+                with files.open_output_stream(unfinished) as out:
+                    out.write(archive)
+                files.move(unfinished, f"{root}/{name}{SUFFIX}")
+                rows = [(name, key_of(urn), frame, offset, length) for urn, frame, offset, length in BundleReader(archive).index]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)],
+                                                 names=[x.split()[0] for x in OFFSET_SCHEMA.split(", ")])
+
+    files, root = _files(place)
+    files.create_dir(root, recursive=True)
+    archives.select("bundle", "archive").mapInArrow(save, OFFSET_SCHEMA).write.parquet(f"{folder}/offsets")
+
+
+def _load(spark: SparkSession, paths: list[str]) -> DataFrame:
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(paths)
+    return found.select(F.regexp_extract("path", r"([^/]+)\.warc\.zst$", 1).alias("bundle"), F.col("content").alias("archive"))
+
+
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(bundle, archive) of the files that ``write_archives`` wrote."""
+    return _load(spark, [f"{folder}/archives"])
+
+
+def read_keys(spark: SparkSession, folder: str, keys: list[str | None]) -> DataFrame:
+    """The records of ``keys``: the offsets name their files (at most one a key and repeat), others are not opened."""
+    asked = F.col("key").isin([k for k in keys if k is not None])
+    if None in keys:
+        asked = F.coalesce(asked, F.lit(True))
+    names = [r["bundle"] for r in spark.read.parquet(f"{folder}/offsets").filter(asked).select("bundle").distinct().collect()]
+    place = f"{folder}/archives"
+    found = _load(spark, [f"{place}/{n}{SUFFIX}" for n in sorted(names)] or [place])
+    return records(found if names else found.limit(0), keys)
 
 
 RECORD_SCHEMA = ("bundle string, key string, url string, record_type string, refers_to string, payload_digest string, "
@@ -210,7 +264,7 @@ def records(archives: DataFrame, keys: list[str | None] | None = None, payloads:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            for name, archive in zip(batch.column(0), batch.column(2)):
+            for name, archive in zip(batch.column(0), batch.column(1)):
                 reader, out = BundleReader(archive.as_py()), []
                 for i, entry in enumerate(reader.index):
                     if wanted is not None and entry[0] not in wanted:
@@ -229,4 +283,4 @@ def records(archives: DataFrame, keys: list[str | None] | None = None, payloads:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
                                                  names=[x.split()[0] for x in RECORD_SCHEMA.split(", ")])
 
-    return archives.select("bundle", "records", "archive").mapInArrow(unpack, RECORD_SCHEMA)
+    return archives.select("bundle", "archive").mapInArrow(unpack, RECORD_SCHEMA)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from feedlake.llm import chat, decontaminate, mixing, pii, quality, secret_scan, sharding, simhash, toxicity, warc
+from feedlake.llm.common import cut
 from feedlake.llm.queries import QUERIES
 from feedlake.llm.tokens import Powers
 
@@ -212,6 +213,37 @@ def test_warc_round_trip_and_revisits(spark):
     assert warc.records(warc.bundles(pages.limit(0))).count() == 0
 
 
+def test_archive_files_and_offsets(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"http://h/{i}", rng.bytes(300_000).hex()) for i in range(30)] + [(None, None, None), (40, "u", "x" * 300), (41, "v", "x" * 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(
+        {c: F.lit(c) for c in ("bundle", "archive", "records", "key", "payload", "on", "same", "first")}).repartition(2)
+    folder = f"{tmp_path}/out"
+    archives = cut(warc.bundles(pages))
+    warc.write_archives(archives, folder)
+    names = sorted(p.name for p in (tmp_path / "out" / "archives").iterdir() if not p.name.startswith("."))
+    assert len(names) > 2 and names == sorted(f"{r['bundle']}.warc.zst" for r in archives.select("bundle").collect())
+    bodies = {None if k is None else str(k): (html or "").encode() for k, _, html in rows}
+    got = warc.records(warc.read_archives(spark, folder)).collect()
+    assert {r["key"]: r["payload"] if r["record_type"] == "response" else bodies["40"] for r in got} == bodies and len(got) == len(rows)
+    # an offset points to the record inside its frame
+    offsets = spark.read.parquet(f"{folder}/offsets").collect()
+    assert len(offsets) == len(rows)
+    one = next(r for r in offsets if r["key"] == "17")
+    reader = warc.BundleReader((tmp_path / "out" / "archives" / f"{one['bundle']}.warc.zst").read_bytes())
+    assert (warc.record_id("17"), one["frame"], one["offset"], one["length"]) in map(tuple, reader.index)
+    asked = warc.read_keys(spark, folder, ["17", None, "absent"])
+    assert {r["key"]: r["payload"] for r in asked.collect()} == {"17": bodies["17"], None: b""}
+    assert len({r["bundle"] for r in asked.collect()}) < len(names)
+    assert warc.read_keys(spark, folder, ["absent"]).count() == 0
+    again = {n: (tmp_path / "out" / "archives" / n).read_bytes() for n in names}
+    warc.write_archives(archives, f"{tmp_path}/again")
+    assert again == {n: (tmp_path / "again" / "archives" / n).read_bytes() for n in names}
+    empty = f"{tmp_path}/empty"
+    warc.write_archives(cut(warc.bundles(pages.limit(0))), empty)
+    assert warc.records(warc.read_archives(spark, empty)).count() == 0
+
+
 def test_bundle_is_seekable(tmp_path):
     writer = warc.BundleWriter()
     records = [warc.warc_record(str(i), f"http://h/{i}", bytes([i % 251]) * 40_000, "0" * 64, None) for i in range(30)]
