@@ -15,7 +15,9 @@ than lower-case letters are percent-encoded.
 
 Defined cases: NULL text is empty; NULL role is an empty name (always
 invalid); NULL conv_id is a conversation of its own; turns that tie are
-ordered by role, then text; an empty table gives no rows.
+ordered by role, then text; repeated rows are turns of their own; a text of any
+length is one turn, formatted whole; extra columns are ignored, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -21,7 +21,9 @@ the join removes. Term counts are pre-aggregated per task. A hot entity or
 term is a sum, never a group.
 
 Defined cases: NULL text is empty and has no spans; repeated rows get equal
-results; a row counts once for a pair.
+results; a row counts once for a pair; spans that tie in their start are ordered
+by kind. Texts of any length are scanned whole. Extra columns are ignored, whatever
+their names; an empty table gives no row.
 """
 
 from __future__ import annotations

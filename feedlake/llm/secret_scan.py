@@ -22,7 +22,8 @@ context are not counted wherever they stand in it, so copies of a text, however
 many, do not explain its keys. Everything else is a map over whole texts.
 
 Defined cases: NULL text is empty; ties in the dictionary are broken by name;
-repeated rows get equal results; an empty table has an empty dictionary.
+repeated rows get equal results; texts of any length are scanned whole; extra columns
+are ignored, whatever their names; an empty table has an empty dictionary and gives no row.
 """
 
 from __future__ import annotations

@@ -24,7 +24,9 @@ minimum. Nothing is collected to the driver but two numbers per step.
 
 Defined cases: NULL and empty texts have fingerprint 0 and are linked like any
 other; texts shorter than a shingle are one shingle; NULL ids join components
-and are never their smallest id; repeated rows are copies.
+and are never their smallest id; repeated rows are copies, and of rows equal in id and
+text ``near_dedup`` keeps any one, whatever their other columns hold; texts of any length
+are hashed whole. Columns of the input may have any name; an empty table gives no row.
 """
 
 from __future__ import annotations

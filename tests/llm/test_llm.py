@@ -277,7 +277,8 @@ def test_chat_states_and_defined_cases(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "assistant", "a"), (3, 0, "user", None), (3, 1, None, "x"),
             (None, 0, "user", "q"), (None, 1, "assistant", "a"), (4, 0, "system", "s"), (4, 1, "user", "u"),
             (5, 0, "user", "same"), (5, 0, "user", "same")] + [(9, i, ("user", "assistant")[i % 2], "t" * 50) for i in range(1000)]
-    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(0))
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns(
+        {c: F.lit("x") for c in ("conv", "seq", "segments", "valid_so_far")})
     out = {r["conv"]: r for r in chat.read_back(chat.format_turns(conv)).collect()}
     assert {k: r["valid"] for k, r in out.items()} == {1: True, 2: False, 3: False, None: True, 4: False, 5: False, 9: True}
     assert out[9]["n_turns"] == 1000 and out[9]["loss_chars"] == 500 * 50 and out[3]["n_turns"] == 2
@@ -563,6 +564,8 @@ def test_toxicity_defined_cases(spark, edge):
     labels = spark.createDataFrame([(1, None), (2, 0), (4, 1), (None, 1)], "doc_id long, toxic int")
     out = toxicity.score(edge, toxicity.train(edge, labels)).collect()
     assert len(out) == len(EDGE) and all(0 <= r["score"] <= 1 for r in out)
+    clash = edge.withColumns({c: F.lit("x") for c in ("id", "score", "predicted", "held_out", "toxic", "features", "h")})
+    assert sorted(toxicity.score(clash, toxicity.train(clash, labels.withColumn("text", F.lit("y")))).collect(), key=str) == sorted(out, key=str)
     none = toxicity.train(edge, labels.limit(0))
     assert toxicity.score(edge.limit(0), none).count() == 0
 
