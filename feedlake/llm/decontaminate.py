@@ -22,7 +22,7 @@ per class of windows that the same items hold.
 Defined cases: NULL and empty texts have no words; items without words match
 nothing; repeated rows get equal results, and so do items of equal text; ties of the
 smallest hash are all kept; a NULL item_id reads "null"; texts of any length are read
-whole, a batch of at most ``TEXT_ROWS`` at a time; an empty benchmark contaminates
+whole, a batch of at most ``TEXT_ROWS`` or ``TEXT_BYTES`` at a time; an empty benchmark contaminates
 nothing and an empty table gives no row. Columns of the input may have any name.
 """
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import cut, null_key, slices
+from feedlake.llm.common import cut_texts, null_key, slices
 from feedlake.llm.tokens import STEP, Powers, Words, mix
 
 WINDOW = 10
@@ -176,13 +176,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     (words inside an occurrence of a benchmark window), spans (of words, end
     exclusive, NULL for none), items (sorted ids with an occurring window)."""
     spark = docs.sparkSession
-    windows = cut(_benchmark_windows(benchmark, item, item_text))
+    windows = cut_texts(_benchmark_windows(benchmark, item, item_text))
     lengths = [r["n"] for r in windows.filter("whole").select("n").distinct().orderBy("n").collect()]  # below WINDOW
     pick = _document_pick(_bitmap(windows, filter_bits), filter_bits, lengths)
 
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("kt"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    scanned = cut(rows.mapInArrow(_scan(pick), f"id {kind}, kt bigint, n_words bigint, cands {_CAND_SQL}"))
+    scanned = cut_texts(rows.mapInArrow(_scan(pick), f"id {kind}, kt bigint, n_words bigint, cands {_CAND_SQL}"))
     scanned = scanned.withColumn("k0", null_key(F.col("id")))
 
     # words hold no blanks: windows of equal text are equal word by word, and of one length

@@ -39,8 +39,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from feedlake.llm.common import WORD_RUN, cut, null_key, without
+from feedlake.llm.common import WORD_RUN, cut, null_key, slices, without
 
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
@@ -302,11 +303,13 @@ def mixed_documents(docs: DataFrame, weights, key: str = "doc_id", text: str = "
                          F.col(text).alias("t"), F.struct(*without(docs, text)).alias("rec"))
     packed = packed.dropDuplicates(["k0", "kt", "s0"]).join(spans, ["k0", "kt", "s0"])
 
-    @F.pandas_udf("string")
-    def words_taken(t: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([_cut_words(a, s) for a, s in zip(t, spans)], dtype=object)
+    def words_taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = [_cut_words(a, s) for a, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["rec", "t"])
 
-    out = packed.select("rec", words_taken("t", "spans").alias("t"))
+    packed = packed.select("rec", F.col("t").cast("string").alias("t"), "spans")
+    out = packed.mapInArrow(words_taken, StructType([packed.schema["rec"], StructField("t", StringType())]))
     final = {c: F.col("t") if c.lower() == text.lower() else F.col("rec")[c] for c in columns}
     if "n_chars" in final:
         final["n_chars"] = F.length("t").cast(docs.schema["n_chars"].dataType)

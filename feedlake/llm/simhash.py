@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import cut, null_key, slices
+from feedlake.llm.common import cut, cut_texts, null_key, slices
 
 SHINGLE = 3
 RADIUS = 2
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
                     radius: int = RADIUS) -> DataFrame:
     """Per row: ``key``, kt (text hash), fp, root (a fingerprint that names the
     component) and ``component_id``, the smallest key in the component."""
-    rows = cut(fingerprints(docs, key, text, shingle))
+    rows = cut_texts(fingerprints(docs, key, text, shingle))
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     rooted = stars(links(nodes.select("fp"), radius))
     labels = nodes.join(rooted, nodes["fp"] == rooted["node"], "left").select(
