@@ -170,7 +170,7 @@ def min_interval_gate_stream(spark, sf_dir):
 
     events are landed as Parquet in four sequential weekly writes, each
     hash-partitioned by user so that a user's rows of a week sit in one file;
-    the stream reads a few files per micro-batch (file order follows the
+    the stream reads a file per core in a micro-batch (file order follows the
     writes) and appends the gate's output to a Parquet sink.
     """
     import os
@@ -182,6 +182,7 @@ def min_interval_gate_stream(spark, sf_dir):
     root = scratch_path(spark, "gate-stream")
     src, out = os.path.join(root, "landing"), os.path.join(root, "out")
     bounds = ["2024-01-08", "2024-01-15", "2024-01-22"]
+    files = spark.sparkContext.defaultParallelism  # of a write, and of a micro-batch
     lo = None
     for k, hi in enumerate(bounds + [None]):
         part = ev
@@ -189,9 +190,9 @@ def min_interval_gate_stream(spark, sf_dir):
             part = part.filter(F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
         if hi is not None:
             part = part.filter(F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
-        part.repartition(4, "user_id").write.mode("overwrite").parquet(os.path.join(src, f"week={k}"))
+        part.repartition(files, "user_id").write.mode("overwrite").parquet(os.path.join(src, f"week={k}"))
         lo = hi
-    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4)
+    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", files)
               .parquet(os.path.join(src, "week=*")))
     q = (gate_stream(stream, "user_id", "ts", GATE_MINUTES, keep=("event_id",), forced="forced", order_cols=("event_id",))
          .writeStream.format("parquet").option("path", out)

@@ -29,6 +29,35 @@ def test_gate_stream_matches_batch(spark, tmp_path):
     assert want[("a", 1)] == (False, 20) and want[("b", 2)] == (True, 0)
 
 
+def test_gate_state_is_kept_by_bucket_of_keys(spark, tmp_path):
+    import random
+    rng = random.Random(3)
+    schema = "key double, ts timestamp, i long, must boolean"
+    keys = [float(k) for k in range(80)] + [float("nan"), 0.0, -0.0, None]
+    rows = [(rng.choice(keys), T + dt.timedelta(seconds=rng.randrange(60_000)), i, rng.choice([True, None, *[False] * 8])) for i in range(3000)]
+    rows.sort(key=lambda r: (r[1], r[2]))
+    want, last = [], {}
+    for k, t, i, must in rows:  # NaN is one key, 0.0 and -0.0 are another
+        k = "nan" if k != k else k
+        if k is not None:
+            wait = dt.timedelta(hours=1) - (t - last[k]) if k in last and not must else dt.timedelta(0)
+            if wait <= dt.timedelta(0):
+                last[k], wait = t, dt.timedelta(0)
+            want.append((i, not wait, -((-wait) // dt.timedelta(minutes=1))))
+    src, out = str(tmp_path / "events"), str(tmp_path / "out")
+    for n in range(3):
+        spark.createDataFrame(rows[1000 * n:1000 * n + 1000], schema).coalesce(1).write.parquet(f"{src}/f{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src + "/*")
+    for name, watermark in (("plain", None), ("marked", "1 minute")):
+        q = (gate_stream(stream, "key", "ts", 60, keep=("i",), forced="must", watermark=watermark, order_cols=("i",), buckets=4)
+             .writeStream.format("parquet").option("path", out + name).option("checkpointLocation", str(tmp_path / name))
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 4
+        got = spark.read.parquet(out + name).select("i", "admitted", "minutes_left").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def _page(path, hits):
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "w") as f:
