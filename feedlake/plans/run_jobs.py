@@ -221,13 +221,14 @@ def min_interval_gate_out_of_order(spark, sf_dir):
     arrival = F.col("ts") + F.make_dt_interval(F.lit(0), F.pmod(F.xxhash64("event_id"), F.lit(6)).cast("int"))
     early = arrival < F.lit("2024-01-15").cast("timestamp_ntz")
     spread = F.xxhash64(F.lit(7), "event_id")
-    ev.filter(early).repartition(4, spread).write.parquet(os.path.join(src, "arrived=0"))
-    ev.filter(~F.coalesce(early, F.lit(False))).repartition(4, spread).write.parquet(os.path.join(src, "arrived=1"))
+    files = spark.sparkContext.defaultParallelism  # of a write, and of a micro-batch
+    ev.filter(early).repartition(files, spread).write.parquet(os.path.join(src, "arrived=0"))
+    ev.filter(~F.coalesce(early, F.lit(False))).repartition(files, spread).write.parquet(os.path.join(src, "arrived=1"))
     last = ev.agg(F.max("ts").alias("ts")).select(
         F.lit(-1).cast(ev.schema["event_id"].dataType).alias("event_id"), F.lit(-1).cast(ev.schema["user_id"].dataType).alias("user_id"),
         (F.col("ts") + F.make_dt_interval(F.lit(60))).alias("ts"), F.lit(False).alias("forced"))
     last.write.parquet(os.path.join(src, "arrived=2"))
-    stream = (state_session(spark, 4).readStream.schema(ev.schema).option("maxFilesPerTrigger", 4)
+    stream = (state_session(spark, files).readStream.schema(ev.schema).option("maxFilesPerTrigger", files)
               .parquet(os.path.join(src, "arrived=*")))
     gated = ordered_gate_stream(stream, "user_id", "ts", GATE_MINUTES, "30 days", keep=("event_id",), forced="forced",
                                 order_cols=("event_id",))

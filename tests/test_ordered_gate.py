@@ -52,3 +52,26 @@ def test_rows_later_than_the_delay_are_counted(spark, tmp_path):
     assert late == 1  # minute 100 came after the watermark had passed minute 290
     assert {k[1]: v.admitted for k, v in got.items()} == {0: True, 3: True, 1: False}
     assert spark.conf.get(PROVIDER, None) == before
+
+
+def test_state_is_kept_by_bucket_of_keys(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(f"k{rng.randrange(60)}", T + dt.timedelta(seconds=rng.randrange(40_000)), i, rng.random() < 0.1, None)
+            for i in range(1500)]
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    stream = state_session(spark, 2).readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src + "/*")
+    gated = ordered_gate_stream(stream, "key", "ts", 60, "5 hours", keep=("i",), forced="forced", order_cols=("i",), buckets=3)
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: r[1] + dt.timedelta(minutes=rng.randrange(240)))
+    end = [("end", T + dt.timedelta(days=3), 9999, None, None)]
+    for n, part in enumerate([rows[:500], rows[500:1000], rows[1000:], end]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{src}/f{n}")
+    q = (gated.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck"))
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    # of 60 keys: a few elements of rows, a table of last times and a timer for each of 3 buckets
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 3 * 10
+    batch = min_interval_gate(spark.createDataFrame(rows, SCHEMA), "key", "ts", 60, order_cols=("i",), forced="forced", keep=("i",))
+    verdict = lambda r: (r.key, r.i, r.ts, r.admitted, r.minutes_left)
+    assert late_rows(q) == 0
+    assert sorted(map(verdict, spark.read.parquet(out).collect())) == sorted(map(verdict, batch.collect()))
